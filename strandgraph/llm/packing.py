@@ -87,7 +87,8 @@ def cut(placed: DataFrame, size: int, with_ids: bool = False) -> DataFrame:
 def pack(docs: DataFrame, size: int = 4096, vocabulary: str | None = None, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """One row for each piece; with ``with_ids`` also its ids as little-endian uint32."""
     stored = materialise(tokenise(docs, vocabulary, end_id), "tokens")
-    return cut(stored.join(global_offsets(stored), "pid"), size, with_ids)
+    # one row of two numbers for each partition of the tokenising job: the number of partitions bounds its size
+    return cut(stored.join(F.broadcast(global_offsets(stored)), "pid"), size, with_ids)
 
 
 def sequences(pieces: DataFrame, size: int = 4096) -> DataFrame:
