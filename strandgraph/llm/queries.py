@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandgraph.llm import packing, quality, toxicity
+from strandgraph.llm import jaccard, packing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,9 +27,33 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP7_SQL = r'''
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') as a from documents
+), s as (
+  select distinct doc_id, case when len(a) < 5 then array_to_string(a, ' ') else array_to_string(a[i:i+4], ' ') end as g
+  from w, unnest(range(1, greatest(len(a) - 4, 1) + 1)) as u(i) where len(a) > 0
+), n as (select doc_id, count(*) as n from s group by doc_id),
+e as (
+  select x.doc_id as a, y.doc_id as b from s x join s y on x.g = y.g and x.doc_id <> y.doc_id
+  group by x.doc_id, y.doc_id
+  having 100 * count(*) >= 75 * ((select n from n where n.doc_id = x.doc_id) + (select n from n where n.doc_id = y.doc_id) - count(*))
+), r as (
+  select doc_id as node, doc_id as reached from documents
+  union select r.node, e.b from r join e on r.reached = e.a
+)
+select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.reached) as component_id
+from documents d left join n on n.doc_id = d.doc_id join r on r.node = d.doc_id group by d.doc_id
+'''
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_packing, op5_toxicity, op6_quality)}
+    return {f.__name__: f for f in (op3_packing, op5_toxicity, op6_quality, op7_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_jaccard": OP7_SQL}
