@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandgraph.llm import jaccard, packing, quality, toxicity
+from strandgraph.llm import decontam, jaccard, packing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,9 +51,33 @@ from documents d left join n on n.doc_id = d.doc_id join r on r.node = d.doc_id
 '''
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = r'''
+with t as (
+  select 'd' as kind, cast(doc_id as varchar) as id, text from documents union all select 'b', cast(item_id as varchar), text from benchmark
+), w as (
+  select kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as a from t
+), p as (
+  select distinct id as item, least(10, len(a)) as m, array_to_string(a[i:i + least(10, len(a)) - 1], ' ') as g
+  from w, unnest(range(1, len(a) - least(10, len(a)) + 2)) as u(i) where kind = 'b' and len(a) > 0
+), lens as (select distinct m from p),
+x as (
+  select id, i, m, array_to_string(a[i:i + m - 1], ' ') as g from w join lens on len(a) >= m, unnest(range(1, len(a) - m + 2)) as u(i) where kind = 'd'
+), o as (select x.id, x.i, x.m, p.item from x join p on x.m = p.m and x.g = p.g),
+h as (select id, count(distinct k) as n_hit from o, unnest(range(i, i + m)) as u(k) group by id),
+n as (select id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct id, item from o) group by id)
+select d.doc_id, len(w.a) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from documents d join w on w.kind = 'd' and w.id = cast(d.doc_id as varchar) left join h on h.id = w.id left join n on n.id = w.id
+'''
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_packing, op5_toxicity, op6_quality, op7_jaccard)}
+    return {f.__name__: f for f in (op3_packing, op5_toxicity, op6_quality, op7_jaccard, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard": OP7_SQL}
+    return {"op7_jaccard": OP7_SQL, "op10_decontamination": OP10_SQL}
