@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandgraph.llm import decontam, jaccard, packing, quality, toxicity
+from strandgraph.llm import decontam, jaccard, packing, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +52,22 @@ from documents d left join n on n.doc_id = d.doc_id join r on r.node = d.doc_id
 '''
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP8_SQL = '''
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+), r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+'''
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -76,8 +93,8 @@ from documents d join w on w.kind = 'd' and w.id = cast(d.doc_id as varchar) lef
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_packing, op5_toxicity, op6_quality, op7_jaccard, op10_decontamination)}
+    return {f.__name__: f for f in (op3_packing, op5_toxicity, op6_quality, op7_jaccard, op8_topk, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {"op7_jaccard": OP7_SQL, "op8_topk": OP8_SQL, "op10_decontamination": OP10_SQL}
