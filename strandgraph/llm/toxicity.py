@@ -33,6 +33,8 @@ FOLDS, HELD_OUT = 5, 0
 STEMS = (4, 5, 6)
 #: Words' worth of prior; occurrences in toxic documents, and surplus of the test (in nats), from which a token is toxic.
 PRIOR, LEAST, SURPLUS = 1000.0, 2, 1.0
+#: How many times as likely in toxic documents a token must be.
+LEAN = 3.0
 #: Chance count of a segment below which it is reported as a passage.
 E_VALUE = 0.01
 
@@ -81,23 +83,23 @@ def segments(at: np.ndarray, weights: np.ndarray, penalty: float) -> list[tuple[
     positive score is merged leftwards as long as that raises the total. Every segment is pushed and merged once.
     Returns (first word, end word, score).
     """
-    stack: list[list[float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []
     total, before = 0.0, -1
     for p, w in zip(at.tolist(), weights.tolist(), strict=True):
         total -= penalty * (p - before - 1)
         before = p
-        own = [p, p + 1, total, total + w]
-        total += w
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= own[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= own[3]:
-                stack.append(own)
-                break
-            own[0], own[2] = stack[j][0], stack[j][2]
+        first, left, right = p, total, total + w
+        total = right
+        # the nearest segment whose left total is smaller; those that a link passes over have larger ones
+        j = len(stack) - 1
+        while j >= 0 and stack[j][2] >= left:
+            j = stack[j][4]
+        while j >= 0 and stack[j][3] < right:
+            first, _, left, _, link = stack[j]
             del stack[j:]
-    return [(int(a), int(b), r - l) for a, b, l, r in stack]
+            j = link
+        stack.append((first, p + 1, left, right, j))
+    return [(int(a), int(b), r - l) for a, b, l, r, _ in stack]
 
 
 def scan(column: pa.Array | pa.ChunkedArray, lexicon: Lexicon) -> Iterator[tuple[int, list[tuple[int, int, float]], np.ndarray, np.ndarray]]:
@@ -171,10 +173,12 @@ def count_contexts(rows: DataFrame, keys: np.ndarray) -> DataFrame:
 
 
 def significant(tokens: DataFrame, share: float, candidates: int, most: int) -> DataFrame:
-    """Tokens whose lean to toxic documents chance would not give one of ``candidates`` tokens, the clearest first.
+    """Tokens that are more than LEAN times as likely in toxic documents, beyond what chance would give one of ``candidates``
+    tokens; the clearest first.
 
     ``share`` of all words stand in toxic documents. The Chernoff bound of the binomial tail is the test.
     """
+    share = LEAN * share / (LEAN * share + 1 - share)
     n = F.col("toxic") + F.col("other")
     a = F.col("toxic") / n
     bits = n * (a * F.log(a / F.lit(share)) + F.when(a < 1, (1 - a) * F.log((1 - a) / F.lit(1 - share))).otherwise(0.0))
