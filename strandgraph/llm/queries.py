@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm import decontam, jaccard, packing, pii, quality, topk, toxicity
+from strandgraph.llm import chat, decontam, jaccard, packing, pii, quality, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,42 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.format_pairs(chat.swapped_answers(_table(spark, sf_dir, "conversations")))
+    flat = {m: F.array_join(F.transform(m, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(m) for m in ("chosen_mask", "rejected_mask")}
+    return found.select("pair_id", "n_common", "prompt", "chosen", "rejected", *flat.values())
+
+
+OP4_SQL = '''
+with t as (
+  select conv_id, role, text, row_number() over (partition by conv_id order by turn, role, text) as pos from conversations
+), l as (select conv_id, max(pos) filter (role = 'assistant') as last, max(pos) as n from t group by conv_id),
+c as (select t.conv_id as id, pos, role, text from t),
+r as (
+  select t.conv_id as id, pos, role, text from t join l using (conv_id) where last is null or pos < last
+  union all
+  select l.conv_id, l.last, o.role, o.text from l join l m on m.conv_id = l.conv_id + 1 join t o on o.conv_id = m.conv_id and o.pos = m.last where l.last is not null
+), b as (
+  select coalesce(c.id, r.id) as id, min(coalesce(c.pos, r.pos)) filter (c.id is null or r.id is null or c.role is distinct from r.role or c.text is distinct from r.text) as off, max(coalesce(c.pos, r.pos)) as n
+  from c full join r on c.id = r.id and c.pos = r.pos group by 1
+), p as (select id, cast(coalesce(off - 1, n) as integer) as n_common from b),
+s as (
+  select side, id, pos, n_common, role, '<|im_start|>' || role || chr(10) as head, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as seg
+  from (select 'c' as side, * from c union all select 'r', * from r) join p using (id)
+), o as (
+  select *, cast(coalesce(sum(length(seg)) over (partition by side, id order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) as skip from s where pos > n_common
+), g as (
+  select id, coalesce(string_agg(seg, '' order by pos) filter (side = 'c'), '') as chosen, coalesce(string_agg(seg, '' order by pos) filter (side = 'r'), '') as rejected,
+    coalesce(string_agg((skip + length(head)) || ':' || (skip + length(seg)), ',' order by pos) filter (side = 'c' and role = 'assistant'), '') as chosen_mask,
+    coalesce(string_agg((skip + length(head)) || ':' || (skip + length(seg)), ',' order by pos) filter (side = 'r' and role = 'assistant'), '') as rejected_mask
+  from o group by id
+), q as (select id, string_agg(seg, '' order by pos) as prompt from s where side = 'c' and pos <= n_common group by id)
+select p.id as pair_id, n_common, coalesce(prompt, '') as prompt, coalesce(chosen, '') as chosen, coalesce(rejected, '') as rejected,
+  coalesce(chosen_mask, '') as chosen_mask, coalesce(rejected_mask, '') as rejected_mask
+from p left join g on g.id = p.id left join q on q.id = p.id
+'''
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -72,6 +108,44 @@ select query_id, rank, vec_id, score from r where rank <= 5
 '''
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(_table(spark, sf_dir, "pages"))).drop("date")
+
+
+def _uuid_sql(text: str) -> str:
+    h = f"md5({text})"
+    return f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' || {h}[21:32] || '>'"
+
+
+def _squeezed_sql(x: str) -> str:
+    for name, sign in warc.ENTITIES:
+        x = f"replace({x}, '{name}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    for pattern, put in ((warc.BLANKS, "' '"), (warc.LINES, "chr(10)"), (warc.EDGES, "''")):
+        x = f"regexp_replace({x}, '{pattern}', {put}, 'g')"
+    return x
+
+
+OP9_SQL = rf'''
+with p as (select coalesce(cast(page_id as varchar), '') as k, coalesce(url, '') as target_uri, coalesce(html, '') as h from pages),
+r as (
+  select {_uuid_sql("'response|' || k || '|' || target_uri")} as refers_to, target_uri, h, 'sha256:' || sha256(h) as payload_digest,
+    regexp_replace(regexp_replace(regexp_replace(h, '{warc.DROPPED}', '', 'g'), '{warc.BREAKS}', chr(10), 'g'), '{warc.TAGS}', '', 'g') as bare,
+    regexp_replace(regexp_extract(h, '{warc.TITLE}', 1), '{warc.TAGS}', '', 'g') as title from p
+), b as (
+  select 'metadata' as record_type, 'application/warc-fields' as content_type, refers_to, target_uri, payload_digest,
+    'title: ' || replace({_squeezed_sql("title")}, chr(10), ' ') || chr(13) || chr(10)
+    || 'source-Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'source-Content-Length: ' || strlen(h) || chr(13) || chr(10)
+    || coalesce(array_to_string(list_transform(regexp_extract_all(h, '{warc.LINK}', 1), lambda x: 'outlink: ' || replace(x, '&amp;', '&') || ' L a/@href' || chr(13) || chr(10)), ''), '') as block from r
+  union all select 'conversion', 'text/plain', refers_to, target_uri, payload_digest, {_squeezed_sql("bare")} from r
+), i as (select *, {_uuid_sql("record_type || '|' || refers_to")} as record_id, strlen(block) as content_length, 'sha256:' || sha256(block) as block_digest from b)
+select record_type, record_id, refers_to, target_uri, content_type, content_length, block_digest, payload_digest, block,
+  replace('WARC/1.1~WARC-Type: ' || record_type || '~WARC-Record-ID: ' || record_id || '~WARC-Refers-To: ' || refers_to, '~', chr(13) || chr(10))
+  || chr(13) || chr(10) || 'WARC-Target-URI: ' || target_uri
+  || replace('~Content-Type: ' || content_type || '~WARC-Block-Digest: ' || block_digest || '~WARC-Payload-Digest: ' || payload_digest || '~Content-Length: ' || content_length || '~', '~', chr(13) || chr(10)) as header
+from i
+'''
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -97,8 +171,8 @@ from documents d join w on w.kind = 'd' and w.id = cast(d.doc_id as varchar) lef
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_pii, op3_packing, op5_toxicity, op6_quality, op7_jaccard, op8_topk, op10_decontamination)}
+    return {f.__name__: f for f in (op2_pii, op3_packing, op4_chat, op5_toxicity, op6_quality, op7_jaccard, op8_topk, op9_warc, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard": OP7_SQL, "op8_topk": OP8_SQL, "op10_decontamination": OP10_SQL}
+    return {"op4_chat": OP4_SQL, "op9_warc": OP9_SQL, "op7_jaccard": OP7_SQL, "op8_topk": OP8_SQL, "op10_decontamination": OP10_SQL}
