@@ -5,12 +5,13 @@ Documents are sets of 5-word shingles; two link when 4 * |intersection| >= 3 * |
 1. Documents with equal sets form a class; from here on a class is its smallest document.
 2. Similar classes are put into groups: classes that share the minimum of one of four hash orders are compared with
    one hub each, so a family of thousands of near copies costs thousands of comparisons, not millions.
-   Verified links give components; a group is a component, cut into cells of about 64 classes.
-3. The token-group matrix, in long form (token, cell): a class links to nothing outside unless one of the first quarter of its
-   shingles, in one global order, is among those of a cell. Common shingles come last in that order, so shared
+   Verified links give components; a group is a component with the unlinked classes around its hubs, cut into cells of bounded size.
+3. The token-group matrix, in long form (token, cell): a class links to nothing in a cell unless one of the first quarter of its
+   shingles, in one global order, is among those of the cell. Common shingles come last in that order, so shared
    passages rarely meet. The overlap of a class with a cell's tokens and the cell's sizes bound the similarity; only
    qualifying (class, cell) pairs are opened.
-4. Opening a cell bounds the class once more by the union of the cell's whole sets and then compares it exactly with each member.
+4. Opening a cell bounds the class once more by the union of the cell's whole sets; then the overlaps with all its
+   members are counted exactly.
 
 Counts go over whole texts and all documents. A wrong or missing entry of the list of common shingles can cost time,
 never a link. Shingles are told apart by 64-bit hashes.
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from strandgraph.llm.shared import NON_SPACE, TextBatch, binary_array, materialise, mix64
 
-WIDTH, ORDERS, CELL, QUERIES = 5, 4, 64, 256
+WIDTH, ORDERS = 5, 4
+#: Shingles in a cell, and queries that meet one copy of it.
+CELL, QUERIES = 200_000, 512
 #: A shingle is common from so many documents on; of the common ones so many, the most frequent, are told to all tasks.
 COMMON, COMMON_MOST = 50, 1 << 20
 #: Tokens that a task gathers before it hands them on.
@@ -179,43 +182,33 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def open_cells(docs: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
-    """Links (a, b) between query documents and the members of the cells that they are sent to.
+    """Links (a, b) that join the components of query documents with those of the members of the cells they are sent to.
 
-    members and queries: (comp, sub, doc_id). A cell's members meet at most about QUERIES queries in one run;
+    members and queries: (grp, sub, doc_id, comp). A cell's members meet at most about QUERIES queries in one run;
     further queries meet another copy of the members. Rows stream through sorted partitions, members first, so a task
-    holds one cell's sets only.
+    holds one cell's sets only. Of the links between what a run has already joined none is returned.
     """
-    salts = queries.groupBy("comp", "sub").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
+    salts = queries.groupBy("grp", "sub").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
     ids = members.select("doc_id").union(queries.select("doc_id")).distinct()
     texts = materialise(pick(_texts(docs), ids), "opened")
-    asked = queries.join(salts, ["comp", "sub"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    held = members.join(salts, ["comp", "sub"]).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
-    columns: list[Column] = [F.col(c) for c in ("comp", "sub", "salt", "side", "doc_id", "text")]
+    asked = queries.join(salts, ["grp", "sub"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    held = members.join(salts, ["grp", "sub"]).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
+    columns: list[Column] = [F.col(c) for c in ("grp", "sub", "salt", "side", "doc_id", "comp", "text")]
     rows = held.withColumn("side", F.lit(0)).unionByName(asked.withColumn("side", F.lit(1))).join(texts, "doc_id").select(*columns)
-    ordered = rows.repartition("comp", "sub", "salt").sortWithinPartitions("comp", "sub", "salt", "side")
+    ordered = rows.repartition("grp", "sub", "salt").sortWithinPartitions("grp", "sub", "salt", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, sets, names, union = None, [], [], None
+        key, cell = None, Cell()
         for b in batches:
-            keys = list(zip(*(b.column(i).to_pylist() for i in range(5)), strict=True))
             out: list[tuple[int, int]] = []
-            for (*key, side, doc_id), s in zip(keys, shingle_sets(b.column(5)), strict=True):
-                if key != cell:
-                    cell, sets, names, union = key, [], [], None
+            heads = zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)
+            for (*where, side, doc_id, comp), s in zip(heads, shingle_sets(b.column(6)), strict=True):
+                if where != key:
+                    key, cell = where, Cell()
                 if side == 0:
-                    sets.append(s)
-                    names.append(doc_id)
-                    continue
-                if union is None:
-                    union = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-                inside = _common(s, union)
-                if 4 * len(inside) < 3 * len(s):
-                    continue
-                for name, other in zip(names, sets, strict=True):
-                    if name != doc_id and 7 * len(inside) >= 3 * (len(s) + len(other)):
-                        both = len(_common(inside, other))
-                        if 7 * both >= 3 * (len(s) + len(other)):
-                            out.append((doc_id, name))
+                    cell.add(doc_id, comp, s)
+                else:
+                    out += cell.ask(doc_id, comp, s)
             if out:
                 a, z = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
@@ -223,12 +216,49 @@ def open_cells(docs: DataFrame, members: DataFrame, queries: DataFrame) -> DataF
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if not len(a) or not len(b):
-        return a[:0]
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return a[b[at] == a]
+class Cell:
+    """The sets of a cell's members as one sorted list of (shingle, member), and which components its links have joined."""
+
+    def __init__(self) -> None:
+        self.names: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.comps: list[int] = []
+        self.above: dict[int, int] = {}
+        self.ready = False
+
+    def add(self, name: int, comp: int, shingles: np.ndarray) -> None:
+        self.names.append(name)
+        self.comps.append(comp)
+        self.sets.append(shingles)
+
+    def root(self, comp: int) -> int:
+        while (up := self.above.get(comp, comp)) != comp:
+            self.above[comp] = self.above.get(up, up)
+            comp = up
+        return comp
+
+    def ask(self, name: int, comp: int, shingles: np.ndarray) -> list[tuple[int, int]]:
+        if not self.ready:
+            self.sizes = np.array([len(s) for s in self.sets])
+            tokens = np.concatenate([*self.sets, np.zeros(0, np.uint64)])
+            order = np.argsort(tokens, kind="stable")
+            self.tokens, self.owner = tokens[order], np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+            self.comp, self.sets, self.ready = np.array(self.comps), [], True
+        first, n = np.searchsorted(self.tokens, shingles), np.searchsorted(self.tokens, shingles, side="right")
+        n = n - first
+        # what the union of the cell lacks no member has
+        if 4 * np.count_nonzero(n) < 3 * len(shingles):
+            return []
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        linked = np.flatnonzero(7 * both >= 3 * (len(shingles) + self.sizes))
+        out = []
+        for i in linked[np.unique(self.comp[linked], return_index=True)[1]].tolist():
+            one, two = self.root(comp), self.root(int(self.comp[i]))
+            if one != two:
+                self.above[max(one, two)] = min(one, two)
+                out.append((name, self.names[i]))
+        return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,18 +280,37 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def form_groups(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links between classes and the hubs of the hash orders' minima: at most ORDERS comparisons a class."""
+def hub_pairs(classes: DataFrame) -> DataFrame:
+    """(hub, c): each class with the smallest class that shares the minimum of a hash order and may be similar by size."""
     pairs = None
     for i in range(ORDERS):
         hubs = classes.groupBy(f"m{i}").agg(F.min(F.struct("c", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-        met = classes.join(hubs, f"m{i}").where("c <> hub.c and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)").select(F.col("hub.c").alias("comp"), F.col("c").alias("doc_id"))
+        met = classes.join(hubs, f"m{i}").where("c <> hub.c and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)").select(F.col("hub.c").alias("hub"), "c")
         pairs = met if pairs is None else pairs.union(met)
-    queries = materialise(pairs.distinct().withColumn("sub", F.lit(0)), "hubs")
-    members = queries.select("comp", "sub", F.col("comp").alias("doc_id")).distinct()
+    return materialise(pairs.distinct(), "hubs")
+
+
+def hub_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links between classes and their hubs: at most ORDERS comparisons a class."""
+    queries = pairs.select(F.col("hub").alias("grp"), F.lit(0).alias("sub"), F.col("c").alias("doc_id"), F.col("c").alias("comp"))
+    members = queries.select("grp", "sub").distinct().select("grp", "sub", F.col("grp").alias("doc_id"), F.col("grp").alias("comp"))
     return materialise(open_cells(docs, members, queries), "links")
 
 
+def form_groups(classes: DataFrame, pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """(c, n, k, comp, grp, sub): every class in a cell of similar classes.
+
+    A group is a component with the classes that have no link yet but whose hub lies in it; cells split it by hash into
+    parts of about CELL shingles in all.
+    """
+    placed = classes.select("c", "n", "k").join(comps.withColumnRenamed("node", "c"), "c", "left")
+    near = pairs.groupBy("c").agg(F.min("hub").alias("hub")).join(comps.select(F.col("node").alias("hub"), F.col("comp").alias("of_hub")), "hub", "left")
+    grouped = placed.join(near, "c", "left").select("c", "n", "k", F.coalesce("comp", "c").alias("comp"), F.coalesce("comp", "of_hub", "hub", "c").alias("grp"))
+    sizes = grouped.groupBy("grp").agg(F.ceil(F.sum("n") / CELL).alias("cells")).where("cells > 1")
+    sub = F.pmod(F.xxhash64("c"), F.coalesce("cells", F.lit(1))).cast("int")
+    return materialise(grouped.join(sizes, "grp", "left").select("c", "n", "k", "comp", "grp", sub.alias("sub")), "nodes")
+
+
 def postings(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
     """(t, k): the prefix shingles of classes, as far as two classes or more have them."""
     flags = np.zeros(1 << 20, bool)
@@ -316,20 +365,20 @@ def postings(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
 
 
 def qualifying(matrix: DataFrame) -> DataFrame:
-    """(comp, sub, doc_id): classes to be compared with cells of components of smaller number.
+    """(grp, sub, doc_id, comp): classes to be compared with cells that hold classes of components of smaller number.
 
-    matrix: (t, c, n, comp, sub). A class and a member that link share at least one prefix shingle; with s shared
+    matrix: (t, c, n, comp, grp, sub). A class and a member that link share at least one prefix shingle; with s shared
     ones their overlap is below s + 3/4 of the larger set, and a link asks for 3/7 of both.
     """
-    cells = matrix.groupBy("t", F.col("comp").alias("other"), F.col("sub").alias("other_sub")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    met = matrix.select("t", "c", "n", "comp").join(cells, "t").where("other < comp and 4 * hi >= 3 * n and 3 * lo <= 4 * n")
-    seen = met.groupBy("c", "n", "other", "other_sub").agg(F.count("*").alias("shared"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    cells = matrix.groupBy("t", "grp", "sub").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("least"))
+    met = matrix.select("t", "c", "n", "comp").join(cells, "t").where("least < comp and 4 * hi >= 3 * n and 3 * lo <= 4 * n")
+    seen = met.groupBy("c", "n", "comp", "grp", "sub").agg(F.count("*").alias("shared"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     low, high = F.greatest("lo", F.ceil(F.col("n") * 3 / 4)), F.least("hi", F.floor(F.col("n") * 4 / 3))
 
     def possible(m: Column) -> Column:
         return F.col("shared") + F.ceil(F.greatest(F.col("n"), m) * 3 / 4) >= F.ceil((F.col("n") + m) * 3 / 7)
 
-    return seen.where(possible(low) | possible(high)).select(F.col("other").alias("comp"), F.col("other_sub").alias("sub"), F.col("c").alias("doc_id"))
+    return seen.where(possible(low) | possible(high)).select("grp", "sub", F.col("c").alias("doc_id"), "comp")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -343,20 +392,14 @@ def link(docs: DataFrame) -> DataFrame:
         .where("c is not null"),
         "classes",
     )
-    links = form_groups(docs, classes)
-    groups = components(links)
-    placed = classes.select("c", "n", "k").join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    sizes = groups.groupBy("comp").agg(F.ceil(F.count("*") / CELL).alias("cells"))
-    nodes = materialise(
-        placed.join(sizes, "comp", "left").select("c", "n", "k", "comp", F.pmod(F.xxhash64("c"), F.coalesce("cells", F.lit(1))).cast("int").alias("sub")),
-        "nodes",
-    )
-    shared = materialise(postings(docs, common_shingles(docs, bits), bits).join(nodes, "k").select("t", "c", "n", "comp", "sub"), "postings")
+    pairs = hub_pairs(classes)
+    links = hub_links(docs, pairs)
+    nodes = form_groups(classes, pairs, components(links))
+    shared = materialise(postings(docs, common_shingles(docs, bits), bits).join(nodes, "k").select("t", "c", "n", "comp", "grp", "sub"), "postings")
     across = shared.groupBy("t").agg(F.min("comp").alias("one"), F.max("comp").alias("two")).where("one <> two").select("t")
     queries = materialise(qualifying(shared.join(across, "t", "left_semi")), "qualifying")
-    members = nodes.select("comp", "sub", F.col("c").alias("doc_id")).join(queries.select("comp", "sub").distinct(), ["comp", "sub"], "left_semi")
-    more = open_cells(docs, members, queries)
-    reached = components(links.union(more))
+    members = nodes.select("grp", "sub", F.col("c").alias("doc_id"), "comp").join(queries.select("grp", "sub").distinct(), ["grp", "sub"], "left_semi")
+    reached = components(links.union(open_cells(docs, members, queries)))
     final = classes.select("d", "c").join(reached.withColumnRenamed("node", "c"), "c", "left").select("d", "c", F.coalesce("comp", "c").alias("comp"))
     return described.join(final, "d", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("c", "doc_id").alias("class_id"))
 
