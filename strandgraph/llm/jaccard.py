@@ -169,11 +169,6 @@ def maybe_among(docs: DataFrame, maps: DataFrame, bits: int = 22) -> DataFrame:
     return placed.withColumn("_maybe", hit).drop("_bucket", "_bit", "_map")
 
 
-def pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids; the others are left out before the shuffle as far as a small bitmap can tell."""
-    return maybe_among(docs, id_bitmaps(ids)).where("_maybe").drop("_maybe").join(ids, "doc_id")
-
-
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents without these ids; only those that the bitmap cannot clear are shuffled."""
     flagged = maybe_among(docs, id_bitmaps(ids))
@@ -190,7 +185,7 @@ def open_cells(docs: DataFrame, members: DataFrame, queries: DataFrame) -> DataF
     """
     salts = queries.groupBy("grp", "sub").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
     ids = members.select("doc_id").union(queries.select("doc_id")).distinct()
-    texts = materialise(pick(_texts(docs), ids), "opened")
+    texts = maybe_among(_texts(docs), id_bitmaps(ids)).where("_maybe").drop("_maybe")
     asked = queries.join(salts, ["grp", "sub"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
     held = members.join(salts, ["grp", "sub"]).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
     columns: list[Column] = [F.col(c) for c in ("grp", "sub", "salt", "side", "doc_id", "comp", "text")]
