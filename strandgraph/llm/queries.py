@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm import chat, decontam, jaccard, packing, pii, quality, topk, toxicity, warc
+from strandgraph.llm import chat, decontam, jaccard, packing, pii, quality, tokencount, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.apply_edits(tokencount.build_trees(_table(spark, sf_dir, "documents")), tokencount.cleaning)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents"))
 
@@ -171,7 +175,7 @@ from documents d join w on w.kind = 'd' and w.id = cast(d.doc_id as varchar) lef
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_pii, op3_packing, op4_chat, op5_toxicity, op6_quality, op7_jaccard, op8_topk, op9_warc, op10_decontamination)}
+    return {f.__name__: f for f in (op1_tokencount, op2_pii, op3_packing, op4_chat, op5_toxicity, op6_quality, op7_jaccard, op8_topk, op9_warc, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
