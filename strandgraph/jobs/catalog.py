@@ -1,17 +1,288 @@
-"""Named jobs over the driver's tables, and the SQL that checks them."""
+"""Named jobs over the star schema's tables. Reads are derived from every order: see ``reads_of``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandgraph.functions import kmers
+from strandgraph.functions.params import Scheme
+from strandgraph.jobs.build import EditGraph, build, refined
+from strandgraph.jobs.catalog_sql import oracle_sql as oracle_sql
+from strandgraph.jobs.config import GraphConfig
+from strandgraph.operators import buckets as scheme
+from strandgraph.operators import graph, pairs, reads
+from strandgraph.operators.storage import stored
+from strandgraph.sources import sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
+MD5 = kmers.hash_md5
+LEX = Scheme(4, 3)
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def reads_of(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
+    """(k, seq): from each order a read of about ``length`` letters; four orders share a base read, with and without
+    a substitution, a deletion, an insertion."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
+    digits = F.md5(F.floor(F.col("k") / 4).cast("long").cast("string"))
+    base = F.substring(F.translate(digits, "0123456789abcdef", "ACGTACGTACGTACGT"), 1, length)
+    tail = lambda at: F.col("base").substr(F.lit(at), F.lit(length))
+    head = lambda n: F.substring("base", 1, n)
+    seq = (
+        F.when(F.col("k") % 4 == 0, F.col("base"))
+        .when(F.col("k") % 4 == 1, F.concat(head(9), F.translate(F.substring("base", 10, 1), "ACGT", "CGTA"), tail(11)))
+        .when(F.col("k") % 4 == 2, F.concat(head(15), tail(17)))
+        .otherwise(F.concat(head(5), F.lit("A"), tail(6)))
+    )
+    return orders.select("k", base.alias("base")).select("k", seq.alias("seq"))
+
+
+def vertices_of(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
+    return reads.numbered(reads.multiplicity(reads_of(spark, sf_dir, length)))
+
+
+def _exact(vertices: DataFrame, length: int, most: int = 2) -> DataFrame:
+    # the shortest reads are a letter below the nominal length where a deletion falls inside
+    return pairs.exact(vertices, 1, most, length - 1)
+
+
+def read_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.multiplicity(reads_of(spark, sf_dir, 12))
+
+
+def read_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.length_stats(reads.multiplicity(reads_of(spark, sf_dir, 24)))
+
+
+def read_length_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = reads.check_lengths(reads_of(spark, sf_dir, 24))
+    return checked.groupBy("length_ok", F.length("seq").cast("long").alias("length")).agg(F.count("*").alias("n"))
+
+
+def alphabet_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as if they were sequences: letters of the alphabet are cast, names with any other give null."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", sequences.letters(F.regexp_replace(F.upper("p_name"), "[^A-Z]", "N"), "null").alias("seq"))
+
+
+def vertex_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertices_of(spark, sf_dir, 12)
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = reads_of(spark, sf_dir, 24).select("k", F.posexplode(kmers.segments(F.col("seq"), 3)).alias("i", "segment"))
+    return cut.select("k", F.col("i").cast("long").alias("i"), "segment")
+
+
+def kmer_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = reads_of(spark, sf_dir, 24).select(F.explode(kmers.kmers(F.col("seq"), 4)).alias("kmer"))
+    return words.groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+def kmer_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = vertices_of(spark, sf_dir, 24).select("vid", F.explode(kmers.with_occurrence(kmers.kmers(F.col("seq"), 2))).alias("w"))
+    return words.groupBy(F.col("w.word").alias("kmer"), F.col("w.occ").cast("long").alias("occ")).agg(F.count("*").alias("n"))
+
+
+def gapped_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = vertices_of(spark, sf_dir, 12).select("vid", F.explode(kmers.with_occurrence(kmers.gapped(F.col("seq"), 4))).alias("w"))
+    return words.select("vid", F.col("w.word").alias("kmer"), F.col("w.occ").cast("long").alias("occ"))
+
+
+def lex_minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheme.lexicographic(vertices_of(spark, sf_dir, 24), LEX)
+
+
+def lex_minimizers_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheme.lexicographic(vertices_of(spark, sf_dir, 24), Scheme(4, 3, 2))
+
+
+def hash_minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheme.hashed(vertices_of(spark, sf_dir, 24), Scheme(4, 8), 2024, MD5)
+
+
+def hash_minimizers_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheme.hashed(vertices_of(spark, sf_dir, 24), Scheme(4, 5, 2), 2024, MD5)
+
+
+GOMH_SEEDS = [(11, 4), (22, 4), (33, 4)]
+
+
+def gomh_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheme.gapped(vertices_of(spark, sf_dir, 24), GOMH_SEEDS, hash_of=MD5)
+
+
+def gomh_all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheme.gapped(vertices_of(spark, sf_dir, 12), GOMH_SEEDS, every=True)
+
+
+def omh_prefix_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheme.sketches(vertices_of(spark, sf_dir, 24), 6, 2, [1, 2, 3], "prefix", MD5)
+
+
+def omh_minhash_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheme.sketches(vertices_of(spark, sf_dir, 24), 6, 2, [1, 2, 3], "minhash", MD5)
+
+
+def bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheme.sizes(scheme.lexicographic(vertices_of(spark, sf_dir, 24), LEX))
+
+
+def bucket_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheme.lexicographic(vertices_of(spark, sf_dir, 24), LEX).agg(F.countDistinct("key").alias("n_buckets"))
+
+
+def bucket_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    normal, large = scheme.split(stored(scheme.lexicographic(vertices_of(spark, sf_dir, 24), LEX), "buckets"), 600)
+    count = lambda df, name: df.groupBy("key").agg(F.count("*").alias("size")).withColumn("kind", F.lit(name))
+    return count(normal, "normal").unionByName(count(large, "large"))
+
+
+def bucket_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = stored(vertices_of(spark, sf_dir, 24), "vertices")
+    return pairs.bucket_stats(_exact(v, 24), scheme.lexicographic(v, LEX))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def edges_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exact(stored(vertices_of(spark, sf_dir, 24), "vertices"), 24)
+
+
+def edges_brute_force_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exact(stored(vertices_of(spark, sf_dir, 12), "vertices"), 12)
+
+
+def edges_brute_force_min2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = GraphConfig(mode="brute_force", min_distance=2)
+    return build(reads_of(spark, sf_dir, 24), config).edges
+
+
+def _in_buckets(spark: SparkSession, sf_dir: str, length: int, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    v = stored(vertices_of(spark, sf_dir, length), "vertices")
+    return pairs.in_buckets(_exact(v, length), made(v))
+
+
+def edges_minimizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_buckets(spark, sf_dir, 12, lambda v: scheme.lexicographic(v, LEX))
+
+
+def edges_miniception(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_buckets(spark, sf_dir, 12, lambda v: scheme.hashed(v, Scheme(4, 8), 2024, MD5))
+
+
+def edges_omh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_buckets(spark, sf_dir, 24, lambda v: scheme.sketches(v, 6, 2, [1, 2, 3], "prefix", MD5))
+
+
+def edges_omh_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_buckets(spark, sf_dir, 24, lambda v: scheme.sketches(v, 6, 2, [1, 2, 3], "minhash", MD5))
+
+
+def edges_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_buckets(spark, sf_dir, 12, lambda v: scheme.gapped(v, GOMH_SEEDS, every=True))
+
+
+def edges_bucket_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The direct self-join of small buckets, in blocks."""
+    v = stored(vertices_of(spark, sf_dir, 24), "vertices")
+    return pairs.bucket_pairs(scheme.sketches(v, 6, 2, [1], "prefix", MD5), v, 1, 2, block=16)
+
+
+LARGE = 600
+
+
+def large_bucket_rebucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that sub-buckets of large buckets hold."""
+    v = stored(vertices_of(spark, sf_dir, 24), "vertices")
+    _, large = scheme.split(stored(scheme.lexicographic(v, LEX), "buckets"), LARGE)
+    sub = stored(scheme.gapped_within(large.select(F.col("key").alias("parent"), "vid"), v, GOMH_SEEDS, hash_of=MD5), "sub")
+    routes = sub.groupBy("parent").agg(F.countDistinct("key").alias("n")).where(f"n >= 2 and n < {LARGE}")
+    return pairs.in_buckets(_exact(v, 24), sub.join(routes, "parent", "left_semi"), ["parent", "key"])
+
+
+def sub_bucket_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sub-buckets each large bucket has, and where that sends it."""
+    v = stored(vertices_of(spark, sf_dir, 24), "vertices")
+    _, large = scheme.split(stored(scheme.lexicographic(v, LEX), "buckets"), LARGE)
+    n = scheme.gapped_within(large.select(F.col("key").alias("parent"), "vid"), v, GOMH_SEEDS, hash_of=MD5).groupBy("parent").agg(F.countDistinct("key").alias("n"))
+    return n.select("parent", "n", F.when(F.col("n") >= 300, "traversal").when(F.col("n") >= 2, "pairwise").otherwise("dropped").alias("route"))
+
+
+def khop_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _exact(stored(vertices_of(spark, sf_dir, 24), "vertices"), 24, 1)
+    return graph.within_hops(e, None, 3)
+
+
+def edges_after_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of weight 1 and what a bounded traversal of them adds."""
+    v = stored(vertices_of(spark, sf_dir, 12), "vertices")
+    one = stored(_exact(v, 12, 1), "ones")
+    return graph.inserted(one, graph.verified_hops(one, v, None, 3, 1, 2))
+
+
+def merge_unique_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.merge_unique(reads_of(spark, sf_dir, 24), reads_of(spark, sf_dir, 12), reads_of(spark, sf_dir, 12))
+
+
+def edge_weight_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.without_weights(edges_brute_force(spark, sf_dir), 1, 1)
+
+
+def edge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.summary(edges_brute_force(spark, sf_dir))
+
+
+def _minimizer_graph(spark: SparkSession, sf_dir: str) -> EditGraph:
+    return build(reads_of(spark, sf_dir, 12), GraphConfig(mode="minimizer_gomh", hash_name="md5"))
+
+
+def graph_minimizer_gomh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default mode on short reads: window minimizers, then a second pass over all gapped k-mers."""
+    return _minimizer_graph(spark, sf_dir).edges
+
+
+def graph_miniception_gomh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashed minimizers; buckets of 600 and more are bucketed again or traversed."""
+    v = stored(vertices_of(spark, sf_dir, 24), "vertices")
+    exact = stored(_exact(v, 24), "exact")
+    normal, large = scheme.split(stored(scheme.hashed(v, Scheme(4, 8), 2024, MD5), "buckets"), LARGE)
+    sub = scheme.gapped_within(large.select(F.col("key").alias("parent"), "vid"), v, GOMH_SEEDS, hash_of=MD5)
+    return refined(exact, pairs.in_buckets(exact, normal), sub, GraphConfig(bin_size_max=LARGE, visit_depth=4))
+
+
+def mode_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By mode and weight: edges found, edges there are, and their ratio."""
+    v = stored(vertices_of(spark, sf_dir, 12), "vertices")
+    exact = stored(_exact(v, 12), "exact")
+    made = {
+        "minimizer": scheme.lexicographic(v, LEX),
+        "miniception": scheme.hashed(v, Scheme(4, 8), 2024, MD5),
+        "omh": scheme.sketches(v, 6, 2, [1, 2, 3], "prefix", MD5),
+        "gapped": scheme.gapped(v, GOMH_SEEDS, every=True),
+    }
+    total = exact.groupBy("weight").agg(F.count("*").alias("n_exact"))
+    found = None
+    for name, keys in made.items():
+        own = pairs.in_buckets(exact, keys).groupBy("weight").agg(F.count("*").alias("n_found")).withColumn("mode", F.lit(name))
+        found = own if found is None else found.unionByName(own)
+    return found.join(total, "weight").select("mode", "weight", "n_found", "n_exact", F.round(F.col("n_found") / F.col("n_exact"), 6).alias("recall"))
+
+
+def dot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = stored(vertices_of(spark, sf_dir, 24), "vertices")
+    return sequences.dot_lines(v, _exact(v, 24))
+
+
+ALL: tuple[Query, ...] = (
+    read_multiplicity, read_length_stats, read_length_flags, alphabet_cast, vertex_numbering, segments, kmer_spectrum, kmer_occurrence,
+    gapped_kmers, lex_minimizers, lex_minimizers_segmented, hash_minimizers, hash_minimizers_segmented, gomh_keys, gomh_all_keys,
+    omh_prefix_keys, omh_minhash_keys, bucket_sizes, bucket_count, bucket_split, bucket_stats, edges_brute_force, edges_brute_force_short,
+    edges_brute_force_min2, edges_minimizer, edges_miniception, edges_omh, edges_omh_minhash, edges_gapped, edges_bucket_join,
+    large_bucket_rebucket, sub_bucket_routes, khop_pairs, edges_after_khop, merge_unique_reads, edge_weight_filter, edge_summary,
+    graph_minimizer_gomh, graph_miniception_gomh, mode_recall, dot_lines,
+)
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in ALL}
