@@ -171,9 +171,10 @@ def maybe_among(docs: DataFrame, maps: DataFrame, bits: int = 22) -> DataFrame:
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents without these ids; only those that the bitmap cannot clear are shuffled."""
-    flagged = maybe_among(docs, id_bitmaps(ids))
-    clear = flagged.where(~F.col("_maybe")).drop("_maybe")
-    return clear.unionByName(flagged.where("_maybe").drop("_maybe").join(ids, "doc_id", "left_anti"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    flagged = maybe_among(docs.select("doc_id", whole), id_bitmaps(ids))
+    clear = flagged.where(~F.col("_maybe")).select("row")
+    return clear.union(flagged.where("_maybe").join(ids, "doc_id", "left_anti").select("row")).select("row.*")
 
 
 def open_cells(docs: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
@@ -402,4 +403,4 @@ def link(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with one document left of each component: that of the smallest id."""
     gone = materialise(link(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return without(docs, gone).select(*docs.columns)
+    return without(docs, gone)

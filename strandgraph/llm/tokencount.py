@@ -60,7 +60,7 @@ def leaf_counts(text: str | None, memo: tokens.WordMemo) -> np.ndarray:
     """Tokens of each pre-token; a text with signs that only Python takes for white space is one leaf."""
     if not text:
         return np.zeros(0, np.int32)
-    if any(c in text for c in tokens._ODD):
+    if any(c in text for c in tokens.ODD):
         return np.array([len(memo.whole(text)) // 2], np.int32)
     return np.array(list(map(len, map(memo.__getitem__, text.split()))), np.int32) // 2
 
@@ -79,8 +79,8 @@ def recount(text: str, leaves: np.ndarray, edits: list[Edit], memo: tokens.WordM
     tree, edits = SegmentTree(leaves), accepted(edits, len(text))
     if not edits:
         return tree.total, 0, 0
-    spans = [m.span() for m in _WORD.finditer(text)]
-    if len(spans) != len(leaves) or not spans:
+    spans = [] if any(c in text for c in tokens.ODD) else [m.span() for m in _WORD.finditer(text)]
+    if not spans:
         return len(memo.ids(edited(text, edits))) // 2, len(edits), len(leaves)
     starts, ends = [a for a, _ in spans], [b for _, b in spans]
     regions: list[tuple[int, int, list[Edit]]] = []

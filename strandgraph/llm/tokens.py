@@ -12,7 +12,7 @@ import unicodedata
 from array import array
 
 #: White space to str.split() that the tokenizer takes for ordinary signs.
-_ODD = "\x1c\x1d\x1e\x1f"
+ODD = "\x1c\x1d\x1e\x1f"
 #: The tokenizer's split of an ASCII word in lower case (a fixed value of its file, over ASCII).
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -82,7 +82,7 @@ class WordMemo(dict):
         """Ids of a whole text; null reads as empty."""
         if not text:
             return b""
-        if any(c in text for c in _ODD):
+        if any(c in text for c in ODD):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.split()))
 
