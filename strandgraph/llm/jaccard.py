@@ -38,7 +38,7 @@ CELL, QUERIES = 200_000, 512
 #: A shingle is common from so many documents on; of the common ones so many, the most frequent, are told to all tasks.
 COMMON, COMMON_MOST = 50, 1 << 20
 #: Tokens that a task gathers before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 18
 _FACTORS = mix64(np.arange(11, 11 + WIDTH, dtype=np.uint64)) | np.uint64(1)
 _SEEDS = mix64(np.arange(71, 71 + ORDERS, dtype=np.uint64))
 
@@ -117,7 +117,7 @@ def common_shingles(docs: DataFrame, bits: int) -> np.ndarray:
                 if len(s):
                     pool = s[: 2 * len(s) // 5 + 1]
                     key = hash(pool.tobytes())
-                    if key not in seen and (len(seen) > 1 << 20 or seen.add(key) is None) and held.add(pool):
+                    if key not in seen and (len(seen) > 1 << 17 or seen.add(key) is None) and held.add(pool):
                         yield emit()
         yield emit()
 
@@ -329,7 +329,7 @@ def postings(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
                 key = class_key(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 if key in seen:
                     continue
-                if len(seen) < 1 << 20:
+                if len(seen) < 1 << 17:
                     seen.add(key)
                 p = prefix_length(len(s))
                 maybe = np.flatnonzero(near[(s >> np.uint64(44)).astype(np.int64)]) if len(often) else []

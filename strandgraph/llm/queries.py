@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandgraph.llm import chat, decontam, jaccard, packing, pii, quality, tokencount, topk, toxicity, warc
+from strandgraph.llm.shared import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are hashed at a time; bounds the temporary arrays of a task.
 SLICE_BYTES = 1 << 20
+#: Rows of text in an Arrow batch.
+BATCH_ROWS = 1000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -30,6 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
+    """Hand texts to Python in batches of few rows: a batch of long documents must fit a worker beside the JVM."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
