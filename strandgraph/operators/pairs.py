@@ -44,7 +44,7 @@ def segment_candidates(vertices: DataFrame, most: int) -> DataFrame:
             at, width = cut(size - less, i)
             low, high = max(-i, less - (most - i)), min(i, less + (most - i))
             for shift in range(low, high + 1):
-                fits = (at + shift >= 1) & (at + shift + width - 1 <= size) & (width > 0)
+                fits = (at + shift >= 1) & (at + shift + width - 1 <= size)
                 asked.append(F.when(fits, F.xxhash64(size - less, F.lit(i), seq.substr(at + shift, width))))
     left = vertices.select(F.explode(F.array(*own)).alias("h"), F.col("vid").alias("a"), F.col("seq").alias("sa"))
     right = vertices.select(F.explode(F.array_distinct(F.filter(F.array(*asked), lambda h: h.isNotNull()))).alias("h"), F.col("vid").alias("b"), F.col("seq").alias("sb"))
