@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.shared import NON_SPACE, TextBatch, binary_array, materialise, mix64
+from strandgraph.llm.shared import NON_SPACE, TextBatch, binary_array, make_room, materialise, mix64
 
 WIDTH, ORDERS = 5, 4
 #: Shingles in a cell, and queries that meet one copy of it.
@@ -45,6 +45,7 @@ _SEEDS = mix64(np.arange(71, 71 + ORDERS, dtype=np.uint64))
 
 def shingle_sets(column: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
+    make_room()
     for lo, hi, n_words, words, _, _ in TextBatch(column).words(NON_SPACE):
         full = max(0, len(words) - WIDTH + 1)
         mixed = np.zeros(full, np.uint64)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.llm.labelled import fold, labelled_sample, logistic, platt
-from strandgraph.llm.shared import NON_SPACE, TextBatch, hash_spans
+from strandgraph.llm.shared import NON_SPACE, TextBatch, hash_spans, make_room
 
 #: At most so many labelled documents are fitted on.
 SAMPLE = 20_000
@@ -59,6 +59,7 @@ def _spread(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def features(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A row of statistics for each text."""
+    make_room()
     batch, rows = TextBatch(column), []
     for lo, hi, n_words, hashes, starts, ends in batch.words(NON_SPACE):
         n, begin = hi - lo, int(batch.offsets[lo])

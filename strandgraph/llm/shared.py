@@ -23,6 +23,22 @@ BATCH_ROWS = 1000
 _BASE = 0x9E3779B97F4A7C15
 
 
+#: What operators keep in a worker process between tasks, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """An operator's own store in this worker process."""
+    return _KEPT.setdefault(owner, {})
+
+
+def make_room(owner: str = "") -> None:
+    """Drop what other operators keep: workers live on, and the next operator needs their memory."""
+    for name, store in _KEPT.items():
+        if name != owner:
+            store.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see. One of its own is set only where none is configured."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -11,6 +11,8 @@ import sys
 import unicodedata
 from array import array
 
+from strandgraph.llm.shared import kept
+
 #: White space to str.split() that the tokenizer takes for ordinary signs.
 ODD = "\x1c\x1d\x1e\x1f"
 #: The tokenizer's split of an ASCII word in lower case (a fixed value of its file, over ASCII).
@@ -87,11 +89,9 @@ class WordMemo(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_MEMOS: dict[str, WordMemo] = {}
-
-
 def memo(path: str) -> WordMemo:
     """One for each vocabulary and worker process."""
-    if path not in _MEMOS:
-        _MEMOS[path] = WordMemo(path)
-    return _MEMOS[path]
+    own = kept("tokens")
+    if path not in own:
+        own[path] = WordMemo(path)
+    return own[path]
