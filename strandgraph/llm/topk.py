@@ -9,12 +9,13 @@ k-th best score so far. It then opens, in the order of the bounds, only annuli t
 stops. Annuli are cut into blocks, so that an annulus of any size spreads over tasks; all arithmetic is on integers.
 
 Edge cases: null vectors and vectors with null or non-finite components take no part, nor do null ids; vectors of another
-length than the first pivot's take no part; fewer candidates than k give all; ties go to the smaller id; an id that
+length than most of the sample's take no part, empty ones never do; fewer candidates than k give all; ties go to the smaller id; an id that
 repeats is a candidate each time, but never its own query's; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +41,11 @@ def choose_pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
     """Pivots by repeatedly taking the point of a bounded sample that is farthest from those taken."""
     # the dealt-out sample is bounded by SAMPLE rows; any pivots give exact results
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()["v"].to_pylist()
-    rows = [r for r in rows if len(r) == len(rows[0])]
-    if not rows:
+    lengths = Counter(len(r) for r in rows if len(r))
+    if not lengths:
         return np.zeros((0, 0))
-    x = np.array(rows, float)
+    width = max(lengths, key=lambda n: (lengths[n], n))
+    x = np.array([r for r in rows if len(r) == width], float)
     taken = [int(((x - x.mean(0)) ** 2).sum(1).argmin())]
     far = ((x - x[taken[0]]) ** 2).sum(1)
     while len(taken) < min(n, len(x)) and far.max() > 0:
@@ -72,11 +74,11 @@ def index(vectors: DataFrame, pivots: np.ndarray, edges: np.ndarray) -> DataFram
                 d = distances(x.astype(float), pivots)
                 own = d.argmin(1)
                 near = d[np.arange(len(x)), own]
-                packed = x.astype("<i4")
-                cols = [b.column(0).take(pa.array(kept)), pa.array(own.astype(np.int32)), pa.array(np.searchsorted(edges, near).astype(np.int32)), pa.array(near), pa.array((x.astype(np.int64) ** 2).sum(1))]
+                packed = x.astype("<i8")
+                cols = [b.column(0).take(pa.array(kept)), pa.array(own.astype(np.int32)), pa.array(np.searchsorted(edges, near).astype(np.int32)), pa.array(near), pa.array((x.astype(float) ** 2).sum(1))]
                 yield pa.RecordBatch.from_arrays([*cols, binary_array([r.tobytes() for r in packed])], ["vec_id", "pivot", "ring", "distance", "norm", "v"])
 
-    return vectors.mapInArrow(run, "vec_id long, pivot int, ring int, distance double, norm long, v binary")
+    return vectors.mapInArrow(run, "vec_id long, pivot int, ring int, distance double, norm double, v binary")
 
 
 def _score(members: DataFrame, asked: DataFrame, width: int, k: int) -> DataFrame:
@@ -91,7 +93,7 @@ def _score(members: DataFrame, asked: DataFrame, width: int, k: int) -> DataFram
     ordered = rows.repartition(*head).sortWithinPartitions(*head, "side", "vec_id")
 
     def best(queries: list[tuple[int, int, bytes]], ids: np.ndarray, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        q = np.frombuffer(b"".join(v for _, _, v in queries), "<i4").reshape(len(queries), width).astype(float)
+        q = np.frombuffer(b"".join(v for _, _, v in queries), "<i8").reshape(len(queries), width).astype(float)
         scores = np.rint(q @ block.T).astype(np.int64) if np.abs(q).max(initial=0) * np.abs(block).max(initial=0) * width < 2**52 else q.astype(np.int64) @ block.astype(np.int64).T
         for (name, least, _), s in zip(queries, scores, strict=True):
             at = np.flatnonzero((s >= least) & (ids != name))
@@ -107,7 +109,7 @@ def _score(members: DataFrame, asked: DataFrame, width: int, k: int) -> DataFram
         def flush() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             nonlocal block, waiting
             if block is None:
-                block = np.frombuffer(b"".join(parts), "<i4").reshape(len(parts), width).astype(float)
+                block = np.frombuffer(b"".join(parts), "<i8").reshape(len(parts), width).astype(float)
             out = list(best(waiting, np.array(ids, np.int64), block)) if waiting and len(parts) else []
             waiting = []
             return out
@@ -163,10 +165,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     def visits(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, least = b.column(0), b.column(2).to_numpy(zero_copy_only=False)
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i4").reshape(b.num_rows, width).astype(float)
+            x = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i8").reshape(b.num_rows, width).astype(float)
             d = distances(x, pivots)[:, pivot]
-            apart = np.maximum(0, np.maximum(d - hi, lo - d) - 1e-6 * (1 + d))
-            bound = ((x**2).sum(1)[:, None] + norm - apart**2) / 2 + 1e-6 * (1 + norm)
+            square = (x**2).sum(1)[:, None]
+            # beyond what rounding can do to distances and norms
+            apart = np.maximum(0, np.maximum(d - hi, lo - d) - 1e-6 * (1 + d) - 1e-7 * np.sqrt(square + norm))
+            bound = (square + norm - apart**2) / 2 + 1e-6 * (1 + norm) + 1e-9 * square
             order = np.argsort(-bound, axis=1, kind="stable")
             before = np.cumsum(n[order], axis=1) - n[order]
             seeded = np.zeros(bound.shape, bool)
