@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.llm.shared import ALNUM, TextBatch, mix64
 
-WINDOW, BLOCK_BYTES, STRETCH = 10, 32 << 20, 128
+WINDOW, BLOCK_BYTES, STRETCH = 10, 4 << 20, 128
 _FOLD = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
 
@@ -152,13 +153,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def pattern_blocks(benchmark: DataFrame) -> list[list[Patterns]]:
-    """The benchmark in as many blocks as its size asks for; each is at most about BLOCK_BYTES on the driver and in a task."""
+def pattern_blocks(benchmark: DataFrame) -> Iterator[list[Patterns]]:
+    """The benchmark in as many blocks as its size asks for, one at a time on the driver; each is of about BLOCK_BYTES of text."""
     rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [build([tuple(r) for r in rows.where(block == i).collect()]) for i in range(n)]
+    for i in range(n):
+        yield build([tuple(r) for r in rows.where(block == i).collect()])
 
 
 _SPANS = "array<struct<first:int,end:int>>"
@@ -184,12 +186,9 @@ def _find(docs: DataFrame, patterns: list[Patterns], all_rows: bool) -> DataFram
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, spans of hit words and sorted items found, for every row of ``docs``."""
-    blocks = pattern_blocks(benchmark)
-    found = _find(docs, blocks[0], True)
-    if len(blocks) > 1:
-        rest = _find(docs, blocks[1], False)
-        for patterns in blocks[2:]:
-            rest = rest.unionByName(_find(docs, patterns, False))
+    found, *others = [_find(docs, patterns, i == 0) for i, patterns in enumerate(pattern_blocks(benchmark))]
+    if others:
+        rest = reduce(DataFrame.unionByName, others)
         more = rest.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("i"))
         same = found["doc_id"].eqNullSafe(more["doc_id"]) & found["text_hash"].eqNullSafe(more["text_hash"])
         none, no_items = F.expr(f"cast(array() as {_SPANS})"), F.expr("cast(array() as array<string>)")
