@@ -40,7 +40,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"\(?[0-9](?:[ ().-]{0,2}[0-9]){6,}")
-_AROUND = re.compile(r"([A-Za-z0-9._%+-]+) ?[(\[](?:at|AT|At)[)\]] ?([A-Za-z0-9-]+(?: ?(?:\.|[(\[](?:dot|DOT|Dot)[)\]]) ?[A-Za-z0-9-]+)+)")
+#: Starts only where a run of letters starts, so that long runs cost linear time.
+_AROUND = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+) ?[(\[](?:at|AT|At)[)\]] ?([A-Za-z0-9-]+(?: ?(?:\.|[(\[](?:dot|DOT|Dot)[)\]]) ?[A-Za-z0-9-]+)+)")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _DOT = re.compile(r" ?(?:\.|[(\[](?:dot|DOT|Dot)[)\]]) ?")
 
