@@ -109,9 +109,16 @@ def common_shingles(docs: DataFrame, bits: int) -> np.ndarray:
         held, seen = _Ranges(bits), set()
 
         def emit() -> pa.RecordBatch:
+            # a frequent shingle leaves a task as one counted entry, so no range grows with its documents
             ranges, (tokens,), cuts = held.take()
-            low = ((tokens << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array(ranges), _blobs(low, cuts)], ["r", "tokens"])
+            new = np.ones(len(tokens), bool)
+            new[1:] = tokens[1:] != tokens[:-1]
+            first = np.flatnonzero(new)
+            counts = np.diff(np.append(first, len(tokens))).astype(np.uint32)
+            low, at = ((tokens[first] << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32), np.searchsorted(first, cuts)
+            once, before = counts == 1, np.concatenate(([0], np.cumsum(counts == 1)))
+            pairs = np.column_stack([low[~once], counts[~once]])
+            return pa.RecordBatch.from_arrays([pa.array(ranges), _blobs(low[once], before[at]), _blobs(pairs, at - before[at])], ["r", "once", "more"])
 
         for b in batches:
             for s in shingle_sets(b.column(1)):
@@ -123,13 +130,15 @@ def common_shingles(docs: DataFrame, bits: int) -> np.ndarray:
         yield emit()
 
     def count(group: pa.Table) -> pa.Table:
-        tokens = np.frombuffer(b"".join(group["tokens"].to_pylist()), np.uint32)
-        value, n = np.unique(tokens, return_counts=True)
+        once = np.frombuffer(b"".join(group["once"].to_pylist()), np.uint32)
+        more = np.frombuffer(b"".join(group["more"].to_pylist()), np.uint32).reshape(-1, 2)
+        value, inverse = np.unique(np.concatenate([once, more[:, 0]]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([np.ones(len(once)), more[:, 1]]), len(value))
         often = n > COMMON
         r = np.full(int(often.sum()), group["r"][0].as_py(), np.int64)
         return pa.table({"t": (r << 32) | value[often].astype(np.int64), "n": n[often].astype(np.int64)})
 
-    found = _texts(docs).mapInArrow(gather, "r long, tokens binary").groupBy("r").applyInArrow(count, "t long, n long")
+    found = _texts(docs).mapInArrow(gather, "r long, once binary, more binary").groupBy("r").applyInArrow(count, "t long, n long")
     return np.sort(found.orderBy(F.desc("n"), "t").limit(COMMON_MOST).select("t").toArrow()["t"].to_numpy().astype(np.uint64))
 
 
