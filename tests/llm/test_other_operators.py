@@ -39,6 +39,15 @@ def test_top_k_of_few_and_none(spark):
     assert topk.top_k(spark.createDataFrame([], schema), F.col("vec_id") == 0, 5).count() == 0
 
 
+def test_top_k_of_odd_lengths_and_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=3) * 10.0 ** rng.integers(0, 7)]) for i in range(80)] + [(90, [9e6, 1.0, 0.0])]
+    odd = [(100 + i, []) for i in range(30)] + [(200, [1.0]), (201, [1.0] * 4)]
+    table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").repartition(3)
+    got = topk.top_k(table, F.col("vec_id") % 10 == 0, 5)
+    assert {tuple(r) for r in got.collect()} == brute_top(rows, lambda i: i % 10 == 0, 5)
+
+
 def test_common_prefix_and_masks(spark):
     turn = "array<struct<role:string,text:string>>"
     shared = [("user", "hi"), ("assistant", "hello")]

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -134,6 +135,20 @@ def test_common_shingles_only_cost_time(spark):
     assert len(some) == 0 or (np.diff(some.astype(np.int64)) > 0).all()
 
 
+@pytest.mark.parametrize("held", [1, 1 << 18])
+def test_common_shingles_are_counted_over_all_documents(spark, held, monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON", 3)
+    monkeypatch.setattr(jaccard, "HELD", held)
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice("abc") for _ in range(r.randint(0, 25)))) for i in range(60)] + [(90, None)]
+    seen = {}
+    for s in {x.tobytes(): x for x in jaccard.shingle_sets(pa.array([t for _, t in rows]))}.values():
+        for x in s[: 2 * len(s) // 5 + 1].tolist():
+            seen[x >> 24] = seen.get(x >> 24, 0) + 1
+    got = jaccard.common_shingles(documents(spark, rows).coalesce(1), 8)
+    assert got.tolist() == sorted(x for x, n in seen.items() if n > 3)
+
+
 def test_cell_joins_each_component_once():
     cell = jaccard.Cell()
     one = np.arange(20, dtype=np.uint64)
@@ -197,6 +212,14 @@ def test_base_spans_are_those_of_the_patterns(text):
     assert pii.base_spans(text) == brute_pii(text)
 
 
+def test_look_alikes_of_one_endless_word():
+    began = time.perf_counter()
+    text = "a1." * 200_000 + " (at home) bob (at) x (dot) org"
+    found = pii.nodes(text, pii.base_spans(text))
+    assert [x.token for x in found] == ["bob@x.org"]
+    assert time.perf_counter() - began < 30
+
+
 def test_pii_query_and_field(spark):
     got = {r.doc_id: r for r in pii.detect(documents(spark)).collect()}
     for i, t in TEXTS:
