@@ -2,6 +2,9 @@
 
 The tokenizer drops white space before it merges, and none of its rules looks across white space: the ids of a
 text are the ids of its words, one after the other. Words recur, so a bounded memory of words saves most calls.
+
+Ids are those of the tokenizer as its file has it: the content of an added token, wherever it stands in a text, is that
+token's id. Such contents hold no white space, so a word that contains one goes to the tokenizer as it is.
 """
 
 from __future__ import annotations
@@ -47,9 +50,12 @@ class WordMemo(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word or len(t.content.split()) != 1 or t.content.strip() != t.content for t in added):
+            raise ValueError("an added token may reach beyond its word")
+        self.marks = [t.content for t in added]
         self.most, self.older, self.letters = most, {}, _byte_letters()
         self.merge = self.tokenizer.model.tokenize
 
@@ -64,6 +70,8 @@ class WordMemo(dict):
         return got
 
     def encode(self, word: str) -> bytes:
+        if any(m in word for m in self.marks):
+            return self.whole(word)
         if word.isascii():
             if word.isprintable():
                 word = word.lower()

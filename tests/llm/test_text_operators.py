@@ -10,11 +10,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from strandgraph.llm import decontam, jaccard, packing, pii, quality, tokencount, tokens, toxicity
 from strandgraph.llm.shared import ALNUM, NON_SPACE, TextBatch
 from tests.llm.cases import BASE, LONG, TEXTS, documents, labels
 
+FRESH = Tokenizer.from_file(tokens.vocabulary_path())
 ODD_TEXT = st.text(alphabet="abAB 09.\n\t\x0b\x00é日\x1c-@+|*", max_size=40)
 
 
@@ -54,6 +56,29 @@ def test_ids_by_word_are_ids_of_the_text(text):
     assert memo.ids(text) == memo.whole(text)
 
 
+MARKED = st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "\n", "\x1c", "a", "B's", "9", ">", "\u0338", "é", "Σ", "日"]), max_size=12).map("".join)
+
+
+@settings(max_examples=500, deadline=None)
+@given(MARKED)
+def test_ids_are_those_of_an_unaltered_tokenizer(text):
+    assert tokens.memo(tokens.vocabulary_path()).ids(text) == tokens.packed(FRESH.encode(text, add_special_tokens=False).ids)
+
+
+@settings(max_examples=500, deadline=None)
+@given(MARKED, st.lists(st.tuples(st.integers(0, 60), st.integers(0, 20), MARKED), max_size=3))
+def test_recount_of_marks_that_edits_touch(text, edits):
+    memo, edits = tokens.memo(tokens.vocabulary_path()), [(a, a + n, t) for a, n, t in edits]
+    after = tokencount.edited(text, tokencount.accepted(edits, len(text)))
+    assert int(tokencount.leaf_counts(text, memo).sum()) == len(FRESH.encode(text, add_special_tokens=False).ids)
+    assert tokencount.recount(text, tokencount.leaf_counts(text, memo), edits, memo)[0] == len(FRESH.encode(after, add_special_tokens=False).ids)
+
+
+def test_packed_marks(spark):
+    (row,) = packing.pack(documents(spark, [(1, "x <|endoftext|> y")]), with_ids=True).collect()
+    assert np.frombuffer(row.ids, "<u4").tolist() == [343, 49407, 344, 2] and row.doc_tokens == 4
+
+
 def test_memory_of_words_is_bounded():
     memo = tokens.WordMemo(tokens.vocabulary_path(), most=3)
     text = "one two three four five six seven one two"
