@@ -3,8 +3,9 @@
 The base patterns find e-mail addresses, IP addresses, card and phone numbers; their spans always stay. Nodes of the
 random field are the base spans (observed) and further look-alikes: long runs of digits, addresses written around
 the sign. Neighbours in the text share a chain potential. A skip edge joins each node to the next one with
-the same or a similar token, however far, with a potential for equal labels. Loopy sum-product messages run until
-they settle; a look-alike whose marginal favours a kind is added as a span.
+the same or a similar token, however far, and each look-alike to the first observed node of each kind with such a token,
+with a potential for equal labels. Loopy sum-product messages run until they settle, for at most as many rounds as
+there are nodes (ROUNDS, if that is more); a look-alike whose marginal favours a kind is added as a span.
 
 The node and chain potentials are learned from all documents, with the base labels as distant supervision: counts of
 (shape, label) and (label, label), tables whose size is fixed by the shapes and labels, not by the corpus.
@@ -32,7 +33,8 @@ OTHER = len(KINDS)
 SKIP, MOST, CHAIN_MOST = 4.0, 3.0, 1.0
 #: Code points between neighbours that still share a chain potential.
 REACH = 80
-ROUNDS, DAMPING, SETTLED = 20, 0.5, 1e-4
+#: Rounds that any document may take; one of more nodes may take as many as it has nodes.
+ROUNDS, DAMPING, SETTLED = 1000, 0.5, 1e-4
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -146,17 +148,26 @@ class Field:
                 unary[i, x.label] = 0
             else:
                 unary[i] = self.unary.get(x.shape, np.zeros(k))
-        edges, kinds, last = [], [], {}
+        # two nodes share one edge: the potentials of several reasons to join them add up
+        joined: dict[tuple[int, int], np.ndarray] = {}
+        last: dict[str, int] = {}
+        observed: dict[str, dict[int, int]] = {}
+        for i, x in enumerate(found):
+            if x.label != OTHER:
+                observed.setdefault(x.token, {}).setdefault(x.label, i)
+        skip = SKIP * np.eye(k)
         for i, x in enumerate(found):
             if i and x.start - found[i - 1].end <= REACH:
-                edges.append((i - 1, i))
-                kinds.append(self.chain)
-            if x.token in last:
-                edges.append((last[x.token], i))
-                kinds.append(SKIP * np.eye(k))
+                joined[i - 1, i] = self.chain
+            same = {(last[x.token], i)} if x.token in last else set()
+            if x.label == OTHER:
+                same |= {(min(i, j), max(i, j)) for j in observed.get(x.token, {}).values()}
+            for edge in same:
+                joined[edge] = joined[edge] + skip if edge in joined else skip
             last[x.token] = i
-        if not edges:
+        if not joined:
             return []
+        edges, kinds = list(joined), list(joined.values())
         marginal = beliefs(unary, np.array(edges), np.stack(kinds))
         best = marginal.argmax(1)
         return [(int(best[i]), x.start, x.end) for i, x in enumerate(found) if x.label == OTHER and best[i] != OTHER and marginal[i, best[i]] > 0.5]
@@ -169,20 +180,22 @@ def beliefs(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray) -> np.
     target = np.concatenate([edges[:, 1], edges[:, 0]])
     table = np.concatenate([potentials, potentials.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(n_edges) + n_edges, np.arange(n_edges)])
-    message = np.zeros((2 * n_edges, k))
-    for _ in range(ROUNDS):
-        total = unary.copy()
-        np.add.at(total, target, message)
-        inner = (total[source] - message[back])[:, :, None] + table
+    message, total, live = np.zeros((2 * n_edges, k)), unary.astype(float), np.arange(2 * n_edges)
+    for _ in range(max(ROUNDS, len(unary))):
+        inner = (total[source[live]] - message[back[live]])[:, :, None] + table[live]
         top = inner.max(1)
         new = top + np.log(np.exp(inner - top[:, None, :]).sum(1))
         new -= new.max(1, keepdims=True)
-        change = np.abs(new - message).max()
-        message = DAMPING * message + (1 - DAMPING) * new
-        if change < SETTLED:
+        step = new - message[live]
+        message[live] += (1 - DAMPING) * step
+        np.add.at(total, target[live], (1 - DAMPING) * step)
+        # the next round is for messages that still move, and those of nodes that these reach
+        moved, reached = np.zeros(2 * n_edges, bool), np.zeros(len(unary), bool)
+        moved[live[np.abs(step).max(1) >= SETTLED]] = True
+        reached[target[moved]] = True
+        live = np.flatnonzero(moved | reached[source])
+        if not len(live):
             break
-    total = unary.copy()
-    np.add.at(total, target, message)
     p = np.exp(total - total.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 

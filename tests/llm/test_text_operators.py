@@ -259,6 +259,38 @@ def test_pii_query_and_field(spark):
     assert red[10].n_chars == len(red[10].text) and red[1].text == BASE and red[4].text is None
 
 
+def phone_field(unary):
+    k = pii.OTHER + 1
+    return pii.Field({"digits 10": np.array([-3.0, -3, -3, unary, 0])}, np.zeros((k, k)))
+
+
+@pytest.mark.parametrize("unary", [-3.0, -2.0, -1.0, 0.0])
+@pytest.mark.parametrize("repeats", [1, 2, 3, 4, 8, 20, 99, 200])
+@pytest.mark.parametrize("gap", [" ", " " + "x" * 100 + " "])
+def test_every_repeat_of_an_observed_span_is_labelled(repeats, unary, gap):
+    gap = " and" + gap
+    for before in {0, repeats // 2, repeats}:
+        text = gap.join(["(499) 555-6503"] * before + ["+1 (499) 555-6503"] + ["(499) 555-6503"] * (repeats - before))
+        base, spans = pii.all_spans(text, phone_field(unary))
+        assert len(base) == 1 and len(spans) == 1 + repeats and {k for k, _, _ in spans} == {3}
+
+
+def test_messages_settle_on_long_chains():
+    rng, n, k = np.random.default_rng(1), 300, 3
+    unary, tables = rng.normal(size=(n, k)) / 9, np.repeat(4 * np.eye(k)[None], n - 1, 0)
+    # forward and backward sums, exact on a chain
+    ahead, behind = np.zeros((n, k)), np.zeros((n, k))
+    for i in range(1, n):
+        ahead[i] = np.logaddexp.reduce((ahead[i - 1] + unary[i - 1])[:, None] + tables[i - 1], 0)
+        ahead[i] -= ahead[i].max()
+    for i in range(n - 2, -1, -1):
+        behind[i] = np.logaddexp.reduce((behind[i + 1] + unary[i + 1])[None] + tables[i], 1)
+        behind[i] -= behind[i].max()
+    want = np.exp(unary + ahead + behind)
+    got = pii.beliefs(unary, np.column_stack([np.arange(n - 1), np.arange(1, n)]), tables)
+    assert np.allclose(got, want / want.sum(1, keepdims=True), atol=2e-2)
+
+
 def test_messages_are_exact_on_trees():
     rng = np.random.default_rng(0)
     unary, edges = rng.normal(size=(4, 3)), np.array([[0, 1], [1, 2], [1, 3]])
