@@ -5,7 +5,8 @@ random field are the base spans (observed) and further look-alikes: long runs of
 the sign. Neighbours in the text share a chain potential. A skip edge joins each node to the next one with
 the same or a similar token, however far, and each look-alike to the first observed node of each kind with such a token,
 with a potential for equal labels. Loopy sum-product messages run until they settle, for at most as many rounds as
-there are nodes (ROUNDS, if that is more); a look-alike whose marginal favours a kind is added as a span.
+there are nodes (ROUNDS, if that is more); a look-alike whose marginal favours a kind is added as a span, also
+where the document has no base span, or the look-alike no edge: its shape alone can favour a kind.
 
 The node and chain potentials are learned from all documents, with the base labels as distant supervision: counts of
 (shape, label) and (label, label), tables whose size is fixed by the shapes and labels, not by the corpus.
@@ -138,7 +139,7 @@ class Field:
 
     def added(self, found: list[Node]) -> list[Span]:
         """Look-alikes that the field labels, given the observed nodes."""
-        if all(x.label != OTHER for x in found) or all(x.label == OTHER for x in found):
+        if all(x.label != OTHER for x in found):
             return []
         n, k = len(found), OTHER + 1
         unary = np.zeros((n, k))
@@ -165,10 +166,8 @@ class Field:
             for edge in same:
                 joined[edge] = joined[edge] + skip if edge in joined else skip
             last[x.token] = i
-        if not joined:
-            return []
-        edges, kinds = list(joined), list(joined.values())
-        marginal = beliefs(unary, np.array(edges), np.stack(kinds))
+        edges, kinds = np.array(list(joined), np.int64).reshape(-1, 2), np.array(list(joined.values())).reshape(-1, k, k)
+        marginal = beliefs(unary, edges, kinds)
         best = marginal.argmax(1)
         return [(int(best[i]), x.start, x.end) for i, x in enumerate(found) if x.label == OTHER and best[i] != OTHER and marginal[i, best[i]] > 0.5]
 
@@ -181,7 +180,7 @@ def beliefs(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray) -> np.
     table = np.concatenate([potentials, potentials.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(n_edges) + n_edges, np.arange(n_edges)])
     message, total, live = np.zeros((2 * n_edges, k)), unary.astype(float), np.arange(2 * n_edges)
-    for _ in range(max(ROUNDS, len(unary))):
+    for _ in range(max(ROUNDS, len(unary)) if n_edges else 0):
         inner = (total[source[live]] - message[back[live]])[:, :, None] + table[live]
         top = inner.max(1)
         new = top + np.log(np.exp(inner - top[:, None, :]).sum(1))
@@ -233,7 +232,7 @@ def learn(docs: DataFrame) -> Field:
 def all_spans(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans by kind, then start."""
     base = base_spans(text) if text else []
-    return base, sorted(base + field.added(nodes(text, base))) if base else base
+    return base, sorted(base + field.added(nodes(text, base))) if text else base
 
 
 def written(spans: list[Span]) -> str:

@@ -275,6 +275,21 @@ def test_every_repeat_of_an_observed_span_is_labelled(repeats, unary, gap):
         assert len(base) == 1 and len(spans) == 1 + repeats and {k for k, _, _ in spans} == {3}
 
 
+def test_look_alikes_of_a_document_without_base_spans(spark):
+    texts = ["write to jane (at) corp (dot) org", "jane (at) corp (dot) org" + " or" * 60 + " jane (at) corp (dot) org", "a (at) b.org, 555-010-4477 and" + " or" * 60 + " c (at) d.org"]
+    rows = [(i, f"user{i}@x.org") for i in range(60)] + [(100 + i, t) for i, t in enumerate(texts)] + [(200, "no node here"), (201, None)]
+    field = pii.learn(documents(spark, rows))
+    assert field.unary["address"][0] > 1
+    got = {r.doc_id: r.n_added for r in pii.detect(documents(spark, rows)).collect()}
+    assert [got[100 + i] for i in range(3)] == [1, 2, 2] and got[200] == got[201] == got[5] == 0
+    red = {r.doc_id: r.text for r in pii.redact(documents(spark, rows)).collect()}
+    assert red[100] == "write to <email>" and red[200] == "no node here"
+    # what a document is told does not hang on a base span elsewhere in it
+    assert pii.redacted("jane (at) corp (dot) org" + " or" * 60 + " 10.0.0.1", field).startswith("<email>")
+    flat = pii.Field({}, np.zeros((pii.OTHER + 1, pii.OTHER + 1)))
+    assert pii.all_spans(texts[0], flat) == ([], [])
+
+
 def test_messages_settle_on_long_chains():
     rng, n, k = np.random.default_rng(1), 300, 3
     unary, tables = rng.normal(size=(n, k)) / 9, np.repeat(4 * np.eye(k)[None], n - 1, 0)
