@@ -387,8 +387,8 @@ def qualifying(matrix: DataFrame) -> DataFrame:
     return seen.where(possible(low) | possible(high)).select("grp", "sub", F.col("c").alias("doc_id"), "comp")
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id of every row of ``docs``."""
+def link(docs: DataFrame, repeated_ids: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id of every row of ``docs``; where no id is repeated the look for such can be left out."""
     bits = _range_bits(docs)
     described = materialise(describe(docs), "described")
     classes = materialise(
@@ -405,12 +405,30 @@ def link(docs: DataFrame) -> DataFrame:
     across = shared.groupBy("t").agg(F.min("comp").alias("one"), F.max("comp").alias("two")).where("one <> two").select("t")
     queries = materialise(qualifying(shared.join(across, "t", "left_semi")), "qualifying")
     members = nodes.select("grp", "sub", F.col("c").alias("doc_id"), "comp").join(queries.select("grp", "sub").distinct(), ["grp", "sub"], "left_semi")
-    reached = components(links.union(open_cells(docs, members, queries)))
+    links = links.union(open_cells(docs, members, queries))
+    if repeated_ids:
+        several = described.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("doc_id")
+        texts = described.select("doc_id", "d").join(materialise(several, "several"), "doc_id", "left_semi").join(classes.select("d", "c"), "d")
+        links = links.union(texts.where("doc_id <> c").select("doc_id", "c").distinct())
+    reached = components(links)
     final = classes.select("d", "c").join(reached.withColumnRenamed("node", "c"), "c", "left").select("d", "c", F.coalesce("comp", "c").alias("comp"))
     return described.join(final, "d", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("c", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, with one document left of each component: that of the smallest id."""
-    gone = materialise(link(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return without(docs, gone)
+    """The rows of ``docs``, all columns, with one row left of each component of texts: that of the smallest id.
+
+    Rows are told apart by their number in a written copy, so repeated rows, rows without an id and different texts of
+    one id are each judged by their own text. Of rows with equal ids the first counts, rows without an id come
+    last. Texts without a shingle are one document where they share an id.
+    """
+    own = "_id_before_numbering"
+    names = [own if c == "doc_id" else c for c in docs.columns]
+    numbered = materialise(docs.withColumnRenamed("doc_id", own).withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
+    linked = link(numbered, repeated_ids=False).join(numbered.select("doc_id", own), "doc_id")
+    rows = materialise(linked.select("doc_id", own, F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("comp")), "rows")
+    # an id stands for a text only where there is none
+    group = [F.col("comp"), F.when(F.col("comp").isNull(), F.col(own)), F.when(F.col("comp").isNull() & F.col(own).isNull(), F.col("doc_id"))]
+    first = rows.groupBy(*(g.alias(f"g{i}") for i, g in enumerate(group))).agg(F.min(F.struct(F.col(own).isNull().alias("none"), F.col(own), F.col("doc_id"))).alias("first"))
+    gone = materialise(rows.select("doc_id").join(first.select("first.doc_id"), "doc_id", "left_anti"), "gone")
+    return without(numbered, gone).select(*(F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns, strict=True)))

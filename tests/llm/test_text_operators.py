@@ -153,6 +153,26 @@ def test_jaccard_defined_results(spark):
     assert {r.doc_id for r in kept.collect()} == {1, 4, 5, 6, 7, 8, 10, 11, 12, 13, None}
 
 
+def test_one_row_is_kept_of_each_component(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a + " more"), (None, a), (None, c), (None, c), (3, b), (5, b), (5, "a text that only id five has"), (5, "a text that only id five has")]
+    rows += [(6, a), (6, "a text that only id six has"), (7, None), (7, None), (7, ""), (8, None), (None, None)]
+    kept = jaccard.keep_one(documents(spark, rows))
+    assert kept.columns == documents(spark).columns and kept.dtypes == documents(spark).dtypes
+    got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    assert got == sorted([("1", a), ("None", c), ("3", b), ("5", "a text that only id five has"), ("6", "a text that only id six has"), ("7", ""), ("8", ""), ("None", "")])
+    twice = [r for r in near_copies(6) for _ in range(2)]
+    comp = brute_components(sets_of(twice))
+    assert sorted(r.doc_id for r in jaccard.keep_one(documents(spark, twice)).collect()) == sorted(i for i in comp if comp[i] == i)
+    assert jaccard.keep_one(documents(spark, [])).count() == 0
+
+
+def test_rows_that_share_an_id_are_one_node(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(20)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (9, b), (10, b + " more"), (11, "something else")]
+    assert {(r.doc_id, r.component_id) for r in jaccard.link(documents(spark, rows)).collect()} == {(3, 3), (5, 3), (9, 3), (10, 3), (11, 11)}
+
+
 def test_common_shingles_only_cost_time(spark):
     rows = near_copies(3)
     docs = documents(spark, rows, extra=False)
