@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandgraph.operators.storage import stored
+
 #: Ambiguity letters and U, and what stands for them.
 AMBIGUOUS, PLAIN = "URYSWKMBDHV", "TNNNNNNNNNN"
 
@@ -32,23 +31,23 @@ def read_fasta(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFram
 def read_fastq(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFrame:
     """(id, seq) of four-line records. The mark of a record may begin a quality line, so lines are counted, not matched.
 
-    A file is one task here, as its lines must be counted from its start: give large inputs as many files.
+    Spark splits large files and unpacks compressed ones (a compressed file is one task). The lines are written once with
+    their place in their split; a prefix sum over the splits of a file, one row each, turns places into line numbers.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, seqs = [], []
-            for content in b.column(0).to_pylist():
-                lines = content.decode().splitlines()
-                for i in range(0, len(lines) - 1, 4):
-                    if not lines[i].startswith("@"):
-                        raise ValueError(f"line {i + 1} does not start a record")
-                    ids.append(lines[i][1:])
-                    seqs.append(lines[i + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(seqs, pa.string())], ["id", "seq"])
-
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
-    return files.mapInArrow(run, "id string, seq string").select("id", letters(F.col("seq"), on_bad).alias("seq"))
+    place = F.monotonically_increasing_id().alias("place")
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = stored(spark.read.text(path).select(*split, place, "value"), "lines")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("least"))
+    bases = sizes.select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("least")).alias("base"))
+    at = F.col("base") + F.col("place")
+    placed = lines.join(F.broadcast(bases), ["file", "block"]).select("file", F.shiftright(at, 2).alias("record"), (at % 4).alias("line"), "value").where("line < 2")
+    head, seq = (F.max(F.when(F.col("line") == i, F.col("value"))) for i in range(2))
+    # a name without any further line is no record
+    records = placed.groupBy("file", "record").agg(head.alias("head"), seq.alias("seq")).where("seq is not null")
+    wrong = F.raise_error(F.concat(F.lit("line "), (4 * F.col("record") + 1).cast("string"), F.lit(" does not start a record")))
+    checked = records.where(F.when(F.col("head").startswith("@"), F.lit(True)).otherwise(wrong.cast("boolean")))
+    return checked.select(F.expr("substring(head, 2)").alias("id"), letters(F.col("seq"), on_bad).alias("seq"))
 
 
 def read_sequences(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFrame:

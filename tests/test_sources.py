@@ -1,3 +1,5 @@
+import gzip
+
 import pytest
 
 from strandgraph.jobs import cli
@@ -23,6 +25,27 @@ def test_fastq(spark, tmp_path):
     assert sequences.read_fastq(spark, written(tmp_path / "none.fq", "")).count() == 0
 
 
+def test_fastq_cut_and_compressed(spark, tmp_path):
+    def text(name, n):
+        return "".join(f"@{name}{i} x\n{'ACGT' * (i % 7 + 1)}\n+\n{'@III' * (i % 7 + 1)}\n" for i in range(n))
+
+    want = sorted((f"{name}{i} x", "ACGT" * (i % 7 + 1)) for name, n in (("a", 300), ("b", 170)) for i in range(n))
+    (tmp_path / "in").mkdir()
+    written(tmp_path / "in" / "a.fastq", text("a", 300))
+    (tmp_path / "in" / "b.fastq.gz").write_bytes(gzip.compress(text("b", 170).encode()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert spark.read.text(f"{tmp_path}/in/a.fastq").rdd.getNumPartitions() > 5
+        assert sorted(tuple(r) for r in sequences.read_fastq(spark, f"{tmp_path}/in").collect()) == want
+        assert sorted(tuple(r) for r in sequences.read_sequences(spark, f"{tmp_path}/in/b.fastq.gz").collect()) == want[300:]
+        assert sequences.read_fastq(spark, written(tmp_path / "end.fq", text("c", 60) + "@last\n")).count() == 60
+        with pytest.raises(Exception, match="line 241 does not start a record"):
+            sequences.read_fastq(spark, written(tmp_path / "bad.fq", text("c", 60) + "r\nAC\n+\nII\n")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_letters(spark, tmp_path):
     path = written(tmp_path / "x.fa", ">r\nACGTX1\n>s\nAC\n")
     with pytest.raises(Exception, match="not a sequence"):
