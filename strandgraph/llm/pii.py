@@ -77,7 +77,7 @@ def base_spans(text: str) -> list[Span]:
     out: list[Span] = [(0, a, b) for a, b in emails(text)] if "@" in text else []
     if "." in text:
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                 out.append((1, m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:

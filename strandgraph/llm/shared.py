@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 1 << 20
 #: Rows of text in an Arrow batch.
 BATCH_ROWS = 1000
-_BASE = 0x9E3779B97F4A7C15
 
 
 #: What operators keep in a worker process between tasks, by operator.
@@ -40,9 +39,11 @@ def make_room(owner: str = "") -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. One of its own is set only where none is configured."""
+    """The folder that the driver and all executors see; one of its own only where none is set and all runs on one machine."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = tempfile.mkdtemp(prefix="strandgraph-checkpoint-")
         spark.sparkContext.setCheckpointDir(got)
     return got
@@ -54,16 +55,27 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
     return spark
 
 
+#: Names of the tables that this driver has written.
+_WRITTEN: set[str] = set()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    own = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{own}"
+    _WRITTEN.add(own)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stable_hash(*parts: object) -> int:
-    """A 63-bit hash that is the same in every Python process."""
-    return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "little") >> 1
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1] in _WRITTEN:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -75,38 +87,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(20, int(n - 1).bit_length())
-            self.up, self.down = (
-                np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(size - 1, b, np.uint64))))
-                for b in (_BASE, _inverse(_BASE))
-            )
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
-
-
-def _table(fold_case: bool) -> np.ndarray:
-    values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-    if fold_case:
-        values[65:91] = values[97:123]
-    return values
-
-
-_FOLDED = _table(True)
-
 #: Byte classes: True where a UTF-8 byte belongs to a word. Letters A-Z count as a-z.
 NON_SPACE = np.ones(256, bool)
 NON_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -165,21 +145,41 @@ class TextBatch:
             yield lo, hi, np.diff(first), hashes, starts + begin, ends + begin
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Spans beyond so many bytes are hashed one by one; spans that are hashed together.
+_LONG, _TOGETHER = 512, 1 << 17
+_LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, A-Z read as a-z; long buffers are cut between spans."""
+    """A 64-bit hash of each span of bytes, A-Z read as a-z.
+
+    Eight bytes at a time go through two lanes of multiply and shift mixing. The second multiplies each block before
+    it adds it, so texts whose structure cancels out in one lane do not in the other.
+    """
+    out = np.zeros(len(starts), np.uint64)
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, side="right")))
-        a, b = int(starts[i]), int(ends[j - 1])
-        up, down = _POWERS.upto(b - a + 1)
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_FOLDED[raw[a:b]] * up[: b - a], out=total[1:])
-        out[i:j] = (total[ends[i:j] - a] - total[starts[i:j] - a]) * down[starts[i:j] - a]
-        i = j
-    return mix64(out ^ (ends - starts).astype(np.uint64))
+        return out
+    low, high = int(starts.min()), int(ends.max())
+    text = np.concatenate([_LOWER[raw[low:high]], np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(text, 8)
+    for i in range(0, len(starts), _TOGETHER):
+        at, size = starts[i : i + _TOGETHER] - low, (ends - starts)[i : i + _TOGETHER]
+        one, two = size.astype(np.uint64) * _LANES[0], size.astype(np.uint64) * _LANES[1]
+        live, done = np.flatnonzero(size <= _LONG), 0
+        while len(live):
+            rest = size[live] - done
+            block = eight[at[live] + done].view("<u8")[:, 0] & _TAIL[np.minimum(rest, 8)]
+            one[live] = mix64(one[live] ^ block)
+            two[live] = mix64(two[live] + block * _LANES[0])
+            live, done = live[rest > 8], done + 8
+        out[i : i + _TOGETHER] = mix64(one ^ (two >> np.uint64(32)) ^ (two << np.uint64(32)))
+        for k in np.flatnonzero(size > _LONG).tolist():
+            digest = hashlib.blake2b(text[at[k] : at[k] + size[k]], digest_size=8).digest()
+            out[i + k] = int.from_bytes(digest, "little")
+    return out
 
 
 def binary_array(parts: list[bytes]) -> pa.Array:

@@ -1,17 +1,17 @@
 """Token counts that follow edits without encoding the whole text again.
 
-Each document keeps a segment tree: a leaf for every pre-token between white space with its number of tokens, and the
-sums of subtrees above. White space always ends a token, so an edit can only change the leaves that it
-touches, those at its borders included: only that region is encoded anew, its leaves are set, and the sums on their paths
-follow.
+Each document keeps a segment tree: a leaf for every pre-token between white space with its number of tokens and its
+place, and the sums of subtrees above. White space always ends a token, so an edit can only change the leaves that it
+touches, those at its borders included: only that region of the text is read and encoded anew, its leaves are set, and the
+sums on their paths follow. Trees are stored beside their texts and read back as they are; nothing of them is made again.
 
 Edits are (start, end, text) in code points of the text before any edit. Of edits that overlap the one that starts first
 (then the one that ends first) counts and the others are rejected; bounds beyond the text are moved to its end; null
 bounds or texts read as 0 or empty.
 
 Edge cases: null or empty text has no leaves and no tokens; null ids and repeated rows keep their rows; a document without
-edits, or with null for the list, keeps its count; an empty table gives no rows; further columns are not read.
-Texts of any length are counted whole.
+edits, or with null for the list, keeps its count; an empty table gives no rows; a column ``edits`` counts where it is a
+list of edits, and is not read where it is anything else; further columns are not read. Texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -26,23 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.llm import tokens
-from strandgraph.llm.shared import binary_array
+from strandgraph.llm.shared import NON_SPACE, binary_array, materialise
 
 Edit = tuple[int, int, str]
 EDITS = "array<struct<start:int,end:int,text:string>>"
-_WORD = re.compile(r"\S+")
+#: Nodes under one of the level above.
+FAN = 16
+_KINDS = (np.dtype("u1"), np.dtype("<u2"), np.dtype("<u4"))
 
 
 class SegmentTree:
-    """Sums of runs of leaves, level by level; the last level is the whole."""
+    """Sums of runs of FAN nodes, level by level; the last level is the whole."""
 
-    def __init__(self, leaves: np.ndarray) -> None:
-        self.levels = [leaves.astype(np.int64)]
-        while len(self.levels[-1]) > 1:
-            below = self.levels[-1]
-            if len(below) % 2:
-                below = np.append(below, 0)
-            self.levels.append(below[0::2] + below[1::2])
+    def __init__(self, leaves: np.ndarray, above: list[np.ndarray] | None = None) -> None:
+        self.levels = [leaves.astype(np.int64), *(above or [])]
+        while above is None and len(self.levels[-1]) > 1:
+            self.levels.append(np.add.reduceat(self.levels[-1], np.arange(0, len(self.levels[-1]), FAN)))
 
     @property
     def total(self) -> int:
@@ -53,16 +52,53 @@ class SegmentTree:
         if change:
             for level in self.levels:
                 level[leaf] += change
-                leaf //= 2
-
-
-def leaf_counts(text: str | None, memo: tokens.WordMemo) -> np.ndarray:
-    """Tokens of each pre-token; a text with signs that only Python takes for white space is one leaf."""
-    if not text:
-        return np.zeros(0, np.int32)
-    if any(c in text for c in tokens.ODD):
-        return np.array([len(memo.whole(text)) // 2], np.int32)
-    return np.array(list(map(len, map(memo.__getitem__, text.split()))), np.int32) // 2
+                leaf //= FAN
+
+
+class Tree:
+    """The segment tree of a text, where each leaf stands in code points and in bytes, and the text's length."""
+
+    def __init__(self, sums: SegmentTree, edges: np.ndarray, byte_edges: np.ndarray, length: int) -> None:
+        self.sums, self.length = sums, length
+        self.starts, self.ends = edges[0::2], edges[1::2]
+        self.byte_starts, self.byte_ends = byte_edges[0::2], byte_edges[1::2]
+
+    def packed(self) -> bytes:
+        """All arrays one after the other, each in the narrowest type that holds it; places as distances."""
+        edges, byte_edges = (np.column_stack(p).ravel() for p in ((self.starts, self.ends), (self.byte_starts, self.byte_ends)))
+        same = np.array_equal(edges, byte_edges)
+        steps = [np.diff(edges, prepend=0), np.zeros(0, np.int64) if same else np.diff(byte_edges, prepend=0)]
+        out = []
+        for x in [np.array([self.length]), *steps, *self.sums.levels]:
+            kind = next(i for i, k in enumerate(_KINDS) if not len(x) or int(x.max()) <= np.iinfo(k).max)
+            out += [bytes([kind]), len(x).to_bytes(4, "little"), x.astype(_KINDS[kind]).tobytes()]
+        return b"".join(out)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Tree:
+        arrays, at = [], 0
+        while at < len(data):
+            kind, n = _KINDS[data[at]], int.from_bytes(data[at + 1 : at + 5], "little")
+            arrays.append(np.frombuffer(data, kind, n, at + 5).astype(np.int64))
+            at += 5 + n * kind.itemsize
+        edges = np.cumsum(arrays[1])
+        return cls(SegmentTree(arrays[3], arrays[4:]), edges, np.cumsum(arrays[2]) if len(arrays[2]) else edges, int(arrays[0][0]))
+
+
+def tree_of(text: str | None, memo: tokens.WordMemo) -> Tree:
+    """The tree of a whole text."""
+    text = text or ""
+    if text.isascii():
+        inside = np.zeros(len(text) + 2, np.int8)
+        inside[1:-1] = NON_SPACE[np.frombuffer(text.encode(), np.uint8)]
+        edges = byte_edges = np.flatnonzero(np.diff(inside))
+    else:
+        edges = np.array([m.span() for m in tokens.WORD.finditer(text)], np.int64).ravel()
+        # where a code point starts in the bytes
+        sizes = np.diff(np.flatnonzero((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80), append=len(text.encode()))
+        byte_edges = np.concatenate(([0], np.cumsum(sizes)))[edges]
+    counts = np.array(list(map(len, map(memo.__getitem__, tokens.words(text)))), np.int64) // 2
+    return Tree(SegmentTree(counts), edges, byte_edges, len(text))
 
 
 def accepted(edits: list[Edit], length: int) -> list[Edit]:
@@ -74,15 +110,14 @@ def accepted(edits: list[Edit], length: int) -> list[Edit]:
     return out
 
 
-def recount(text: str, leaves: np.ndarray, edits: list[Edit], memo: tokens.WordMemo) -> tuple[int, int, int]:
-    """(tokens after the edits, edits made, leaves encoded anew)."""
-    tree, edits = SegmentTree(leaves), accepted(edits, len(text))
+def recount(text: bytes | memoryview, tree: Tree, edits: list[Edit], memo: tokens.WordMemo) -> tuple[int, int, int]:
+    """(tokens after the edits, edits made, leaves encoded anew). Of the text's bytes only those of edited regions are read."""
+    edits, n = accepted(edits, tree.length), len(tree.starts)
     if not edits:
-        return tree.total, 0, 0
-    spans = [] if any(c in text for c in tokens.ODD) else [m.span() for m in _WORD.finditer(text)]
-    if not spans:
-        return len(memo.ids(edited(text, edits))) // 2, len(edits), len(leaves)
-    starts, ends = [a for a, _ in spans], [b for _, b in spans]
+        return tree.sums.total, 0, 0
+    if not n:
+        return len(memo.ids(edited(bytes(text).decode(), edits))) // 2, len(edits), 0
+    starts, ends = tree.starts, tree.ends
     regions: list[tuple[int, int, list[Edit]]] = []
     for edit in edits:
         lo, hi = bisect_left(ends, edit[0]), bisect_right(starts, edit[1]) - 1
@@ -94,13 +129,17 @@ def recount(text: str, leaves: np.ndarray, edits: list[Edit], memo: tokens.WordM
             regions.append((lo, hi, [edit]))
     renewed = 0
     for lo, hi, own in regions:
-        a, b = min(starts[lo], own[0][0]), max(ends[hi], own[-1][1])
-        piece = edited(text[a:b], [(s - a, e - a, t) for s, e, t in own])
-        tree.set(lo, len(memo.ids(piece)) // 2)
+        # the leaves and the white space on both their sides
+        first = int(ends[lo - 1]) if lo else 0
+        begin, end = int(tree.byte_ends[lo - 1]) if lo else 0, int(tree.byte_starts[hi + 1]) if hi + 1 < n else len(text)
+        near = bytes(text[begin:end]).decode()
+        a, b = min(int(starts[lo]), own[0][0]), max(int(ends[hi]), own[-1][1])
+        piece = edited(near[a - first : b - first], [(s - a, e - a, t) for s, e, t in own])
+        tree.sums.set(lo, len(memo.ids(piece)) // 2)
         for leaf in range(lo + 1, hi + 1):
-            tree.set(leaf, 0)
+            tree.sums.set(leaf, 0)
         renewed += hi - lo + 1
-    return tree.total, len(edits), renewed
+    return tree.sums.total, len(edits), renewed
 
 
 def edited(text: str, edits: list[Edit]) -> str:
@@ -112,18 +151,32 @@ def edited(text: str, edits: list[Edit]) -> str:
 
 
 def build_trees(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, text, edits (where there is such a column), n_tokens and the leaves of the tree as int32 bytes."""
-    path, extra = vocabulary or tokens.vocabulary_path(), [c for c in ("edits",) if c in docs.columns]
+    """doc_id, text, edits (where there is such a list), n_tokens and the packed tree, stored in the shared folder."""
+    path = vocabulary or tokens.vocabulary_path()
+    extra = [c for c in ("edits",) if c in docs.columns and docs.schema[c].dataType.simpleString() == EDITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = tokens.memo(path)
         for b in batches:
-            leaves = [leaf_counts(t, memo) for t in b.column(1).to_pylist()]
-            sums = pa.array([int(x.sum()) for x in leaves], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, sums, binary_array([x.tobytes() for x in leaves])], [*b.schema.names, "n_tokens", "leaves"])
+            totals, trees = [], []
+            for text in b.column(1).to_pylist():
+                tree = tree_of(text, memo)
+                totals.append(tree.sums.total)
+                trees.append(tree.packed())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(totals, pa.int64()), binary_array(trees)], [*b.schema.names, "n_tokens", "tree"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", *extra).mapInArrow(run, f"doc_id {kind}, text string, " + f"edits {EDITS}, " * len(extra) + "n_tokens long, leaves binary")
+    made = docs.select("doc_id", "text", *extra).mapInArrow(run, f"doc_id {kind}, text string, " + f"edits {EDITS}, " * len(extra) + "n_tokens long, tree binary")
+    return materialise(made, "trees")
+
+
+def _raw(column: pa.Array) -> list[memoryview]:
+    """The bytes of each text, in place; null reads as empty."""
+    _, where, data = column.buffers()
+    step = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(where, step)[column.offset : column.offset + len(column) + 1].tolist() if len(column) else [0]
+    view = memoryview(data) if data is not None else memoryview(b"")
+    return [view[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def apply_edits(trees: DataFrame, propose: Callable[[str], list[Edit]] | None = None, vocabulary: str | None = None) -> DataFrame:
@@ -133,12 +186,16 @@ def apply_edits(trees: DataFrame, propose: Callable[[str], list[Edit]] | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = tokens.memo(path)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            given = [propose(t) if t else [] for t in texts] if propose else [[(e["start"], e["end"], e["text"]) for e in x or [] if e] for x in b.column("edits").to_pylist()]
-            leaves = [np.frombuffer(x, np.int32) for x in b.column("leaves").to_pylist()]
-            rows = [recount(t or "", x, e, memo) if e else (int(x.sum()), 0, 0) for t, x, e in zip(texts, leaves, given, strict=True)]
-            cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), cols[0], cols[1], pa.array([len(x) for x in leaves], pa.int64()), cols[2]], ["doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_leaves", "n_renewed"])
+            rows, raw = [], _raw(b.column("text"))
+            if propose:
+                given = [propose(t) if t else [] for t in b.column("text").to_pylist()]
+            else:
+                given = [[(e["start"], e["end"], e["text"]) for e in x or [] if e] for x in b.column("edits").to_pylist()]
+            for text, data, edits in zip(raw, b.column("tree").to_pylist(), given, strict=True):
+                tree = Tree.unpacked(data)
+                rows.append((*recount(text, tree, edits, memo), len(tree.starts)))
+            after, made, renewed, leaves = (pa.array([r[i] for r in rows], pa.int64()) for i in range(4))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), after, made, leaves, renewed], ["doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_leaves", "n_renewed"])
 
     kind = trees.schema["doc_id"].dataType.simpleString()
     return trees.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_tokens_after long, n_edits long, n_leaves long, n_renewed long")
@@ -146,7 +203,7 @@ def apply_edits(trees: DataFrame, propose: Callable[[str], list[Edit]] | None =
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """``docs`` with the edits of a table (doc_id, start, end, text) as a column; one document's edits are one list."""
-    listed = edits.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int"), F.col("end").cast("int"), F.col("text"))).alias("edits"))
+    listed = edits.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "text")).alias("edits"))
     return docs.select("doc_id", "text").join(listed, "doc_id", "left")
 
 

@@ -18,6 +18,8 @@ from strandgraph.llm.shared import kept
 
 #: White space to str.split() that the tokenizer takes for ordinary signs.
 ODD = "\x1c\x1d\x1e\x1f"
+#: What stands between white space as the tokenizer sees it.
+WORD = re.compile(f"[\\S{ODD}]+")
 #: The tokenizer's split of an ASCII word in lower case (a fixed value of its file, over ASCII).
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -35,6 +37,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def words(text: str) -> list[str]:
+    """The pre-tokens of a text, in order."""
+    return WORD.findall(text) if any(c in text for c in ODD) else text.split()
+
+
 def packed(ids: list[int]) -> bytes:
     out = array("H", ids)
     if sys.byteorder == "big":
@@ -70,7 +77,7 @@ class WordMemo(dict):
         return got
 
     def encode(self, word: str) -> bytes:
-        if any(m in word for m in self.marks):
+        if any(m in word for m in self.marks) or any(c in word for c in ODD):
             return self.whole(word)
         if word.isascii():
             if word.isprintable():
@@ -92,9 +99,7 @@ class WordMemo(dict):
         """Ids of a whole text; null reads as empty."""
         if not text:
             return b""
-        if any(c in text for c in ODD):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, words(text)))
 
 
 def memo(path: str) -> WordMemo:

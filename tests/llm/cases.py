@@ -24,8 +24,8 @@ EXTRA = ("n", "k", "score", "row", "_map", "comp", "sub", "side", "label", "h",
 
 
 def documents(spark, rows=TEXTS, extra=True):
-    schema = "doc_id long, text string, lang string, source string, n_chars long" + (", " + ", ".join(f"`{c}` string" for c in EXTRA if c != "edits") if extra else "")
-    width = len(EXTRA) - 1 if extra else 0
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + (", " + ", ".join(f"`{c}` string" for c in EXTRA) if extra else "")
+    width = len(EXTRA) if extra else 0
     data = [(i, t, None, "s", len(t) if t is not None else None, *([None] * width)) for i, t in rows]
     return spark.createDataFrame(data, schema).repartition(3)
 

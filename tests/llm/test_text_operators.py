@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandgraph.llm import decontam, jaccard, packing, pii, quality, tokencount, tokens, toxicity
-from strandgraph.llm.shared import ALNUM, NON_SPACE, TextBatch
+from strandgraph.llm.shared import ALNUM, NON_SPACE, TextBatch, hash_spans
 from tests.llm.cases import BASE, LONG, TEXTS, documents, labels
 
 FRESH = Tokenizer.from_file(tokens.vocabulary_path())
@@ -70,8 +70,9 @@ def test_ids_are_those_of_an_unaltered_tokenizer(text):
 def test_recount_of_marks_that_edits_touch(text, edits):
     memo, edits = tokens.memo(tokens.vocabulary_path()), [(a, a + n, t) for a, n, t in edits]
     after = tokencount.edited(text, tokencount.accepted(edits, len(text)))
-    assert int(tokencount.leaf_counts(text, memo).sum()) == len(FRESH.encode(text, add_special_tokens=False).ids)
-    assert tokencount.recount(text, tokencount.leaf_counts(text, memo), edits, memo)[0] == len(FRESH.encode(after, add_special_tokens=False).ids)
+    tree = tokencount.Tree.unpacked(tokencount.tree_of(text, memo).packed())
+    assert tree.sums.total == len(FRESH.encode(text, add_special_tokens=False).ids)
+    assert tokencount.recount(text.encode(), tree, edits, memo)[0] == len(FRESH.encode(after, add_special_tokens=False).ids)
 
 
 def test_packed_marks(spark):
@@ -173,11 +174,39 @@ def test_rows_that_share_an_id_are_one_node(spark):
     assert {(r.doc_id, r.component_id) for r in jaccard.link(documents(spark, rows)).collect()} == {(3, 3), (5, 3), (9, 3), (10, 3), (11, 11)}
 
 
-def test_common_shingles_only_cost_time(spark):
+def thue_morse(first, n):
+    word = first
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word
+
+
+def test_words_of_cancelling_structure_differ(spark):
+    one, two = thue_morse("a", 1024), thue_morse("b", 1024)
+    rows = [(1, "p q r s " + one), (2, "p q r s " + two), (3, one[:256]), (4, two[:256]), (5, one[:16]), (6, two[:16])]
+    assert {r.doc_id: r.component_id for r in jaccard.link(documents(spark, rows)).collect()} == {i: i for i in range(1, 7)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(max_size=40), min_size=1, max_size=20), st.integers(0, 700))
+def test_spans_hash_by_their_folded_bytes_alone(parts, longer):
+    parts = [*parts, b"X" * longer, b"x" * longer]
+    raw, cuts = np.frombuffer(b"".join(parts) or b"-", np.uint8), np.cumsum([0, *map(len, parts)])
+    got = hash_spans(raw, cuts[:-1], cuts[1:]).tolist()
+    folded = [p.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))) for p in parts]
+    assert all((folded[i] == folded[j]) == (got[i] == got[j]) for i in range(len(parts)) for j in range(i))
+    alone = [hash_spans(np.frombuffer(p or b"-", np.uint8), np.array([0]), np.array([len(p)]))[0] for p in parts]
+    assert got == alone
+
+
+def test_common_shingles_only_cost_time(spark, monkeypatch):
     rows = near_copies(3)
-    docs = documents(spark, rows, extra=False)
-    some = jaccard.common_shingles(docs, 8)
-    assert len(some) == 0 or (np.diff(some.astype(np.int64)) > 0).all()
+    docs, sets = documents(spark, rows, extra=False), sets_of(rows)
+    want = {i: (len(sets[i]), c) for i, c in brute_components(sets).items()}
+    every = np.unique(np.concatenate(list(jaccard.shingle_sets(pa.array([t for _, t in rows]))))) >> np.uint64(24)
+    for told in (every, np.sort(np.concatenate([every[::3], np.random.default_rng(1).integers(0, 1 << 40, 500).astype(np.uint64)]))):
+        monkeypatch.setattr(jaccard, "common_shingles", lambda docs, bits, told=told: told)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs).collect()} == want
 
 
 @pytest.mark.parametrize("held", [1, 1 << 18])
@@ -257,6 +286,13 @@ def test_base_spans_are_those_of_the_patterns(text):
     assert pii.base_spans(text) == brute_pii(text)
 
 
+def test_addresses_of_thousands_of_digits(spark):
+    many, zeros = "1" * 5000, "0" * 5000 + "7"
+    rows = [(1, f"{many}.1.1.1 and 1.2.3.{many} and {zeros}.1.2.{zeros}"), (2, f"+{many} {many}@x.org")]
+    got = {r.doc_id: (r.n_ip, r.n_email, r.n_phone) for r in pii.detect(documents(spark, rows)).collect()}
+    assert got == {1: (1, 0, 0), 2: (0, 1, 0)}
+
+
 def test_look_alikes_of_one_endless_word():
     began = time.perf_counter()
     text = "a1." * 200_000 + " (at home) bob (at) x (dot) org"
@@ -365,12 +401,13 @@ def test_packing_is_a_partition_of_the_tokens(spark):
 
 def test_recount_is_the_count_of_the_edited_text(spark):
     memo, r = tokens.memo(tokens.vocabulary_path()), random.Random(3)
-    letters = "ab c's  \n.!é1\x1c"
+    letters = "ab c's  \n.!é1\x1c\u3000日"
     for _ in range(3000):
         text = "".join(r.choice(letters) for _ in range(r.randint(0, 30)))
         edits = [(a := r.randint(0, len(text) + 1), a + r.randint(0, 4), "".join(r.choice(letters) for _ in range(r.randint(0, 4)))) for _ in range(r.randint(0, 4))]
         after = tokencount.edited(text, tokencount.accepted(edits, len(text)))
-        assert tokencount.recount(text, tokencount.leaf_counts(text, memo), edits, memo)[0] == len(memo.whole(after)) // 2
+        tree = tokencount.Tree.unpacked(tokencount.tree_of(text, memo).packed())
+        assert tokencount.recount(text.encode(), tree, edits, memo)[0] == len(memo.whole(after)) // 2
     got = tokencount.apply_edits(tokencount.build_trees(documents(spark)), tokencount.cleaning).collect()
     want = {i: (len(memo.ids(t)) // 2, len(memo.ids(tokencount.edited(t or "", tokencount.accepted(tokencount.cleaning(t or ""), len(t or ""))))) // 2) for i, t in TEXTS}
     assert len(got) == len(TEXTS) and {x.doc_id: (x.n_tokens, x.n_tokens_after) for x in got} == want
@@ -391,6 +428,42 @@ def test_segment_tree():
     tree.set(6, 10)
     tree.set(0, 5)
     assert tree.total == 5 + 1 + 2 + 3 + 4 + 5 + 10 and tokencount.SegmentTree(np.zeros(0)).total == 0
+    leaves, r = np.arange(1000), random.Random(2)
+    tree = tokencount.SegmentTree(leaves)
+    for _ in range(50):
+        i, value = r.randrange(1000), r.randrange(1 << 17)
+        tree.set(i, value)
+        leaves[i] = value
+    assert tree.total == leaves.sum() and [len(x) for x in tree.levels] == [1000, 63, 4, 1]
+
+
+def test_an_odd_sign_renews_only_its_leaf():
+    memo = tokens.memo(tokens.vocabulary_path())
+    text = "one two\x1cthree " + "four " * 500
+    tree = tokencount.tree_of(text, memo)
+    assert len(tree.starts) == 502 and tree.sums.total == len(memo.whole(text)) // 2
+    after = text[:20] + "x" + text[20:]
+    assert tokencount.recount(text.encode(), tree, [(20, 20, "x")], memo) == (len(memo.whole(after)) // 2, 1, 1)
+
+
+def test_recount_reads_only_edited_regions():
+    class Watched(bytes):
+        read = 0
+
+        def __getitem__(self, where):
+            Watched.read += len(range(*where.indices(len(self))))
+            return super().__getitem__(where)
+
+    memo, text = tokens.memo(tokens.vocabulary_path()), "wörd " * 2000
+    tree = tokencount.Tree.unpacked(tokencount.tree_of(text, memo).packed())
+    want = len(memo.ids(text[:5000] + "new" + text[5002:])) // 2
+    assert tokencount.recount(Watched(text.encode()), tree, [(5000, 5002, "new")], memo)[0] == want and Watched.read < 40
+
+
+def test_counts_with_a_clashing_column_and_of_nothing(spark):
+    docs = documents(spark).withColumn("edits", F.lit("not a list"))
+    assert tokencount.apply_edits(tokencount.build_trees(docs), tokencount.cleaning).count() == len(TEXTS)
+    assert tokencount.apply_edits(tokencount.build_trees(documents(spark, [])), tokencount.cleaning).count() == 0
 
 
 @settings(max_examples=300, deadline=None)
