@@ -39,17 +39,40 @@ def kmers(seq: Column, k: int) -> Column:
 
 
 def gapped(seq: Column, k: int) -> Column:
-    """Every second letter from each start, k letters in all; starts run to length - 2k + 1 (counted from 0)."""
-    step = F.sequence(F.lit(0), F.lit(k - 1))
-    starts = F.sequence(F.lit(1), F.length(seq) - (2 * k - 2))
-    one = lambda i: F.array_join(F.transform(step, lambda j: seq.substr(i + 2 * j, F.lit(1))), "")
-    return F.when(F.length(seq) >= 2 * k - 1, F.transform(starts, one)).otherwise(F.expr(_NO_STRINGS))
+    """Every second letter from each start, k letters in all; starts run to length - 2k + 1 (counted from 0).
+
+    Letters at odd and at even places are taken once; a gapped k-mer is a plain substring of one of the two.
+    """
+    every_other = lambda x: F.regexp_replace(x, "(.).?", "$1")
+    both = F.array(every_other(seq), every_other(seq.substr(F.lit(2), F.length(seq))))
+    starts = F.sequence(F.lit(0), F.length(seq) - (2 * k - 1))
+    made = bound(both, lambda b: F.transform(starts, lambda i: F.get(b, i % 2).substr((F.shiftright(i, 1) + 1), F.lit(k))))
+    return F.when(F.length(seq) >= 2 * k - 1, made).otherwise(F.expr(_NO_STRINGS))
+
+
+def occurrences(words: Column, first: int = 1) -> Column:
+    """(word, at, occ) in the order of words: its place in the list, and which occurrence of the word it is.
+
+    In the sorted list equal words are runs, so one sort and one pass over the runs are enough.
+    """
+    placed = F.array_sort(F.transform(words, lambda x, i: F.struct(x.alias("word"), i.alias("at"))))
+
+    def counted(xs: Column) -> Column:
+        places = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.size(xs) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        heads = F.filter(places, lambda i: (i == 0) | (F.get(xs, i)["word"] != F.get(xs, i - 1)["word"]))
+        return bound(heads, lambda hs: numbered(xs, hs))
+
+    def numbered(xs: Column, hs: Column) -> Column:
+        run = lambda h, j: F.sequence(F.lit(first), F.coalesce(F.get(hs, j + 1), F.size(xs)) - h - 1 + first)
+        return F.zip_with(xs, F.flatten(F.transform(hs, run)), lambda x, occ: F.struct(x["word"].alias("word"), x["at"].alias("at"), occ.alias("occ")))
+
+    return bound(placed, counted)
 
 
 def with_occurrence(words: Column, first: int = 1) -> Column:
-    """(word, occ): which occurrence of the word in its list each is."""
-    count = lambda ws, x, i: F.size(F.filter(F.slice(ws, F.lit(1), i + 1), lambda y: y == x)) - 1 + first
-    return bound(words, lambda ws: F.transform(ws, lambda x, i: F.struct(x.alias("word"), count(ws, x, i).alias("occ"))))
+    """(word, occ) in the order of the list: which occurrence of the word in it each is."""
+    by_place = F.array_sort(F.transform(occurrences(words, first), lambda w: F.struct(w["at"].alias("at"), w["word"].alias("word"), w["occ"].alias("occ"))))
+    return F.transform(by_place, lambda w: F.struct(w["word"].alias("word"), w["occ"].alias("occ")))
 
 
 def _window_minima(values: Column, window: Column) -> Column:
@@ -74,12 +97,12 @@ def hashed_minimizers(seq: Column, k: int, window: int, seed: int, hash_of: Hash
 def gapped_min_hashes(seq: Column, k: int, seeds: list[int], hash_of: Hash = hash_fast) -> Column:
     """For each seed the smallest hash over gapped k-mers with their occurrence; nulls for sequences too short for any."""
     least = lambda ws, seed: F.array_min(F.transform(ws, lambda w: hash_of(F.lit(str(seed)), w["word"], w["occ"].cast("string"))))
-    return bound(with_occurrence(gapped(seq, k)), lambda ws: F.array(*(least(ws, seed) for seed in seeds)))
+    return bound(occurrences(gapped(seq, k)), lambda ws: F.array(*(least(ws, seed) for seed in seeds)))
 
 
 def gapped_words(seq: Column, k: int) -> Column:
     """Every gapped k-mer with its occurrence, as one string each."""
-    return F.transform(with_occurrence(gapped(seq, k)), lambda w: F.concat_ws("|", w["word"], w["occ"].cast("string")))
+    return F.transform(occurrences(gapped(seq, k)), lambda w: F.concat_ws("|", w["word"], w["occ"].cast("string")))
 
 
 def prefix_sketch(seq: Column, k: int, size: int) -> Column:
@@ -89,8 +112,8 @@ def prefix_sketch(seq: Column, k: int, size: int) -> Column:
 
 def order_min_sketch(seq: Column, k: int, size: int, seed: int, hash_of: Hash = hash_fast) -> Column:
     """The ``size`` k-mers of smallest hash (with occurrence, from 0), in the order of their positions."""
-    words = with_occurrence(kmers(seq, k), 0)
-    ranked = F.array_sort(F.transform(words, lambda w, i: F.struct(hash_of(F.lit(str(seed)), w["word"], w["occ"].cast("string")).alias("h"), i.alias("i"), w["word"].alias("w"))))
+    words = occurrences(kmers(seq, k), 0)
+    ranked = F.array_sort(F.transform(words, lambda w: F.struct(hash_of(F.lit(str(seed)), w["word"], w["occ"].cast("string")).alias("h"), w["at"].alias("i"), w["word"].alias("w"))))
     by_place = F.array_sort(F.transform(F.slice(ranked, 1, size), lambda r: F.struct(r["i"].alias("i"), r["w"].alias("w"))))
     return F.when(F.length(seq) >= k, F.array_join(F.transform(by_place, lambda r: r["w"]), "|"))
 

@@ -1,13 +1,15 @@
 """Edit-distance graphs in five modes.
 
-All modes verify with the real edit distance, so a bucketing mode changes only which edges are found. Edges within the
-range come from one exact, equi-joined candidate search; a mode then keeps those that one of its buckets holds. That gives the
-edges of a self-join of the buckets, but its work does not grow with the squares of the buckets' sizes.
+All modes verify with the real edit distance, so a bucketing mode changes only which edges are found. Small buckets are
+joined with themselves. Where their pairs would be many more than the reads, all edges within the range are made
+by the exact search instead and kept where a bucket holds them: the same edges, without the squares of the buckets' sizes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +23,29 @@ from strandgraph.operators.storage import stored
 
 @dataclass(frozen=True)
 class EditGraph:
-    """vertices (vid, seq, cnt), edges (src, dst, weight) with src < dst, and what each stage counted."""
+    """vertices (vid, seq, cnt), edges (src, dst, weight) with src < dst, counts of the reads, and what each stage
+    counted: stages (stage, measure, n)."""
 
     vertices: DataFrame
     edges: DataFrame
     metrics: dict[str, int]
+    stages: DataFrame
+
+
+def _edge_counts(stage: str, edges: DataFrame) -> DataFrame:
+    """Edges after a stage, by weight and in all."""
+    weight = F.coalesce(F.col("weight").cast("string"), F.lit("any"))
+    counted = graph.summary(edges)
+    return counted.select(F.lit(stage).alias("stage"), F.concat(F.lit("edges of weight "), weight).alias("measure"), "n")
+
+
+def _bucket_counts(stage: str, buckets: DataFrame, most: int, by: list[str]) -> DataFrame:
+    """Buckets of a stage: all, those of one read, and normal and large ones."""
+    size = F.col("size")
+    kinds = {"buckets": F.lit(True), "buckets of one read": size == 1, "normal buckets": (size >= 2) & (size < most), "large buckets": size >= most}
+    counted = scheme.sizes(buckets, by).agg(*(F.count_if(test).alias(name) for name, test in kinds.items()))
+    pairs_of = F.array(*(F.struct(F.lit(name).alias("measure"), F.col(f"`{name}`").alias("n")) for name in kinds))
+    return counted.select(F.lit(stage).alias("stage"), F.inline(pairs_of))
 
 
 def _hash(config: GraphConfig) -> kmers.Hash:
@@ -65,41 +85,65 @@ def routed(sub: DataFrame, most: int, routing: str) -> tuple[DataFrame, DataFram
     return sub.join(few, by, "left_semi"), sub.join(many, by, "left_semi")
 
 
-def refined(exact: DataFrame, edges: DataFrame, sub: DataFrame, config: GraphConfig) -> DataFrame:
+def refined(every: Callable[[], DataFrame], vertices: DataFrame, edges: DataFrame, sub: DataFrame, config: GraphConfig) -> DataFrame:
     """``edges`` with what the sub-buckets add: pairs that share one, and pairs that a bounded traversal connects."""
-    near, far = routed(stored(sub, "sub"), config.bin_size_max, config.routing)
-    edges = stored(graph.inserted(edges, pairs.in_buckets(exact, near, ["parent", "key"])), "edges")
-    sources = far.select("vid").distinct()
+    near, far = routed(sub, config.bin_size_max, config.routing)
+    found = pairs.among(stored(near, "near"), vertices, 1, config.max_distance, every, ["parent", "key"])
+    edges = stored(graph.inserted(edges, found), "edges")
+    sources = stored(far.select("vid").distinct(), "sources")
     if sources.limit(1).count() == 0:
         return edges
-    hops = graph.within_hops(edges, sources, config.visit_depth)
-    met = hops.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    return stored(graph.inserted(edges, exact.join(met, ["src", "dst"], "left_semi")), "edges")
+    # only what is within the distance and no edge yet can be added, so only that is looked for in the graph
+    missing = stored(every().join(edges, ["src", "dst"], "left_anti"), "missing")
+    asked = reduce(DataFrame.union, (missing.join(sources.withColumnRenamed("vid", end), end, "left_semi").select("src", "dst") for end in ("src", "dst")))
+    met = graph.connected(asked, edges, config.visit_depth)
+    return stored(graph.inserted(edges, missing.join(met, ["src", "dst"], "left_semi")), "edges")
 
 
 def build(source: DataFrame, config: GraphConfig | None = None) -> EditGraph:
-    """The graph of a table of reads with a ``seq`` column."""
+    """The graph of a table of reads with a ``seq`` column.
+
+    Parameters follow the shortest read within the usual lengths. A table without reads gives an empty graph.
+    """
     config = config or GraphConfig()
-    vertices = stored(reads.numbered(reads.multiplicity(source)), "vertices")
+    most = config.max_distance
+    kept = reads.check_lengths(source.select("seq"), config.on_bad_length).select("seq")
+    vertices = stored(reads.numbered(reads.multiplicity(kept)), "vertices")
     stats = reads.length_stats(vertices).first()
     metrics = {"n_unique": stats["n_unique"], "min_length": stats["min_length"] or 0, "n_out_of_range": stats["n_out_of_range"]}
-    shortest = metrics["min_length"]
-    least = config.min_distance if config.mode == "brute_force" else 1
-    exact = stored(pairs.exact(vertices, least, config.max_distance, shortest), "exact")
+    shortest = min(max(metrics["min_length"], params.SHORTEST), params.LONGEST)
+    told = [vertices.sparkSession.createDataFrame([("reads", name, n) for name, n in metrics.items()], "stage string, measure string, n long")]
+    made: list[DataFrame] = []
+
+    def every() -> DataFrame:
+        """All edges within the range, made when first asked for."""
+        if not made:
+            made.append(stored(pairs.exact(vertices, 1, most), "exact"))
+        return made[0]
+
+    def finished(edges: DataFrame) -> EditGraph:
+        if config.min_distance > 1:
+            edges = graph.without_weights(edges, 1, config.min_distance - 1)
+        return EditGraph(vertices, edges, metrics, reduce(DataFrame.union, [*told, _edge_counts("graph", edges)]))
+
     if config.mode == "brute_force":
-        return EditGraph(vertices, exact, metrics)
-    made = stored(_buckets(vertices, config, shortest), "buckets")
+        return finished(every())
+    buckets = stored(_buckets(vertices, config, shortest), "buckets")
+    told.append(_bucket_counts("first pass", buckets, config.bin_size_max, ["key"]))
     if config.mode in ("omh", "miniception"):
-        edges = pairs.in_buckets(exact, made)
-    else:
-        normal, large = scheme.split(made, config.bin_size_max)
-        edges = pairs.in_buckets(exact, normal)
-        chosen, every = _gapped_plan(config, shortest)
-        parents = large.select(F.col("key").alias("parent"), "vid")
-        edges = refined(exact, edges, scheme.gapped_within(parents, vertices, chosen, every, _hash(config)), config)
-        if shortest < 16:
-            whole = normal.select(F.lit(0).alias("parent"), "vid").distinct()
-            edges = refined(exact, edges, scheme.gapped_within(whole, vertices, chosen, every, _hash(config)), config)
-    if config.min_distance > 1:
-        edges = graph.without_weights(edges, 1, config.min_distance - 1)
-    return EditGraph(vertices, edges, metrics)
+        return finished(stored(pairs.among(buckets, vertices, 1, most, every), "edges"))
+    normal, large = (stored(x, "buckets") for x in scheme.split(buckets, config.bin_size_max))
+    edges = stored(pairs.among(normal, vertices, 1, most, every), "edges")
+    told.append(_edge_counts("first pass", edges))
+    chosen, gapped = _gapped_plan(config, shortest)
+
+    def again(stage: str, edges: DataFrame, parents: DataFrame) -> DataFrame:
+        sub = stored(scheme.gapped_within(parents, vertices, chosen, gapped, _hash(config)), "sub")
+        edges = refined(every, vertices, edges, sub, config)
+        told.extend([_bucket_counts(stage, sub, config.bin_size_max, ["parent", "key"]), _edge_counts(stage, edges)])
+        return edges
+
+    edges = again("odd-sized buckets", edges, large.select(F.col("key").alias("parent"), "vid"))
+    if shortest < 16:
+        edges = again("second pass", edges, normal.select(F.lit(0).alias("parent"), "vid").distinct())
+    return finished(edges)

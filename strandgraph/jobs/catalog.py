@@ -1,20 +1,21 @@
-"""Named jobs over the star schema's tables. Reads are derived from every order: see ``reads_of``."""
+"""Named jobs over the star schema's tables. Reads are derived from every order, part or customer."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandgraph.functions import kmers
 from strandgraph.functions.params import Scheme
-from strandgraph.jobs.build import EditGraph, build, refined
+from strandgraph.jobs.build import EditGraph, build
 from strandgraph.jobs.catalog_sql import oracle_sql as oracle_sql
 from strandgraph.jobs.config import GraphConfig
 from strandgraph.operators import buckets as scheme
 from strandgraph.operators import graph, pairs, reads
-from strandgraph.operators.storage import stored
+from strandgraph.operators.storage import shared_folder, stored
 from strandgraph.sources import sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,13 +23,10 @@ MD5 = kmers.hash_md5
 LEX = Scheme(4, 3)
 
 
-def reads_of(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
-    """(k, seq): from each order a read of about ``length`` letters; four orders share a base read, with and without
-    a substitution, a deletion, an insertion."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
-    digits = F.md5(F.floor(F.col("k") / 4).cast("long").cast("string"))
-    base = F.substring(F.translate(digits, "0123456789abcdef", "ACGTACGTACGTACGT"), 1, length)
-    tail = lambda at: F.col("base").substr(F.lit(at), F.lit(length))
+def _copies(based: DataFrame) -> DataFrame:
+    """(k, seq) of rows (k, base): four neighbours share a base read, with and without a substitution, a deletion, an insertion."""
+    rest = F.length("base")
+    tail = lambda at: F.col("base").substr(F.lit(at), rest)
     head = lambda n: F.substring("base", 1, n)
     seq = (
         F.when(F.col("k") % 4 == 0, F.col("base"))
@@ -36,16 +34,50 @@ def reads_of(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
         .when(F.col("k") % 4 == 2, F.concat(head(15), tail(17)))
         .otherwise(F.concat(head(5), F.lit("A"), tail(6)))
     )
-    return orders.select("k", base.alias("base")).select("k", seq.alias("seq"))
+    return based.select("k", seq.alias("seq"))
+
+
+def _letters(*parts: Column) -> Column:
+    return F.translate(F.concat(*(F.md5(p) for p in parts)), "0123456789abcdef", "ACGTACGTACGTACGT")
+
+
+def reads_of(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
+    """(k, seq): from each order a read of about ``length`` letters."""
+    k = F.col("o_orderkey")
+    family = F.floor(k / 4).cast("long").cast("string")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return _copies(orders.select(k.alias("k"), F.substring(_letters(family), 1, length).alias("base")))
+
+
+def mixed_reads(spark: SparkSession, sf_dir: str, shortest: int = 6) -> DataFrame:
+    """(k, seq): from each part a read; families have from ``shortest`` to 300 letters."""
+    family = F.floor(F.col("p_partkey") / 4).cast("long")
+    size = (shortest + family * 37 % (301 - shortest)).cast("int")
+    digits = _letters(*(F.concat(family.cast("string"), F.lit(f"|{i}")) for i in range(10)))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return _copies(part.select(F.col("p_partkey").alias("k"), digits.substr(F.lit(1), size).alias("base")))
+
+
+PRIMER = "ACGTTGCA"
+
+
+def primed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, seq): from each customer a read of a primer that all share and about 16 letters of its own."""
+    family = F.concat(F.lit("c"), F.floor(F.col("c_custkey") / 4).cast("long").cast("string"))
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return _copies(customer.select(F.col("c_custkey").alias("k"), F.concat(F.lit(PRIMER), F.substring(_letters(family), 1, 16)).alias("base")))
+
+
+def _numbered(table: DataFrame) -> DataFrame:
+    return reads.numbered(reads.multiplicity(table))
 
 
 def vertices_of(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
-    return reads.numbered(reads.multiplicity(reads_of(spark, sf_dir, length)))
+    return _numbered(reads_of(spark, sf_dir, length))
 
 
-def _exact(vertices: DataFrame, length: int, most: int = 2) -> DataFrame:
-    # the shortest reads are a letter below the nominal length where a deletion falls inside
-    return pairs.exact(vertices, 1, most, length - 1)
+def _exact(vertices: DataFrame, most: int = 2) -> DataFrame:
+    return pairs.exact(vertices, 1, most)
 
 
 def read_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,15 +174,25 @@ def bucket_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bucket_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = stored(vertices_of(spark, sf_dir, 24), "vertices")
-    return pairs.bucket_stats(_exact(v, 24), scheme.lexicographic(v, LEX))
+    return pairs.bucket_stats(_exact(v), scheme.lexicographic(v, LEX))
 
 
 def edges_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exact(stored(vertices_of(spark, sf_dir, 24), "vertices"), 24)
+    return _exact(stored(vertices_of(spark, sf_dir, 24), "vertices"))
 
 
 def edges_brute_force_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exact(stored(vertices_of(spark, sf_dir, 12), "vertices"), 12)
+    return _exact(stored(vertices_of(spark, sf_dir, 12), "vertices"))
+
+
+def edges_mixed_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact edges of reads of 6 to 300 letters in one table."""
+    return _exact(stored(_numbered(mixed_reads(spark, sf_dir)), "vertices"))
+
+
+def edges_shared_primer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact edges of reads that all begin with one primer."""
+    return _exact(stored(_numbered(primed_reads(spark, sf_dir)), "vertices"))
 
 
 def edges_brute_force_min2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +202,7 @@ def edges_brute_force_min2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _in_buckets(spark: SparkSession, sf_dir: str, length: int, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
     v = stored(vertices_of(spark, sf_dir, length), "vertices")
-    return pairs.in_buckets(_exact(v, length), made(v))
+    return pairs.in_buckets(_exact(v), made(v))
 
 
 def edges_minimizer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +240,7 @@ def large_bucket_rebucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, large = scheme.split(stored(scheme.lexicographic(v, LEX), "buckets"), LARGE)
     sub = stored(scheme.gapped_within(large.select(F.col("key").alias("parent"), "vid"), v, GOMH_SEEDS, hash_of=MD5), "sub")
     routes = sub.groupBy("parent").agg(F.countDistinct("key").alias("n")).where(f"n >= 2 and n < {LARGE}")
-    return pairs.in_buckets(_exact(v, 24), sub.join(routes, "parent", "left_semi"), ["parent", "key"])
+    return pairs.in_buckets(_exact(v), sub.join(routes, "parent", "left_semi"), ["parent", "key"])
 
 
 def sub_bucket_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,14 +252,14 @@ def sub_bucket_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def khop_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _exact(stored(vertices_of(spark, sf_dir, 24), "vertices"), 24, 1)
+    e = _exact(stored(vertices_of(spark, sf_dir, 24), "vertices"))
     return graph.within_hops(e, None, 3)
 
 
 def edges_after_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of weight 1 and what a bounded traversal of them adds."""
     v = stored(vertices_of(spark, sf_dir, 12), "vertices")
-    one = stored(_exact(v, 12, 1), "ones")
+    one = stored(_exact(v, 1), "ones")
     return graph.inserted(one, graph.verified_hops(one, v, None, 3, 1, 2))
 
 
@@ -237,24 +279,52 @@ def _minimizer_graph(spark: SparkSession, sf_dir: str) -> EditGraph:
     return build(reads_of(spark, sf_dir, 12), GraphConfig(mode="minimizer_gomh", hash_name="md5"))
 
 
+def stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each stage of the default mode counts: reads, buckets by kind, edges by weight."""
+    return _minimizer_graph(spark, sf_dir).stages
+
+
 def graph_minimizer_gomh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default mode on short reads: window minimizers, then a second pass over all gapped k-mers."""
     return _minimizer_graph(spark, sf_dir).edges
 
 
+MINICEPTION_GOMH = GraphConfig(mode="miniception_gomh", default_params=False, k=4, window=8, segments=1, bin_size_max=LARGE, visit_depth=4, hash_name="md5")
+
+
 def graph_miniception_gomh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed minimizers; buckets of 600 and more are bucketed again or traversed."""
-    v = stored(vertices_of(spark, sf_dir, 24), "vertices")
-    exact = stored(_exact(v, 24), "exact")
-    normal, large = scheme.split(stored(scheme.hashed(v, Scheme(4, 8), 2024, MD5), "buckets"), LARGE)
-    sub = scheme.gapped_within(large.select(F.col("key").alias("parent"), "vid"), v, GOMH_SEEDS, hash_of=MD5)
-    return refined(exact, pairs.in_buckets(exact, normal), sub, GraphConfig(bin_size_max=LARGE, visit_depth=4))
+    return build(reads_of(spark, sf_dir, 24), MINICEPTION_GOMH).edges
+
+
+def graph_miniception(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build(reads_of(spark, sf_dir, 12), GraphConfig(mode="miniception", miniception_k=4, miniception_w=8, hash_name="md5")).edges
+
+
+def graph_omh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build(reads_of(spark, sf_dir, 24), GraphConfig(mode="omh", omh_k=6, omh_m=3, omh_l=2, seed=1, hash_name="md5")).edges
+
+
+LONG = 52
+
+
+def graph_long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default mode and parameters on reads of 51 to 301 letters, cut into segments."""
+    return build(mixed_reads(spark, sf_dir, LONG), GraphConfig(hash_name="md5")).edges
+
+
+def fastq_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as FASTQ, with quality lines that begin like a record, and read back."""
+    made = reads_of(spark, sf_dir, 24).select(F.col("k").cast("string").alias("id"), "seq", F.concat(F.lit("@"), F.repeat(F.lit("I"), F.length("seq") - 1)).alias("qual"))
+    path = f"{shared_folder(spark)}/fastq-{uuid.uuid4().hex}"
+    sequences.write_fastq(made, path)
+    return sequences.read_fastq(spark, path)
 
 
 def mode_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By mode and weight: edges found, edges there are, and their ratio."""
     v = stored(vertices_of(spark, sf_dir, 12), "vertices")
-    exact = stored(_exact(v, 12), "exact")
+    exact = stored(_exact(v), "exact")
     made = {
         "minimizer": scheme.lexicographic(v, LEX),
         "miniception": scheme.hashed(v, Scheme(4, 8), 2024, MD5),
@@ -271,7 +341,7 @@ def mode_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = stored(vertices_of(spark, sf_dir, 24), "vertices")
-    return sequences.dot_lines(v, _exact(v, 24))
+    return sequences.dot_lines(v, _exact(v))
 
 
 ALL: tuple[Query, ...] = (
@@ -280,7 +350,8 @@ ALL: tuple[Query, ...] = (
     omh_prefix_keys, omh_minhash_keys, bucket_sizes, bucket_count, bucket_split, bucket_stats, edges_brute_force, edges_brute_force_short,
     edges_brute_force_min2, edges_minimizer, edges_miniception, edges_omh, edges_omh_minhash, edges_gapped, edges_bucket_join,
     large_bucket_rebucket, sub_bucket_routes, khop_pairs, edges_after_khop, merge_unique_reads, edge_weight_filter, edge_summary,
-    graph_minimizer_gomh, graph_miniception_gomh, mode_recall, dot_lines,
+    graph_minimizer_gomh, graph_miniception_gomh, mode_recall, dot_lines, edges_mixed_lengths, edges_shared_primer,
+    graph_miniception, graph_omh, graph_long_reads, stage_metrics, fastq_reads,
 )
 
 

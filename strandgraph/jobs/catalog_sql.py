@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
+from strandgraph.functions import params
 
-def _reads(length: int) -> str:
+
+def _copies(base: str, source: str) -> str:
     return f"""r as (
   select k, case cast(k % 4 as int) when 0 then base
     when 1 then substr(base, 1, 9) || translate(substr(base, 10, 1), 'ACGT', 'CGTA') || substr(base, 11)
     when 2 then substr(base, 1, 15) || substr(base, 17) else substr(base, 1, 5) || 'A' || substr(base, 6) end as seq
-  from (select o_orderkey as k, substr(translate(md5(cast(cast(floor(o_orderkey / 4) as bigint) as varchar)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, {length}) as base from orders) t
+  from (select k, {base} as base from (select *, cast(floor(k / 4) as bigint) as f from (select {source}) t) t) t
 )"""
 
 
+def _letters(*parts: str) -> str:
+    return f"translate({' || '.join(f'md5({p})' for p in parts)}, '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+def _reads(length: int) -> str:
+    return _copies(f"substr({_letters('cast(f as varchar)')}, 1, {length})", "o_orderkey as k from orders")
+
+
+def _mixed(shortest: int) -> str:
+    return _copies(f"substr({_letters(*(f'f || {chr(39)}|{i}{chr(39)}' for i in range(10)))}, 1, {shortest} + f * 37 % {301 - shortest})", "p_partkey as k from part")
+
+
+PRIMED = _copies(f"'ACGTTGCA' || substr({_letters(chr(39) + 'c' + chr(39) + ' || f')}, 1, 16)", "c_custkey as k from customer")
+V = ", v as (select row_number() over (order by seq) - 1 as vid, seq, cnt from (select seq, count(*) as cnt from r group by seq) t)"
+ALL_PAIRS = """select src, dst, cast(weight as integer) as weight from (
+  select a.vid as src, b.vid as dst, levenshtein(a.seq, b.seq) as weight
+  from (select vid, seq, unnest(range(length(seq) - 2, length(seq) + 3)) as n from v) a join (select vid, seq, length(seq) as n from v) b on a.n = b.n and a.vid < b.vid
+) t where weight between 1 and 2"""
+
+
 def _vertices(length: int) -> str:
-    return _reads(length) + ", v as (select row_number() over (order by seq) - 1 as vid, seq, cnt from (select seq, count(*) as cnt from r group by seq) t)"
+    return _reads(length) + V
 
 
 def _exact(most: int = 2) -> str:
@@ -65,11 +87,18 @@ go as (select vid, kmer, row_number() over (partition by vid, kmer order by i) a
 
 
 _SEEDS = "(select unnest([11, 22, 33]) as seed)"
-GOMH = _gapped() + f""", gb as (
+
+
+def _min_hashed(seeds: str) -> str:
+    return _gapped() + f""", gb as (
   select distinct key, vid from (
-    select v.vid, s.seed, coalesce(min(md5(s.seed || '|' || go.kmer || '|' || go.occ)), '0') as key from v cross join {_SEEDS} s left join go on go.vid = v.vid group by v.vid, s.seed
+    select v.vid, s.seed, coalesce(min(md5(s.seed || '|' || go.kmer || '|' || go.occ)), '0') as key from v cross join {seeds} s left join go on go.vid = v.vid group by v.vid, s.seed
   ) t
 )"""
+
+
+GOMH = _min_hashed(_SEEDS)
+DRAWN = _min_hashed(f"(select unnest([{', '.join(str(s) for s, _ in params.seeds(50, 2, times=3))}]) as seed)")
 ALL_GAPPED = _gapped() + ", ab as (select distinct kmer || '|' || occ as key, vid from go)"
 OMH_PREFIX = f"ob as (select distinct md5(s.seed || '|' || substr(seq, 1, 6) || '|' || substr(seq, 2, 6)) as key, vid from v cross join (select unnest([1, 2, 3]) as seed) s where length(seq) >= 7)"  # noqa: F541
 OMH_MIN = (
@@ -101,6 +130,7 @@ hops as (select distinct src, dst from hp)"""
 
 def oracle_sql() -> dict[str, str]:
     v24, v12, e24, e12 = _vertices(24), _vertices(12), _vertices(24) + ", " + _exact(), _vertices(12) + ", " + _exact()
+    long = params.lexicographic(51)
     modes = {"minimizer": "b", "miniception": "hb", "omh": "ob", "gapped": "ab"}
     recall = " union all ".join(f"select '{m}' as mode, weight, count(*) as n_found from ({_inside(b)}) t group by weight" for m, b in modes.items())
     return {
@@ -149,11 +179,32 @@ select src, dst, weight from exact where weight = 1 or (src, dst) in (select src
         "edge_weight_filter": f"with {e24} select * from exact where weight not between 1 and 1",
         "edge_summary": f"with {e24} select weight, count(*) as n from exact group by rollup(weight)",
         "graph_minimizer_gomh": f"with {e12}, {LEX}, {ALL_GAPPED} {_inside('b')} union {_inside('ab')}",
-        "graph_miniception_gomh": f"""with recursive {e24}, {_hashed(4, 8)}, {GOMH}, {_split(600)},
+        "graph_miniception_gomh": f"""with recursive {e24}, {_hashed(4, 8)}, {DRAWN}, {_split(600)},
 pw as (select s.* from sb s join rt using (parent) where n >= 2 and n < 600), far as (select distinct vid from sb join rt using (parent) where n >= 600),
 now as ({_inside('nb')} union {_inside('pw', by='parent,key')}), {_hops('now', 4, 'where src in (select vid from far)')},
 met as (select distinct least(src, dst) as src, greatest(src, dst) as dst from hops)
 select * from now union select e.* from exact e join met using (src, dst)""",
+        "edges_mixed_lengths": f"with {_mixed(6)}{V} {ALL_PAIRS}",
+        "edges_shared_primer": f"with {PRIMED}{V} {ALL_PAIRS}",
+        "graph_miniception": f"with {e12}, {_hashed(4, 8)} {_inside('b')}",
+        "graph_omh": f"with {e24}, {OMH_PREFIX} {_inside('ob')}",
+        "graph_long_reads": f"""with {_mixed(52)}{V}, exact as ({ALL_PAIRS}), {_segments(long.segments)}, {_kmers(long.k, source='sg', seq='s', keep='vid, j')},
+b as ({_minima('kmer', long.window, 'km', 'vid, j', True)}), nb as (select * from b where key in (select key from b group by key having count(*) between 2 and 9999)) {_inside('nb')}""",
+        "stage_metrics": f"""with {e12}, {LEX}, {ALL_GAPPED}, bs as (select key, count(*) as size from b group by key),
+lb as (select * from b where key in (select key from bs where size < 2 or size >= 10000)), nb as (select * from b where key not in (select key from lb)),
+o as (select distinct l.key as parent, g.key, l.vid from lb l join ab g on g.vid = l.vid), w as (select g.key, g.vid from ab g where g.vid in (select vid from nb)),
+one as ({_inside('nb')}), two as (select * from one union {_inside('w')}),
+c as (select 'first pass' as stage, key, size from bs union all select 'odd-sized buckets', parent || key, count(*) from o group by parent, key union all select 'second pass', key, count(*) from w group by key),
+names as (select unnest(['first pass', 'odd-sized buckets', 'second pass']) as stage),
+e as (select 'first pass' as stage, weight from one union all select 'odd-sized buckets', weight from one union all select 'second pass', weight from two union all select 'graph', weight from two)
+select 'reads' as stage, 'n_unique' as measure, count(*) as n from v union all select 'reads', 'min_length', min(length(seq)) from v
+union all select 'reads', 'n_out_of_range', count(*) filter (length(seq) not between 6 and 300) from v
+union all select n.stage, 'buckets', count(size) from names n left join c using (stage) group by all
+union all select n.stage, 'buckets of one read', count(*) filter (size = 1) from names n left join c using (stage) group by all
+union all select n.stage, 'normal buckets', count(*) filter (size between 2 and 9999) from names n left join c using (stage) group by all
+union all select n.stage, 'large buckets', count(*) filter (size >= 10000) from names n left join c using (stage) group by all
+union all select stage, 'edges of weight ' || coalesce(cast(weight as varchar), 'any'), count(*) from e group by grouping sets ((stage, weight), (stage))""",
+        "fastq_reads": f"with {_reads(24)} select cast(k as varchar) as id, seq from r",
         "mode_recall": f"""with {e12}, {LEX}, {_hashed(4, 8, 'hb')}, {OMH_PREFIX}, {ALL_GAPPED}, f as ({recall}), t as (select weight, count(*) as n_exact from exact group by weight)
 select mode, weight, n_found, n_exact, round(n_found / n_exact, 6) as recall from f join t using (weight)""",
         "dot_lines": f"""with {e24} select 1 as part, vid || ' [count="' || cnt || '", read="' || seq || '"];' as line from v

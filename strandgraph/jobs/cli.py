@@ -10,7 +10,6 @@ from pyspark.sql import SparkSession
 
 from strandgraph.jobs.build import build
 from strandgraph.jobs.config import GraphConfig
-from strandgraph.operators.graph import summary
 from strandgraph.sources import sequences
 
 log = logging.getLogger("strandgraph")
@@ -18,7 +17,7 @@ log = logging.getLogger("strandgraph")
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="strandgraph", description="Edit-distance graph of the reads in a sequence file.")
-    out.add_argument("-i", "--input", required=True, help="FASTA, FASTQ or Parquet")
+    out.add_argument("-i", "--input", required=True, help="FASTA, FASTQ or Parquet: a file, a folder or a pattern")
     out.add_argument("-o", "--output", required=True, help="folder for the vertex and edge tables")
     out.add_argument("--save-graph", action="store_true", help="also write a Graphviz file")
     out.add_argument("--version", action="version", version="1.0")
@@ -37,11 +36,12 @@ def main(argv: list[str] | None = None) -> None:
     config = GraphConfig(**{f.name: args[f.name] for f in fields(GraphConfig)})
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     spark = SparkSession.builder.appName("strandgraph").getOrCreate()
-    made = build(sequences.read_sequences(spark, args["input"]), config)
+    made = build(sequences.read_sequences(spark, args["input"], config.on_bad), config)
     sequences.write_tables(made.vertices, made.edges, args["output"])
     log.info("unique reads %(n_unique)d, shortest %(min_length)d, of unusual length %(n_out_of_range)d", made.metrics)
-    for row in summary(spark.read.parquet(f"{args['output']}/edges")).orderBy("weight").collect():
-        log.info("edges of weight %s: %d", row["weight"] if row["weight"] is not None else "any", row["n"])
+    made.stages.coalesce(1).write.csv(f"{args['output']}/stages", sep="\t", header=True)
+    for row in spark.read.csv(f"{args['output']}/stages", sep="\t", header=True).collect():
+        log.info("%s: %s %s", row["stage"], row["measure"], row["n"])
     if args["save_graph"]:
         sequences.write_dot(made.vertices, made.edges, f"{args['output']}/graph.dot")
 

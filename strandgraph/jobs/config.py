@@ -38,6 +38,10 @@ class GraphConfig:
     #: "buckets": a large bucket is handled by the number of its sub-buckets; "size": by the size of each.
     routing: str = "buckets"
     hash_name: str = "fast"
+    #: Reads outside the usual lengths: "warn" keeps and counts them, "drop" leaves them out, "fail" stops.
+    on_bad_length: str = "warn"
+    #: Reads with other letters than a sequence has: "fail" stops, "null" leaves them out.
+    on_bad: str = "fail"
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "mode", self.mode.lower())
@@ -49,5 +53,7 @@ class GraphConfig:
             raise ValueError("without default parameters, k, window and segments must be given")
         if self.routing not in ("buckets", "size"):
             raise ValueError("routing must be buckets or size")
+        if self.on_bad_length not in ("warn", "drop", "fail") or self.on_bad not in ("fail", "null"):
+            raise ValueError("on_bad_length must be warn, drop or fail, on_bad fail or null")
         if self.bin_size_max < 2 or self.visit_depth < 1:
             raise ValueError("bin_size_max must be 2 or more, visit_depth 1 or more")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,36 @@ def within_hops(edges: DataFrame, sources: DataFrame | None, depth: int) -> Data
     return seen
 
 
+def connected(pairs: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """Those of the pairs (src, dst) that a walk of at most ``depth`` edges leads between.
+
+    Only these pairs are asked for: walks start at both of their ends by turns, so each side goes half as far, and
+    a pair that has met leaves the search. No other pair of a component is ever made.
+    """
+    near = stored(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "near").select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    open_pairs = stored(pairs.select("src", "dst").where("src <> dst").distinct(), "open")
+    met: list[DataFrame] = []
+    reached = {end: open_pairs.select(F.col(end).alias("start"), F.col(end).alias("node")).distinct() for end in ("src", "dst")}
+    fresh = dict(reached)
+    for step in range(depth):
+        if open_pairs.limit(1).count() == 0:
+            break
+        side = ("src", "dst")[step % 2]
+        wanted = open_pairs.select(F.col(side).alias("start")).distinct()
+        moved = fresh[side].join(wanted, "start", "left_semi").join(near, "node").select("start", F.col("next").alias("node")).distinct()
+        fresh[side] = stored(moved.join(reached[side], ["start", "node"], "left_anti"), "fresh")
+        if fresh[side].limit(1).count() == 0:  # these ends have seen all that they can reach
+            break
+        reached[side] = reached[side].union(fresh[side])
+        other = ("dst", "src")[step % 2]
+        here = fresh[side].withColumnRenamed("start", side)
+        there = reached[other].withColumnRenamed("start", other)
+        now = stored(open_pairs.join(here, side).join(there, [other, "node"]).select("src", "dst").distinct(), "met")
+        met.append(now)
+        open_pairs = stored(open_pairs.join(now, ["src", "dst"], "left_anti"), "open")
+    return reduce(DataFrame.union, met) if met else pairs.select("src", "dst").limit(0)
+
+
 def verified_hops(edges: DataFrame, vertices: DataFrame, sources: DataFrame | None, depth: int, least: int, most: int) -> DataFrame:
     """Edges within the range between vertices that the traversal connects and no edge does yet."""
     met = within_hops(edges, sources, depth).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()

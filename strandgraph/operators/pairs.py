@@ -1,19 +1,28 @@
 """Pairs of vertices within an edit distance.
 
-``exact`` finds every such pair with equi-joins only. ``in_buckets`` keeps those that share a bucket: what a self-join
-of the buckets with verification gives, without enumerating the pairs of a bucket, whose number grows with the square of its
-size.
+``exact`` finds every such pair with equi-joins only, in work that follows the number of reads. ``among`` gives the pairs that
+share a bucket: what a self-join of the buckets with verification gives, by whichever way is cheaper.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.functions import kmers
+from strandgraph.operators.storage import stored
 
 #: From segments of so many letters on, shared segments are rarer than shared deletions are costly.
 SEGMENT_LEAST = 6
+#: A segment that more reads than this have is not joined on alone, but with more of the read.
+OFTEN = 200
+#: How much larger a group of the next round may be: its rows cost more.
+EASIER = 4
+#: Pairs for each bucket entry up to which a self-join of buckets is the cheaper way.
+PAIRS_A_READ = 20
 
 
 def distance(a: Column, b: Column, most: int) -> Column:
@@ -23,52 +32,95 @@ def distance(a: Column, b: Column, most: int) -> Column:
     return F.when(close & (found >= 0), found)
 
 
-def segment_candidates(vertices: DataFrame, most: int) -> DataFrame:
-    """Candidates by shared segments: of most + 1 segments of the shorter read one is untouched by ``most`` edits.
+def _cut(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+    """Start and width of one of ``parts`` segments; the last takes the rest."""
+    unit = F.floor(length / parts).cast("int")
+    return i * unit + 1, (length - i * unit) if i == parts - 1 else unit
 
-    Each read gives its own segments, and the substrings of it that could equal a segment of a read up to ``most``
-    letters shorter, at the few shifts that the edits left and right of the segment allow.
-    """
-    n, seq = most + 1, F.col("seq")
-    size = F.length(seq)
 
-    def cut(length: Column, i: int) -> tuple[Column, Column]:
-        unit = F.floor(length / n).cast("int")
-        return i * unit + 1, (length - i * unit) if i == most else unit
+def _own(most: int) -> Column:
+    """Hashes of the segments of ``rest``, with its group and length; none of a short one."""
+    n, size, rest = most + 1, F.length("rest"), F.col("rest")
+    own = [F.xxhash64("grp", size, F.lit(i), rest.substr(*_cut(size, i, n))) for i in range(n)]
+    return F.when(size >= n * SEGMENT_LEAST, F.array(*own)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
 
-    own, asked = [], []
+def _asked(most: int) -> Column:
+    """(h, at, width): substrings of ``rest`` that could equal a segment of a rest of up to ``most`` letters less.
+
+    The edits left and right of the segment allow few shifts.
+    """
+    n, size, rest = most + 1, F.length("rest"), F.col("rest")
+    asked = []
     for i in range(n):
-        at, width = cut(size, i)
-        own.append(F.xxhash64(size, F.lit(i), seq.substr(at, width)))
         for less in range(most + 1):
-            at, width = cut(size - less, i)
+            at, width = _cut(size - less, i, n)
             low, high = max(-i, less - (most - i)), min(i, less + (most - i))
             for shift in range(low, high + 1):
-                fits = (at + shift >= 1) & (at + shift + width - 1 <= size)
-                asked.append(F.when(fits, F.xxhash64(size - less, F.lit(i), seq.substr(at + shift, width))))
-    left = vertices.select(F.explode(F.array(*own)).alias("h"), F.col("vid").alias("a"), F.col("seq").alias("sa"))
-    right = vertices.select(F.explode(F.array_distinct(F.filter(F.array(*asked), lambda h: h.isNotNull()))).alias("h"), F.col("vid").alias("b"), F.col("seq").alias("sb"))
-    shorter_first = (F.length("sa") < F.length("sb")) | ((F.length("sa") == F.length("sb")) & (F.col("a") < F.col("b")))
-    return left.join(right, "h").where(shorter_first).select("a", "sa", "b", "sb")
+                fits = (size - less >= n * SEGMENT_LEAST) & (at + shift >= 1) & (at + shift + width - 1 <= size)
+                h = F.xxhash64("grp", size - less, F.lit(i), rest.substr(at + shift, width))
+                asked.append(F.when(fits, F.struct(h.alias("h"), (at + shift).alias("at"), width.alias("width"))))
+    return F.filter(F.array(*asked), lambda x: x.isNotNull())
+
 
+def segment_candidates(work: DataFrame, most: int, often: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b) of rows (grp, vid, rest) that share a segment, and the rows to look at again.
 
-def deletion_candidates(vertices: DataFrame, most: int) -> DataFrame:
-    """Candidates by a shared remainder after up to ``most`` deletions from each; for short reads."""
-    left = vertices.select(F.explode(F.transform(kmers.deletions(F.col("seq"), most), lambda x: F.xxhash64(x))).alias("h"), "vid", "seq")
-    right = left.select("h", F.col("vid").alias("b"), F.col("seq").alias("sb"))
-    return left.select("h", F.col("vid").alias("a"), F.col("seq").alias("sa")).join(right, "h").where("a < b").select("a", "sa", "b", "sb")
+    Of most + 1 segments of the shorter rest one is untouched by ``most`` edits, so both have it, at most ``most``
+    letters apart. A segment that more than ``often`` rows have, a primer for example, makes no candidates: the rows that
+    have it become a group of their own, in which the rest of each read without that segment still is within the
+    distance, and are returned.
+    """
+    own = work.select(F.explode(_own(most)).alias("h"), F.col("vid").alias("a"), F.length("rest").alias("la"))
+    asked = work.select(F.explode(F.array_distinct(F.transform(_asked(most), lambda x: x["h"]))).alias("h"), F.col("vid").alias("b"), F.length("rest").alias("lb"))
+    again = None
+    if often is not None:
+        frequent = stored(own.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > often).select("h"), "frequent")
+        if frequent.limit(1).count():
+            own = own.join(frequent, "h", "left_anti")
+            # the rows are cut before the join, so that only those of frequent segments are shuffled with their letters
+            rows = work.select("vid", "rest", F.explode(_asked(most)).alias("x")).select("vid", "rest", "x.*").join(frequent, "h", "left_semi")
+            left = F.concat(F.col("rest").substr(F.lit(1), F.col("at") - 1), F.col("rest").substr(F.col("at") + F.col("width"), F.length("rest")))
+            again = rows.select(F.col("h").alias("grp"), "vid", left.alias("rest")).distinct()
+    shorter_first = (F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")))
+    return own.join(asked, "h").where(shorter_first).select("a", "b"), again
+
+
+def deletion_candidates(work: DataFrame, most: int) -> DataFrame:
+    """(a, b) of rows (grp, vid, rest) that share a remainder after up to ``most`` deletions from each; for short rests."""
+    left = work.select(F.explode(F.transform(kmers.deletions(F.col("rest"), most), lambda x: F.xxhash64("grp", x))).alias("h"), F.col("vid").alias("a"))
+    return left.join(left.withColumnRenamed("a", "b"), "h").where("a < b").select("a", "b")
+
+
+def candidates(vertices: DataFrame, most: int, often: int = OFTEN) -> DataFrame:
+    """(a, b), each pair once, among which are all pairs of ``vertices`` within ``most`` edits.
+
+    Reads of (most + 1) * SEGMENT_LEAST letters and more are found by their segments; shorter ones, and those within
+    reach of them, by deletions. Rounds go on with the groups of frequent segments, whose rests get shorter by a
+    segment each time.
+    """
+    short = (most + 1) * SEGMENT_LEAST
+    work, parts = vertices.select(F.lit(0).cast("long").alias("grp"), "vid", F.col("seq").alias("rest")), []
+    while True:
+        found, again = segment_candidates(work, most, often)
+        parts += [found, deletion_candidates(work.where(F.length("rest") < short + most), most)]
+        if again is None:
+            break
+        work, often = stored(again, "groups"), often * EASIER
+    both = reduce(DataFrame.union, parts)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(candidates: DataFrame, least: int, most: int) -> DataFrame:
-    """(src, dst, weight) of candidates within the range, each pair once."""
-    weighed = candidates.select("a", "b", distance(F.col("sa"), F.col("sb"), most).alias("weight")).where(F.col("weight").between(least, most))
-    return weighed.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.col("weight").cast("int")).dropDuplicates(["src", "dst"])
+def verified(found: DataFrame, vertices: DataFrame, least: int, most: int) -> DataFrame:
+    """(src, dst, weight) of the candidates (a, b) within the range; letters meet the pairs only here, once a pair."""
+    a, b = (vertices.select(F.col("vid").alias(v), F.col("seq").alias(s)) for v, s in (("a", "sa"), ("b", "sb")))
+    weighed = found.join(a, "a").join(b, "b").select("a", "b", distance(F.col("sa"), F.col("sb"), most).cast("int").alias("weight"))
+    return weighed.where(F.col("weight").between(least, most)).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
 
 
-def exact(vertices: DataFrame, least: int, most: int, shortest: int) -> DataFrame:
-    """Every pair within the range; ``shortest`` is the length of the shortest read."""
-    by_segments = shortest // (most + 1) >= SEGMENT_LEAST
-    return verified(segment_candidates(vertices, most) if by_segments else deletion_candidates(vertices, most), least, most)
+def exact(vertices: DataFrame, least: int, most: int, often: int = OFTEN) -> DataFrame:
+    """Every pair within the range, of reads of any lengths. ``vertices`` are read more than once: store them."""
+    return verified(candidates(vertices, most, often), vertices, least, most)
 
 
 def in_buckets(edges: DataFrame, buckets: DataFrame, by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
@@ -78,17 +130,29 @@ def in_buckets(edges: DataFrame, buckets: DataFrame, by: list[str] = ["key"]) ->
     return both.select("src", "dst", "weight").dropDuplicates(["src", "dst"])
 
 
-def bucket_pairs(buckets: DataFrame, vertices: DataFrame, least: int, most: int, block: int = 2000) -> DataFrame:
+def bucket_pairs(buckets: DataFrame, vertices: DataFrame, least: int, most: int, block: int = 2000, by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
     """The direct way, for schemes of small buckets: self-join of buckets, those over ``block`` vertices in blocks.
 
     A bucket of n vertices is dealt into s = ceil(n / block) parts; every part meets every other once, so no task holds
     more than two parts. The number of pairs still grows with the square of a bucket.
     """
-    parts = buckets.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("s"))
-    rows = buckets.join(parts, "key").join(vertices.select("vid", "seq"), "vid").withColumn("p", F.pmod(F.xxhash64("vid"), F.col("s")).cast("int"))
-    left = rows.select("key", F.col("vid").alias("a"), F.col("seq").alias("sa"), F.col("p").alias("pa"), F.explode(F.expr("sequence(0, s - 1)")).alias("pb"))
-    right = rows.select("key", F.col("vid").alias("b"), F.col("seq").alias("sb"), F.col("p").alias("pb"), F.explode(F.expr("sequence(0, s - 1)")).alias("pa"))
-    return verified(left.join(right, ["key", "pa", "pb"]).where("a < b").select("a", "sa", "b", "sb"), least, most)
+    parts = buckets.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("s"))
+    rows = buckets.join(parts, by).withColumn("p", F.pmod(F.xxhash64("vid"), F.col("s")).cast("int"))
+    left = rows.select(*by, F.col("vid").alias("a"), F.col("p").alias("pa"), F.explode(F.expr("sequence(0, s - 1)")).alias("pb"))
+    right = rows.select(*by, F.col("vid").alias("b"), F.col("p").alias("pb"), F.explode(F.expr("sequence(0, s - 1)")).alias("pa"))
+    return verified(left.join(right, [*by, "pa", "pb"]).where("a < b").select("a", "b").distinct(), vertices, least, most)
+
+
+def among(buckets: DataFrame, vertices: DataFrame, least: int, most: int, every: Callable[[], DataFrame], by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
+    """Pairs within the range that share a bucket. Both ways give the same pairs.
+
+    Small buckets are joined with themselves. Where their pairs outnumber PAIRS_A_READ for each read, as with four-letter
+    keys on many reads, all pairs within the range (``every``, made only then) are filtered by their buckets.
+    """
+    own = buckets.groupBy(*by).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
+    if (own["pairs"] or 0) <= PAIRS_A_READ * max(1, own["rows"] or 0):
+        return bucket_pairs(buckets, vertices, least, most, by=by)
+    return in_buckets(every().where(F.col("weight").between(least, most)), buckets, by)
 
 
 def bucket_stats(edges: DataFrame, buckets: DataFrame) -> DataFrame:

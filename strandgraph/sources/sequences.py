@@ -50,17 +50,35 @@ def read_fastq(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFram
     return checked.select(F.expr("substring(head, 2)").alias("id"), letters(F.col("seq"), on_bad).alias("seq"))
 
 
+_ENDINGS = {"fasta": (".fasta", ".fa", ".fna"), "fastq": (".fastq", ".fq"), "parquet": (".parquet",)}
+
+
+def _kind(name: str) -> str | None:
+    plain = name.lower().rstrip("/*").removesuffix(".gz")
+    return next((kind for kind, endings in _ENDINGS.items() if plain.endswith(endings)), None)
+
+
 def read_sequences(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFrame:
-    """By the ending of the name: FASTA, FASTQ, or else a Parquet table with a ``seq`` column."""
-    name = path.lower().removesuffix(".gz").rstrip("/*")
-    if name.endswith((".fasta", ".fa", ".fna")):
+    """FASTA, FASTQ or a Parquet table with a ``seq`` column: by the ending of the path, else of a file that it leads to."""
+    kind = _kind(path)
+    if kind is None:
+        # names only; no content is read
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").first()
+        kind = (found and _kind(found["path"])) or "parquet"
+    if kind == "fasta":
         return read_fasta(spark, path, on_bad)
-    if name.endswith((".fastq", ".fq")):
+    if kind == "fastq":
         return read_fastq(spark, path, on_bad)
     table = spark.read.parquet(path)
     return table.withColumn("seq", letters(F.col("seq"), on_bad))
 
 
+def write_fastq(records: DataFrame, path: str) -> None:
+    """Records (id, seq) as four-line FASTQ; a ``qual`` column, where there is one, gives the quality lines."""
+    quality = F.col("qual") if "qual" in records.columns else F.repeat(F.lit("I"), F.length("seq"))
+    records.select(F.concat_ws("\n", F.concat(F.lit("@"), "id"), "seq", F.lit("+"), quality).alias("value")).write.text(path)
+
+
 def dot_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, line): Graphviz lines; part 0 opens, 1 vertices, 2 edges, 3 closes."""
     spark = vertices.sparkSession
