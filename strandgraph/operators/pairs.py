@@ -45,8 +45,8 @@ def _own(most: int) -> Column:
     return F.when(size >= n * SEGMENT_LEAST, F.array(*own)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
-def _asked(most: int) -> Column:
-    """(h, at, width): substrings of ``rest`` that could equal a segment of a rest of up to ``most`` letters less.
+def _asked(most: int) -> list[tuple[Column, Column, Column, Column]]:
+    """(fits, h, at, width) of the substrings of ``rest`` that could equal a segment of a rest of up to ``most`` letters less.
 
     The edits left and right of the segment allow few shifts.
     """
@@ -58,9 +58,8 @@ def _asked(most: int) -> Column:
             low, high = max(-i, less - (most - i)), min(i, less + (most - i))
             for shift in range(low, high + 1):
                 fits = (size - less >= n * SEGMENT_LEAST) & (at + shift >= 1) & (at + shift + width - 1 <= size)
-                h = F.xxhash64("grp", size - less, F.lit(i), rest.substr(at + shift, width))
-                asked.append(F.when(fits, F.struct(h.alias("h"), (at + shift).alias("at"), width.alias("width"))))
-    return F.filter(F.array(*asked), lambda x: x.isNotNull())
+                asked.append((fits, F.xxhash64("grp", size - less, F.lit(i), rest.substr(at + shift, width)), at + shift, width))
+    return asked
 
 
 def segment_candidates(work: DataFrame, most: int, often: int | None) -> tuple[DataFrame, DataFrame | None]:
@@ -72,14 +71,17 @@ def segment_candidates(work: DataFrame, most: int, often: int | None) -> tuple[D
     distance, and are returned.
     """
     own = work.select(F.explode(_own(most)).alias("h"), F.col("vid").alias("a"), F.length("rest").alias("la"))
-    asked = work.select(F.explode(F.array_distinct(F.transform(_asked(most), lambda x: x["h"]))).alias("h"), F.col("vid").alias("b"), F.length("rest").alias("lb"))
+    hashes = F.array_distinct(F.array(*(F.when(fits, h) for fits, h, _, _ in _asked(most))))
+    asked = work.select(F.explode(hashes).alias("h"), F.col("vid").alias("b"), F.length("rest").alias("lb")).where("h is not null")
     again = None
     if often is not None:
-        frequent = stored(own.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > often).select("h"), "frequent")
-        if frequent.limit(1).count():
+        frequent = own.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > often).select("h")
+        if frequent.head(1):
+            frequent = stored(frequent, "frequent")
             own = own.join(frequent, "h", "left_anti")
             # the rows are cut before the join, so that only those of frequent segments are shuffled with their letters
-            rows = work.select("vid", "rest", F.explode(_asked(most)).alias("x")).select("vid", "rest", "x.*").join(frequent, "h", "left_semi")
+            places = F.array(*(F.when(fits, F.struct(h.alias("h"), at.alias("at"), width.alias("width"))) for fits, h, at, width in _asked(most)))
+            rows = work.select("vid", "rest", F.explode(places).alias("x")).select("vid", "rest", "x.*").join(frequent, "h", "left_semi")
             left = F.concat(F.col("rest").substr(F.lit(1), F.col("at") - 1), F.col("rest").substr(F.col("at") + F.col("width"), F.length("rest")))
             again = rows.select(F.col("h").alias("grp"), "vid", left.alias("rest")).distinct()
     shorter_first = (F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")))

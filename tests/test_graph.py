@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from strandgraph.jobs.build import build, routed
 from strandgraph.jobs.config import GraphConfig
 from strandgraph.operators import buckets, graph, pairs, reads
+from strandgraph.operators.storage import shared_folder, stored
 
 
 def levenshtein(a, b):
@@ -47,10 +48,26 @@ def rows(df):
 def test_exact_pairs(spark, seed, length, most):
     seqs = some_reads(seed, length=length)
     v = reads.numbered(reads.multiplicity(table(spark, seqs)))
-    want, shortest = brute(seqs, 1, most), min(map(len, seqs))
-    assert rows(pairs.exact(v, 1, most, shortest)) == want
-    assert rows(pairs.verified(pairs.segment_candidates(v, most), 1, most)) == want
-    assert rows(pairs.verified(pairs.deletion_candidates(v, most), 1, most)) == want
+    v, want = stored(v, "v"), brute(seqs, 1, most)
+    assert rows(pairs.exact(v, 1, most)) == want == rows(pairs.exact(v, 1, most, often=2))
+    work = v.select(F.lit(0).cast("long").alias("grp"), "vid", F.col("seq").alias("rest"))
+    assert rows(pairs.verified(pairs.deletion_candidates(work, most).distinct(), v, 1, most)) == want
+
+
+def test_exact_pairs_of_mixed_lengths_and_primers(spark, monkeypatch):
+    r, seqs = random.Random(4), []
+    for n in (6, 8, 17, 18, 19, 20, 21, 60, 299):
+        base = "".join(r.choice("ACGT") for _ in range(n))
+        seqs += [base, base[:3] + base[4:], base[:5] + "A" + base[5:], base[:-2], base + "GT", base[:2] + "T" + base[2:-1] + "A"]
+    primer = "ACGTTGCAAC"
+    for f in range(30):
+        base = "".join(r.choice("ACGT") for _ in range(14))
+        seqs += [primer + base, primer + base[:4] + base[5:], primer[:4] + "T" + primer[5:] + base, primer + base + "C"]
+    v = stored(reads.numbered(reads.multiplicity(table(spark, seqs))), "v")
+    want = brute(seqs, 1, 2)
+    assert rows(pairs.exact(v, 1, 2)) == want == rows(pairs.exact(v, 1, 2, often=10))
+    # candidates follow the reads, not the pairs that share the primer
+    assert pairs.candidates(v, 2, often=10).count() < 2 * len(want) < pairs.candidates(v, 2, often=10**6).count()
 
 
 def test_vertices(spark):
@@ -87,11 +104,12 @@ def test_large_buckets_only_add_true_edges(spark, routing):
     assert found and found <= brute(seqs, 1, 2)
 
 
-def test_in_buckets_equals_a_join_of_buckets(spark):
+def test_in_buckets_equals_a_join_of_buckets(spark, monkeypatch):
     seqs = some_reads(10, 120, 12)
     v = reads.numbered(reads.multiplicity(table(spark, seqs)))
     keys = buckets.sketches(v, 4, 2, [1, 2])
-    exact = pairs.exact(v, 1, 2, min(map(len, seqs)))
+    v = stored(v, "v")
+    exact = pairs.exact(v, 1, 2)
     want = rows(pairs.in_buckets(exact, keys))
     assert rows(pairs.bucket_pairs(keys, v, 1, 2)) == want == rows(pairs.bucket_pairs(keys, v, 1, 2, block=3))
     own = {}
@@ -99,6 +117,9 @@ def test_in_buckets_equals_a_join_of_buckets(spark):
         own.setdefault(r.key, set()).add(r.vid)
     edges = rows(exact)
     assert want == {e for e in edges if any(e[0] in b and e[1] in b for b in own.values())}
+    for most in (0, 10**6):  # either way of finding pairs
+        monkeypatch.setattr(pairs, "PAIRS_A_READ", most)
+        assert rows(pairs.among(keys, v, 1, 2, lambda: exact)) == want
     for s in pairs.bucket_stats(exact, keys).collect():
         n, b = len(own[s.key]), own[s.key]
         hits = sum(e[0] in b and e[1] in b for e in edges)
@@ -121,6 +142,42 @@ def test_traversal(spark):
     assert graph.within_hops(chain.limit(0), None, 3).count() == 0
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 15])
+def test_connected_pairs_are_those_of_the_traversal(spark, depth):
+    r = random.Random(depth)
+    edges = sorted({tuple(sorted(r.sample(range(30), 2))) for _ in range(32)})
+    e = spark.createDataFrame([(a, b, 1) for a, b in edges], "src long, dst long, weight int")
+    asked = sorted({tuple(sorted(r.sample(range(33), 2))) for _ in range(60)})
+    hops = {(x.src, x.dst) for x in graph.within_hops(e, None, depth).collect()}
+    got = graph.connected(spark.createDataFrame(asked, "src long, dst long"), e, depth)
+    assert sorted((x.src, x.dst) for x in got.collect()) == [p for p in asked if p in hops]
+    assert graph.connected(spark.createDataFrame([], "src long, dst long"), e, depth).count() == 0
+
+
+def test_lengths_in_a_build(spark):
+    seqs = ["ACGTA", "ACGTACGTACGTACGTACGT", "ACGTACGTACGTACGTACGA", "A" * 305]
+    assert build(table(spark, seqs), GraphConfig(on_bad_length="drop")).metrics == {"n_unique": 2, "min_length": 20, "n_out_of_range": 0}
+    made = build(table(spark, seqs))
+    assert made.metrics["n_out_of_range"] == 2 and rows(made.edges) == {(2, 3, 1)}
+    assert {(r.stage, r.measure): r.n for r in made.stages.collect()}["graph", "edges of weight any"] == 1
+    with pytest.raises(Exception, match="read of length"):
+        build(table(spark, seqs), GraphConfig(on_bad_length="fail"))
+    for mode in ("minimizer_gomh", "omh"):
+        empty = build(table(spark, []), GraphConfig(mode=mode))
+        assert empty.edges.count() == 0 and empty.stages.where("stage = 'reads' and n > 0").count() == 0
+    with pytest.raises(ValueError, match="on_bad"):
+        GraphConfig(on_bad_length="ignore")
+
+
+def test_no_temporary_folder_on_a_cluster():
+    class Away:
+        conf = {}
+        sparkContext = type("C", (), {"master": "yarn", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared_folder(Away())
+
+
 def test_edge_tables(spark):
     e = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (1, 2, 2)], "src long, dst long, weight int")
     assert rows(graph.without_weights(e, 1, 1)) == {(0, 2, 2), (1, 2, 2)}

@@ -44,6 +44,13 @@ def test_words(spark):
     assert {s: [(w.word, w.occ) for w in x] for s, x in got.items()} == {s: counted(words(s, 2)) for s in READS}
 
 
+def test_occurrences_of_repeats_and_long_reads(spark):
+    read = "ACAC" * 2000
+    words_ = [read[i : i + 2] for i in range(len(read) - 1)]
+    (row,) = spark.createDataFrame([(read,)], "seq string").select(kmers.with_occurrence(kmers.kmers(F.col("seq"), 2), 0).alias("x")).collect()
+    assert [(w.word, w.occ) for w in row.x] == [(w, i // 2) for i, w in enumerate(words_)]
+
+
 def test_segments(spark):
     got = column(spark, kmers.segments(F.col("seq"), 3))
     assert got["ACGTACGTACGT"] == ["ACGT"] * 3 and got["ACGTACN"] == ["AC", "GT", "ACN"] and got["A"] == ["", "", "A"]

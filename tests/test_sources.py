@@ -46,6 +46,20 @@ def test_fastq_cut_and_compressed(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_folders_and_written_files(spark, tmp_path):
+    records = spark.createDataFrame([(str(i), "ACGT" * (i % 5 + 2), "@" + "I" * (4 * (i % 5 + 2) - 1)) for i in range(40)], "id string, seq string, qual string").repartition(3)
+    sequences.write_fastq(records, f"{tmp_path}/out")
+    want = sorted((r.id, r.seq) for r in records.collect())
+    assert sorted(tuple(r) for r in sequences.read_fastq(spark, f"{tmp_path}/out").collect()) == want
+    (tmp_path / "in").mkdir()
+    written(tmp_path / "in" / "a.fastq", "@x\nACGT\n+\n@III\n")
+    (tmp_path / "in" / "b.fastq.gz").write_bytes(gzip.compress(b"@y\nAC\n+\n@I\n"))
+    for path in (f"{tmp_path}/in", f"{tmp_path}/in/*.fastq*"):
+        assert {tuple(r) for r in sequences.read_sequences(spark, path).collect()} == {("x", "ACGT"), ("y", "AC")}
+    records.select("seq").write.parquet(f"{tmp_path}/table")
+    assert sequences.read_sequences(spark, f"{tmp_path}/table").count() == 40
+
+
 def test_letters(spark, tmp_path):
     path = written(tmp_path / "x.fa", ">r\nACGTX1\n>s\nAC\n")
     with pytest.raises(Exception, match="not a sequence"):
@@ -66,7 +80,8 @@ def test_graph_files(spark, tmp_path):
 
 def test_command_line(spark, tmp_path):
     path = written(tmp_path / "x.fasta", "".join(f">r{i}\n{s}\n" for i, s in enumerate(["ACGTACGTACGTACGTAC", "ACGTACGTACGTACGTAA", "TTTTTTTTTGGGGGGGGG", "ACGTACGTACGTACGTAC"])))
-    cli.main(["-i", path, "-o", f"{tmp_path}/out", "--mode", "brute_force", "--save-graph"])
+    cli.main(["-i", path, "-o", f"{tmp_path}/out", "--mode", "brute_force", "--on-bad-length", "drop", "--save-graph"])
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/edges").collect()] == [(0, 1, 1)]
     assert spark.read.parquet(f"{tmp_path}/out/vertices").count() == 3
     assert spark.read.text(f"{tmp_path}/out/graph.dot").count() == 6
+    assert spark.read.csv(f"{tmp_path}/out/stages", sep="\t", header=True).where("stage = 'graph'").count() == 2
