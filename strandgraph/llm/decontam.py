@@ -5,8 +5,9 @@ blocks of two words tells how far the search may skip when a block ends a positi
 lead to the bucket of patterns with that suffix, whose words are then compared one by one, first as hashes and then
 as bytes. Many cursors, each over a short stretch of one text, advance together in numpy.
 
-Benchmark items are told to the tasks in blocks of at most BLOCK_BYTES of text; a larger benchmark means further passes,
-whose findings are merged by document.
+The tables of up to BLOCK_WORDS benchmark words are made in one task, as flat arrays of some 60 bytes a word, and told to
+all tasks. A larger benchmark is more such blocks: each is one more pass over the documents, whose findings are stored
+and merged by document, and its tables are dropped before the next block's are told.
 
 Edge cases: null or empty texts and items have no words; null item ids are no items; repeated rows are searched row by
 row; an empty benchmark hits nothing; further columns are not read. Texts are searched whole.
@@ -14,64 +15,120 @@ row; an empty benchmark hits nothing; further columns are not read. Texts are se
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.shared import ALNUM, TextBatch, mix64
+from strandgraph.llm.shared import ALNUM, TextBatch, binary_array, equal_spans, folded, materialise, mix64, ranges
 
-WINDOW, BLOCK_BYTES, STRETCH = 10, 4 << 20, 128
-_FOLD = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+WINDOW, BLOCK_WORDS, STRETCH = 10, 1 << 19, 128
+#: Candidates that are compared at a time.
+TOGETHER = 1 << 20
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_FACTORS = mix64(np.arange(31, 31 + 2 * WINDOW, dtype=np.uint64).reshape(2, WINDOW)) | np.uint64(1)
+
+
+@dataclass
+class Words:
+    """Folded text, and where in it each word stands, with its hash."""
+
+    text: np.ndarray
+    hashes: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    def same(self, at: np.ndarray, other: Words, there: np.ndarray, n: int) -> np.ndarray:
+        """Whether the n words from each place equal those of the other from its place: by hash, then by byte."""
+        same = np.ones(len(at), bool)
+        for j in range(n):
+            live = np.flatnonzero(same)
+            same[live] = self.hashes[at[live] + j] == other.hashes[there[live] + j]
+        for j in range(n):
+            live = np.flatnonzero(same)
+            a, b = at[live] + j, there[live] + j
+            alike = self.sizes[a] == other.sizes[b]
+            same[live] = alike & equal_spans(self.text, self.starts[a], other.text, other.starts[b], np.where(alike, self.sizes[a], 0))
+        return same
+
+
+def _block_keys(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the block of ``width`` words that ends at each place."""
+    return mix64(hashes[at] * np.uint64(3) + (hashes[at - 1] * np.uint64(5) if width == 2 else np.uint64(1)))
 
 
 @dataclass
 class Patterns:
-    """All patterns of one length in words, with the shift table and the suffix buckets."""
+    """The distinct windows of one length, as places in the benchmark's words, with the shift table and the suffix buckets."""
 
     size: int
-    words: np.ndarray
-    texts: list[bytes]
-    items: list[frozenset[str]]
-    keys: np.ndarray = field(init=False)
-    shifts: np.ndarray = field(init=False)
-    near: np.ndarray = field(init=False)
-    suffixes: np.ndarray = field(init=False)
-    by_suffix: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        self.block = min(2, self.size)
-        keys, shifts = [], []
-        for end in range(self.block, self.size + 1):
-            keys.append(self.blocks(self.words, np.full(len(self.words), end - 1)))
-            shifts.append(np.full(len(self.words), self.size - end))
-        all_keys, all_shifts = np.concatenate(keys), np.concatenate(shifts)
-        order = np.lexsort((all_shifts, all_keys))
-        self.keys, first = np.unique(all_keys[order], return_index=True)
-        self.shifts = all_shifts[order][first]
-        self.near = np.zeros(1 << 18, bool)
-        self.near[(self.keys >> np.uint64(46)).astype(np.int64)] = True
-        self.by_suffix = np.argsort(keys[-1], kind="stable")
-        self.suffixes = keys[-1][self.by_suffix]
-
-    def blocks(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of the block of words that ends at each position; of each row's position for a table of rows."""
-        rows = (np.arange(len(words)),) if words.ndim == 2 else ()
-        last = words[(*rows, ends)]
-        return mix64(last * np.uint64(3) + (words[(*rows, ends - 1)] * np.uint64(5) if self.block == 2 else np.uint64(1)))
-
-    def search(self, words: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    #: first word of each pattern; its items are item[item_from[p]:item_from[p + 1]]
+    at: np.ndarray
+    item_from: np.ndarray
+    item: np.ndarray
+    keys: np.ndarray
+    shifts: np.ndarray
+    near: np.ndarray
+    suffixes: np.ndarray
+    by_suffix: np.ndarray
+
+    @classmethod
+    def of(cls, words: Words, size: int, first: np.ndarray, count: np.ndarray, item: np.ndarray) -> Patterns:
+        """From items at ``first`` with ``count`` words each; all have ``size`` words at least, and one more only where size is WINDOW."""
+        n = count - size + 1
+        at, owner = ranges(first, n), np.repeat(item, n)
+        # equal windows are one pattern; two hashes order them, and the words decide
+        one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        for j in range(size):
+            one += words.hashes[at + j] * _FACTORS[0, j]
+            two += words.hashes[at + j] * _FACTORS[1, j]
+        order = np.lexsort((at, two, one))
+        at, owner, one, two = at[order], owner[order], one[order], two[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        del one, two
+        rest = np.flatnonzero(~new)
+        new[rest[~words.same(at[rest], words, at[rest - 1], size)]] = True
+        group = np.cumsum(new) - 1
+        pairs = np.unique(np.column_stack([group, owner]), axis=0) if len(rest) else np.column_stack([group, owner])
+        distinct = at[new]
+        width = min(2, size)
+        # how far a window's end may still be when a block ends at a place of an item
+        ends = ranges(first + width - 1, count - width + 1)
+        ahead = np.maximum(0, np.repeat(first + size - 1, count - width + 1) - ends)
+        keys = _block_keys(words.hashes, ends, width)
+        order = np.lexsort((ahead, keys))
+        keys, lead = np.unique(keys[order], return_index=True)
+        near = np.zeros(1 << 18, bool)
+        near[(keys >> np.uint64(46)).astype(np.int64)] = True
+        suffixes = _block_keys(words.hashes, distinct + size - 1, width)
+        by_suffix = np.argsort(suffixes, kind="stable")
+        return cls(
+            size,
+            distinct.astype(np.int32),
+            np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)).astype(np.int32),
+            pairs[:, 1].astype(np.int32),
+            keys,
+            ahead[order][lead].astype(np.uint8),
+            near,
+            suffixes[by_suffix],
+            by_suffix.astype(np.int32),
+        )
+
+    def search(self, words: Words, first: np.ndarray, counts: np.ndarray, benchmark: Words) -> tuple[np.ndarray, np.ndarray]:
         """(first word, pattern) of every occurrence in rows of words."""
+        width = min(2, self.size)
         at, stop = _stretches(first + self.size - 1, first + counts)
-        found_at, found = [], []
+        found_at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(at):
-            key = self.blocks(words, at)
-            step = np.full(len(at), self.size - self.block + 1)
+            key = _block_keys(words.hashes, at, width)
+            step = np.full(len(at), self.size - width + 1)
             maybe = np.flatnonzero(self.near[(key >> np.uint64(46)).astype(np.int64)])
             if len(maybe):
                 where = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
@@ -80,21 +137,18 @@ class Patterns:
                 hit = np.flatnonzero(step == 0)
                 if len(hit):
                     lo, hi = (np.searchsorted(self.suffixes, key[hit], side=s) for s in ("left", "right"))
-                    n = hi - lo
-                    start = np.repeat(at[hit] - self.size + 1, n)
-                    pattern = self.by_suffix[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                    same = np.ones(len(start), bool)
-                    for j in range(self.size):
-                        live = np.flatnonzero(same)
-                        same[live] = words[start[live] + j] == self.words[pattern[live], j]
-                    found_at.append(start[same])
-                    found.append(pattern[same])
+                    part = np.cumsum(hi - lo) // TOGETHER
+                    for own in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(part)) + 1):
+                        start = np.repeat(at[hit[own]] - self.size + 1, (hi - lo)[own])
+                        pattern = self.by_suffix[ranges(lo[own], (hi - lo)[own])].astype(np.int64)
+                        same = words.same(start, benchmark, self.at[pattern].astype(np.int64), self.size)
+                        found_at.append(start[same])
+                        found.append(pattern[same])
                     step[hit] = 1
             at = at + step
             on = at < stop
             at, stop = at[on], stop[on]
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *found_at]), np.concatenate([none, *found])
+        return np.concatenate(found_at), np.concatenate(found)
 
 
 def _stretches(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,81 +158,105 @@ def _stretches(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, np.minimum(start + STRETCH, end[rows])
 
 
-def build(items: list[tuple[object, str | None]]) -> list[Patterns]:
-    """Patterns of the items, by length."""
-    items = [x for x in items if x[0] is not None]
-    batch = TextBatch(pa.array([t for _, t in items], pa.string()))
-    found: dict[int, dict[tuple[int, ...], tuple[bytes, set[str]]]] = {}
-    for lo, _, n_words, words, starts, ends in batch.words(ALNUM):
-        at = 0
-        for i, n in enumerate(n_words.tolist()):
-            size = min(WINDOW, n)
-            for k in range(at, at + n - size + 1) if n else ():
-                text = _span(batch.data, starts[k : k + size], ends[k : k + size])
-                own = found.setdefault(size, {}).setdefault(tuple(words[k : k + size].tolist()), (text, set()))
-                own[1].add(str(items[lo + i][0]))
-            at += n
-    return [Patterns(size, np.array(list(own), np.uint64), [t for t, _ in own.values()], [frozenset(s) for _, s in own.values()]) for size, own in sorted(found.items())]
-
-
-def _span(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
-    return b" ".join(data[a:b].tobytes().translate(_FOLD) for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
-
-
-def scan(column: pa.Array | pa.ChunkedArray, patterns: list[Patterns]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
-    """For each text: its number of words, the merged hit spans (first word, end word), and the items found."""
-    batch = TextBatch(column)
-    for lo, hi, n_words, words, starts, ends in batch.words(ALNUM):
-        first = np.cumsum(n_words) - n_words
-        spans: list[list[tuple[int, int]]] = [[] for _ in range(hi - lo)]
-        items: list[set[str]] = [set() for _ in range(hi - lo)]
-        for p in patterns:
-            at, which = p.search(words, first, n_words)
-            row = np.searchsorted(first + n_words, at, side="right")
-            for a, w, i in zip(at.tolist(), which.tolist(), row.tolist(), strict=True):
-                if _span(batch.data, starts[a : a + p.size], ends[a : a + p.size]) == p.texts[w]:
-                    spans[i].append((a - int(first[i]), a - int(first[i]) + p.size))
-                    items[i] |= p.items[w]
-        for i in range(hi - lo):
-            yield int(n_words[i]), merged(spans[i]), items[i]
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+@dataclass
+class Block:
+    """Benchmark items: their names in order, their words, and their patterns by length."""
+
+    names: list[str]
+    words: Words
+    patterns: list[Patterns]
 
 
-def pattern_blocks(benchmark: DataFrame) -> Iterator[list[Patterns]]:
-    """The benchmark in as many blocks as its size asks for, one at a time on the driver; each is of about BLOCK_BYTES of text."""
-    rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for i in range(n):
-        yield build([tuple(r) for r in rows.where(block == i).collect()])
+def build(ids: pa.Array, texts: pa.Array) -> Block:
+    """The tables of items; ids are strings, and an id may stand for several texts."""
+    names, item = np.unique(np.array(ids.to_pylist(), object).astype(str), return_inverse=True) if len(ids) else ([], np.zeros(0, np.int64))
+    batch = TextBatch(texts)
+    parts = list(batch.words(ALNUM))
+    none = np.zeros(0, np.int64)
+    n = np.concatenate([none, *(p[2] for p in parts)])
+    starts, ends = (np.concatenate([none, *(p[i] for p in parts)]) for i in (4, 5))
+    words = Words(folded(batch.data), np.concatenate([none.astype(np.uint64), *(p[3] for p in parts)]), starts.astype(np.int32), (ends - starts).astype(np.int32))
+    first, size = np.cumsum(n) - n, np.minimum(n, WINDOW)
+    groups = [np.flatnonzero(size == s) for s in range(1, WINDOW + 1)]
+    return Block(list(names), words, [Patterns.of(words, s, first[g], n[g], item[g]) for s, g in enumerate(groups, 1) if len(g)])
+
+
+@dataclass
+class Found:
+    """Of each text its number of words, of each maximal run of hit words (row, first, end), and the items (row, item)."""
+
+    n_words: np.ndarray
+    runs: np.ndarray
+    items: np.ndarray
+
+
+def scan(column: pa.Array | pa.ChunkedArray, block: Block) -> Found:
+    batch, counts = TextBatch(column), [np.zeros(0, np.int64)]
+    runs, items = [np.zeros((0, 3), np.int64)], [np.zeros((0, 2), np.int64)]
+    for lo, hi, n_words, hashes, starts, ends in batch.words(ALNUM):
+        begin = int(batch.offsets[lo])
+        words = Words(folded(batch.data[begin : int(batch.offsets[hi])]), hashes, starts - begin, ends - starts)
+        first, hit = np.cumsum(n_words) - n_words, np.zeros(len(hashes) + 1, bool)
+        row_of = np.repeat(np.arange(hi - lo), n_words)
+        counts.append(n_words)
+        for p in block.patterns:
+            at, which = p.search(words, first, n_words, block.words)
+            for j in range(p.size):
+                hit[at + j] = True
+            row, which = np.divmod(np.unique(row_of[at] * len(p.at) + which), len(p.at))
+            n = p.item_from[which + 1] - p.item_from[which]
+            items.append(np.column_stack([np.repeat(row, n) + lo, p.item[ranges(p.item_from[which].astype(np.int64), n.astype(np.int64))]]))
+        at = np.flatnonzero(hit)
+        if len(at):
+            apart = np.flatnonzero((np.diff(at) > 1) | (row_of[at[1:]] != row_of[at[:-1]]))
+            head, tail = at[np.concatenate(([0], apart + 1))], at[np.concatenate((apart, [len(at) - 1]))]
+            row = row_of[head]
+            runs.append(np.column_stack([row + lo, head - first[row], tail + 1 - first[row]]))
+    return Found(np.concatenate(counts), np.concatenate(runs), np.unique(np.concatenate(items), axis=0))
+
+
+def pattern_blocks(benchmark: DataFrame) -> tuple[int, Iterator[Block]]:
+    """How many blocks the benchmark's size asks for, and the blocks, made in tasks and handed on one at a time."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    size = rows.agg(F.sum(F.regexp_count("text", F.lit(_WORD))).alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = max(1, -(-(size["words"] or 0) // BLOCK_WORDS), -(-(size["bytes"] or 0) // (16 * BLOCK_WORDS)))
+    blocked = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+
+    def made(group: pa.Table) -> pa.Table:
+        block = build(group["item_id"].combine_chunks(), group["text"].combine_chunks())
+        return pa.table({"data": binary_array([pickle.dumps(block, protocol=5)])})
+
+    stored = materialise(blocked.groupBy("block").applyInArrow(made, "data binary"), "patterns")
+
+    def blocks() -> Iterator[Block]:
+        some = False
+        for row in stored.toLocalIterator():
+            some = True
+            yield pickle.loads(bytes(row["data"]))
+        if not some:
+            yield build(pa.array([], pa.string()), pa.array([], pa.string()))
+
+    return n, blocks()
 
 
 _SPANS = "array<struct<first:int,end:int>>"
-_KIND = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
 
-def _find(docs: DataFrame, patterns: list[Patterns], all_rows: bool) -> DataFrame:
-    told = docs.sparkSession.sparkContext.broadcast(patterns)
+def _lists(row: np.ndarray, values: pa.Array, n: int) -> pa.Array:
+    """A list for each of n rows out of values in the order of their rows."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), values)
+
 
+def _find(docs: DataFrame, told: Broadcast, all_rows: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = told.value
+        names = pa.array(block.names, pa.string())
         for b in batches:
-            n, spans, items = [], [], []
-            for words, s, found in scan(b.column(1), told.value):
-                n.append(words)
-                spans.append([{"first": x, "end": y} for x, y in s])
-                items.append(sorted(found))
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(spans, _KIND), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text_hash", "n_words", "spans", "items"])
-            yield out if all_rows else out.filter(pa.array([bool(x) for x in items], pa.bool_()))
+            found = scan(b.column(1), block)
+            span = pa.StructArray.from_arrays([pa.array(found.runs[:, i].astype(np.int32)) for i in (1, 2)], ["first", "end"])
+            items = _lists(found.items[:, 0], names.take(pa.array(found.items[:, 1])), b.num_rows)
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found.n_words), _lists(found.runs[:, 0], span, b.num_rows), items], ["doc_id", "text_hash", "n_words", "spans", "items"])
+            yield out if all_rows else out.take(pa.array(np.unique(found.items[:, 0])))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, f"doc_id {kind}, text_hash long, n_words long, spans {_SPANS}, items array<string>")
@@ -186,7 +264,15 @@ def _find(docs: DataFrame, patterns: list[Patterns], all_rows: bool) -> DataFram
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, spans of hit words and sorted items found, for every row of ``docs``."""
-    found, *others = [_find(docs, patterns, i == 0) for i, patterns in enumerate(pattern_blocks(benchmark))]
+    n, blocks = pattern_blocks(benchmark)
+    passes = []
+    for block in blocks:
+        told = docs.sparkSession.sparkContext.broadcast(block)
+        passes.append(_find(docs, told, not passes))
+        if n > 1:
+            passes[-1] = materialise(passes[-1], "found")
+            told.destroy()
+    found, *others = passes
     if others:
         rest = reduce(DataFrame.unionByName, others)
         more = rest.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("i"))
@@ -227,12 +313,18 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, in which no benchmark window occurs."""
     out, at = docs, docs.columns.index("text")
-    for patterns in pattern_blocks(benchmark):
-        told = docs.sparkSession.sparkContext.broadcast(patterns)
+    n, blocks = pattern_blocks(benchmark)
+    for block in blocks:
+        told = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], told: Broadcast = told) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array([not items for _, _, items in scan(b.column(at), told.value)], pa.bool_()))
+                clean = np.ones(b.num_rows, bool)
+                clean[scan(b.column(at), told.value).runs[:, 0]] = False
+                yield b.filter(pa.array(clean))
 
         out = out.mapInArrow(run, docs.schema)
+        if n > 1:
+            out = materialise(out, "clean")
+            told.destroy()
     return out

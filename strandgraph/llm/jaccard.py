@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.shared import NON_SPACE, TextBatch, binary_array, make_room, materialise, mix64
+from strandgraph.llm.shared import NON_SPACE, TextBatch, binary_array, make_room, materialise, mix64, release
 
 WIDTH, ORDERS = 5, 4
 #: Shingles in a cell, and queries that meet one copy of it.
@@ -279,10 +279,13 @@ def components(edges: DataFrame) -> DataFrame:
         near = pairs.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         low = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
+        before = labels
         labels_next = materialise(low.join(jump, "next", "left").select("node", F.least("next", "far").alias("comp"), (F.least("next", "far") != F.col("comp")).alias("moved")), "labels")
         moved = labels_next.where("moved").limit(1).count()
         labels = labels_next.select("node", "comp")
+        release(before)
         if not moved:
+            release(pairs)
             return labels
 
 
@@ -318,19 +321,25 @@ def form_groups(classes: DataFrame, pairs: DataFrame, comps: DataFrame) -> DataF
 
 
 def postings(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
-    """(t, k): the prefix shingles of classes, as far as two classes or more have them."""
+    """(t, k): the prefix shingles of classes, as far as two classes or more have them.
+
+    Shingles meet by ranges of their hashes; common ones, which many classes have anyway, by ranges of their class's
+    key, so no range grows with the number of classes that share a passage.
+    """
     flags = np.zeros(1 << 20, bool)
     flags[(common >> np.uint64(bits + 32 - 20)).astype(np.int64)] = True
     told = docs.sparkSession.sparkContext.broadcast((common, flags))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (often, near), held, seen = told.value, _Ranges(bits), set()
+        (often, near), rare, frequent, seen = told.value, _Ranges(bits), _Ranges(bits), set()
 
-        def emit() -> pa.RecordBatch:
+        def emit(held: _Ranges) -> pa.RecordBatch:
             if not held.size:
                 return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), binary_array([]), binary_array([])], ["r", "tokens", "keys"])
-            ranges, (tokens, keys), cuts = held.take()
-            return pa.RecordBatch.from_arrays([pa.array(ranges), _blobs(tokens, cuts), _blobs(keys, cuts)], ["r", "tokens", "keys"])
+            ranges, (by, other), cuts = held.take()
+            if held is frequent:
+                return pa.RecordBatch.from_arrays([pa.array(ranges + (1 << bits)), _blobs(other, cuts), _blobs(by, cuts)], ["r", "tokens", "keys"])
+            return pa.RecordBatch.from_arrays([pa.array(ranges), _blobs(by, cuts), _blobs(other, cuts)], ["r", "tokens", "keys"])
 
         for b in batches:
             for s in shingle_sets(b.column(1)):
@@ -341,17 +350,21 @@ def postings(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
                     continue
                 if len(seen) < 1 << 17:
                     seen.add(key)
-                p = prefix_length(len(s))
+                p, n_rare = prefix_length(len(s)), len(s)
                 maybe = np.flatnonzero(near[(s >> np.uint64(44)).astype(np.int64)]) if len(often) else []
                 if len(maybe):
                     lead = s[maybe] >> np.uint64(32 - bits)
                     where = np.minimum(np.searchsorted(often, lead), len(often) - 1)
                     is_common = np.zeros(len(s), bool)
                     is_common[maybe] = often[where] == lead
-                    s = np.concatenate([s[~is_common], s[is_common]])
-                if held.add(s[:p], np.full(p, key, np.int64)):
-                    yield emit()
-        yield emit()
+                    s, n_rare = np.concatenate([s[~is_common], s[is_common]]), len(s) - int(is_common.sum())
+                n_rare = min(p, n_rare)
+                if rare.add(s[:n_rare], np.full(n_rare, key, np.int64)):
+                    yield emit(rare)
+                if p > n_rare and frequent.add(np.full(p - n_rare, key, np.int64).view(np.uint64), s[n_rare:p]):
+                    yield emit(frequent)
+        yield emit(rare)
+        yield emit(frequent)
 
     def meet(group: pa.Table) -> pa.Table:
         tokens = np.frombuffer(b"".join(group["tokens"].to_pylist()), np.uint64)
@@ -362,7 +375,7 @@ def postings(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
         new[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])
         tokens, keys = tokens[new], keys[new]
         same = tokens[1:] == tokens[:-1]
-        shared = np.zeros(len(tokens), bool)
+        shared = np.full(len(tokens), group["r"][0].as_py() >= 1 << bits)
         shared[1:] |= same
         shared[:-1] |= same
         return pa.table({"t": tokens[shared].view(np.int64), "k": keys[shared]})
@@ -399,18 +412,19 @@ def link(docs: DataFrame, repeated_ids: bool = True) -> DataFrame:
         "classes",
     )
     pairs = hub_pairs(classes)
-    links = hub_links(docs, pairs)
-    nodes = form_groups(classes, pairs, components(links))
+    near = hub_links(docs, pairs)
+    nodes = form_groups(classes, pairs, components(near))
     shared = materialise(postings(docs, common_shingles(docs, bits), bits).join(nodes, "k").select("t", "c", "n", "comp", "grp", "sub"), "postings")
     across = shared.groupBy("t").agg(F.min("comp").alias("one"), F.max("comp").alias("two")).where("one <> two").select("t")
     queries = materialise(qualifying(shared.join(across, "t", "left_semi")), "qualifying")
     members = nodes.select("grp", "sub", F.col("c").alias("doc_id"), "comp").join(queries.select("grp", "sub").distinct(), ["grp", "sub"], "left_semi")
-    links = links.union(open_cells(docs, members, queries))
+    links = near.union(open_cells(docs, members, queries))
     if repeated_ids:
         several = described.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("doc_id")
         texts = described.select("doc_id", "d").join(materialise(several, "several"), "doc_id", "left_semi").join(classes.select("d", "c"), "d")
         links = links.union(texts.where("doc_id <> c").select("doc_id", "c").distinct())
     reached = components(links)
+    release(pairs, near, nodes, shared, queries)
     final = classes.select("d", "c").join(reached.withColumnRenamed("node", "c"), "c", "left").select("d", "c", F.coalesce("comp", "c").alias("comp"))
     return described.join(final, "d", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("c", "doc_id").alias("class_id"))
 

@@ -114,7 +114,7 @@ select query_id, rank, vec_id, score from r where rank <= 5
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.responses(_table(spark, sf_dir, "pages"))).drop("date")
+    return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
 
 
 def _uuid_sql(text: str) -> str:
@@ -122,31 +122,45 @@ def _uuid_sql(text: str) -> str:
     return f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' || {h}[21:32] || '>'"
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _entities_sql(x: str) -> str:
+    name = f"regexp_extract(p, {_quoted(warc.ENTITY)}, 1)"
+    known = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in warc.ENTITIES.items()) + "}"
+    number = f"case when {name}[2:2] in ('x', 'X') then cast('0x' || {name}[3:] as bigint) else cast({name}[2:] as bigint) end"
+    valid = f"{number} > 0 and {number} <= 1114111 and {number} not between 55296 and 57343"
+    sign = f"case when {name} = '' then null when map_contains({known}, {name}) then {known}[{name}] when {name}[1:1] <> '#' then null when {valid} then chr(cast({number} as integer)) else chr(65533) end"
+    return f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: case when i = 1 then p else coalesce({sign} || substr(p, length({name}) + 2), '&' || p) end), '')"
+
+
 def _squeezed_sql(x: str) -> str:
-    for name, sign in warc.ENTITIES:
-        x = f"replace({x}, '{name}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    x = _entities_sql(x)
     for pattern, put in ((warc.BLANKS, "' '"), (warc.LINES, "chr(10)"), (warc.EDGES, "''")):
         x = f"regexp_replace({x}, '{pattern}', {put}, 'g')"
     return x
 
 
+_LINK_SQL = f"regexp_replace({_entities_sql('regexp_replace(x, ' + _quoted(warc.QUOTES) + ', ' + _quoted('') + ', ' + _quoted('g') + ')')}, '{warc.ENDS}', '', 'g')"
+
 OP9_SQL = rf'''
-with p as (select coalesce(cast(page_id as varchar), '') as k, coalesce(url, '') as target_uri, coalesce(html, '') as h from pages),
+with p as (select coalesce(cast(page_id as varchar), '') as k, coalesce(url, '') as target_uri, coalesce(html, '') as h, regexp_replace(coalesce(html, ''), '{warc.DROPPED}', '', 'g') as shown from pages),
 r as (
-  select {_uuid_sql("'response|' || k || '|' || target_uri")} as refers_to, target_uri, h, 'sha256:' || sha256(h) as payload_digest,
-    regexp_replace(regexp_replace(regexp_replace(h, '{warc.DROPPED}', '', 'g'), '{warc.BREAKS}', chr(10), 'g'), '{warc.TAGS}', '', 'g') as bare,
-    regexp_replace(regexp_extract(h, '{warc.TITLE}', 1), '{warc.TAGS}', '', 'g') as title from p
+  select {_uuid_sql("'response|' || k || '|' || target_uri")} as refers_to, target_uri, h, shown, 'sha256:' || sha256(h) as payload_digest,
+    regexp_replace(regexp_replace(shown, '{warc.BREAKS}', chr(10), 'g'), '{warc.TAGS}', '', 'g') as bare,
+    regexp_replace(regexp_extract(shown, '{warc.TITLE}', 1), '{warc.TAGS}', '', 'g') as title from p
 ), b as (
   select 'metadata' as record_type, 'application/warc-fields' as content_type, refers_to, target_uri, payload_digest,
     'title: ' || replace({_squeezed_sql("title")}, chr(10), ' ') || chr(13) || chr(10)
     || 'source-Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'source-Content-Length: ' || strlen(h) || chr(13) || chr(10)
-    || coalesce(array_to_string(list_transform(regexp_extract_all(h, '{warc.LINK}', 1), lambda x: 'outlink: ' || replace(x, '&amp;', '&') || ' L a/@href' || chr(13) || chr(10)), ''), '') as block from r
+    || coalesce(array_to_string(list_transform(regexp_extract_all(shown, {_quoted(warc.LINK)}, 1), lambda x: 'outlink: ' || {_LINK_SQL} || ' L a/@href' || chr(13) || chr(10)), ''), '') as block from r
   union all select 'conversion', 'text/plain', refers_to, target_uri, payload_digest, {_squeezed_sql("bare")} from r
 ), i as (select *, {_uuid_sql("record_type || '|' || refers_to")} as record_id, strlen(block) as content_length, 'sha256:' || sha256(block) as block_digest from b)
-select record_type, record_id, refers_to, target_uri, content_type, content_length, block_digest, payload_digest, block,
+select record_type, record_id, refers_to, target_uri, '{warc.UNDATED}' as date, content_type, content_length, block_digest, payload_digest, block,
   replace('WARC/1.1~WARC-Type: ' || record_type || '~WARC-Record-ID: ' || record_id || '~WARC-Refers-To: ' || refers_to, '~', chr(13) || chr(10))
   || chr(13) || chr(10) || 'WARC-Target-URI: ' || target_uri
-  || replace('~Content-Type: ' || content_type || '~WARC-Block-Digest: ' || block_digest || '~WARC-Payload-Digest: ' || payload_digest || '~Content-Length: ' || content_length || '~', '~', chr(13) || chr(10)) as header
+  || replace('~WARC-Date: {warc.UNDATED}~Content-Type: ' || content_type || '~WARC-Block-Digest: ' || block_digest || '~WARC-Payload-Digest: ' || payload_digest || '~Content-Length: ' || content_length || '~', '~', chr(13) || chr(10)) as header
 from i
 '''
 

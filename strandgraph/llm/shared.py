@@ -163,7 +163,7 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     if not len(starts):
         return out
     low, high = int(starts.min()), int(ends.max())
-    text = np.concatenate([_LOWER[raw[low:high]], np.zeros(8, np.uint8)])
+    text = folded(raw[low:high])
     eight = np.lib.stride_tricks.sliding_window_view(text, 8)
     for i in range(0, len(starts), _TOGETHER):
         at, size = starts[i : i + _TOGETHER] - low, (ends - starts)[i : i + _TOGETHER]
@@ -182,5 +182,28 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
+def folded(raw: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z, and eight more for reads beyond the end."""
+    return np.concatenate([_LOWER[raw], np.zeros(8, np.uint8)])
+
+
+def equal_spans(one: np.ndarray, at_one: np.ndarray, two: np.ndarray, at_two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each pair of spans, out of two ``folded`` buffers, are the same."""
+    eight = [np.lib.stride_tricks.sliding_window_view(x, 8) for x in (one, two)]
+    same, live, done = np.ones(len(size), bool), np.flatnonzero(size > 0), 0
+    while len(live):
+        rest = size[live] - done
+        a, b = (x[at[live] + done].view("<u8")[:, 0] for x, at in zip(eight, (at_one, at_two), strict=True))
+        other = ((a ^ b) & _TAIL[np.minimum(rest, 8)]) != 0
+        same[live[other]] = False
+        live, done = live[~other & (rest > 8)], done + 8
+    return same
+
+
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each run of n, one run after the other."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def binary_array(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())

@@ -5,18 +5,22 @@ For a query at distance d from a pivot, a vector in an annulus with distances [l
 away, by the triangle inequality; with the largest norm of the annulus that bounds its inner product with the query from above.
 
 Each query first opens the annuli of the highest bounds that together hold enough vectors, which gives it a threshold: its
-k-th best score so far. It then opens, in the order of the bounds, only annuli that could still reach the threshold, and
-stops. Annuli are cut into blocks, so that an annulus of any size spreads over tasks; all arithmetic is on integers.
+k-th best score so far. It then opens only annuli that could still reach the threshold. Inside one, vectors lie in the
+order of their distances, and only those between the two distances that the threshold allows are scored. Annuli are cut
+into blocks, so that an annulus of any size spreads over tasks; all arithmetic that decides a score is on integers.
 
-Edge cases: null vectors and vectors with null or non-finite components take no part, nor do null ids; vectors of another
-length than most of the sample's take no part, empty ones never do; fewer candidates than k give all; ties go to the smaller id; an id that
+How much the bounds skip depends on the data: nearly all where vectors lie in clusters, nothing where they point in
+random directions of many dimensions, whose distances all are alike. Results are exact either way.
+
+Edge cases: null vectors, empty ones and vectors with null or non-finite components take no part, nor do null ids; vectors of
+each length are searched among their own; fewer candidates than k give all; ties go to the smaller id; an id that
 repeats is a candidate each time, but never its own query's; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,39 +29,44 @@ from pyspark.sql import functions as F
 
 from strandgraph.llm.shared import binary_array, materialise
 
-PIVOTS, RINGS, SAMPLE = 32, 8, 4096
+#: Pivots for few and for many vectors, rings of each, and the rows among which pivots are chosen; none changes a result.
+PIVOTS, PIVOTS_MOST, RINGS, SAMPLE = 32, 256, 8, 4096
 #: Vectors in a block of an annulus.
 BLOCK = 4096
+NO_LIMIT = -(1 << 62)
 
 
 def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v): components turned into floor(scale * x); rows with anything else than finite numbers are left out."""
     x = F.transform("embedding", lambda e: F.floor(e.cast("double") * scale))
     fine = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long"), x.alias("v"))
-
-
-def choose_pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
-    """Pivots by repeatedly taking the point of a bounded sample that is farthest from those taken."""
-    # the dealt-out sample is bounded by SAMPLE rows; any pivots give exact results
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()["v"].to_pylist()
-    lengths = Counter(len(r) for r in rows if len(r))
-    if not lengths:
-        return np.zeros((0, 0))
-    width = max(lengths, key=lambda n: (lengths[n], n))
-    x = np.array([r for r in rows if len(r) == width], float)
+    kept = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.coalesce(fine, F.lit(False)))
+    return kept.select(F.col("vec_id").cast("long"), x.alias("v"))
+
+
+def pivot_count(n: int) -> int:
+    """More pivots for more vectors, so that annuli stay few beside them."""
+    return int(np.clip(np.sqrt(n) / 8, PIVOTS, PIVOTS_MOST))
+
+
+def choose_pivots(vectors: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n pivots, by repeatedly taking the point of a bounded sample that is farthest from those taken, and the bounds
+    of each one's rings, by the quantiles of its own share of the sample."""
+    x = np.array(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()["v"].to_pylist(), float)
     taken = [int(((x - x.mean(0)) ** 2).sum(1).argmin())]
     far = ((x - x[taken[0]]) ** 2).sum(1)
     while len(taken) < min(n, len(x)) and far.max() > 0:
         taken.append(int(far.argmax()))
         far = np.minimum(far, ((x - x[taken[-1]]) ** 2).sum(1))
-    return x[taken]
+    pivots = x[taken]
+    d = distances(x, pivots)
+    own, near = d.argmin(1), d.min(1)
+    share = np.arange(1, RINGS) / RINGS
+    return pivots, np.array([np.quantile(near[own == p], share) if (own == p).any() else np.quantile(near, share) for p in range(len(pivots))])
 
 
-def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the wanted width as a matrix, and which rows these are."""
-    kept = np.flatnonzero(np.diff(column.offsets.to_numpy()) == width)
-    return column.take(pa.array(kept)).flatten().to_numpy(zero_copy_only=False).reshape(len(kept), width), kept
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -65,52 +74,74 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def index(vectors: DataFrame, pivots: np.ndarray, edges: np.ndarray) -> DataFrame:
-    """(vec_id, pivot, ring, distance, norm, v) of every vector; ring counts the edges below the distance."""
+    """(vec_id, pivot, ring, distance, norm, v) of every vector; ring counts its pivot's bounds below the distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, kept = _matrix(b.column(1), pivots.shape[1])
-            if len(kept):
-                d = distances(x.astype(float), pivots)
-                own = d.argmin(1)
-                near = d[np.arange(len(x)), own]
-                packed = x.astype("<i8")
-                cols = [b.column(0).take(pa.array(kept)), pa.array(own.astype(np.int32)), pa.array(np.searchsorted(edges, near).astype(np.int32)), pa.array(near), pa.array((x.astype(float) ** 2).sum(1))]
-                yield pa.RecordBatch.from_arrays([*cols, binary_array([r.tobytes() for r in packed])], ["vec_id", "pivot", "ring", "distance", "norm", "v"])
+            x = _matrix(b.column(1), pivots.shape[1])
+            d = distances(x.astype(float), pivots)
+            own = d.argmin(1)
+            near = d[np.arange(len(x)), own]
+            cols = [b.column(0), pa.array(own.astype(np.int32)), pa.array((edges[own] < near[:, None]).sum(1).astype(np.int32)), pa.array(near), pa.array((x.astype(float) ** 2).sum(1))]
+            yield pa.RecordBatch.from_arrays([*cols, binary_array([r.tobytes() for r in x.astype("<i8")])], ["vec_id", "pivot", "ring", "distance", "norm", "v"])
 
     return vectors.mapInArrow(run, "vec_id long, pivot int, ring int, distance double, norm double, v binary")
 
 
+class Block:
+    """Vectors of an annulus in the order of their distance to the pivot."""
+
+    def __init__(self, ids: list[int], distance: list[float], norm: list[float], rows: list[bytes], width: int) -> None:
+        self.ids, self.distance, self.norm = np.array(ids, np.int64), np.array(distance), max(norm, default=0.0)
+        self.x = np.frombuffer(b"".join(rows), "<i8").reshape(len(rows), width).astype(float)
+        self.largest = np.abs(self.x).max(initial=0)
+
+    def best(self, names: np.ndarray, least: np.ndarray, apart: np.ndarray, q: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], int]:
+        """Each query's k best that reach its threshold, and how many vectors were scored.
+
+        A score of at least t puts a vector within sqrt(|q|^2 + norm - 2 t) of the query, and its distance to the pivot
+        within that of the query's.
+        """
+        reach = np.sqrt(np.maximum(0, (q**2).sum(1) + self.norm - 2 * least.astype(float)))
+        slack = 1e-6 * (1 + apart + reach)
+        lo, hi = np.searchsorted(self.distance, apart - reach - slack), np.searchsorted(self.distance, apart + reach + slack, side="right")
+        a, b = int(lo.min()), int(hi.max())
+        x, ids = self.x[a:b], self.ids[a:b]
+        whole = np.abs(q).max(initial=0) * self.largest * q.shape[1] < 2**52
+        scores = np.rint(q @ x.T).astype(np.int64) if whole else q.astype(np.int64) @ x.astype(np.int64).T
+        out = []
+        for name, limit, s in zip(names.tolist(), least.tolist(), scores, strict=True):
+            at = np.flatnonzero((s >= limit) & (ids != name))
+            if len(at) > k:
+                floor = np.partition(s[at], len(at) - k)[len(at) - k]
+                at = at[s[at] >= floor]
+                at = at[np.lexsort((ids[at], -s[at]))[:k]]
+            out.append((np.full(len(at), name), ids[at], s[at]))
+        return out, (b - a) * len(q)
+
+
 def _score(members: DataFrame, asked: DataFrame, width: int, k: int) -> DataFrame:
     """(query_id, vec_id, score): of each query in each block, its k best that reach the query's threshold.
 
     Rows stream through sorted partitions, a block's members before its queries; a task holds one block.
     """
-    head: list[Column] = [F.col(c) for c in ("pivot", "ring", "block", "part")]
-    rows = members.select(*head, F.lit(0).alias("side"), "vec_id", F.lit(0).cast("long").alias("least"), "v").unionByName(
-        asked.select(*head, F.lit(1).alias("side"), "vec_id", "least", "v")
+    head: list[Column] = [F.col(c) for c in ("pivot", "ring", "block")]
+    rows = members.select(*head, F.lit(0).alias("side"), "vec_id", F.lit(0).cast("long").alias("least"), "distance", "norm", "v").unionByName(
+        asked.select(*head, F.lit(1).alias("side"), "vec_id", "least", "distance", F.lit(0.0).alias("norm"), "v")
     )
-    ordered = rows.repartition(*head).sortWithinPartitions(*head, "side", "vec_id")
-
-    def best(queries: list[tuple[int, int, bytes]], ids: np.ndarray, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        q = np.frombuffer(b"".join(v for _, _, v in queries), "<i8").reshape(len(queries), width).astype(float)
-        scores = np.rint(q @ block.T).astype(np.int64) if np.abs(q).max(initial=0) * np.abs(block).max(initial=0) * width < 2**52 else q.astype(np.int64) @ block.astype(np.int64).T
-        for (name, least, _), s in zip(queries, scores, strict=True):
-            at = np.flatnonzero((s >= least) & (ids != name))
-            if len(at) > k:
-                floor = np.partition(s[at], len(at) - k)[len(at) - k]
-                at = at[s[at] >= floor]
-                at = at[np.lexsort((ids[at], -s[at]))[:k]]
-            yield np.full(len(at), name), ids[at], s[at]
+    ordered = rows.repartition(*head).sortWithinPartitions(*head, "side", "distance")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, ids, parts, block, waiting = None, [], [], None, []
+        cell, held, block, waiting = None, [], None, []
 
         def flush() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             nonlocal block, waiting
-            if block is None:
-                block = np.frombuffer(b"".join(parts), "<i8").reshape(len(parts), width).astype(float)
-            out = list(best(waiting, np.array(ids, np.int64), block)) if waiting and len(parts) else []
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            if waiting and held:
+                block = block or Block(*(list(c) for c in zip(*held, strict=True)), width)
+                names, least, apart, rows = zip(*waiting, strict=True)
+                q = np.frombuffer(b"".join(rows), "<i8").reshape(len(rows), width).astype(float)
+                out, _ = block.best(np.array(names), np.array(least), np.array(apart), q, k)
             waiting = []
             return out
 
@@ -120,15 +151,14 @@ def _score(members: DataFrame, asked: DataFrame, width: int, k: int) -> DataFram
 
         for b in batches:
             out = []
-            for *key, side, name, least, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *key, side, name, least, distance, norm, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != cell:
                     out += flush()
-                    cell, ids, parts, block = key, [], [], None
+                    cell, held, block = key, [], None
                 if side == 0:
-                    ids.append(name)
-                    parts.append(v)
+                    held.append((name, distance, norm, v))
                 else:
-                    waiting.append((name, least, v))
+                    waiting.append((name, least, distance, v))
                     if len(waiting) >= 256:
                         out += flush()
             yield emit(out)
@@ -143,56 +173,68 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+class Annuli:
+    """What bounds a query's scores in each annulus: at most PIVOTS_MOST * RINGS rows, whatever the number of vectors."""
+
+    def __init__(self, placed: DataFrame, pivots: np.ndarray) -> None:
+        stats = placed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.max("norm").alias("norm"))
+        got = stats.orderBy("pivot", "ring").toArrow().to_pydict()
+        self.pivot, self.ring, self.n = (np.array(got[c]) for c in ("pivot", "ring", "n"))
+        self.lo, self.hi, self.norm = (np.array(got[c]) for c in ("lo", "hi", "norm"))
+        self.pivots, self.blocks = pivots, np.maximum(1, -(-self.n // BLOCK))
+
+    def visits(self, x: np.ndarray, least: np.ndarray, first: bool, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, annulus, distance to its pivot) of the annuli that queries open: at first those of the highest bounds,
+        then all others that could reach the query's threshold."""
+        d = distances(x, self.pivots)[:, self.pivot]
+        square = (x**2).sum(1)[:, None]
+        # beyond what rounding can do to distances and norms
+        apart = np.maximum(0, np.maximum(d - self.hi, self.lo - d) - 1e-6 * (1 + d) - 1e-7 * np.sqrt(square + self.norm))
+        bound = (square + self.norm - apart**2) / 2 + 1e-6 * (1 + self.norm) + 1e-9 * square
+        order = np.argsort(-bound, axis=1, kind="stable")
+        before = np.cumsum(self.n[order], axis=1) - self.n[order]
+        seeded = np.zeros(bound.shape, bool)
+        np.put_along_axis(seeded, order, before <= 4 * k, axis=1)
+        q, c = np.nonzero(seeded if first else ~seeded & (bound >= least[:, None]))
+        return q, c, d[q, c]
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the exact k best of every query among all other rows."""
-    spark, whole = vectors.sparkSession, integers(vectors)
-    pivots = choose_pivots(whole)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not len(pivots):
-        return empty
-    width = pivots.shape[1]
-    sample = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()["v"].to_pylist()
-    near = distances(np.array([r for r in sample if len(r) == width], float), pivots).min(1)
-    edges = np.unique(np.quantile(near, np.arange(1, RINGS) / RINGS))
+    whole = integers(vectors)
+    lengths = whole.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy("width").collect()
+    parts = [_top_k(whole.where(F.size("v") == r["width"]), is_query, k, r["width"], r["n"]) for r in lengths]
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _top_k(whole: DataFrame, is_query: Column, k: int, width: int, count: int) -> DataFrame:
+    """The same for vectors of one length."""
+    pivots, edges = choose_pivots(whole, pivot_count(count))
     placed = materialise(index(whole, pivots, edges), "index")
-    # one row for each annulus: PIVOTS * RINGS at most, whatever the number of vectors
-    stats = placed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.max("norm").alias("norm")).orderBy("pivot", "ring").toArrow().to_pydict()
-    pivot, ring, n, lo, hi, norm = (np.array(stats[c]) for c in ("pivot", "ring", "n", "lo", "hi", "norm"))
-    if not len(n):
-        return empty
-    blocks = np.maximum(1, -(-n // BLOCK))
+    annuli = Annuli(placed, pivots)
 
     def visits(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, least = b.column(0), b.column(2).to_numpy(zero_copy_only=False)
+            least = b.column(2).to_numpy(zero_copy_only=False)
             x = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i8").reshape(b.num_rows, width).astype(float)
-            d = distances(x, pivots)[:, pivot]
-            square = (x**2).sum(1)[:, None]
-            # beyond what rounding can do to distances and norms
-            apart = np.maximum(0, np.maximum(d - hi, lo - d) - 1e-6 * (1 + d) - 1e-7 * np.sqrt(square + norm))
-            bound = (square + norm - apart**2) / 2 + 1e-6 * (1 + norm) + 1e-9 * square
-            order = np.argsort(-bound, axis=1, kind="stable")
-            before = np.cumsum(n[order], axis=1) - n[order]
-            seeded = np.zeros(bound.shape, bool)
-            np.put_along_axis(seeded, order, before <= 4 * k, axis=1)
-            go = seeded if first else ~seeded & (bound >= least[:, None])
-            q, c = np.nonzero(go)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), b.column(1).take(pa.array(q)), pa.array(least[q]), pa.array(pivot[c].astype(np.int32)), pa.array(ring[c].astype(np.int32))], ["vec_id", "v", "least", "pivot", "ring"])
-
-    sizes = spark.createDataFrame([(int(p), int(r), int(b)) for p, r, b in zip(pivot, ring, blocks, strict=True)], "pivot int, ring int, blocks int")
+            q, c, d = annuli.visits(x, least, first, k)
+            at = [pa.array(a[c].astype(np.int32)) for a in (annuli.pivot, annuli.ring)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(q)), b.column(1).take(pa.array(q)), pa.array(least[q]), *at, pa.array(d)], ["vec_id", "v", "least", "pivot", "ring", "distance"])
+
+    rows = [(int(p), int(r), int(b)) for p, r, b in zip(annuli.pivot, annuli.ring, annuli.blocks, strict=True)]
+    sizes = whole.sparkSession.createDataFrame(rows, "pivot int, ring int, blocks int")
     members = placed.join(F.broadcast(sizes), ["pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int"))
-    schema = "vec_id long, v binary, least long, pivot int, ring int"
+    schema = "vec_id long, v binary, least long, pivot int, ring int, distance double"
 
     def scored(queries: DataFrame, first: bool) -> DataFrame:
         asked = queries.mapInArrow(lambda batches: visits(batches, first), schema).join(F.broadcast(sizes), ["pivot", "ring"])
-        asked = asked.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-        asked, held = (x.withColumn("part", F.lit(0)) for x in (asked, members))
-        return _score(held, asked, width, k)
+        return _score(members, asked.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))), width, k)
 
-    least_possible = -(1 << 62)
-    queries = placed.where(is_query).select("vec_id", "v", F.lit(least_possible).cast("long").alias("least"))
+    queries = placed.where(is_query).select("vec_id", "v", F.lit(NO_LIMIT).cast("long").alias("least"))
     seeds = materialise(_best(scored(queries, True), k), "seeds")
     limits = seeds.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reached"))
-    limited = queries.join(limits, "vec_id", "left").select("vec_id", "v", F.coalesce("reached", F.lit(least_possible)).alias("least"))
+    limited = queries.join(limits, "vec_id", "left").select("vec_id", "v", F.coalesce("reached", F.lit(NO_LIMIT)).alias("least"))
     rest = scored(limited, False)
     return _best(seeds.select("query_id", "vec_id", "score").unionByName(rest), k).select("query_id", "rank", "vec_id", "score")

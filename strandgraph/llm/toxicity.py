@@ -3,11 +3,14 @@
 Training, on a bounded sample of labelled documents: for every token (a word, and its first 4, 5 and 6 bytes as stems)
 count how often it stands in toxic and in other documents, each context once, so that copies add nothing. Tokens that lean
 to toxic documents beyond chance get as score their log-odds ratio under an informative Dirichlet prior; every
-other word gets the same small penalty.
+other word gets the same small penalty. All tokens that pass the test are kept; it asks for several occurrences of each, so
+their number is bounded by the words of the sample.
 
 Scoring, in one pass over each whole text: the linear-time scan for all maximal scoring segments, whose expected count by
-chance follows the extreme-value law E = K n exp(-lambda S). Significant segments are passages; the evidence of a
-document, summed over its passages, is calibrated to a probability.
+chance follows the extreme-value law E = K n exp(-lambda S). lambda solves the law's equation for the rate and the mean
+score of chance hits; K is fitted so that E gives the number of segments of at least a mean hit's score that the sample's
+other documents hold. Significant segments are passages; the evidence of a document, summed over its passages, is
+calibrated to a probability.
 
 Edge cases: null or empty text has no segment and gets the score of no evidence; null ids keep their row, not held
 out; repeated rows are scored row by row; without labels of both classes every score is 0.5; further columns are not
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from strandgraph.llm.labelled import fold, labelled_sample, logistic, platt
 from strandgraph.llm.shared import ALNUM, TextBatch, hash_spans, materialise, mix64
 
-#: At most so many labelled documents are fitted on, and so many tokens kept, the most significant first.
-SAMPLE, TOKENS = 20_000, 50_000
+#: At most so many labelled documents are fitted on.
+SAMPLE = 20_000
 FOLDS, HELD_OUT = 5, 0
 STEMS = (4, 5, 6)
 #: Words' worth of prior; occurrences in toxic documents, and surplus of the test (in nats), from which a token is toxic.
@@ -102,8 +105,8 @@ def segments(at: np.ndarray, weights: np.ndarray, penalty: float) -> list[tuple[
     return [(int(a), int(b), r - l) for a, b, l, r, _ in stack]
 
 
-def scan(column: pa.Array | pa.ChunkedArray, lexicon: Lexicon) -> Iterator[tuple[int, list[tuple[int, int, float]], np.ndarray, np.ndarray]]:
-    """For each text: its number of words, its segments by word, and the words' bounds."""
+def weighed(column: pa.Array | pa.ChunkedArray, lexicon: Lexicon) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text: its number of words, the places and weights of the words that score, and all words' bounds."""
     batch = TextBatch(column)
     for lo, hi, n_words, words, starts, ends in batch.words(ALNUM):
         weight = np.zeros(len(words))
@@ -113,9 +116,14 @@ def scan(column: pa.Array | pa.ChunkedArray, lexicon: Lexicon) -> Iterator[tuple
         first = np.cumsum(n_words) - n_words
         cut = np.searchsorted(hits, np.append(first, len(words)))
         for i in range(hi - lo):
-            own = hits[cut[i] : cut[i + 1]]
-            found = segments(own - first[i], weight[own], lexicon.penalty) if len(own) else []
-            yield int(n_words[i]), found, starts[first[i] : first[i] + n_words[i]] - batch.offsets[lo + i], ends[first[i] : first[i] + n_words[i]] - batch.offsets[lo + i]
+            own, a, z = hits[cut[i] : cut[i + 1]], int(first[i]), int(first[i] + n_words[i])
+            yield int(n_words[i]), own - a, weight[own], starts[a:z] - batch.offsets[lo + i], ends[a:z] - batch.offsets[lo + i]
+
+
+def scan(column: pa.Array | pa.ChunkedArray, lexicon: Lexicon) -> Iterator[tuple[int, list[tuple[int, int, float]], np.ndarray, np.ndarray]]:
+    """For each text: its number of words, its segments by word, and the words' bounds."""
+    for n, at, weight, starts, ends in weighed(column, lexicon):
+        yield n, segments(at, weight, lexicon.penalty) if len(at) else [], starts, ends
 
 
 def log_e(score: np.ndarray | float, n: int, lexicon: Lexicon) -> np.ndarray:
@@ -134,6 +142,9 @@ def _occurrences(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarra
     for lo, hi, n_words, words, starts, ends in text.words(ALNUM):
         row = np.repeat(np.arange(lo, hi), n_words)
         left, right = np.roll(words, 1), np.roll(words, -1)
+        # a text's first and last words have no neighbour beyond it
+        last = np.cumsum(n_words)[n_words > 0] - 1
+        left[last - n_words[n_words > 0] + 1] = right[last] = 0
         context = mix64(left * np.uint64(3) + words * np.uint64(5) + right * np.uint64(7))
         for h in token_hashes(text.data, words, starts, ends):
             used = np.flatnonzero(h)
@@ -172,9 +183,8 @@ def count_contexts(rows: DataFrame, keys: np.ndarray) -> DataFrame:
     return found.groupBy("h").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("other"))
 
 
-def significant(tokens: DataFrame, share: float, candidates: int, most: int) -> DataFrame:
-    """Tokens that are more than LEAN times as likely in toxic documents, beyond what chance would give one of ``candidates``
-    tokens; the clearest first.
+def significant(tokens: DataFrame, share: float, candidates: int) -> DataFrame:
+    """Tokens that are more than LEAN times as likely in toxic documents, beyond what chance would give one of ``candidates`` tokens.
 
     ``share`` of all words stand in toxic documents. The Chernoff bound of the binomial tail is the test.
     """
@@ -182,8 +192,7 @@ def significant(tokens: DataFrame, share: float, candidates: int, most: int) ->
     n = F.col("toxic") + F.col("other")
     a = F.col("toxic") / n
     bits = n * (a * F.log(a / F.lit(share)) + F.when(a < 1, (1 - a) * F.log((1 - a) / F.lit(1 - share))).otherwise(0.0))
-    lean = tokens.where(F.col("toxic") >= LEAST).where(a > share).withColumn("surplus", bits - float(np.log(max(candidates, 2))))
-    return lean.where(F.col("surplus") >= SURPLUS).orderBy(F.desc("surplus"), "h").limit(most)
+    return tokens.where(F.col("toxic") >= LEAST).where(a > share).where(bits - float(np.log(max(candidates, 2))) >= SURPLUS)
 
 
 def weigh(tokens: DataFrame, n_toxic: float, n_other: float) -> DataFrame:
@@ -193,6 +202,25 @@ def weigh(tokens: DataFrame, n_toxic: float, n_other: float) -> DataFrame:
     return tokens.select("h", (F.log(yes / (n_toxic + PRIOR - yes)) - F.log(no / (n_other + PRIOR - no))).alias("w")).where("w > 0")
 
 
+def penalty_of(q1: float, q0: float) -> float:
+    """What a word outside the lexicon costs: its log-odds for the other class, given the hit rates of toxic and of other words."""
+    return float(np.clip(-np.log((1 - min(q1, 0.99)) / (1 - min(q0, 0.98))), 0.01, 1.0))
+
+
+def rate_of(q0: float, weight: float, penalty: float) -> float:
+    """lambda: the positive root of q0 exp(lambda weight) + (1 - q0) exp(-lambda penalty) = 1, by bisection."""
+    low, high = 1e-6, 50.0 / max(weight, 1e-6)
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if q0 * np.exp(mid * weight) + (1 - q0) * np.exp(-mid * penalty) < 1 else (low, mid)
+    return low
+
+
+def scale_of(found: int, score: float, rate: float, n: int) -> float:
+    """K: with it the law gives ``found`` segments of at least ``score`` in n words of other documents."""
+    return float((found + 0.5) * np.exp(rate * score) / (n + 1))
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, parts: int = FOLDS, held_out: int = HELD_OUT) -> Lexicon | None:
     rows = materialise(labelled_sample(docs, labels, "toxic", parts, held_out, most), "toxic-sample")
     tokens = materialise(count_tokens(rows), "toxic-tokens")
@@ -200,8 +228,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, parts: int = F
     if not total["t"] or not total["o"]:
         return None
     share = total["t"] / (total["t"] + total["o"])
-    first = np.sort(significant(tokens, share, total["v"], 4 * TOKENS).select("h").toArrow()["h"].to_numpy().view(np.uint64))
-    clear = significant(count_contexts(rows, first), share, total["v"], TOKENS)
+    first = np.sort(significant(tokens, share, total["v"]).select("h").toArrow()["h"].to_numpy().view(np.uint64))
+    clear = significant(count_contexts(rows, first), share, total["v"])
     kept = weigh(clear, float(total["t"]), float(total["o"])).toArrow()
     keys, weights = kept["h"].to_numpy().view(np.uint64), kept["w"].to_numpy()
     order = np.argsort(keys)
@@ -210,29 +238,29 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, parts: int = F
     # how often the words of either class hit the lexicon, and how much each hit weighs
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label, n, hit, mean = b.column(0), [], [], []
-            for words, found, _, _ in scan(b.column(1), draft):
-                n.append(words)
-                hit.append(sum(e - s for s, e, _ in found))
-                mean.append(sum(x for _, _, x in found))
-            yield pa.RecordBatch.from_arrays([label, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(mean, pa.float64())], ["label", "n", "hit", "weight"])
+            got = [(n, len(w), float(w.sum())) for n, _, w, _, _ in weighed(b.column(1), draft)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64())))], ["label", "n", "hit", "weight"])
 
     r = {x["label"]: x for x in rows.mapInArrow(hits, "label int, n long, hit long, weight double").groupBy("label").agg(*(F.sum(c).alias(c) for c in ("n", "hit", "weight"))).collect()}
     q1, q0 = ((r[k]["hit"] + 0.5) / (r[k]["n"] + 1.0) for k in (1, 0))
-    penalty = float(np.clip(-np.log((1 - min(q1, 0.99)) / (1 - min(q0, 0.98))), 0.01, 1.0))
     weight = (r[0]["weight"] + r[1]["weight"]) / max(1, r[0]["hit"] + r[1]["hit"]) or 1.0
-    # lambda: the positive root of q0 exp(lambda w) + (1 - q0) exp(-lambda penalty) = 1, by bisection
-    low, high = 1e-6, 50.0 / max(weight, 1e-6)
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if q0 * np.exp(mid * weight) + (1 - q0) * np.exp(-mid * penalty) < 1 else (low, mid)
-    model = Lexicon(draft.keys, draft.weights, penalty, low, float(q0))
+    penalty = penalty_of(q1, q0)
+    chance = Lexicon(draft.keys, draft.weights, penalty, rate_of(q0, weight, penalty), 1.0)
+
+    # what the extreme-value law is fitted to: chance segments of a mean hit's score and more
+    def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [sum(s >= weight for _, _, s in f) for _, f, _, _ in scan(b.column(1), chance)]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
+
+    by_chance = rows.where("label = 0").mapInArrow(chances, "n long").agg(F.sum("n")).first()[0] or 0
+    model = Lexicon(chance.keys, chance.weights, penalty, chance.rate, scale_of(by_chance, weight, chance.rate, r[0]["n"]))
 
-    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def evidences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([evidence(n, f, model) for n, f, _, _ in scan(b.column(1), model)], pa.float64())], ["label", "x"])
 
-    seen = rows.mapInArrow(weighed, "label int, x double").toArrow()
+    seen = rows.mapInArrow(evidences, "label int, x double").toArrow()
     slope, intercept = platt(np.log1p(seen["x"].to_numpy()), seen["label"].to_numpy())
     return Lexicon(model.keys, model.weights, model.penalty, model.rate, model.scale, slope, intercept)
 

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,49 @@ def test_top_k_of_odd_lengths_and_large_components(spark):
     assert {tuple(r) for r in got.collect()} == brute_top(rows, lambda i: i % 10 == 0, 5)
 
 
+def test_each_length_among_its_own(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=3 + i % 3)]) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    want = set()
+    for size in (3, 4, 5):
+        want |= brute_top([r for r in rows if len(r[1]) == size], lambda i: i % 10 == 0, 5)
+    assert {tuple(r) for r in topk.top_k(table, F.col("vec_id") % 10 == 0, 5).collect()} == want
+
+
+def test_bounds_skip_annuli_and_vectors_of_clusters():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(32, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = np.floor(256 * (centres[np.arange(6400) % 32] + 0.02 * rng.normal(size=(6400, 16))))
+    pivots = np.floor(256 * centres)
+    d = topk.distances(x, pivots)
+    own, near = d.argmin(1), d.min(1)
+    ring = (near[:, None] > np.quantile(near, np.arange(1, 8) / 8)).sum(1)
+    a = topk.Annuli.__new__(topk.Annuli)
+    cells = sorted(set(zip(own.tolist(), ring.tolist())))
+    parts = [np.flatnonzero((own == p) & (ring == r)) for p, r in cells]
+    norm = (x**2).sum(1)
+    a.pivots, a.pivot = pivots, np.array([p for p, _ in cells])
+    a.n, a.lo, a.hi, a.norm = (np.array([f(m) for m in parts]) for f in (len, lambda m: near[m].min(), lambda m: near[m].max(), lambda m: norm[m].max()))
+    q = x[:64]
+    least = np.sort(q @ x.T, axis=1)[:, -6].astype(np.int64)
+    seeds, rest = a.visits(q, least, True, 5), a.visits(q, least, False, 5)
+    opened = set(zip(np.r_[seeds[0], rest[0]].tolist(), np.r_[seeds[1], rest[1]].tolist()))
+    assert len(opened) < 0.3 * 64 * len(cells)
+    for i in range(64):  # nothing that reaches the threshold lies elsewhere
+        assert {cells.index((own[j], ring[j])) for j in np.flatnonzero(q[i] @ x.T >= least[i])} <= {c for n, c in opened if n == i}
+    total = 0
+    for p in range(32):
+        m = np.flatnonzero(own == p)
+        m = m[np.argsort(near[m])]
+        block = topk.Block(m.tolist(), near[m].tolist(), norm[m].tolist(), [r.tobytes() for r in x[m].astype("<i8")], 16)
+        out, scored = block.best(np.array([-1]), least[:1], d[:1, p], q[:1], 10**6)
+        assert set(out[0][1].tolist()) == {j for j in m.tolist() if q[0] @ x[j] >= least[0]}
+        total += scored
+    assert total < 0.2 * len(x)
+
+
 def test_common_prefix_and_masks(spark):
     turn = "array<struct<role:string,text:string>>"
     shared = [("user", "hi"), ("assistant", "hello")]
@@ -98,16 +142,43 @@ def test_derived_records_link_to_their_response(spark):
     for r in got:
         assert r.block_digest == "sha256:" + hashlib.sha256(r.block.encode()).hexdigest() and r.content_length == len(r.block.encode())
         assert r.payload_digest == "sha256:" + hashlib.sha256(payloads[r.refers_to].encode()).hexdigest()
-        assert f"WARC-Refers-To: {r.refers_to}\r\n" in r.header and f"WARC-Type: {r.record_type}\r\n" in r.header and "WARC-Date" not in r.header
+        assert f"WARC-Refers-To: {r.refers_to}\r\n" in r.header and f"WARC-Type: {r.record_type}\r\n" in r.header and f"WARC-Date: {warc.UNDATED}\r\n" in r.header and r.date == warc.UNDATED
     one = {r.record_type: r for r in got if r.target_uri == "http://a/"}
     assert one["conversion"].block == "A & B\nOne two\nLink\nü <end>"
     assert one["metadata"].block == f"title: A & B\r\nsource-Content-Type: text/html; charset=utf-8\r\nsource-Content-Length: {len(PAGE.encode())}\r\noutlink: /l?a=1&b=2 L a/@href\r\n"
     assert len({r.record_id for r in got}) == 2 * (len(rows) - 1)
     dated = source.withColumn("date", F.lit("2024-01-01T00:00:00Z"))
     assert all("WARC-Date: 2024-01-01T00:00:00Z\r\n" in r.header for r in warc.derive(dated).collect())
+    named = warc.responses(pages, F.lit("2025-02-03T04:05:06Z"))
+    assert {r.date for r in warc.derive(named).collect()} == {"2025-02-03T04:05:06Z"}
+    assert {r.date for r in warc.derive(source, "2026-01-01T00:00:00Z").collect()} == {"2026-01-01T00:00:00Z"}
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def records_of(spark, *pages):
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.col("page_id").cast("string"))
+    return {(int(r.target_uri), r.record_type): r.block for r in warc.derive(warc.responses(rows)).collect()}
+
+
+def test_entities_and_links(spark):
+    text = "a&#8217;b &mdash; &#x1F600;&#65279;| &amp;lt; &nope; &#0; &#xD800; &#1114112; &#150; &eacute;&Eacute; x & y &#; &amp &copy;&"
+    links = "<a href='/one'>1</a><A class=x HREF = /two>2</A><a data-href='/no' href=\"/t?a=1&amp;b=&#50;&#10;\">3</a><a name=x>4</a><!-- <a href='/hidden'> --><abbr href=/no>"
+    got = records_of(spark, text, links, "<title>T &lt; <b>U</b></title><script>x", "<!-- <title>no</title> --><p>a<!-- b", "<title>open")
+    want = "a\u2019b \u2014 \U0001f600\ufeff| &lt; &nope; \ufffd \ufffd \ufffd \u2013 éÉ x & y &#; &amp ©&"
+    assert got[0, "conversion"] == want
+    found = [x.removesuffix(" L a/@href") for x in got[1, "metadata"].split("\r\n") if x.startswith("outlink: ")]
+    assert found == ["outlink: /one", "outlink: /two", "outlink: /t?a=1&b=2"]
+    assert got[2, "metadata"].startswith("title: T < U\r\n") and got[2, "conversion"] == "T < U"
+    assert got[3, "conversion"] == "a" and got[3, "metadata"].startswith("title: \r\n") and got[4, "metadata"].startswith("title: open\r\n")
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<", "<!--", "<script ", "<title>", "</script ", "<a href=", "<a href='", "& ", "&#1", " \n", "<p ", "<a href ", "<title"])
+def test_hostile_pages_cost_linear_time(spark, piece):
+    began = time.perf_counter()
+    got = records_of(spark, piece * (5_000_000 // len(piece)))
+    assert len(got) == 2 and time.perf_counter() - began < 60
+
+
 def test_random_pages_survive(spark):
     r = random.Random(4)
     bits = ["<", ">", "<a href=\"", "\"", "</title>", "<title>", "<script>", "</script>", "<!--", "-->", "&amp;", "&lt;", " ", "\n", "x", "é"]

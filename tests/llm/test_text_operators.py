@@ -1,7 +1,9 @@
 import hashlib
+import pickle
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -247,20 +249,39 @@ def brute_hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 25, 60])
-def test_decontamination_matches_brute_force(spark, block_bytes, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", block_bytes)
+@pytest.mark.parametrize("block_words", [1 << 19, 40])
+def test_decontamination_matches_brute_force(spark, block_words, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(decontam, "TOGETHER", 3)
     r = random.Random(5)
     items = [(i, " ".join(r.choice("a b c".split()) for _ in range(r.randint(0, 14)))) for i in range(12)]
     items += [(100, BASE), (101, None), (None, "two words"), (3, "Two  WORDS"), (102, "a")]
     rows = TEXTS + [(200 + i, " ".join(r.choice("a b c d".split()) for _ in range(60))) for i in range(30)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id long, text string, block string, size int")
     got = sorted((str(x.doc_id), x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in decontam.report(documents(spark, rows), bench).collect())
     assert got == sorted((str(i), *brute_hits(t, items)) for i, t in rows)
     kept = decontam.keep_clean(documents(spark, rows), bench)
     assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(str(i) for i, t in rows if not brute_hits(t, items)[4])
 
 
+def test_tables_of_a_large_benchmark_are_small():
+    rng = np.random.default_rng(3)
+    letters = rng.integers(97, 123, 4 << 20).astype(np.uint8)
+    gaps = np.cumsum(rng.integers(3, 10, 700_000))
+    letters[gaps[gaps < len(letters)]] = 32
+    cut = np.linspace(0, len(letters), 20_001).astype(int)
+    texts = pa.array([letters[a:b].tobytes().decode() for a, b in zip(cut[:-1], cut[1:])])
+    ids = pa.array([str(i) for i in range(len(texts))])
+    tracemalloc.start()
+    block = decontam.build(ids, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(p.at) for p in block.patterns) > 450_000
+    assert peak < 200 << 20 and len(pickle.dumps(block, protocol=5)) < 60 << 20
+    found = decontam.scan(pa.array([texts[5].as_py() + " and " + texts[9].as_py(), "nothing of it"]), block)
+    assert {block.names[i] for _, i in found.items.tolist()} == {"5", "9"} and set(found.runs[:, 0].tolist()) == {0}
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {x.n_hit for x in decontam.report(documents(spark), none).collect()} == {0}
