@@ -167,7 +167,7 @@ def build_trees(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = docs.select("doc_id", "text", *extra).mapInArrow(run, f"doc_id {kind}, text string, " + f"edits {EDITS}, " * len(extra) + "n_tokens long, tree binary")
-    return materialise(made, "trees")
+    return materialise(made, "trees", "zstd")
 
 
 def _raw(column: pa.Array) -> list[memoryview]:
