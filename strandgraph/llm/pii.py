@@ -19,15 +19,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandgraph.llm.shared import materialise
+
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 #: Potential of a skip edge between equal labels, and bounds of the learned potentials (in nats).
@@ -199,22 +200,41 @@ def beliefs(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray) -> np.
     return p / p.sum(1, keepdims=True)
 
 
-def learn(docs: DataFrame) -> Field:
-    """Potentials from the counts of all documents. The tables have one row for each shape and label pair seen, a few dozen."""
+_BASE = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+_NODES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.int32()), ("token", pa.string()), ("shape", pa.string())]))
+_FOUND = "base array<struct<kind:int,start:int,end:int>>, nodes array<struct<start:int,end:int,label:int,token:string,shape:string>>"
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, base spans and nodes of every row: the one pass that reads texts. Tokens are told apart by a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[tuple[str, int, int]] = Counter()
         for b in batches:
-            for text in b.column(0).to_pylist():
-                if text:
-                    found = nodes(text, base_spans(text))
-                    seen.update((x.shape, x.label, -1) for x in found)
-                    seen.update(("", x.label, y.label) for x, y in zip(found[:-1], found[1:], strict=True) if y.start - x.end <= REACH)
-        if seen:
-            shape, one, two = zip(*seen, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(shape), pa.array(one, pa.int32()), pa.array(two, pa.int32()), pa.array(list(seen.values()), pa.int64())], ["shape", "one", "two", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "shape string, one int, two int, n long").groupBy("shape", "one", "two").agg(F.sum("n").alias("n")).collect()
+            base, every = [], []
+            for text in b.column(1).to_pylist():
+                spans = base_spans(text) if text else []
+                base.append([{"kind": k, "start": a, "end": z} for k, a, z in spans])
+                every.append([{"start": x.start, "end": x.end, "label": x.label, "token": hashlib.blake2b(x.token.encode(), digest_size=12).hexdigest(), "shape": x.shape} for x in nodes(text, spans)] if text else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, _BASE), pa.array(every, _NODES)], ["doc_id", "base", "nodes"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_FOUND}")
+
+
+def learn(docs: DataFrame) -> Field:
+    return learn_from(find(docs))
+
+
+def learn_from(found: DataFrame) -> Field:
+    """Potentials from the counts of all documents. The tables have one row for each shape and label pair seen, a few dozen."""
+    here, after = F.col("nodes"), F.expr("slice(nodes, 2, size(nodes))")
+    alone = F.transform(here, lambda x: F.struct(x["shape"].alias("shape"), x["label"].alias("one"), F.lit(-1).alias("two")))
+
+    def neighbours(x: Column, y: Column) -> Column:
+        return F.when(y["start"] - x["end"] <= REACH, F.struct(F.lit("").alias("shape"), x["label"].alias("one"), y["label"].alias("two")))
+
+    rows = found.where(F.size("nodes") > 0).select(F.explode(F.concat(alone, F.filter(F.zip_with(here, after, neighbours), lambda p: p.isNotNull()))).alias("c"))
+    counts = rows.groupBy("c.shape", "c.one", "c.two").agg(F.count("*").alias("n")).collect()
     k = OTHER + 1
     shapes: dict[str, np.ndarray] = {}
     pairs = np.ones((k, k))
@@ -241,22 +261,24 @@ def written(spans: list[Span]) -> str:
 
 def detect(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, base counts of each kind, base_sha256, spans as text, and how many the field added."""
-    told = docs.sparkSession.sparkContext.broadcast(field or learn(docs))
+    found = materialise(find(docs), "nodes")
+    told = docs.sparkSession.sparkContext.broadcast(field or learn_from(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, digests, spans, more = [], [], [], []
-            for text in b.column(1).to_pylist():
-                base, every = all_spans(text, told.value)
+            for given, every in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                base = [(x["kind"], x["start"], x["end"]) for x in given]
+                added = told.value.added([Node(**x) for x in every])
                 counts.append([sum(s[0] == k for s in base) for k in range(OTHER)])
                 digests.append(hashlib.sha256(written(base).encode()).hexdigest())
-                spans.append(written(every))
-                more.append(len(every) - len(base))
+                spans.append(written(sorted(base + added)))
+                more.append(len(added))
             cols = [pa.array([c[k] for c in counts], pa.int64()) for k in range(OTHER)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(more, pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")
+    return found.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")
 
 
 def redacted(text: str | None, field: Field) -> str | None:

@@ -118,6 +118,15 @@ def test_common_prefix_and_masks(spark):
     assert [by[None].chosen[s.start : s.end] for s in by[None].chosen_mask] == ["ä日<|im_end|>\n"]
 
 
+def test_a_turn_of_millions_of_letters(spark):
+    turn = "array<struct<role:string,text:string>>"
+    text = "word " * 600_000
+    table = spark.createDataFrame([(1, [("user", text), ("assistant", text)], [("user", text), ("assistant", text + "!")])], f"pair_id long, chosen {turn}, rejected {turn}")
+    (row,) = chat.format_pairs(table).collect()
+    assert row.n_common == 1 and len(row.prompt) > len(text)
+    assert [row.rejected[s.start : s.end] for s in row.rejected_mask] == [text + "!<|im_end|>\n"]
+
+
 def test_swapped_answers(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (2, 1, "assistant", "d"), (2, 2, "user", "e"), (3, 0, "user", "f"), (1, 1, "assistant", "b"), (None, None, None, None)]
     table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, last string").repartition(3)

@@ -34,6 +34,26 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "packing"]
 
 
+def written(folder, rows, marks, items):
+    pq.write_table(pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string()), "lang": pa.array(["en"] * len(rows), pa.string()), "source": pa.array(["s"] * len(rows), pa.string()), "n_chars": pa.array([len(t or "") for _, t in rows], pa.int64())}), folder / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array([m[0] for m in marks], pa.int64()), "quality": pa.array([m[1] for m in marks], pa.int32()), "toxic": pa.array([None] * len(marks), pa.int32()), "text": pa.array(["x"] * len(marks), pa.string()), "label": pa.array([9] * len(marks), pa.int32())}), folder / "labels.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([i for i, _ in items], pa.int64()), "text": pa.array([t for _, t in items], pa.string()), "doc_id": pa.array([0] * len(items), pa.int64())}), folder / "benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_of_nulls_repeats_and_nothing(spark, tmp_path):
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "none").mkdir()
+    item = " ".join(f"bench{i}" for i in range(12))
+    text = " ".join(f"plain{i}" for i in range(30))
+    rows = [(1, text), (1, text), (2, text + " more"), (2, "another text of the same id with me@x.org in it"), (3, None), (3, None), (4, ""), (None, text), (None, "a row without an id"), (5, "before " + item + " after")]
+    got = corpus_pipeline.run(spark, written(tmp_path / "odd", rows, [], [(1, item), (None, "a row"), (2, None)])).collect()
+    memo = tokens.memo(tokens.vocabulary_path())
+    kept = [(1, text), (2, "another text of the same id with <email> in it"), (3, None), (4, ""), (None, "a row without an id")]
+    assert sorted((str(x.doc_id), x.doc_tokens) for x in got) == sorted((str(i), len(memo.ids(t)) // 2 + 1) for i, t in kept)
+    assert corpus_pipeline.run(spark, written(tmp_path / "none", [], [], [])).count() == 0
+
+
 def test_stages_keep_the_columns(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
