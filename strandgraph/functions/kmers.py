@@ -55,7 +55,7 @@ def occurrences(words: Column, first: int = 1) -> Column:
 
     In the sorted list equal words are runs, so one sort and one pass over the runs are enough.
     """
-    placed = F.array_sort(F.transform(words, lambda x, i: F.struct(x.alias("word"), i.alias("at"))))
+    placed = F.sort_array(F.transform(words, lambda x, i: F.struct(x.alias("word"), i.alias("at"))))
 
     def counted(xs: Column) -> Column:
         places = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.size(xs) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
@@ -71,7 +71,7 @@ def occurrences(words: Column, first: int = 1) -> Column:
 
 def with_occurrence(words: Column, first: int = 1) -> Column:
     """(word, occ) in the order of the list: which occurrence of the word in it each is."""
-    by_place = F.array_sort(F.transform(occurrences(words, first), lambda w: F.struct(w["at"].alias("at"), w["word"].alias("word"), w["occ"].alias("occ"))))
+    by_place = F.sort_array(F.transform(occurrences(words, first), lambda w: F.struct(w["at"].alias("at"), w["word"].alias("word"), w["occ"].alias("occ"))))
     return F.transform(by_place, lambda w: F.struct(w["word"].alias("word"), w["occ"].alias("occ")))
 
 
@@ -110,12 +110,21 @@ def prefix_sketch(seq: Column, k: int, size: int) -> Column:
     return F.when(F.length(seq) >= k, F.array_join(F.slice(kmers(seq, k), 1, size), "|"))
 
 
+def order_min_sketches(seq: Column, k: int, size: int, seeds: list[int], hash_of: Hash = hash_fast) -> Column:
+    """For each seed the ``size`` k-mers of smallest hash (with occurrence, from 0), in the order of their positions; null
+    for sequences shorter than k."""
+
+    def sketch(words: Column, seed: int) -> Column:
+        ranked = F.sort_array(F.transform(words, lambda w: F.struct(hash_of(F.lit(str(seed)), w["word"], w["occ"].cast("string")).alias("h"), w["at"].alias("i"), w["word"].alias("w"))))
+        by_place = F.sort_array(F.transform(F.slice(ranked, 1, size), lambda r: F.struct(r["i"].alias("i"), r["w"].alias("w"))))
+        return F.array_join(F.transform(by_place, lambda r: r["w"]), "|")
+
+    return F.when(F.length(seq) >= k, bound(occurrences(kmers(seq, k), 0), lambda ws: F.array(*(sketch(ws, s) for s in seeds))))
+
+
 def order_min_sketch(seq: Column, k: int, size: int, seed: int, hash_of: Hash = hash_fast) -> Column:
-    """The ``size`` k-mers of smallest hash (with occurrence, from 0), in the order of their positions."""
-    words = occurrences(kmers(seq, k), 0)
-    ranked = F.array_sort(F.transform(words, lambda w: F.struct(hash_of(F.lit(str(seed)), w["word"], w["occ"].cast("string")).alias("h"), w["at"].alias("i"), w["word"].alias("w"))))
-    by_place = F.array_sort(F.transform(F.slice(ranked, 1, size), lambda r: F.struct(r["i"].alias("i"), r["w"].alias("w"))))
-    return F.when(F.length(seq) >= k, F.array_join(F.transform(by_place, lambda r: r["w"]), "|"))
+    """The same for one seed."""
+    return order_min_sketches(seq, k, size, [seed], hash_of)[0]
 
 
 def deletions(seq: Column, most: int) -> Column:

@@ -56,9 +56,12 @@ def sketches(vertices: DataFrame, k: int, size: int, seeds: list[int], variant:
     seq = F.col("seq")
     if variant not in ("prefix", "minhash"):
         raise ValueError("variant must be prefix or minhash")
-    made = [kmers.prefix_sketch(seq, k, size) if variant == "prefix" else kmers.order_min_sketch(seq, k, size, s, hash_of) for s in seeds]
-    keys = [F.when(m.isNotNull(), hash_of(F.lit(str(s)), m)) for s, m in zip(seeds, made, strict=True)]
-    return _keyed(vertices, F.array_distinct(F.array(*keys)))
+    if variant == "prefix":
+        made = F.array(*(kmers.prefix_sketch(seq, k, size) for _ in seeds))
+    else:
+        made = kmers.order_min_sketches(seq, k, size, seeds, hash_of)
+    keys = kmers.bound(made, lambda m: F.array(*(hash_of(F.lit(str(s)), F.get(m, F.lit(i))) for i, s in enumerate(seeds))))
+    return _keyed(vertices, F.when(F.length(seq) >= k, F.array_distinct(keys)))
 
 
 def sizes(buckets: DataFrame, by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
