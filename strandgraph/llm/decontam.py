@@ -44,18 +44,24 @@ class Words:
     starts: np.ndarray
     sizes: np.ndarray
 
+    def alike(self, at: np.ndarray, other: Words, there: np.ndarray, n: int) -> np.ndarray:
+        """Whether the n words from each place have the hashes of the other's from its place."""
+        same = np.flatnonzero(self.hashes[at] == other.hashes[there])
+        for j in range(1, n):
+            same = same[self.hashes[at[same] + j] == other.hashes[there[same] + j]]
+        out = np.zeros(len(at), bool)
+        out[same] = True
+        return out
+
     def same(self, at: np.ndarray, other: Words, there: np.ndarray, n: int) -> np.ndarray:
-        """Whether the n words from each place equal those of the other from its place: by hash, then by byte."""
-        same = np.ones(len(at), bool)
-        for j in range(n):
-            live = np.flatnonzero(same)
-            same[live] = self.hashes[at[live] + j] == other.hashes[there[live] + j]
-        for j in range(n):
-            live = np.flatnonzero(same)
-            a, b = at[live] + j, there[live] + j
-            alike = self.sizes[a] == other.sizes[b]
-            same[live] = alike & equal_spans(self.text, self.starts[a], other.text, other.starts[b], np.where(alike, self.sizes[a], 0))
-        return same
+        """Whether the n words from each place are those of the other from its place, byte by byte."""
+        out = [np.zeros(0, bool)]
+        for i in range(0, len(at), TOGETHER // n + 1):
+            a, b = ((x[i : i + TOGETHER // n + 1, None] + np.arange(n)).ravel() for x in (at, there))
+            long = self.sizes[a] == other.sizes[b]
+            equal = long & equal_spans(self.text, self.starts[a], other.text, other.starts[b], np.where(long, self.sizes[a], 0))
+            out.append(equal.reshape(-1, n).all(1))
+        return np.concatenate(out)
 
 
 def _block_keys(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -141,14 +147,16 @@ class Patterns:
                     for own in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(part)) + 1):
                         start = np.repeat(at[hit[own]] - self.size + 1, (hi - lo)[own])
                         pattern = self.by_suffix[ranges(lo[own], (hi - lo)[own])].astype(np.int64)
-                        same = words.same(start, benchmark, self.at[pattern].astype(np.int64), self.size)
-                        found_at.append(start[same])
-                        found.append(pattern[same])
+                        alike = words.alike(start, benchmark, self.at[pattern].astype(np.int64), self.size)
+                        found_at.append(start[alike])
+                        found.append(pattern[alike])
                     step[hit] = 1
             at = at + step
             on = at < stop
             at, stop = at[on], stop[on]
-        return np.concatenate(found_at), np.concatenate(found)
+        start, pattern = np.concatenate(found_at), np.concatenate(found)
+        same = words.same(start, benchmark, self.at[pattern].astype(np.int64), self.size)
+        return start[same], pattern[same]
 
 
 def _stretches(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
