@@ -45,8 +45,9 @@ def _own(most: int) -> Column:
     return F.when(size >= n * SEGMENT_LEAST, F.array(*own)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
-def _asked(most: int) -> list[tuple[Column, Column, Column, Column]]:
-    """(fits, h, at, width) of the substrings of ``rest`` that could equal a segment of a rest of up to ``most`` letters less.
+def _asked(most: int) -> list[tuple[Column, Column, Column]]:
+    """(fits, h, x) of the substrings of ``rest`` that could equal a segment of a rest of up to ``most`` letters less; x is
+    the row (h, grp, left) of the round that looks at the letters left without the substring.
 
     The edits left and right of the segment allow few shifts.
     """
@@ -58,7 +59,10 @@ def _asked(most: int) -> list[tuple[Column, Column, Column, Column]]:
             low, high = max(-i, less - (most - i)), min(i, less + (most - i))
             for shift in range(low, high + 1):
                 fits = (size - less >= n * SEGMENT_LEAST) & (at + shift >= 1) & (at + shift + width - 1 <= size)
-                asked.append((fits, F.xxhash64("grp", size - less, F.lit(i), rest.substr(at + shift, width)), at + shift, width))
+                part = rest.substr(at + shift, width)
+                left = F.concat(rest.substr(F.lit(1), at + shift - 1), rest.substr(at + shift + width, size))
+                h = F.xxhash64("grp", size - less, F.lit(i), part)
+                asked.append((fits, h, F.struct(h.alias("h"), F.xxhash64("grp", F.lit(i), part).alias("grp"), left.alias("rest"))))
     return asked
 
 
@@ -71,7 +75,7 @@ def segment_candidates(work: DataFrame, most: int, often: int | None) -> tuple[D
     distance, and are returned.
     """
     own = work.select(F.explode(_own(most)).alias("h"), F.col("vid").alias("a"), F.length("rest").alias("la"))
-    hashes = F.array_distinct(F.array(*(F.when(fits, h) for fits, h, _, _ in _asked(most))))
+    hashes = F.array_distinct(F.array(*(F.when(fits, h) for fits, h, _ in _asked(most))))
     asked = work.select(F.explode(hashes).alias("h"), F.col("vid").alias("b"), F.length("rest").alias("lb")).where("h is not null")
     again = None
     if often is not None:
@@ -80,10 +84,8 @@ def segment_candidates(work: DataFrame, most: int, often: int | None) -> tuple[D
             frequent = stored(frequent, "frequent")
             own = own.join(frequent, "h", "left_anti")
             # the rows are cut before the join, so that only those of frequent segments are shuffled with their letters
-            places = F.array(*(F.when(fits, F.struct(h.alias("h"), at.alias("at"), width.alias("width"))) for fits, h, at, width in _asked(most)))
-            rows = work.select("vid", "rest", F.explode(places).alias("x")).select("vid", "rest", "x.*").join(frequent, "h", "left_semi")
-            left = F.concat(F.col("rest").substr(F.lit(1), F.col("at") - 1), F.col("rest").substr(F.col("at") + F.col("width"), F.length("rest")))
-            again = rows.select(F.col("h").alias("grp"), "vid", left.alias("rest")).distinct()
+            rows = F.array(*(F.when(fits, x) for fits, _, x in _asked(most)))
+            again = work.select("vid", F.explode(rows).alias("x")).select("x.h", "x.grp", "vid", "x.rest").join(frequent, "h", "left_semi").drop("h").distinct()
     shorter_first = (F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")))
     return own.join(asked, "h").where(shorter_first).select("a", "b"), again
 
@@ -110,7 +112,7 @@ def candidates(vertices: DataFrame, most: int, often: int = OFTEN) -> DataFrame:
             break
         work, often = stored(again, "groups"), often * EASIER
     both = reduce(DataFrame.union, parts)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(found: DataFrame, vertices: DataFrame, least: int, most: int) -> DataFrame:
