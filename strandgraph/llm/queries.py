@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm import chat, decontam, jaccard, packing, pii, quality, tokencount, topk, toxicity, warc
+from strandgraph.llm import chat, decontam, jaccard, language, packing, pii, prefixtrie, quality, tokencount, topk, toxicity, warc, whitening
 from strandgraph.llm.shared import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,9 +189,52 @@ from documents d join w on w.kind = 'd' and w.id = cast(d.doc_id as varchar) lef
 '''
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie_of(_table(spark, sf_dir, "conversations"))
+
+
+_CRC_STEP = "list_reduce(list_prepend(xor(a, c), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(conv_id as varchar), ''), lambda s: cast(ascii(s) as bigint))), lambda a, c: {_CRC_STEP}), 4294967295)"
+
+OP13_SQL = f'''
+with t as (
+  select cast(conv_id as bigint) as conv_id, turn, strlen(coalesce(text, '')) as size,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[:32] as id
+  from conversations where conv_id is not null
+), o as (select conv_id, list(id order by turn nulls first, id, size) as ids, list(size order by turn nulls first, id, size) as sizes from t group by conv_id),
+h as (select *, conv_id - conv_id % 5 as base, {_CRC} % 9 as h from o),
+r as (
+  select a.conv_id, list_concat(coalesce(b.ids, [])[:a.h], a.ids[a.h + 1:]) as ids, list_concat(coalesce(b.sizes, [])[:a.h], a.sizes[a.h + 1:]) as sizes
+  from h a left join o b on b.conv_id = a.base
+), m as (
+  select conv_id, d, array_to_string(ids[:d], '') as node, case when d > 0 then array_to_string(ids[:d - 1], '') end as above, case when d > 0 then sizes[d] else 0 end as size, d = len(ids) as ends
+  from r, unnest(range(0, len(ids) + 1)) as u(d)
+), n as (
+  select node, any_value(d) as depth, any_value(above) as above, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(size) as own,
+    sha256(coalesce(string_agg(conv_id, ',' order by conv_id) filter (ends), '')) as ends_sha256 from m group by node
+), k as (select above as node, count(*) as n_children from n where above is not null group by above),
+s as (
+  select substr(n.node, 1, 32 * a) as node, sum(case when k.node is null then 1 else 0 end) as n_leaves, sum(own) as saved_tokens
+  from n left join k using (node), unnest(range(0, depth + 1)) as u(a) group by 1
+)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, n.ends_sha256
+from n join s using (node) left join k using (node) left join n p on p.node = n.above
+'''
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_tokencount, op2_pii, op3_packing, op4_chat, op5_toxicity, op6_quality, op7_jaccard, op8_topk, op9_warc, op10_decontamination)}
+    found = (op1_tokencount, op2_pii, op3_packing, op4_chat, op5_toxicity, op6_quality, op7_jaccard, op8_topk, op9_warc, op10_decontamination)
+    return {f.__name__: f for f in (*found, op11_whitening, op12_language, op13_prefixtrie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op9_warc": OP9_SQL, "op7_jaccard": OP7_SQL, "op8_topk": OP8_SQL, "op10_decontamination": OP10_SQL}
+    return {"op4_chat": OP4_SQL, "op9_warc": OP9_SQL, "op7_jaccard": OP7_SQL, "op8_topk": OP8_SQL, "op10_decontamination": OP10_SQL, "op13_prefixtrie": OP13_SQL}
