@@ -29,7 +29,7 @@ FOLDS, HELD_OUT = 4, 2
 SAMPLE, LANGUAGES, WINDOWS = 4000, 1000, 4
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4, 5), 16, 8
 #: Windows that go through the network at a time.
-TOGETHER = 256
+TOGETHER = 32
 PAD, WIDEST = 256, max(WIDTHS)
 #: Positions a window covers: the last bytes begin the next window.
 STEP = WINDOW - WIDEST + 1
