@@ -68,6 +68,27 @@ def primed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _copies(customer.select(F.col("c_custkey").alias("k"), F.concat(F.lit(PRIMER), F.substring(_letters(family), 1, 16)).alias("base")))
 
 
+#: A sequence of 60 letters of which every read below is a copy with errors.
+AMPLICON = "TGGCATTACGGATCCAAGTCTTGACCGTAATGCACGGTTCAGATTACCGTGAACTCGTCA"
+
+
+def amplicon_of(keys: DataFrame, errors: Column) -> DataFrame:
+    """(k, seq) of rows (k): the amplicon with ``errors`` letters put in, at places and of kinds that a digest of k chooses."""
+    seq = F.lit(AMPLICON)
+    for i in range(5):
+        told = F.md5(F.concat(F.lit("a"), F.col("k").cast("string"), F.lit(f"|{i}")))
+        place = F.conv(F.substring(told, 1, 4), 16, 10).cast("int") % len(AMPLICON)
+        letter = F.translate(F.substring(told, 5, 1), "0123456789abcdef", "ACGTACGTACGTACGT")
+        seq = F.when(errors > i, F.concat(seq.substr(F.lit(1), place), letter, seq.substr(place + 2, F.lit(len(AMPLICON))))).otherwise(seq)
+    return keys.select("k", seq.alias("seq"))
+
+
+def amplicon_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, seq): from each part a read of one amplicon with 3 or 5 errors."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    return amplicon_of(part, F.when(F.col("k") % 2 == 0, 3).otherwise(5))
+
+
 def _numbered(table: DataFrame) -> DataFrame:
     return reads.numbered(reads.multiplicity(table))
 
@@ -195,6 +216,11 @@ def edges_shared_primer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact(stored(_numbered(primed_reads(spark, sf_dir)), "vertices"))
 
 
+def edges_amplicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact edges of reads that are copies of one amplicon with errors."""
+    return _exact(stored(_numbered(amplicon_reads(spark, sf_dir)), "vertices"))
+
+
 def edges_brute_force_min2(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = GraphConfig(mode="brute_force", min_distance=2)
     return build(reads_of(spark, sf_dir, 24), config).edges
@@ -350,7 +376,7 @@ ALL: tuple[Query, ...] = (
     omh_prefix_keys, omh_minhash_keys, bucket_sizes, bucket_count, bucket_split, bucket_stats, edges_brute_force, edges_brute_force_short,
     edges_brute_force_min2, edges_minimizer, edges_miniception, edges_omh, edges_omh_minhash, edges_gapped, edges_bucket_join,
     large_bucket_rebucket, sub_bucket_routes, khop_pairs, edges_after_khop, merge_unique_reads, edge_weight_filter, edge_summary,
-    graph_minimizer_gomh, graph_miniception_gomh, mode_recall, dot_lines, edges_mixed_lengths, edges_shared_primer,
+    graph_minimizer_gomh, graph_miniception_gomh, mode_recall, dot_lines, edges_mixed_lengths, edges_shared_primer, edges_amplicon,
     graph_miniception, graph_omh, graph_long_reads, stage_metrics, fastq_reads,
 )
 

@@ -27,6 +27,21 @@ def _mixed(shortest: int) -> str:
 
 
 PRIMED = _copies(f"'ACGTTGCA' || substr({_letters(chr(39) + 'c' + chr(39) + ' || f')}, 1, 16)", "c_custkey as k from customer")
+AMPLICON = "TGGCATTACGGATCCAAGTCTTGACCGTAATGCACGGTTCAGATTACCGTGAACTCGTCA"
+
+
+def _amplicon(source: str, errors: str) -> str:
+    """Reads r (k, seq): copies of one sequence, one letter after the other put in where a digest of k says."""
+    rows = f"(select k, '{AMPLICON}' as s from (select {source}) t) t"
+    for i in range(5):
+        told = f"md5('a' || k || '|{i}')"
+        place = f"cast('0x' || substr({told}, 1, 4) as integer) % {len(AMPLICON)}"
+        put = f"substr(s, 1, {place}) || translate(substr({told}, 5, 1), '0123456789abcdef', 'ACGTACGTACGTACGT') || substr(s, {place} + 2)"
+        rows = f"(select k, case when {errors} > {i} then {put} else s end as s from {rows}) t"
+    return f"r as (select k, s as seq from {rows})"
+
+
+AMPLIFIED = _amplicon("p_partkey as k from part", "(case when k % 2 = 0 then 3 else 5 end)")
 V = ", v as (select row_number() over (order by seq) - 1 as vid, seq, cnt from (select seq, count(*) as cnt from r group by seq) t)"
 ALL_PAIRS = """select src, dst, cast(weight as integer) as weight from (
   select a.vid as src, b.vid as dst, levenshtein(a.seq, b.seq) as weight
@@ -186,6 +201,7 @@ met as (select distinct least(src, dst) as src, greatest(src, dst) as dst from h
 select * from now union select e.* from exact e join met using (src, dst)""",
         "edges_mixed_lengths": f"with {_mixed(6)}{V} {ALL_PAIRS}",
         "edges_shared_primer": f"with {PRIMED}{V} {ALL_PAIRS}",
+        "edges_amplicon": f"with {AMPLIFIED}{V} {ALL_PAIRS}",
         "graph_miniception": f"with {e12}, {_hashed(4, 8)} {_inside('b')}",
         "graph_omh": f"with {e24}, {OMH_PREFIX} {_inside('ob')}",
         "graph_long_reads": f"""with {_mixed(52)}{V}, exact as ({ALL_PAIRS}), {_segments(long.segments)}, {_kmers(long.k, source='sg', seq='s', keep='vid, j')},

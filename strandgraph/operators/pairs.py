@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations, pairwise, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,11 @@ from strandgraph.operators.storage import stored
 #: From segments of so many letters on, shared segments are rarer than shared deletions are costly.
 SEGMENT_LEAST = 6
 #: A segment that more reads than this have is not joined on alone, but with more of the read.
-OFTEN = 200
-#: How much larger a group of the next round may be: its rows cost more.
+OFTEN = 24
+#: How much more frequent a key of most of a read may be.
 EASIER = 4
+#: Distances up to which dense reads are cut into twice as many segments; beyond, ways to leave some out are too many.
+WIDE = 2
 #: Pairs for each bucket entry up to which a self-join of buckets is the cheaper way.
 PAIRS_A_READ = 20
 
@@ -32,62 +35,76 @@ def distance(a: Column, b: Column, most: int) -> Column:
     return F.when(close & (found >= 0), found)
 
 
-def _cut(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start and width of one of ``parts`` segments; the last takes the rest."""
-    unit = F.floor(length / parts).cast("int")
-    return i * unit + 1, (length - i * unit) if i == parts - 1 else unit
+def plans(most: int, parts: int) -> list[list[int]]:
+    """Ways in which a read of ``parts`` segments, ``most`` of them edited, lies in another one up to ``most`` letters longer.
 
-
-def _own(most: int) -> Column:
-    """Hashes of the segments of ``rest``, with its group and length; none of a short one."""
-    n, size, rest = most + 1, F.length("rest"), F.col("rest")
-    own = [F.xxhash64("grp", size, F.lit(i), rest.substr(*_cut(size, i, n))) for i in range(n)]
-    return F.when(size >= n * SEGMENT_LEAST, F.array(*own)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    Each is [which segments are left out, letters more, then (first segment, end segment, shift) of each run that is kept],
+    filled up with empty runs. Edits allow a shift to change only as often as there are edits.
+    """
+    made = {}
+    for name, out in enumerate(combinations(range(parts), most)):
+        cuts = [-1, *out, parts]
+        for less in range(most + 1):
+            for middle in product(range(-most, most + 1), repeat=most - 1):
+                shifts = [0, *middle, less]
+                if sum(abs(b - a) for a, b in pairwise(shifts)) <= most:
+                    runs = [(a + 1, b, s) for (a, b), s in zip(pairwise(cuts), shifts, strict=True) if b > a + 1]
+                    runs += [(parts, parts, less)] * (most + 1 - len(runs))
+                    made[name, less, *(x for run in runs for x in run)] = None
+    return [list(x) for x in made]
 
 
-def _asked(most: int) -> list[tuple[Column, Column, Column]]:
-    """(fits, h, x) of the substrings of ``rest`` that could equal a segment of a rest of up to ``most`` letters less; x is
-    the row (h, grp, left) of the round that looks at the letters left without the substring.
+def keyed(work: DataFrame, most: int, parts: int, own: bool) -> DataFrame:
+    """(h, grp, vid, size, rest) of rows (grp, vid, rest), one for each plan that fits: the hash of the letters kept, and those left.
 
-    The edits left and right of the segment allow few shifts.
+    ``own`` are the places of a read's own segments; the others are where another read's could be.
     """
-    n, size, rest = most + 1, F.length("rest"), F.col("rest")
-    asked = []
-    for i in range(n):
-        for less in range(most + 1):
-            at, width = _cut(size - less, i, n)
-            low, high = max(-i, less - (most - i)), min(i, less + (most - i))
-            for shift in range(low, high + 1):
-                fits = (size - less >= n * SEGMENT_LEAST) & (at + shift >= 1) & (at + shift + width - 1 <= size)
-                part = rest.substr(at + shift, width)
-                left = F.concat(rest.substr(F.lit(1), at + shift - 1), rest.substr(at + shift + width, size))
-                h = F.xxhash64("grp", size - less, F.lit(i), part)
-                asked.append((fits, h, F.struct(h.alias("h"), F.xxhash64("grp", F.lit(i), part).alias("grp"), left.alias("rest"))))
-    return asked
-
-
-def segment_candidates(work: DataFrame, most: int, often: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b) of rows (grp, vid, rest) that share a segment, and the rows to look at again.
-
-    Of most + 1 segments of the shorter rest one is untouched by ``most`` edits, so both have it, at most ``most``
-    letters apart. A segment that more than ``often`` rows have, a primer for example, makes no candidates: the rows that
-    have it become a group of their own, in which the rest of each read without that segment still is within the
-    distance, and are returned.
+    wanted = [p for p in plans(most, parts) if not own or not any([p[1], *p[4::3]])]
+    names = ["name", "less", *(f"{x}{k}" for k in range(most + 1) for x in ("first", "end", "shift"))]
+    told = ", ".join(f"struct({', '.join(map(str, p))})" for p in wanted)
+    kinds = ", ".join(f"{x}: int" for x in names)
+    rows = work.select("grp", "vid", "rest", F.length("rest").alias("size"), F.expr(f"inline(cast(array({told}) as array<struct<{kinds}>>))"))
+    n = F.col("size") - F.col("less")
+    at = lambda segment: (F.col(segment) * n / parts).cast("int")
+    fits, done, kept, left = n >= (most + 1) * SEGMENT_LEAST, F.lit(0), [], []
+    for k in range(most + 1):
+        start, stop = (at(f"{x}{k}") + F.col(f"shift{k}") for x in ("first", "end"))
+        kept.append(F.col("rest").substr(start + 1, stop - start))
+        left.append(F.col("rest").substr(done + 1, start - done))
+        fits, done = fits & (start >= done), stop
+    left.append(F.col("rest").substr(done + 1, F.col("size") - done))
+    return rows.where(fits & (done <= F.col("size"))).select(F.xxhash64("grp", n, "name", *kept).alias("h"), "grp", "vid", "size", F.concat(*left).alias("rest"))
+
+
+def segment_candidates(work: DataFrame, most: int, parts: int, often: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b) of rows (grp, vid, rest) that agree in all but ``most`` of ``parts`` segments, and the keys of those too frequent to pair.
+
+    Of the segments of the shorter rest, ``most`` edits leave all but ``most`` untouched, so both rests have these, each
+    at most ``most`` letters apart from its place. What more than ``often`` rows have makes no candidates.
     """
-    own = work.select(F.explode(_own(most)).alias("h"), F.col("vid").alias("a"), F.length("rest").alias("la"))
-    hashes = F.array_distinct(F.array(*(F.when(fits, h) for fits, h, _ in _asked(most))))
-    asked = work.select(F.explode(hashes).alias("h"), F.col("vid").alias("b"), F.length("rest").alias("lb")).where("h is not null")
-    again = None
+    own = keyed(work, most, parts, True).select("h", F.col("vid").alias("a"), F.col("size").alias("la"))
+    asked = keyed(work, most, parts, False).select("h", F.col("vid").alias("b"), F.col("size").alias("lb"))
+    frequent = None
     if often is not None:
-        frequent = own.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > often).select("h")
+        frequent = stored(own.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > often).select("h"), "frequent")
         if frequent.head(1):
-            frequent = stored(frequent, "frequent")
             own = own.join(frequent, "h", "left_anti")
-            # the rows are cut before the join, so that only those of frequent segments are shuffled with their letters
-            rows = F.array(*(F.when(fits, x) for fits, _, x in _asked(most)))
-            again = work.select("vid", F.explode(rows).alias("x")).select("x.h", "x.grp", "vid", "x.rest").join(frequent, "h", "left_semi").drop("h").distinct()
+        else:
+            frequent = None
     shorter_first = (F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")))
-    return own.join(asked, "h").where(shorter_first).select("a", "b"), again
+    return own.join(asked, "h").where(shorter_first).select("a", "b"), frequent
+
+
+def having(work: DataFrame, most: int, parts: int, frequent: DataFrame) -> DataFrame:
+    """The rows (grp, vid, rest) that have any of the frequent keys, as they are."""
+    asked = keyed(work, most, parts, False).join(frequent, "h", "left_semi")
+    return work.join(asked.select("vid").distinct(), "vid", "left_semi")
+
+
+def without_kept(work: DataFrame, most: int, parts: int, frequent: DataFrame) -> DataFrame:
+    """Groups (grp, vid, rest) of what shares a frequent key, without the letters that it keeps: the rest still is within the distance."""
+    rows = keyed(work, most, parts, False).select(F.col("h").alias("grp"), "vid", "rest")
+    return rows.join(frequent.withColumnRenamed("h", "grp"), "grp", "left_semi").distinct()
 
 
 def deletion_candidates(work: DataFrame, most: int) -> DataFrame:
@@ -99,19 +116,27 @@ def deletion_candidates(work: DataFrame, most: int) -> DataFrame:
 def candidates(vertices: DataFrame, most: int, often: int = OFTEN) -> DataFrame:
     """(a, b), each pair once, among which are all pairs of ``vertices`` within ``most`` edits.
 
-    Reads of (most + 1) * SEGMENT_LEAST letters and more are found by their segments; shorter ones, and those within
-    reach of them, by deletions. Rounds go on with the groups of frequent segments, whose rests get shorter by a
-    segment each time.
+    Reads of (most + 1) * SEGMENT_LEAST letters and more are found by one of most + 1 segments; shorter ones, and those
+    within reach of them, by deletions. Reads that have a segment more than ``often`` others have, of one amplicon or
+    behind one primer, meet by all but ``most`` of twice as many segments. Where these are frequent too, they
+    become a group, in which only the letters left are looked at; these get shorter each round.
     """
     short = (most + 1) * SEGMENT_LEAST
-    work, parts = vertices.select(F.lit(0).cast("long").alias("grp"), "vid", F.col("seq").alias("rest")), []
-    while True:
-        found, again = segment_candidates(work, most, often)
-        parts += [found, deletion_candidates(work.where(F.length("rest") < short + most), most)]
-        if again is None:
-            break
-        work, often = stored(again, "groups"), often * EASIER
-    both = reduce(DataFrame.union, parts)
+    work = vertices.select(F.lit(0).cast("long").alias("grp"), "vid", F.col("seq").alias("rest"))
+    by_deletions = lambda rows: deletion_candidates(rows.where(F.length("rest") < short + most), most)
+    found, frequent = segment_candidates(work, most, most + 1, often)
+    made = [found, by_deletions(work)]
+    if frequent is not None:
+        parts = 2 * (most + 1) if most <= WIDE else most + 1
+        work = stored(having(work, most, most + 1, frequent), "dense")
+        while True:
+            found, frequent = segment_candidates(work, most, parts, often * EASIER)
+            made.append(found)
+            if frequent is None:
+                break
+            work = stored(without_kept(work, most, parts, frequent), "groups")
+            made.append(by_deletions(work))
+    both = reduce(DataFrame.union, made)
     return both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
