@@ -79,7 +79,8 @@ def amplicon_of(keys: DataFrame, errors: Column) -> DataFrame:
         told = F.md5(F.concat(F.lit("a"), F.col("k").cast("string"), F.lit(f"|{i}")))
         place = F.conv(F.substring(told, 1, 4), 16, 10).cast("int") % len(AMPLICON)
         letter = F.translate(F.substring(told, 5, 1), "0123456789abcdef", "ACGTACGTACGTACGT")
-        seq = F.when(errors > i, F.concat(seq.substr(F.lit(1), place), letter, seq.substr(place + 2, F.lit(len(AMPLICON))))).otherwise(seq)
+        put = F.when(errors > i, 1).otherwise(0)
+        seq = F.overlay(seq, F.substring(letter, 1, put), place + 1, put)
     return keys.select("k", seq.alias("seq"))
 
 

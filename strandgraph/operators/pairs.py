@@ -65,15 +65,15 @@ def keyed(work: DataFrame, most: int, parts: int, own: bool) -> DataFrame:
     kinds = ", ".join(f"{x}: int" for x in names)
     rows = work.select("grp", "vid", "rest", F.length("rest").alias("size"), F.expr(f"inline(cast(array({told}) as array<struct<{kinds}>>))"))
     n = F.col("size") - F.col("less")
-    at = lambda segment: (F.col(segment) * n / parts).cast("int")
-    fits, done, kept, left = n >= (most + 1) * SEGMENT_LEAST, F.lit(0), [], []
-    for k in range(most + 1):
-        start, stop = (at(f"{x}{k}") + F.col(f"shift{k}") for x in ("first", "end"))
-        kept.append(F.col("rest").substr(start + 1, stop - start))
-        left.append(F.col("rest").substr(done + 1, start - done))
-        fits, done = fits & (start >= done), stop
-    left.append(F.col("rest").substr(done + 1, F.col("size") - done))
-    return rows.where(fits & (done <= F.col("size"))).select(F.xxhash64("grp", n, "name", *kept).alias("h"), "grp", "vid", "size", F.concat(*left).alias("rest"))
+    at = lambda segment, k: ((F.col(segment) * n / parts).cast("int") + F.col(f"shift{k}"))
+    # places are columns of their own, so that each is worked out once a row
+    ends = [(F.col(f"from{k}"), F.col(f"to{k}")) for k in range(most + 1)]
+    placed = rows.select("grp", "vid", "rest", "size", "name", n.alias("n"), *(at(f"{x}{k}", k).alias(f"{y}{k}") for k in range(most + 1) for x, y in (("first", "from"), ("end", "to"))))
+    gaps = list(zip([F.lit(0), *(stop for _, stop in ends)], [*(start for start, _ in ends), F.col("size")], strict=True))
+    fits = reduce(Column.__and__, (begin <= end for begin, end in gaps), F.col("n") >= (most + 1) * SEGMENT_LEAST)
+    cut = lambda begin, end: F.col("rest").substr(begin + 1, end - begin)
+    kept, left = [cut(*x) for x in ends], [cut(*x) for x in gaps]
+    return placed.where(fits).select(F.xxhash64("grp", "n", "name", *kept).alias("h"), "grp", "vid", "size", F.concat(*left).alias("rest"))
 
 
 def segment_candidates(work: DataFrame, most: int, parts: int, often: int | None) -> tuple[DataFrame, DataFrame | None]:
@@ -143,8 +143,11 @@ def candidates(vertices: DataFrame, most: int, often: int = OFTEN) -> DataFrame:
 def verified(found: DataFrame, vertices: DataFrame, least: int, most: int) -> DataFrame:
     """(src, dst, weight) of the candidates (a, b) within the range; letters meet the pairs only here, once a pair."""
     a, b = (vertices.select(F.col("vid").alias(v), F.col("seq").alias(s)) for v, s in (("a", "sa"), ("b", "sb")))
-    weighed = found.join(a, "a").join(b, "b").select("a", "b", distance(F.col("sa"), F.col("sb"), most).cast("int").alias("weight"))
-    return weighed.where(F.col("weight").between(least, most)).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
+    close = F.abs(F.length("sa") - F.length("sb")) <= most
+    # beyond ``most`` the function says -1, so one comparison is enough and the distance is not worked out for each bound
+    weight = F.when(close, F.levenshtein("sa", "sb", most)).otherwise(-1)
+    weighed = found.join(a, "a").join(b, "b").select(F.col("a").alias("src"), F.col("b").alias("dst"), weight.cast("int").alias("weight"))
+    return weighed.where(F.col("weight") >= max(least, 0))
 
 
 def exact(vertices: DataFrame, least: int, most: int, often: int = OFTEN) -> DataFrame:
