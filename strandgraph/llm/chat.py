@@ -33,17 +33,17 @@ def joined(turns: Column) -> Column:
     return F.array_join(F.transform(turns, rendered), "")
 
 
-def mask(turns: Column) -> Column:
-    """Spans (start, end) of the assistant's words in the rendered turns, end exclusive."""
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
+def running_sums(numbers: Column) -> Column:
+    """Sums up to each place of an array of numbers, by adding what stands 1, 2, 4, ... places before."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(1)))).cast("int"))
+    return F.aggregate(rounds, numbers, lambda sums, r: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.pow(F.lit(2), r).cast("int")), F.lit(0))))
 
-    def step(seen: Column, turn: Column) -> Column:
-        head = F.length(F.concat(F.lit(OPEN), turn["role"], F.lit("\n")))
-        end = (seen["at"] + F.length(rendered(turn))).cast("int")
-        span = F.struct((seen["at"] + head).cast("int").alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(turn["role"] == "assistant", F.array_append(seen["spans"], span)).otherwise(seen["spans"]).alias("spans"))
 
-    return F.aggregate(turns, start, step, lambda s: s["spans"])
+def mask(turns: Column) -> Column:
+    """Spans (start, end) of the assistant's words in the rendered turns, end exclusive."""
+    ends = running_sums(F.transform(turns, lambda t: F.length(rendered(t))))
+    said = F.zip_with(turns, ends, lambda t, end: F.when(t["role"] == "assistant", F.struct((end - F.length(t["text"]) - len(CLOSE)).alias("start"), end.alias("end"))))
+    return F.filter(said, lambda span: span.isNotNull())
 
 
 def common_turns(one: Column, two: Column) -> Column:

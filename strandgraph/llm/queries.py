@@ -159,7 +159,7 @@ r as (
 ), i as (select *, {_uuid_sql("record_type || '|' || refers_to")} as record_id, strlen(block) as content_length, 'sha256:' || sha256(block) as block_digest from b)
 select record_type, record_id, refers_to, target_uri, '{warc.UNDATED}' as date, content_type, content_length, block_digest, payload_digest, block,
   replace('WARC/1.1~WARC-Type: ' || record_type || '~WARC-Record-ID: ' || record_id || '~WARC-Refers-To: ' || refers_to, '~', chr(13) || chr(10))
-  || chr(13) || chr(10) || 'WARC-Target-URI: ' || target_uri
+  || chr(13) || chr(10) || 'WARC-Target-URI: ' || regexp_replace(target_uri, '{warc.CONTROL}', '', 'g')
   || replace('~WARC-Date: {warc.UNDATED}~Content-Type: ' || content_type || '~WARC-Block-Digest: ' || block_digest || '~WARC-Payload-Digest: ' || payload_digest || '~Content-Length: ' || content_length || '~', '~', chr(13) || chr(10)) as header
 from i
 '''

@@ -11,7 +11,7 @@ bounds or texts read as 0 or empty.
 
 Edge cases: null or empty text has no leaves and no tokens; null ids and repeated rows keep their rows; a document without
 edits, or with null for the list, keeps its count; an empty table gives no rows; a column ``edits`` counts where it is a
-list of edits, and is not read where it is anything else; further columns are not read. Texts of any length are counted whole.
+list of structs (start, end, text) with places of any whole numbers, and is not read where it is anything else; further columns are not read. Texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandgraph.llm import tokens
 from strandgraph.llm.shared import NON_SPACE, binary_array, materialise
 
 Edit = tuple[int, int, str]
-EDITS = "array<struct<start:int,end:int,text:string>>"
+EDITS = "array<struct<start:bigint,end:bigint,text:string>>"
 #: Nodes under one of the level above.
 FAN = 16
 _KINDS = (np.dtype("u1"), np.dtype("<u2"), np.dtype("<u4"))
@@ -150,10 +151,19 @@ def edited(text: str, edits: list[Edit]) -> str:
     return "".join([*out, text[done:]])
 
 
+def _lists_edits(table: DataFrame) -> bool:
+    """Whether a column ``edits`` is a list of (start, end, text), with places of any whole numbers."""
+    kind = table.schema["edits"].dataType if "edits" in table.columns else None
+    if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType):
+        return False
+    fields = {f.name: f.dataType for f in kind.elementType}
+    return fields.keys() == {"start", "end", "text"} and isinstance(fields["text"], T.StringType) and all(isinstance(fields[c], T.IntegralType) for c in ("start", "end"))
+
+
 def build_trees(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, text, edits (where there is such a list), n_tokens and the packed tree, stored in the shared folder."""
     path = vocabulary or tokens.vocabulary_path()
-    extra = [c for c in ("edits",) if c in docs.columns and docs.schema[c].dataType.simpleString() == EDITS]
+    extra = [F.col("edits").cast(EDITS)] if _lists_edits(docs) else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = tokens.memo(path)
@@ -181,6 +191,8 @@ def _raw(column: pa.Array) -> list[memoryview]:
 
 def apply_edits(trees: DataFrame, propose: Callable[[str], list[Edit]] | None = None, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_tokens_after, n_edits, n_leaves, n_renewed; edits from the column, or from each text by ``propose``."""
+    if propose is None and not _lists_edits(trees):
+        raise ValueError("the table has no column edits that lists (start, end, text), and no edits are proposed")
     path = vocabulary or tokens.vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +215,7 @@ def apply_edits(trees: DataFrame, propose: Callable[[str], list[Edit]] | None =
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """``docs`` with the edits of a table (doc_id, start, end, text) as a column; one document's edits are one list."""
-    listed = edits.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "text")).alias("edits"))
+    listed = edits.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text")).alias("edits"))
     return docs.select("doc_id", "text").join(listed, "doc_id", "left")
 
 

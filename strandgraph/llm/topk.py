@@ -12,8 +12,9 @@ into blocks, so that an annulus of any size spreads over tasks; all arithmetic t
 How much the bounds skip depends on the data: nearly all where vectors lie in clusters, nothing where they point in
 random directions of many dimensions, whose distances all are alike. Results are exact either way.
 
-Edge cases: null vectors, empty ones and vectors with null or non-finite components take no part, nor do null ids; vectors of
-each length are searched among their own; fewer candidates than k give all; ties go to the smaller id; an id that
+Edge cases: null vectors and vectors with null or non-finite components take no part, nor do null ids; vectors of
+each length are searched among their own, empty ones too, whose scores all are 0; components so large that scores would
+pass 64 bits are an error; fewer candidates than k give all; ties go to the smaller id; an id that
 repeats is a candidate each time, but never its own query's; an empty table gives no rows; further columns are not read.
 """
 
@@ -40,8 +41,10 @@ def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v): components turned into floor(scale * x); rows with anything else than finite numbers are left out."""
     x = F.transform("embedding", lambda e: F.floor(e.cast("double") * scale))
     fine = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    kept = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.coalesce(fine, F.lit(False)))
-    return kept.select(F.col("vec_id").cast("long"), x.alias("v"))
+    kept = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda sums, e: sums + F.pow(F.floor(e.cast("double") * scale).cast("double"), 2))
+    large = F.raise_error(F.lit("an embedding's integers are too large for scores of 64 bits"))
+    return kept.select(F.col("vec_id").cast("long"), F.when(norm < float(1 << 63), x).otherwise(large.cast("array<bigint>")).alias("v"))
 
 
 def pivot_count(n: int) -> int:
@@ -203,12 +206,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the exact k best of every query among all other rows."""
     whole = integers(vectors)
     lengths = whole.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy("width").collect()
-    parts = [_top_k(whole.where(F.size("v") == r["width"]), is_query, k, r["width"], r["n"]) for r in lengths]
+    parts = [_top_k(whole.where(F.size("v") == r["width"]), is_query, k, r["width"], r["n"]) if r["width"] else _empty_top_k(whole.where(F.size("v") == 0), is_query, k) for r in lengths]
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return reduce(DataFrame.unionByName, parts)
 
 
+def _empty_top_k(empty: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """The same for vectors without components: all score 0, so the k smallest other ids are the best of each query.
+
+    Whatever query is left out, these are among the k + 1 smallest ids, each at most k times: so many rows reach the driver.
+    """
+    few = empty.groupBy("vec_id").agg(F.count("*").alias("n")).orderBy("vec_id").limit(k + 1).collect()
+    least = F.array(*(F.lit(r["vec_id"]).cast("long") for r in few for _ in range(min(r["n"], k))))
+    others = F.slice(F.filter(least, lambda x: x != F.col("vec_id")), 1, k)
+    found = empty.where(is_query).select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("at", "vec_id"))
+    return found.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
+
+
 def _top_k(whole: DataFrame, is_query: Column, k: int, width: int, count: int) -> DataFrame:
     """The same for vectors of one length."""
     pivots, edges = choose_pivots(whole, pivot_count(count))

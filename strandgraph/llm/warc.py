@@ -4,6 +4,9 @@ Each response gives a metadata record (application/warc-fields: title, outlinks,
 record (text/plain). Both name the response they refer to, keep its target, date and payload digest, and carry their own
 identifier, length and block digest. All of it is SQL functions over one row a response; nothing is shuffled.
 
+Control signs, line ends among them, are left out of the values of headers and of the source's header lines, so that no target or
+header can begin a line of its own; the columns keep them.
+
 Every pattern reads a payload in linear time, whatever it holds: comments, scripts and styles that nothing closes run to the
 end, and a tag ends at the next angle bracket, so a ">" or "<" inside an attribute's value ends the tag there.
 
@@ -29,6 +32,8 @@ TAGS = r"<[^<>]*>"
 BLANKS, LINES, EDGES = r"[ \t\r\f]+", r" ?\n[ \n]*", r"^[ \n]+|[ \n]+$"
 TITLE = r"(?is)<title\b[^<>]*>(.*?)(?:</title\s*>|\z)"
 LINK = r"""(?i)<a\s(?:[^<>]*?\s)?href\s*=\s*("[^"<>]*"|'[^'<>]*'|[^\s"'<>]+)"""
+#: Signs that no value of a header may hold.
+CONTROL = r"[\x00-\x1F\x7F]"
 QUOTES, ENDS = r"""^["']|["']$""", r"[\t\r\n]"
 ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 #: Entities by name; numbers that pages write in the Windows code page stand for its signs; a hard space reads as a space.
@@ -106,7 +111,7 @@ def derive(records: DataFrame, undated: str = UNDATED) -> DataFrame:
     title = _squeezed(_entities(F.regexp_replace(F.regexp_extract("shown", TITLE, 1), TAGS, "")))
     found = F.regexp_extract_all("shown", F.lit(LINK), F.lit(1))
     links = F.transform(found, lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(_entities(F.regexp_replace(x, QUOTES, "")), ENDS, ""), F.lit(" L a/@href"), F.lit(CRLF)))
-    source = F.transform(F.filter(F.split("http_headers", CRLF), lambda h: h.contains(":")), lambda h: F.concat(F.lit("source-"), h, F.lit(CRLF)))
+    source = F.transform(F.filter(F.split("http_headers", CRLF), lambda h: h.contains(":")), lambda h: F.concat(F.lit("source-"), F.regexp_replace(h, CONTROL, ""), F.lit(CRLF)))
     fields = F.concat(F.lit("title: "), F.replace(title, F.lit("\n"), F.lit(" ")), F.lit(CRLF), F.array_join(source, ""), F.array_join(links, ""))
     two = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
@@ -125,5 +130,5 @@ def derive(records: DataFrame, undated: str = UNDATED) -> DataFrame:
         "block",
     )
     lines = [("WARC-Type: ", "record_type"), ("WARC-Record-ID: ", "record_id"), ("WARC-Refers-To: ", "refers_to"), ("WARC-Target-URI: ", "target_uri"), ("WARC-Date: ", "date"), ("Content-Type: ", "content_type"), ("WARC-Block-Digest: ", "block_digest"), ("WARC-Payload-Digest: ", "payload_digest"), ("Content-Length: ", "content_length")]
-    header = F.concat(F.lit(f"WARC/1.1{CRLF}"), *(F.coalesce(F.concat(F.lit(name), F.col(c).cast("string"), F.lit(CRLF)), none) for name, c in lines))
+    header = F.concat(F.lit(f"WARC/1.1{CRLF}"), *(F.coalesce(F.concat(F.lit(name), F.regexp_replace(F.col(c).cast("string"), CONTROL, ""), F.lit(CRLF)), none) for name, c in lines))
     return rows.withColumn("header", header)

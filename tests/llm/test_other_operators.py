@@ -46,7 +46,8 @@ def test_top_k_of_odd_lengths_and_large_components(spark):
     odd = [(100 + i, []) for i in range(30)] + [(200, [1.0]), (201, [1.0] * 4)]
     table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").repartition(3)
     got = topk.top_k(table, F.col("vec_id") % 10 == 0, 5)
-    assert {tuple(r) for r in got.collect()} == brute_top(rows, lambda i: i % 10 == 0, 5)
+    want = brute_top(rows, lambda i: i % 10 == 0, 5) | brute_top(odd[:30], lambda i: i % 10 == 0, 5)
+    assert {tuple(r) for r in got.collect()} == want
 
 
 def test_each_length_among_its_own(spark):
@@ -92,6 +93,18 @@ def test_bounds_skip_annuli_and_vectors_of_clusters():
     assert total < 0.2 * len(x)
 
 
+def test_empty_vectors_and_too_large_ones(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(i, []) for i in (0, 0, 10, 11, 12, 13, 14, 15, 16, 20)] + [(30, [1.0]), (31, [2.0])]
+    got = topk.top_k(spark.createDataFrame(rows, schema).repartition(3), F.col("vec_id") % 10 == 0, 5).collect()
+    best = {q: sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) for q in (10, 20, 30)}
+    assert [v for _, v, _ in best[10]] == [0, 0, 11, 12, 13] and {s for _, _, s in best[10]} == {0}
+    assert [v for _, v, _ in best[20]] == [0, 0, 10, 11, 12] and best[30] == [(1, 31, 256 * 512)]
+    assert sorted(r.vec_id for r in got if r.query_id == 0) == sorted([10, 11, 12, 13, 14] * 2)
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(spark.createDataFrame([(0, [1e30, -1e30]), (1, [1.0, 2.0])], schema), F.col("vec_id") == 0, 5).collect()
+
+
 def test_common_prefix_and_masks(spark):
     turn = "array<struct<role:string,text:string>>"
     shared = [("user", "hi"), ("assistant", "hello")]
@@ -127,6 +140,20 @@ def test_a_turn_of_millions_of_letters(spark):
     assert [row.rejected[s.start : s.end] for s in row.rejected_mask] == [text + "!<|im_end|>\n"]
 
 
+def test_many_turns_cost_linear_time(spark):
+    turn, took = "array<struct<role:string,text:string>>", []
+    for n in (10_000, 80_000):
+        said = [("assistant" if i % 2 else "user", f"t{i}") for i in range(n)]
+        table = spark.createDataFrame([(1, said, [])], f"pair_id long, chosen {turn}, rejected {turn}").cache()
+        table.count()
+        began = time.time()
+        (row,) = chat.format_pairs(table).select("chosen", "chosen_mask").collect()
+        took.append(time.time() - began)
+        assert len(row.chosen_mask) == n // 2
+        assert all(row.chosen[s.start : s.end] == f"t{2 * k + 1}<|im_end|>\n" for k, s in enumerate(row.chosen_mask))
+    assert took[1] < 15
+
+
 def test_swapped_answers(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (2, 1, "assistant", "d"), (2, 2, "user", "e"), (3, 0, "user", "f"), (1, 1, "assistant", "b"), (None, None, None, None)]
     table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, last string").repartition(3)
@@ -169,6 +196,16 @@ def records_of(spark, *pages):
     return {(int(r.target_uri), r.record_type): r.block for r in warc.derive(warc.responses(rows)).collect()}
 
 
+def test_no_value_begins_a_header_line(spark):
+    url = "http://a.b/\r\nX-Evil: 1\n\x00y"
+    pages = spark.createDataFrame([(1, url, "<p>x</p>")], "page_id long, url string, html string")
+    records = warc.responses(pages).withColumn("http_headers", F.lit("HTTP/1.1 200 OK\r\nServer: a\nX-Evil: 2\r\n"))
+    for r in warc.derive(records).collect():
+        assert r.target_uri == url and "WARC-Target-URI: http://a.b/X-Evil: 1y\r\n" in r.header
+        lines = r.header.split("\r\n") + (r.block.split("\r\n") if r.record_type == "metadata" else [])
+        assert not any(line.startswith("X-Evil") for line in "\n".join(lines).split("\n"))
+
+
 def test_entities_and_links(spark):
     text = "a&#8217;b &mdash; &#x1F600;&#65279;| &amp;lt; &nope; &#0; &#xD800; &#1114112; &#150; &eacute;&Eacute; x & y &#; &amp &copy;&"
     links = "<a href='/one'>1</a><A class=x HREF = /two>2</A><a data-href='/no' href=\"/t?a=1&amp;b=&#50;&#10;\">3</a><a name=x>4</a><!-- <a href='/hidden'> --><abbr href=/no>"

@@ -435,6 +435,16 @@ def test_recount_is_the_count_of_the_edited_text(spark):
     assert all(x.n_renewed <= x.n_leaves for x in got)
 
 
+def test_edits_of_any_whole_numbers(spark):
+    for kind in ("tinyint", "int", "bigint"):
+        docs = spark.createDataFrame([(1, "one two three", [(4, 7, "2 2")]), (2, "x", None)], f"doc_id long, text string, edits array<struct<start:{kind},end:{kind},text:string>>")
+        assert {(r.doc_id, r.n_edits) for r in tokencount.apply_edits(tokencount.build_trees(docs)).collect()} == {(1, 1), (2, 0)}
+    far = spark.createDataFrame([(1, "one", [(1 << 40, 1 << 41, " end")])], "doc_id long, text string, edits array<struct<start:bigint,end:bigint,text:string>>")
+    assert tokencount.apply_edits(tokencount.build_trees(far)).first().n_edits == 1
+    with pytest.raises(ValueError, match="no column edits"):
+        tokencount.apply_edits(tokencount.build_trees(documents(spark)))
+
+
 def test_recount_from_a_table_of_edits(spark):
     docs = spark.createDataFrame([(1, "one two three"), (2, None), (3, "same")], "doc_id long, text string")
     edits = spark.createDataFrame([(1, 4, 7, "2 2"), (1, 5, 6, "overlaps"), (2, 0, 0, "new text"), (9, 0, 1, "x")], "doc_id long, start long, end long, text string")
