@@ -19,7 +19,7 @@ class GraphConfig:
     window: int | None = None
     segments: int | None = None
     alpha: float = 0.5
-    beta: float = 2
+    beta: float = 2.0
     n_kmer: int = 6
     ratio: float = 0.3
     probability: float = 0.86
