@@ -75,23 +75,28 @@ def with_occurrence(words: Column, first: int = 1) -> Column:
     return F.transform(by_place, lambda w: F.struct(w["word"].alias("word"), w["occ"].alias("occ")))
 
 
-def _window_minima(values: Column, window: Column) -> Column:
-    def minima(vs: Column) -> Column:
-        width = F.least(window, F.size(vs))
-        return F.transform(F.sequence(F.lit(1), F.size(vs) - width + 1), lambda i: F.array_min(F.slice(vs, i, width)))
+def window_minima(values: Column, window: int) -> Column:
+    """Minimum of each run of ``window`` values; of fewer values, their minimum alone.
 
-    return F.array_distinct(bound(values, minima))
+    Minima of runs of 1, 2, 4, ... values come from two of the length before; two of the longest cover a window. So each
+    value is looked at a logarithm of the window's times.
+    """
+    longest = 1 << (window.bit_length() - 1)
+    steps = F.expr(f"cast(array({', '.join(str(1 << s) for s in range(longest.bit_length() - 1))}) as array<int>)")
+    doubled = lambda vs: F.aggregate(steps, vs, lambda runs, step: F.transform(runs, lambda x, i: F.least(x, F.get(runs, i + step))))
+    covered = lambda vs, runs: F.transform(F.slice(runs, 1, F.size(vs) - (window - 1)), lambda x, i: F.least(x, F.get(runs, i + (window - longest))))
+    return bound(values, lambda vs: F.when(F.size(vs) < window, F.array(F.array_min(vs))).otherwise(bound(doubled(vs), lambda runs: covered(vs, runs))))
 
 
 def lexicographic_minimizers(seq: Column, k: int, window: int) -> Column:
     """Smallest k-mer of each window; a sequence with fewer k-mers is one window."""
-    return F.when(F.length(seq) >= k, _window_minima(kmers(seq, k), F.lit(window))).otherwise(F.expr(_NO_STRINGS))
+    return F.when(F.length(seq) >= k, F.array_distinct(window_minima(kmers(seq, k), window))).otherwise(F.expr(_NO_STRINGS))
 
 
 def hashed_minimizers(seq: Column, k: int, window: int, seed: int, hash_of: Hash = hash_fast) -> Column:
     """Smallest k-mer hash of each window; none where a sequence has fewer k-mers than a window."""
     hashes = F.transform(kmers(seq, k), lambda w: hash_of(F.lit(str(seed)), w))
-    return F.when(F.length(seq) - k + 1 >= window, _window_minima(hashes, F.lit(window)))
+    return F.when(F.length(seq) - k + 1 >= window, F.array_distinct(window_minima(hashes, window)))
 
 
 def gapped_min_hashes(seq: Column, k: int, seeds: list[int], hash_of: Hash = hash_fast) -> Column:

@@ -15,6 +15,8 @@ from strandgraph.jobs.catalog_sql import oracle_sql as oracle_sql
 from strandgraph.jobs.config import GraphConfig
 from strandgraph.operators import buckets as scheme
 from strandgraph.operators import graph, pairs, reads
+from strandgraph.operators.components import components
+from strandgraph.operators.incremental import GrowingGraph
 from strandgraph.operators.storage import shared_folder, stored
 from strandgraph.sources import sequences
 
@@ -222,6 +224,31 @@ def edges_amplicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact(stored(_numbered(amplicon_reads(spark, sf_dir)), "vertices"))
 
 
+BATCHES = 3
+
+
+def batched_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, seq, batch): reads in three batches; every tenth comes in each of them."""
+    batch = F.explode(F.when(F.col("k") % 10 == 0, F.sequence(F.lit(0), F.lit(BATCHES - 1))).otherwise(F.array((F.col("k") % BATCHES).cast("int"))))
+    return reads_of(spark, sf_dir, 24).withColumn("batch", batch)
+
+
+def edges_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges and counts of a graph that three batches have made, each looking for its own edges only."""
+    made = GrowingGraph(spark, f"{shared_folder(spark)}/growing-{uuid.uuid4().hex}")
+    source = stored(batched_reads(spark, sf_dir), "batches")
+    for i in range(BATCHES):
+        made.add(source.where(F.col("batch") == i))
+    ends = [made.vertices().select(F.col("vid").alias(v), F.col("cnt").alias(f"{v}_cnt")) for v in ("src", "dst")]
+    return made.edges().join(ends[0], "src").join(ends[1], "dst").select("src", "dst", "weight", "src_cnt", "dst_cnt")
+
+
+def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected components by their smallest vertex, and how many reads each has."""
+    v = stored(vertices_of(spark, sf_dir, 24), "vertices")
+    return components(_exact(v), v).groupBy("comp").agg(F.count("*").alias("n"))
+
+
 def edges_brute_force_min2(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = GraphConfig(mode="brute_force", min_distance=2)
     return build(reads_of(spark, sf_dir, 24), config).edges
@@ -377,7 +404,7 @@ ALL: tuple[Query, ...] = (
     omh_prefix_keys, omh_minhash_keys, bucket_sizes, bucket_count, bucket_split, bucket_stats, edges_brute_force, edges_brute_force_short,
     edges_brute_force_min2, edges_minimizer, edges_miniception, edges_omh, edges_omh_minhash, edges_gapped, edges_bucket_join,
     large_bucket_rebucket, sub_bucket_routes, khop_pairs, edges_after_khop, merge_unique_reads, edge_weight_filter, edge_summary,
-    graph_minimizer_gomh, graph_miniception_gomh, mode_recall, dot_lines, edges_mixed_lengths, edges_shared_primer, edges_amplicon,
+    graph_minimizer_gomh, graph_miniception_gomh, mode_recall, dot_lines, edges_mixed_lengths, edges_shared_primer, edges_amplicon, edges_incremental, component_sizes,
     graph_miniception, graph_omh, graph_long_reads, stage_metrics, fastq_reads,
 )
 

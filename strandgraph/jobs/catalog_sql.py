@@ -201,6 +201,12 @@ met as (select distinct least(src, dst) as src, greatest(src, dst) as dst from h
 select * from now union select e.* from exact e join met using (src, dst)""",
         "edges_mixed_lengths": f"with {_mixed(6)}{V} {ALL_PAIRS}",
         "edges_shared_primer": f"with {PRIMED}{V} {ALL_PAIRS}",
+        "edges_incremental": f"""with {_reads(24)}, a as (select seq, unnest(case when k % 10 = 0 then [0, 1, 2] else [k % 3] end) as batch from r),
+v as (select row_number() over (order by min(batch), seq) - 1 as vid, seq, count(*) as cnt from a group by seq), {_exact()}
+select src, dst, weight, x.cnt as src_cnt, y.cnt as dst_cnt from exact e join v x on x.vid = e.src join v y on y.vid = e.dst""",
+        "component_sizes": f"""with recursive {e24}, near as (select src, dst from exact union select dst, src from exact),
+reach as (select vid, vid as other from v union select r.vid, n.dst from reach r join near n on n.src = r.other)
+select comp, count(*) as n from (select vid, min(other) as comp from reach group by vid) t group by comp""",
         "edges_amplicon": f"with {AMPLIFIED}{V} {ALL_PAIRS}",
         "graph_miniception": f"with {e12}, {_hashed(4, 8)} {_inside('b')}",
         "graph_omh": f"with {e24}, {OMH_PREFIX} {_inside('ob')}",

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.operators.pairs import distance
+from strandgraph.operators.components import components
+from strandgraph.operators.pairs import exact
 from strandgraph.operators.storage import stored
 
 
@@ -45,14 +46,36 @@ def within_hops(edges: DataFrame, sources: DataFrame | None, depth: int) -> Data
     return seen
 
 
+#: Neighbours of a vertex that are walked to in one task; a vertex with more is dealt into blocks.
+BLOCK = 1000
+
+
+def adjacency(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, part, next) for both directions of the edges, and (node, parts) of the nodes of more than one part."""
+    near = stored(edges.select("src", "dst").union(edges.select("dst", "src")).distinct().toDF("node", "next"), "near")
+    heavy = stored(near.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1"), "heavy")
+    part = F.coalesce(F.pmod(F.xxhash64("next"), F.col("parts")).cast("int"), F.lit(0))
+    return near.join(heavy, "node", "left").select("node", part.alias("part"), "next"), heavy
+
+
+def walked(walkers: DataFrame, near: DataFrame, heavy: DataFrame) -> DataFrame:
+    """(start, node) one edge further: walkers at a heavy node go to each of its parts, so its neighbours spread over tasks."""
+    spread = walkers.join(heavy, "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return spread.join(near, ["node", "part"]).select("start", F.col("next").alias("node")).distinct()
+
+
 def connected(pairs: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Those of the pairs (src, dst) that a walk of at most ``depth`` edges leads between.
 
-    Only these pairs are asked for: walks start at both of their ends by turns, so each side goes half as far, and
-    a pair that has met leaves the search. No other pair of a component is ever made.
+    Pairs of different components are dropped before any walk. Only the others are asked for: walks start at both of their
+    ends by turns, so each side goes half as far, and a pair that has met leaves the search. No other pair of a
+    component is ever made.
     """
-    near = stored(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "near").select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    open_pairs = stored(pairs.select("src", "dst").where("src <> dst").distinct(), "open")
+    comps = components(edges)
+    ends = [comps.select(F.col("vid").alias(end), F.col("comp").alias(f"{end}_comp")) for end in ("src", "dst")]
+    asked = pairs.select("src", "dst").where("src <> dst").distinct()
+    open_pairs = stored(asked.join(ends[0], "src").join(ends[1], "dst").where("src_comp = dst_comp").select("src", "dst"), "open")
+    near, heavy = adjacency(edges)
     met: list[DataFrame] = []
     reached = {end: open_pairs.select(F.col(end).alias("start"), F.col(end).alias("node")).distinct() for end in ("src", "dst")}
     fresh = dict(reached)
@@ -61,7 +84,7 @@ def connected(pairs: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
             break
         side = ("src", "dst")[step % 2]
         wanted = open_pairs.select(F.col(side).alias("start")).distinct()
-        moved = fresh[side].join(wanted, "start", "left_semi").join(near, "node").select("start", F.col("next").alias("node")).distinct()
+        moved = walked(fresh[side].join(wanted, "start", "left_semi"), near, heavy)
         fresh[side] = stored(moved.join(reached[side], ["start", "node"], "left_anti"), "fresh")
         if fresh[side].limit(1).count() == 0:  # these ends have seen all that they can reach
             break
@@ -76,9 +99,13 @@ def connected(pairs: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
 
 def verified_hops(edges: DataFrame, vertices: DataFrame, sources: DataFrame | None, depth: int, least: int, most: int) -> DataFrame:
-    """Edges within the range between vertices that the traversal connects and no edge does yet."""
-    met = within_hops(edges, sources, depth).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    new = met.join(edges, ["src", "dst"], "left_anti")
-    a, b = (vertices.select(F.col("vid").alias(v), F.col("seq").alias(s)) for v, s in (("src", "sa"), ("dst", "sb")))
-    weighed = new.join(a, "src").join(b, "dst").withColumn("weight", distance(F.col("sa"), F.col("sb"), most).cast("int"))
-    return weighed.where(F.col("weight").between(least, most)).select("src", "dst", "weight")
+    """Edges within the range between vertices that the traversal connects and no edge does yet.
+
+    Only what is within the range and no edge yet can be added, so only that is asked of the graph; no pair is made
+    because a walk leads there. ``vertices`` are read more than once: store them.
+    """
+    missing = stored(exact(vertices, least, most).join(edges, ["src", "dst"], "left_anti"), "missing")
+    asked = missing
+    if sources is not None:
+        asked = reduce(DataFrame.union, (missing.join(sources.select(F.col("vid").alias(end)), end, "left_semi").select("src", "dst", "weight") for end in ("src", "dst")))
+    return missing.join(connected(asked, edges, depth), ["src", "dst"], "left_semi").select("src", "dst", "weight")

@@ -28,13 +28,6 @@ WIDE = 2
 PAIRS_A_READ = 20
 
 
-def distance(a: Column, b: Column, most: int) -> Column:
-    """Edit distance up to ``most``, else null. The cheap test stands inside the CASE so that it is made first."""
-    close = F.abs(F.length(a) - F.length(b)) <= most
-    found = F.levenshtein(a, b, most)
-    return F.when(close & (found >= 0), found)
-
-
 def plans(most: int, parts: int) -> list[list[int]]:
     """Ways in which a read of ``parts`` segments, ``most`` of them edited, lies in another one up to ``most`` letters longer.
 
@@ -107,12 +100,38 @@ def without_kept(work: DataFrame, most: int, parts: int, frequent: DataFrame) ->
     return rows.join(frequent.withColumnRenamed("h", "grp"), "grp", "left_semi").distinct()
 
 
+def short_rows(work: DataFrame, most: int) -> DataFrame:
+    """The rows that segments do not serve: those of too few letters, and those within reach of these."""
+    return work.where(F.length("rest") < (most + 1) * SEGMENT_LEAST + most)
+
+
+def remainders(work: DataFrame, most: int) -> DataFrame:
+    """(h, vid): hashes of what up to ``most`` deletions leave of rows (grp, vid, rest)."""
+    return work.select(F.explode(F.transform(kmers.deletions(F.col("rest"), most), lambda x: F.xxhash64("grp", x))).alias("h"), "vid")
+
+
 def deletion_candidates(work: DataFrame, most: int) -> DataFrame:
     """(a, b) of rows (grp, vid, rest) that share a remainder after up to ``most`` deletions from each; for short rests."""
-    left = work.select(F.explode(F.transform(kmers.deletions(F.col("rest"), most), lambda x: F.xxhash64("grp", x))).alias("h"), F.col("vid").alias("a"))
+    left = remainders(work, most).withColumnRenamed("vid", "a")
     return left.join(left.withColumnRenamed("a", "b"), "h").where("a < b").select("a", "b")
 
 
+def dense_candidates(work: DataFrame, most: int, often: int) -> list[DataFrame]:
+    """(a, b) among reads (grp, vid, rest) whose segments are too frequent to pair them, in rounds over shorter rests."""
+    parts, made = 2 * (most + 1) if most <= WIDE else most + 1, []
+    while True:
+        found, frequent = segment_candidates(work, most, parts, often * EASIER)
+        made.append(found)
+        if frequent is None:
+            return made
+        work = stored(without_kept(work, most, parts, frequent), "groups")
+        made.append(deletion_candidates(short_rows(work, most), most))
+
+
+def as_work(vertices: DataFrame) -> DataFrame:
+    return vertices.select(F.lit(0).cast("long").alias("grp"), "vid", F.col("seq").alias("rest"))
+
+
 def candidates(vertices: DataFrame, most: int, often: int = OFTEN) -> DataFrame:
     """(a, b), each pair once, among which are all pairs of ``vertices`` within ``most`` edits.
 
@@ -121,21 +140,11 @@ def candidates(vertices: DataFrame, most: int, often: int = OFTEN) -> DataFrame:
     behind one primer, meet by all but ``most`` of twice as many segments. Where these are frequent too, they
     become a group, in which only the letters left are looked at; these get shorter each round.
     """
-    short = (most + 1) * SEGMENT_LEAST
-    work = vertices.select(F.lit(0).cast("long").alias("grp"), "vid", F.col("seq").alias("rest"))
-    by_deletions = lambda rows: deletion_candidates(rows.where(F.length("rest") < short + most), most)
+    work = as_work(vertices)
     found, frequent = segment_candidates(work, most, most + 1, often)
-    made = [found, by_deletions(work)]
+    made = [found, deletion_candidates(short_rows(work, most), most)]
     if frequent is not None:
-        parts = 2 * (most + 1) if most <= WIDE else most + 1
-        work = stored(having(work, most, most + 1, frequent), "dense")
-        while True:
-            found, frequent = segment_candidates(work, most, parts, often * EASIER)
-            made.append(found)
-            if frequent is None:
-                break
-            work = stored(without_kept(work, most, parts, frequent), "groups")
-            made.append(by_deletions(work))
+        made += dense_candidates(stored(having(work, most, most + 1, frequent), "dense"), most, often)
     both = reduce(DataFrame.union, made)
     return both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -155,24 +164,42 @@ def exact(vertices: DataFrame, least: int, most: int, often: int = OFTEN) -> Dat
     return verified(candidates(vertices, most, often), vertices, least, most)
 
 
+def keys_of(buckets: DataFrame, by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
+    """(vid, keys): the sorted keys of each vertex, as many as its letters allow."""
+    key = F.col(by[0]) if len(by) == 1 else F.struct(*by)
+    return buckets.groupBy("vid").agg(F.sort_array(F.collect_set(key)).alias("keys"))
+
+
+def _with_keys(edges: DataFrame, buckets: DataFrame, by: list[str]) -> DataFrame:
+    """Edges beside the keys of both their ends."""
+    keys = keys_of(buckets, by)
+    one = edges.join(keys.select(F.col("vid").alias("src"), F.col("keys").alias("src_keys")), "src")
+    return one.join(keys.select(F.col("vid").alias("dst"), F.col("keys").alias("dst_keys")), "dst")
+
+
 def in_buckets(edges: DataFrame, buckets: DataFrame, by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
-    """Edges whose ends share a bucket: equal to joining each bucket with itself and verifying all its pairs."""
-    one = edges.select("src", "dst", "weight").join(buckets.withColumnRenamed("vid", "src"), "src")
-    both = one.join(buckets.withColumnRenamed("vid", "dst"), [*by, "dst"], "left_semi")
-    return both.select("src", "dst", "weight").dropDuplicates(["src", "dst"])
+    """Edges (each once) whose ends share a bucket: equal to joining each bucket with itself and verifying all its pairs."""
+    return _with_keys(edges.select("src", "dst", "weight"), buckets, by).where(F.arrays_overlap("src_keys", "dst_keys")).select("src", "dst", "weight")
 
 
-def bucket_pairs(buckets: DataFrame, vertices: DataFrame, least: int, most: int, block: int = 2000, by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
-    """The direct way, for schemes of small buckets: self-join of buckets, those over ``block`` vertices in blocks.
+def bucket_candidates(buckets: DataFrame, block: int = 2000, by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
+    """(a, b) that share a bucket, each once: a pair is made only in the least key that both have.
 
     A bucket of n vertices is dealt into s = ceil(n / block) parts; every part meets every other once, so no task holds
     more than two parts. The number of pairs still grows with the square of a bucket.
     """
     parts = buckets.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("s"))
-    rows = buckets.join(parts, by).withColumn("p", F.pmod(F.xxhash64("vid"), F.col("s")).cast("int"))
-    left = rows.select(*by, F.col("vid").alias("a"), F.col("p").alias("pa"), F.explode(F.expr("sequence(0, s - 1)")).alias("pb"))
-    right = rows.select(*by, F.col("vid").alias("b"), F.col("p").alias("pb"), F.explode(F.expr("sequence(0, s - 1)")).alias("pa"))
-    return verified(left.join(right, [*by, "pa", "pb"]).where("a < b").select("a", "b").distinct(), vertices, least, most)
+    lower = F.slice("keys", F.lit(1), F.col("at"))
+    each = keys_of(buckets, by).select("vid", "keys", F.posexplode("keys").alias("at", "own")).select("vid", lower.alias("lower"), *((F.col("own") if len(by) == 1 else F.col(f"own.{c}")).alias(c) for c in by))
+    rows = each.join(parts, by).withColumn("p", F.pmod(F.xxhash64("vid"), F.col("s")).cast("int"))
+    left = rows.select(*by, F.col("vid").alias("a"), F.col("lower").alias("la"), F.col("p").alias("pa"), F.explode(F.expr("sequence(0, s - 1)")).alias("pb"))
+    right = rows.select(*by, F.col("vid").alias("b"), F.col("lower").alias("lb"), F.col("p").alias("pb"), F.explode(F.expr("sequence(0, s - 1)")).alias("pa"))
+    return left.join(right, [*by, "pa", "pb"]).where((F.col("a") < F.col("b")) & ~F.arrays_overlap("la", "lb")).select("a", "b")
+
+
+def bucket_pairs(buckets: DataFrame, vertices: DataFrame, least: int, most: int, block: int = 2000, by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
+    """The direct way, for schemes of small buckets: self-join of buckets, those over ``block`` vertices in blocks."""
+    return verified(bucket_candidates(buckets, block, by), vertices, least, most)
 
 
 def among(buckets: DataFrame, vertices: DataFrame, least: int, most: int, every: Callable[[], DataFrame], by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
@@ -188,10 +215,10 @@ def among(buckets: DataFrame, vertices: DataFrame, least: int, most: int, every:
 
 
 def bucket_stats(edges: DataFrame, buckets: DataFrame) -> DataFrame:
-    """key, bucket_size, total_pairs, positive_cases, negative_cases; positives are counted from edges, not from pairs."""
+    """key, bucket_size, total_pairs, positive_cases, negative_cases; each edge, met once, counts for all keys that its ends share."""
     own = buckets.groupBy("key").agg(F.count("*").alias("bucket_size"))
-    one = edges.select("src", "dst").join(buckets.withColumnRenamed("vid", "src"), "src")
-    hits = one.join(buckets.withColumnRenamed("vid", "dst"), ["key", "dst"], "left_semi").groupBy("key").agg(F.count("*").alias("hits"))
+    shared = _with_keys(edges.select("src", "dst"), buckets, ["key"]).select(F.explode(F.array_intersect("src_keys", "dst_keys")).alias("key"))
+    hits = shared.groupBy("key").agg(F.count("*").alias("hits"))
     n, hit = F.col("bucket_size"), F.coalesce("hits", F.lit(0))
     total = (n * (n - 1) / 2).cast("long")
     return own.join(hits, "key", "left").select("key", "bucket_size", total.alias("total_pairs"), hit.alias("positive_cases"), (total - hit).alias("negative_cases"))

@@ -19,8 +19,24 @@ def shared_folder(spark: SparkSession) -> str:
     return got
 
 
+#: Folders that this driver has written.
+_OWN: set[str] = set()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back, which cuts its lineage and outlives executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    own = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{own}"
+    _OWN.add(own)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again; whatever else they are made of stays."""
+    for df in tables:
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1] in _OWN:
+                context = df.sparkSession.sparkContext
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
