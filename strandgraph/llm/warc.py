@@ -130,5 +130,7 @@ def derive(records: DataFrame, undated: str = UNDATED) -> DataFrame:
         "block",
     )
     lines = [("WARC-Type: ", "record_type"), ("WARC-Record-ID: ", "record_id"), ("WARC-Refers-To: ", "refers_to"), ("WARC-Target-URI: ", "target_uri"), ("WARC-Date: ", "date"), ("Content-Type: ", "content_type"), ("WARC-Block-Digest: ", "block_digest"), ("WARC-Payload-Digest: ", "payload_digest"), ("Content-Length: ", "content_length")]
-    header = F.concat(F.lit(f"WARC/1.1{CRLF}"), *(F.coalesce(F.concat(F.lit(name), F.regexp_replace(F.col(c).cast("string"), CONTROL, ""), F.lit(CRLF)), none) for name, c in lines))
+    given = ("refers_to", "target_uri", "date")  # the others are made here
+    value = lambda c: F.regexp_replace(c, CONTROL, "") if c in given else F.col(c).cast("string")
+    header = F.concat(F.lit(f"WARC/1.1{CRLF}"), *(F.coalesce(F.concat(F.lit(name), value(c), F.lit(CRLF)), none) for name, c in lines))
     return rows.withColumn("header", header)
