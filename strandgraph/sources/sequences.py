@@ -29,24 +29,31 @@ def read_fasta(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFram
 
 
 def read_fastq(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFrame:
-    """(id, seq) of four-line records. The mark of a record may begin a quality line, so lines are counted, not matched.
+    """(id, seq) of four-line records. The mark of a record may begin a quality line, so lines are counted, not matched; blank
+    ones are not counted. A record that is cut after its letters, has no "+" line, or has not one quality for each letter is an error.
 
     Spark splits large files and unpacks compressed ones (a compressed file is one task). The lines are written once with
     their place in their split; a prefix sum over the splits of a file, one row each, turns places into line numbers.
     """
     place = F.monotonically_increasing_id().alias("place")
     split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    lines = stored(spark.read.text(path).select(*split, place, "value"), "lines")
+    lines = stored(spark.read.text(path).where("trim(value) <> ''").select(*split, place, "value"), "lines")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("least"))
     bases = sizes.select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("least")).alias("base"))
     at = F.col("base") + F.col("place")
-    placed = lines.join(F.broadcast(bases), ["file", "block"]).select("file", F.shiftright(at, 2).alias("record"), (at % 4).alias("line"), "value").where("line < 2")
+    placed = lines.join(F.broadcast(bases), ["file", "block"]).select("file", F.shiftright(at, 2).alias("record"), (at % 4).alias("line"), "value")
     head, seq = (F.max(F.when(F.col("line") == i, F.col("value"))) for i in range(2))
+    # of the last two lines only what is checked is shuffled: that there is a mark, and how long the quality is
+    size = F.max(F.when(F.col("line") == 3, F.length("value")))
+    slim = placed.withColumn("value", F.when(F.col("line") == 2, F.substring("value", 1, 1)).otherwise(F.rtrim("value")))
     # a name without any further line is no record
-    records = placed.groupBy("file", "record").agg(head.alias("head"), seq.alias("seq")).where("seq is not null")
-    wrong = F.raise_error(F.concat(F.lit("line "), (4 * F.col("record") + 1).cast("string"), F.lit(" does not start a record")))
-    checked = records.where(F.when(F.col("head").startswith("@"), F.lit(True)).otherwise(wrong.cast("boolean")))
+    marked = F.max(F.when(F.col("line") == 2, F.col("value")))
+    records = slim.groupBy("file", "record").agg(head.alias("head"), seq.alias("seq"), marked.alias("mark"), size.alias("size")).where("seq is not null")
+    said = F.concat(F.lit("line "), (4 * F.col("record") + 1).cast("string"))
+    whole = F.coalesce((F.col("mark") == "+") & (F.col("size") == F.length("seq")), F.lit(False))
+    wrong = F.when(~F.col("head").startswith("@"), F.lit(" does not start a record")).when(~whole, F.lit(" starts a record without a mark or without a quality for each letter"))
+    checked = records.where(F.when(wrong.isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(said, wrong)).cast("boolean")))
     return checked.select(F.expr("substring(head, 2)").alias("id"), letters(F.col("seq"), on_bad).alias("seq"))
 
 
@@ -89,9 +96,9 @@ def dot_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def write_dot(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    """One Graphviz file, for graphs small enough to draw; ``write_tables`` is the way for others."""
-    lines = dot_lines(vertices, edges)
-    lines.coalesce(1).sortWithinPartitions("part", "line").select("line").write.text(path)
+    """Graphviz in files whose names and lines are in order, so that one after the other they are one graph; a small graph is
+    one file. No task holds all lines."""
+    dot_lines(vertices, edges).repartitionByRange("part", "line").sortWithinPartitions("part", "line").select("line").write.text(path)
 
 
 def write_tables(vertices: DataFrame, edges: DataFrame, path: str) -> None:

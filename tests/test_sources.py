@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandgraph.jobs import cli
 from strandgraph.operators import pairs
@@ -46,6 +47,33 @@ def test_fastq_cut_and_compressed(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_fastq_that_is_not_whole(spark, tmp_path):
+    fine = "@a\nACGT\n+\nIIII\n\n@b\nAC\n+b\n@I\r\n   \n"
+    assert {tuple(r) for r in sequences.read_fastq(spark, written(tmp_path / "blank.fq", fine)).collect()} == {("a", "ACGT"), ("b", "AC")}
+    for i, cut in enumerate(("@c\nACGT\n", "@c\nACGT\n+\n", "@c\nACGT\n+\nIII\n", "@c\nACGT\nx\nIIII\n", "@c\nACGT\n+\nIIIII\n")):
+        with pytest.raises(Exception, match="line 9 starts a record without"):
+            sequences.read_fastq(spark, written(tmp_path / f"{i}.fq", fine + cut)).collect()
+
+
+def test_large_graph_files_are_ordered_parts(spark, tmp_path):
+    v = spark.range(500).select(F.col("id").alias("vid"), F.lit("ACGT").alias("seq"), F.lit(1).cast("long").alias("cnt"))
+    e = spark.range(499).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1).alias("weight"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sequences.write_dot(v, e, f"{tmp_path}/dot")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted(p for p in (tmp_path / "dot").iterdir() if p.name.startswith("part-"))
+    lines = [line for p in parts for line in p.read_text().splitlines()]
+    assert len(parts) > 1 and len(lines) == 1001 and lines[0] == "graph G {" and lines[-1] == "}"
+    assert all("--" not in x for x in lines[:501]) and all("--" in x for x in lines[501:-1])
+
+
+def test_command_line_takes_real_numbers():
+    args = cli.parser().parse_args(["-i", "a", "-o", "b", "--beta", "2.5", "--alpha", "1"])
+    assert (args.beta, args.alpha) == (2.5, 1.0)
+
+
 def test_folders_and_written_files(spark, tmp_path):
     records = spark.createDataFrame([(str(i), "ACGT" * (i % 5 + 2), "@" + "I" * (4 * (i % 5 + 2) - 1)) for i in range(40)], "id string, seq string, qual string").repartition(3)
     sequences.write_fastq(records, f"{tmp_path}/out")
