@@ -111,31 +111,40 @@ def accepted(edits: list[Edit], length: int) -> list[Edit]:
     return out
 
 
-def recount(text: bytes | memoryview, tree: Tree, edits: list[Edit], memo: tokens.WordMemo) -> tuple[int, int, int]:
-    """(tokens after the edits, edits made, leaves encoded anew). Of the text's bytes only those of edited regions are read."""
-    edits, n = accepted(edits, tree.length), len(tree.starts)
-    if not edits:
-        return tree.sums.total, 0, 0
-    if not n:
-        return len(memo.ids(edited(bytes(text).decode(), edits))) // 2, len(edits), 0
-    starts, ends = tree.starts, tree.ends
-    regions: list[tuple[int, int, list[Edit]]] = []
+def regions(text: bytes | memoryview, tree: Tree, edits: list[Edit]) -> Iterator[tuple[int, int, tuple[int, int], tuple[int, int], str]]:
+    """(first leaf, last leaf, places, bytes, new text) of each part of the text that accepted edits touch, leaves at its
+    borders included. Of the text's bytes only these are read; the tree has leaves."""
+    n, starts, ends = len(tree.starts), tree.starts, tree.ends
+    found: list[tuple[int, int, list[Edit]]] = []
     for edit in edits:
         lo, hi = bisect_left(ends, edit[0]), bisect_right(starts, edit[1]) - 1
         if hi < lo:  # between two leaves: the one before, or the first, takes the new text in
             lo = hi = max(0, hi)
-        if regions and (lo <= regions[-1][1] or min(starts[lo], edit[0]) <= regions[-1][2][-1][1]):
-            regions[-1] = (regions[-1][0], max(hi, regions[-1][1]), [*regions[-1][2], edit])
+        if found and (lo <= found[-1][1] or min(starts[lo], edit[0]) <= found[-1][2][-1][1]):
+            found[-1] = (found[-1][0], max(hi, found[-1][1]), [*found[-1][2], edit])
         else:
-            regions.append((lo, hi, [edit]))
-    renewed = 0
-    for lo, hi, own in regions:
+            found.append((lo, hi, [edit]))
+    for lo, hi, own in found:
         # the leaves and the white space on both their sides
         first = int(ends[lo - 1]) if lo else 0
         begin, end = int(tree.byte_ends[lo - 1]) if lo else 0, int(tree.byte_starts[hi + 1]) if hi + 1 < n else len(text)
         near = bytes(text[begin:end]).decode()
         a, b = min(int(starts[lo]), own[0][0]), max(int(ends[hi]), own[-1][1])
-        piece = edited(near[a - first : b - first], [(s - a, e - a, t) for s, e, t in own])
+        old = near[a - first : b - first]
+        at = begin + len(near[: a - first].encode())
+        yield lo, hi, (a, b), (at, at + len(old.encode())), edited(old, [(s - a, e - a, t) for s, e, t in own])
+
+
+def recount(text: bytes | memoryview, tree: Tree, edits: list[Edit], memo: tokens.WordMemo) -> tuple[int, int, int]:
+    """(tokens after the edits, edits made, leaves encoded anew). Leaves of a region count as its first one, so that only
+    sums on their paths change; ``spliced`` gives the tree of the new text."""
+    edits = accepted(edits, tree.length)
+    if not edits:
+        return tree.sums.total, 0, 0
+    if not len(tree.starts):
+        return len(memo.ids(edited(bytes(text).decode(), edits))) // 2, len(edits), 0
+    renewed = 0
+    for lo, hi, _, _, piece in regions(text, tree, edits):
         tree.sums.set(lo, len(memo.ids(piece)) // 2)
         for leaf in range(lo + 1, hi + 1):
             tree.sums.set(leaf, 0)
@@ -143,6 +152,38 @@ def recount(text: bytes | memoryview, tree: Tree, edits: list[Edit], memo: token
     return tree.sums.total, len(edits), renewed
 
 
+def spliced(text: bytes | memoryview, tree: Tree, edits: list[Edit], memo: tokens.WordMemo) -> tuple[bytes, Tree]:
+    """The text and its tree after the edits, as the next edits need them: leaves of edited regions give way to those of
+    their new text, the ones behind move, and sums are added up from the leaves; no other leaf is encoded."""
+    edits = accepted(edits, tree.length)
+    if not edits:
+        return bytes(text), tree
+    if not len(tree.starts):
+        whole = edited(bytes(text).decode(), edits)
+        return whole.encode(), tree_of(whole, memo)
+    out, counts, edges, byte_edges = [], [], [], []
+    leaf = byte = moved = byte_moved = 0
+
+    def keep(end: int) -> None:
+        counts.append(tree.sums.levels[0][leaf:end])
+        edges.append(np.column_stack((tree.starts[leaf:end], tree.ends[leaf:end])).ravel() + moved)
+        byte_edges.append(np.column_stack((tree.byte_starts[leaf:end], tree.byte_ends[leaf:end])).ravel() + byte_moved)
+
+    for lo, hi, (a, b), (byte_a, byte_b), piece in regions(text, tree, edits):
+        keep(lo)
+        new, raw = tree_of(piece, memo), piece.encode()
+        out += [bytes(text[byte:byte_a]), raw]
+        counts.append(new.sums.levels[0])
+        edges.append(np.column_stack((new.starts, new.ends)).ravel() + a + moved)
+        byte_edges.append(np.column_stack((new.byte_starts, new.byte_ends)).ravel() + byte_a + byte_moved)
+        moved, byte_moved = moved + len(piece) - (b - a), byte_moved + len(raw) - (byte_b - byte_a)
+        leaf, byte = hi + 1, byte_b
+    keep(len(tree.starts))
+    out.append(bytes(text[byte:]))
+    sums = SegmentTree(np.concatenate(counts))
+    return b"".join(out), Tree(sums, np.concatenate(edges), np.concatenate(byte_edges), tree.length + moved)
+
+
 def edited(text: str, edits: list[Edit]) -> str:
     out, done = [], 0
     for start, end, new in edits:
@@ -189,21 +230,28 @@ def _raw(column: pa.Array) -> list[memoryview]:
     return [view[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def apply_edits(trees: DataFrame, propose: Callable[[str], list[Edit]] | None = None, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_tokens_after, n_edits, n_leaves, n_renewed; edits from the column, or from each text by ``propose``."""
+def _given(b: pa.RecordBatch, propose: Callable[[str], list[Edit]] | None) -> list[list[Edit]]:
+    """The edits of each row of a batch: what ``propose`` says of its text, else those of its column."""
+    if propose:
+        return [propose(t) if t else [] for t in b.column("text").to_pylist()]
+    return [[(e["start"], e["end"], e["text"]) for e in x or [] if e] for x in b.column("edits").to_pylist()]
+
+
+def _need_edits(trees: DataFrame, propose: Callable[[str], list[Edit]] | None) -> None:
     if propose is None and not _lists_edits(trees):
         raise ValueError("the table has no column edits that lists (start, end, text), and no edits are proposed")
+
+
+def apply_edits(trees: DataFrame, propose: Callable[[str], list[Edit]] | None = None, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_tokens_after, n_edits, n_leaves, n_renewed; edits from the column, or from each text by ``propose``."""
+    _need_edits(trees, propose)
     path = vocabulary or tokens.vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = tokens.memo(path)
         for b in batches:
-            rows, raw = [], _raw(b.column("text"))
-            if propose:
-                given = [propose(t) if t else [] for t in b.column("text").to_pylist()]
-            else:
-                given = [[(e["start"], e["end"], e["text"]) for e in x or [] if e] for x in b.column("edits").to_pylist()]
-            for text, data, edits in zip(raw, b.column("tree").to_pylist(), given, strict=True):
+            rows = []
+            for text, data, edits in zip(_raw(b.column("text")), b.column("tree").to_pylist(), _given(b, propose), strict=True):
                 tree = Tree.unpacked(data)
                 rows.append((*recount(text, tree, edits, memo), len(tree.starts)))
             after, made, renewed, leaves = (pa.array([r[i] for r in rows], pa.int64()) for i in range(4))
@@ -213,10 +261,30 @@ def apply_edits(trees: DataFrame, propose: Callable[[str], list[Edit]] | None =
     return trees.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_tokens_after long, n_edits long, n_leaves long, n_renewed long")
 
 
+def edited_trees(trees: DataFrame, propose: Callable[[str], list[Edit]] | None = None, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, text, n_tokens and tree after the edits, stored: the table that the next round of edits begins from.
+
+    A null text is empty from here on. Edits of the next round come from ``propose`` or are joined on by ``with_edits``.
+    """
+    _need_edits(trees, propose)
+    path = vocabulary or tokens.vocabulary_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = tokens.memo(path)
+        for b in batches:
+            made = [spliced(text, Tree.unpacked(data), edits, memo) for text, data, edits in zip(_raw(b.column("text")), b.column("tree").to_pylist(), _given(b, propose), strict=True)]
+            cols = [pa.array([t.decode() for t, _ in made], pa.string()), pa.array([t.sums.total for _, t in made], pa.int64()), binary_array([t.packed() for _, t in made])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "text", "n_tokens", "tree"])
+
+    kind = trees.schema["doc_id"].dataType.simpleString()
+    return materialise(trees.mapInArrow(run, f"doc_id {kind}, text string, n_tokens long, tree binary"), "trees", "zstd")
+
+
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """``docs`` with the edits of a table (doc_id, start, end, text) as a column; one document's edits are one list."""
+    """``docs``, or stored trees, with the edits of a table (doc_id, start, end, text) as a column; one document's edits are one list."""
     listed = edits.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text")).alias("edits"))
-    return docs.select("doc_id", "text").join(listed, "doc_id", "left")
+    kept = [c for c in ("n_tokens", "tree") if c in docs.columns]
+    return docs.select("doc_id", "text", *kept).join(listed, "doc_id", "left")
 
 
 _NOISE = re.compile(r"([*&%#$!])\1+|[ \t]{2,}")

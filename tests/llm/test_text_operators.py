@@ -445,6 +445,37 @@ def test_edits_of_any_whole_numbers(spark):
         tokencount.apply_edits(tokencount.build_trees(documents(spark)))
 
 
+def test_edited_trees_are_those_of_the_edited_texts(spark):
+    r, memo, letters = random.Random(8), tokens.memo(tokens.vocabulary_path()), "ab é日\n \t<.'1"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(40)] + ["", "word " * 300]
+
+    def proposed(text):
+        own = random.Random(text)
+        return [(a := own.randint(0, len(text) + 1), a + own.randint(0, 5), "".join(own.choice(letters) for _ in range(own.randint(0, 5)))) for _ in range(own.randint(0, 5))]
+
+    for text in texts:
+        now, tree = text, tokencount.tree_of(text, memo)
+        for _ in range(3):  # each round begins from the tree that the last one left
+            edits = proposed(now + " ")
+            raw, tree = tokencount.spliced(now.encode(), tree, edits, memo)
+            now = tokencount.edited(now, tokencount.accepted(edits, len(now)))
+            fresh = tokencount.tree_of(now, memo)
+            assert raw.decode() == now and tree.packed() == fresh.packed()
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string").repartition(3)
+    trees = tokencount.build_trees(docs)
+    for _ in range(3):
+        trees = tokencount.edited_trees(trees, proposed)
+    want = {99: ""}
+    for i, text in enumerate(texts):
+        for _ in range(3):
+            text = tokencount.edited(text, tokencount.accepted(proposed(text), len(text))) if text else text
+        want[i] = text
+    got = {x.doc_id: (x.text, x.n_tokens, bytes(x.tree)) for x in trees.collect()}
+    assert got == {i: (t, len(memo.whole(t)) // 2, tokencount.tree_of(t, memo).packed()) for i, t in want.items()}
+    more = spark.createDataFrame([(99, 0, 0, "new")], "doc_id long, start long, end long, text string")
+    assert {x.doc_id: x.n_tokens_after for x in tokencount.apply_edits(tokencount.with_edits(trees, more)).collect()}[99] == len(memo.whole("new")) // 2
+
+
 def test_recount_from_a_table_of_edits(spark):
     docs = spark.createDataFrame([(1, "one two three"), (2, None), (3, "same")], "doc_id long, text string")
     edits = spark.createDataFrame([(1, 4, 7, "2 2"), (1, 5, 6, "overlaps"), (2, 0, 0, "new text"), (9, 0, 1, "x")], "doc_id long, start long, end long, text string")
