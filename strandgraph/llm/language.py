@@ -143,20 +143,35 @@ def bytes_at(text: TextBatch, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(inside, LOWER[text.data[np.minimum(place, len(text.data) - 1)]].astype(np.int64), PAD)
 
 
+def turns_for(sizes: list[int], wanted: int) -> int:
+    """How many rows each language may give so that together, as far as they have them, they give ``wanted``."""
+    left, languages = wanted, sorted(sizes)
+    for k, n in enumerate(languages):
+        share = -(-left // (len(languages) - k))
+        if n >= share:
+            return share
+        left -= n
+    return max(languages, default=0) + 1
+
+
 def labelled_windows(docs: DataFrame) -> DataFrame:
     """(lang, windows) of at most SAMPLE documents outside the held-out fold, of up to LANGUAGES languages.
 
-    A document's place in the sample is a hash of it times the size of its language, so that languages take turns until
-    one has no more. Each gives WINDOWS windows at places that hashes choose; nothing longer leaves its task.
+    A document's turn is a hash of it, as a share of one, times the size of its language, so that languages take turns until one
+    has no more. From the sizes follows which turns can matter: about twice the sample passes a filter in its own
+    task, whatever the number of documents, before the sample is sorted out. Each document gives WINDOWS windows at places that hashes choose.
     """
     own = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counted = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in counted], "lang string, n long")
+    last_turn = turns_for([r["n"] for r in counted], 2 * SAMPLE)
     raw, seed = F.encode("text", "utf-8"), F.xxhash64("doc_id", F.octet_length("text"))
     last = F.greatest(F.octet_length("text") - WINDOW, F.lit(0)) + 1
     places = [F.pmod(F.xxhash64(seed, F.lit(k)), last).cast("int") + 1 for k in range(WINDOWS)]
     windows = F.array_distinct(F.array(*(F.substring(raw, at, WINDOW) for at in places)))
-    turn = F.pmod(seed, F.lit(1 << 30)) * F.col("n")
-    return own.join(F.broadcast(sizes), "lang").select("lang", windows.alias("windows"), turn.alias("turn")).orderBy("turn", "lang", "windows").limit(SAMPLE).select("lang", "windows")
+    turn = F.pmod(seed, F.lit(1 << 30)) * F.col("n") / (1 << 30)
+    chosen = own.join(F.broadcast(sizes), "lang").withColumn("turn", turn).where(F.col("turn") < last_turn)
+    return chosen.select("lang", windows.alias("windows"), "turn").orderBy("turn", "lang", "windows").limit(SAMPLE).select("lang", "windows")
 
 
 def fit(docs: DataFrame) -> Network | None:

@@ -165,6 +165,15 @@ def test_language_is_learned_without_the_held_out_rows(spark):
     assert language.labelled_windows(docs).count() <= language.SAMPLE
 
 
+def test_sample_of_many_documents_takes_languages_by_turns(spark, monkeypatch):
+    assert language.turns_for([5, 1000, 1000], 105) == 50 and language.turns_for([3, 4], 100) == 5 and language.turns_for([], 9) == 1
+    monkeypatch.setattr(language, "SAMPLE", 300)
+    lang = F.when(F.col("id") % 100 == 0, "rare").when(F.col("id") % 2 == 0, "aa").otherwise("bb")
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), lang.alias("lang"), F.concat(F.lit("text "), F.md5(F.col("id").cast("string"))).alias("text"))
+    got = {r.lang: r["count"] for r in language.labelled_windows(docs).groupBy("lang").count().collect()}
+    assert sum(got.values()) == 300 and got["rare"] >= 40 and min(got["aa"], got["bb"]) > 90
+
+
 def test_language_of_odd_tables(spark):
     docs = documents(spark)
     got = language.identify(docs).collect()  # no row has a language
