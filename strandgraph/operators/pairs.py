@@ -85,7 +85,7 @@ def segment_candidates(work: DataFrame, most: int, parts: int, often: int | None
         else:
             frequent = None
     shorter_first = (F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")))
-    return own.join(asked, "h").where(shorter_first).select("a", "b"), frequent
+    return own.hint("merge").join(asked, "h").where(shorter_first).select("a", "b"), frequent
 
 
 def having(work: DataFrame, most: int, parts: int, frequent: DataFrame) -> DataFrame:
@@ -106,13 +106,31 @@ def short_rows(work: DataFrame, most: int) -> DataFrame:
 
 
 def remainders(work: DataFrame, most: int) -> DataFrame:
-    """(h, vid): hashes of what up to ``most`` deletions leave of rows (grp, vid, rest)."""
-    return work.select(F.explode(F.transform(kmers.deletions(F.col("rest"), most), lambda x: F.xxhash64("grp", x))).alias("h"), "vid")
+    """(h, vid): hashes of what up to ``most`` deletions leave of rows (grp, vid, rest), each remainder of a row once.
+
+    Places of deletions are columns and rise; those past the end delete nothing. Of the ways to one remainder the one that keeps
+    the earliest letters counts: each deleted letter differs from the next one kept.
+    """
+    rows, size = work.select("grp", "vid", "rest", F.lit(0).alias("p0")), F.length("rest")
+    for k in range(1, most + 1):
+        rows = rows.select("*", F.explode(F.sequence(F.least(F.col(f"p{k - 1}") + 1, size + 1), size + 1)).alias(f"p{k}"))
+    places = [F.col(f"p{k}") for k in range(most + 1)]
+    letter = lambda at: F.col("rest").substr(at, F.lit(1))
+    first, after = F.lit(True), None
+    for k in range(most, 0, -1):
+        after = places[k] + 1 if k == most else F.when(places[k + 1] == places[k] + 1, after).otherwise(places[k] + 1)
+        first &= (places[k] > size) | (letter(places[k]) != letter(after))
+    stops = [*places[1:], size + 1]
+    kept = [F.col("rest").substr(a + 1, F.greatest(b - a - 1, F.lit(0))) for a, b in zip(places, stops, strict=True)]
+    return rows.where(first).select(F.xxhash64("grp", F.concat(*kept)).alias("h"), "vid")
 
 
 def deletion_candidates(work: DataFrame, most: int) -> DataFrame:
-    """(a, b) of rows (grp, vid, rest) that share a remainder after up to ``most`` deletions from each; for short rests."""
-    left = remainders(work, most).withColumnRenamed("vid", "a")
+    """(a, b) of rows (grp, vid, rest) that share a remainder after up to ``most`` deletions from each; for short rests.
+
+    Sizes are estimated from the reads, of which remainders are many times as many: the hint keeps them from being broadcast.
+    """
+    left = remainders(work, most).withColumnRenamed("vid", "a").hint("merge")
     return left.join(left.withColumnRenamed("a", "b"), "h").where("a < b").select("a", "b")
 
 
