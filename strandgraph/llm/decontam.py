@@ -6,8 +6,9 @@ lead to the bucket of patterns with that suffix, whose words are then compared o
 as bytes. Many cursors, each over a short stretch of one text, advance together in numpy.
 
 The tables of up to BLOCK_WORDS benchmark words are made in one task, as flat arrays of some 60 bytes a word, and told to
-all tasks. A larger benchmark is more such blocks: each is one more pass over the documents, whose findings are stored
-and merged by document, and its tables are dropped before the next block's are told.
+all tasks. A larger benchmark is more such blocks in files of the shared folder: documents are still read once, and a task
+reads one block after another for each CHUNK_BYTES of its texts. So memory is bounded by a block, whatever the benchmark's size;
+the search itself takes its time for each block.
 
 Edge cases: null or empty texts and items have no words; null item ids are no items; repeated rows are searched row by
 row; an empty benchmark hits nothing; further columns are not read. Texts are searched whole.
@@ -16,13 +17,13 @@ row; an empty benchmark hits nothing; further columns are not read. Texts are se
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.core.broadcast import Broadcast
+import pyarrow.parquet as pq
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,28 +224,101 @@ def scan(column: pa.Array | pa.ChunkedArray, block: Block) -> Found:
     return Found(np.concatenate(counts), np.concatenate(runs), np.unique(np.concatenate(items), axis=0))
 
 
-def pattern_blocks(benchmark: DataFrame) -> tuple[int, Iterator[Block]]:
-    """How many blocks the benchmark's size asks for, and the blocks, made in tasks and handed on one at a time."""
+#: A task's text that meets the blocks of a large benchmark together, so that each block is read once for it.
+CHUNK_BYTES = 1 << 25
+
+
+def pattern_blocks(benchmark: DataFrame) -> DataFrame:
+    """The blocks (data) of a benchmark, made in tasks: one row and one file each.
+
+    Items of more than an eighth of a block are cut into pieces that overlap by a window less a word, which have the same
+    windows, so that no item makes a block much larger than the others.
+    """
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = rows.agg(F.sum(F.regexp_count("text", F.lit(_WORD))).alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
     n = max(1, -(-(size["words"] or 0) // BLOCK_WORDS), -(-(size["bytes"] or 0) // (16 * BLOCK_WORDS)))
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    most = max(1, BLOCK_WORDS // 8)
+    counted = rows.withColumn("n", F.regexp_count("text", F.lit(_WORD)).cast("int"))
+    whole, long = counted.where(F.col("n") <= most + WINDOW), counted.where(F.col("n") > most + WINDOW)
+    words = long.select("item_id", "n", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("words"))
+    places = words.select("item_id", "words", F.explode(F.sequence(F.lit(0), F.col("n") - WINDOW, F.lit(most))).alias("at"))
+    pieces = places.select("item_id", F.array_join(F.slice("words", F.col("at") + 1, F.lit(most + WINDOW - 1)), " ").alias("text"))
+    blocked = whole.select("item_id", "text").union(pieces).withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
 
     def made(group: pa.Table) -> pa.Table:
         block = build(group["item_id"].combine_chunks(), group["text"].combine_chunks())
         return pa.table({"data": binary_array([pickle.dumps(block, protocol=5)])})
 
-    stored = materialise(blocked.groupBy("block").applyInArrow(made, "data binary"), "patterns")
+    return materialise(blocked.groupBy("block").applyInArrow(made, "data binary"), "patterns", most_rows=1)
+
+
+Blocks = Callable[[], Iterator[Block]]
+
+
+def blocks_of(benchmark: DataFrame) -> tuple[Blocks, int]:
+    """How a task gets at the blocks, one at a time, and how many bytes of text should meet them together.
 
-    def blocks() -> Iterator[Block]:
-        some = False
-        for row in stored.toLocalIterator():
-            some = True
-            yield pickle.loads(bytes(row["data"]))
-        if not some:
-            yield build(pa.array([], pa.string()), pa.array([], pa.string()))
+    One block is told to all tasks; of more, tasks read one after another from the shared folder, so that neither the driver
+    nor a task ever holds more than one.
+    """
+    stored = pattern_blocks(benchmark)
+    if stored.count() > 1:
+        files = sorted(stored.inputFiles())
+        return lambda: _read(files), CHUNK_BYTES
+    row = stored.first()
+    block = pickle.loads(bytes(row["data"])) if row else build(pa.array([], pa.string()), pa.array([], pa.string()))
+    told = benchmark.sparkSession.sparkContext.broadcast(block)
+    return lambda: iter([told.value]), 0
 
-    return n, blocks()
+
+def _read(files: list[str]) -> Iterator[Block]:
+    for uri in files:
+        system, path = pa_fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as f:
+            for data in pq.read_table(f, columns=["data"])["data"]:
+                yield pickle.loads(data.as_buffer())
+
+
+def _together(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches whose column ``at`` has ``most`` bytes or more, but for the last; with ``most`` 0, as they come."""
+    if most == 0:
+        yield from batches
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(at).nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def scan_all(column: pa.Array, blocks: Iterator[Block]) -> tuple[Found, list[str]]:
+    """What all blocks find in the texts, runs that meet or overlap as one, and the sorted names that ``items`` count."""
+    parts = []
+    for block in blocks:
+        found = scan(column, block)
+        which, own = np.unique(found.items[:, 1], return_inverse=True)
+        parts.append((found, found.items[:, 0], own, [block.names[i] for i in which]))
+        del block
+    names = sorted({name for part in parts for name in part[3]})
+    place = {name: i for i, name in enumerate(names)}
+    items = [np.column_stack([row, np.array([place[x] for x in own_names], np.int64)[own]]) for _, row, own, own_names in parts]
+    runs = merged_runs(np.concatenate([p[0].runs for p in parts]))
+    return Found(parts[0][0].n_words, runs, np.unique(np.concatenate(items), axis=0)), names
+
+
+def merged_runs(runs: np.ndarray) -> np.ndarray:
+    """Maximal runs (row, first, end), in order, of runs in any order that may overlap."""
+    if len(runs) == 0:
+        return runs
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    apart = int(runs[:, 2].max()) + 1
+    start, end = runs[:, 0] * apart + runs[:, 1], np.maximum.accumulate(runs[:, 0] * apart + runs[:, 2])
+    head = np.flatnonzero(np.concatenate(([True], (start[1:] > end[:-1]) | (runs[1:, 0] != runs[:-1, 0]))))
+    last = np.concatenate((head[1:], [len(runs)])) - 1
+    return np.column_stack([runs[head, 0], runs[head, 1], end[last] - runs[head, 0] * apart])
 
 
 _SPANS = "array<struct<first:int,end:int>>"
@@ -255,84 +329,45 @@ def _lists(row: np.ndarray, values: pa.Array, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), values)
 
 
-def _find(docs: DataFrame, told: Broadcast, all_rows: bool) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, spans of hit words and sorted items found, for every row of ``docs``; documents are read once."""
+    blocks, most = blocks_of(benchmark)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = told.value
-        names = pa.array(block.names, pa.string())
-        for b in batches:
-            found = scan(b.column(1), block)
+        for b in _together(batches, 1, most):
+            found, names = scan_all(b.column(1), blocks())
             span = pa.StructArray.from_arrays([pa.array(found.runs[:, i].astype(np.int32)) for i in (1, 2)], ["first", "end"])
-            items = _lists(found.items[:, 0], names.take(pa.array(found.items[:, 1])), b.num_rows)
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found.n_words), _lists(found.runs[:, 0], span, b.num_rows), items], ["doc_id", "text_hash", "n_words", "spans", "items"])
-            yield out if all_rows else out.take(pa.array(np.unique(found.items[:, 0])))
+            items = _lists(found.items[:, 0], pa.array(names, pa.string()).take(pa.array(found.items[:, 1])), b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.n_words), _lists(found.runs[:, 0], span, b.num_rows), items], ["doc_id", "n_words", "spans", "items"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, f"doc_id {kind}, text_hash long, n_words long, spans {_SPANS}, items array<string>")
-
-
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, spans of hit words and sorted items found, for every row of ``docs``."""
-    n, blocks = pattern_blocks(benchmark)
-    passes = []
-    for block in blocks:
-        told = docs.sparkSession.sparkContext.broadcast(block)
-        passes.append(_find(docs, told, not passes))
-        if n > 1:
-            passes[-1] = materialise(passes[-1], "found")
-            told.destroy()
-    found, *others = passes
-    if others:
-        rest = reduce(DataFrame.unionByName, others)
-        more = rest.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("i"))
-        same = found["doc_id"].eqNullSafe(more["doc_id"]) & found["text_hash"].eqNullSafe(more["text_hash"])
-        none, no_items = F.expr(f"cast(array() as {_SPANS})"), F.expr("cast(array() as array<string>)")
-        found = found.join(more, same, "left").select(
-            found["doc_id"],
-            "n_words",
-            F.concat("spans", F.coalesce("s", none)).alias("spans"),
-            F.array_sort(F.array_union("items", F.coalesce("i", no_items))).alias("items"),
-        )
-    return found.select("doc_id", "n_words", "spans", "items")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, spans {_SPANS}, items array<string>")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = find(docs, benchmark)
-    # spans of several passes may overlap: each counts what lies beyond the ends of those before it
-    ordered = F.array_sort("spans")
-    covered = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto")),
-        lambda a, s: F.struct(
-            (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["first"], a["upto"]))).cast("long").alias("n"),
-            F.greatest(a["upto"], s["end"]).alias("upto"),
-        ),
-    )
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["first"]))
     return found.select(
         "doc_id",
         "n_words",
-        covered["n"].alias("n_hit"),
+        n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (covered["n"] > 0).alias("contaminated"),
+        (n_hit > 0).alias("contaminated"),
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, in which no benchmark window occurs."""
-    out, at = docs, docs.columns.index("text")
-    n, blocks = pattern_blocks(benchmark)
-    for block in blocks:
-        told = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], told: Broadcast = told) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                clean = np.ones(b.num_rows, bool)
-                clean[scan(b.column(at), told.value).runs[:, 0]] = False
-                yield b.filter(pa.array(clean))
-
-        out = out.mapInArrow(run, docs.schema)
-        if n > 1:
-            out = materialise(out, "clean")
-            told.destroy()
-    return out
+    at = docs.columns.index("text")
+    blocks, most = blocks_of(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _together(batches, at, most):
+            clean = np.ones(b.num_rows, bool)
+            for block in blocks():
+                clean[scan(b.column(at), block).runs[:, 0]] = False
+            yield b.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)

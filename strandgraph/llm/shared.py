@@ -59,12 +59,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
 _WRITTEN: set[str] = set()
 
 
-def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, codec: str | None = None, most_rows: int = 0) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    ``most_rows`` is how many rows a file has at most; 0 sets no bound.
+    """
     own = f"{name}-{uuid.uuid4().hex}"
     path = f"{shared_dir(df.sparkSession)}/{own}"
     _WRITTEN.add(own)
-    df.write.parquet(path, compression=codec)
+    df.write.option("maxRecordsPerFile", most_rows).parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -264,6 +264,34 @@ def test_decontamination_matches_brute_force(spark, block_words, monkeypatch):
     assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(str(i) for i, t in rows if not brute_hits(t, items)[4])
 
 
+@pytest.mark.parametrize("chunk", [1, 1 << 25])
+def test_decontamination_reads_documents_once_for_many_blocks(spark, chunk, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 64)
+    monkeypatch.setattr(decontam, "CHUNK_BYTES", chunk)
+    r = random.Random(11)
+    long = " ".join(f"w{r.randrange(40)}" for _ in range(500))
+    items = [("long", long), *((f"i{i}", " ".join(f"w{r.randrange(40)}" for _ in range(12))) for i in range(30))]
+    words = long.split()
+    rows = [(i, " ".join(["none of it", *words[a : a + r.randint(8, 40)], "either", *r.choice(items)[1].split()[: r.randint(8, 12)]])) for i, a in enumerate(range(0, 460, 9))]
+    rows += [(1000, None), (1001, ""), (1002, long), (1002, long), (1003, "clean words only " * 50)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert decontam.pattern_blocks(bench).count() >= 8
+    docs = documents(spark, rows).repartition(2)
+    report = decontam.report(docs, bench)
+    got = sorted((str(x.doc_id), x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in report.collect())
+    assert got == sorted((str(i), *brute_hits(t, items)) for i, t in rows)
+    kept = decontam.keep_clean(docs, bench)
+    assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(str(i) for i, t in rows if not brute_hits(t, items)[4])
+    for made in (report, kept):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_overlapping_runs_become_one():
+    runs = np.array([[1, 4, 9], [0, 2, 5], [0, 4, 6], [0, 6, 8], [0, 10, 12], [1, 5, 6], [3, 0, 1]])
+    assert decontam.merged_runs(runs).tolist() == [[0, 2, 8], [0, 10, 12], [1, 4, 9], [3, 0, 1]]
+    assert decontam.merged_runs(runs[:0]).tolist() == []
+
+
 def test_tables_of_a_large_benchmark_are_small():
     rng = np.random.default_rng(3)
     letters = rng.integers(97, 123, 4 << 20).astype(np.uint8)
