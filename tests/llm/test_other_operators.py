@@ -60,6 +60,31 @@ def test_each_length_among_its_own(spark):
     assert {tuple(r) for r in topk.top_k(table, F.col("vec_id") % 10 == 0, 5).collect()} == want
 
 
+def test_lengths_that_the_sample_misses(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SAMPLE", 24)
+    monkeypatch.setattr(topk, "RARE", 8)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    sizes = [4] * 150 + [1 + i % 90 for i in range(400)]  # most lengths have few vectors and no pivots
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=n)]) for i, n in enumerate(sizes)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    want = set()
+    for n in set(sizes):
+        want |= brute_top([r for r in rows if len(r[1]) == n], lambda i: i % 7 == 0, 5)
+    assert {tuple(r) for r in topk.top_k(table, F.col("vec_id") % 7 == 0, 5).collect()} == want
+
+
+def test_a_tile_meets_a_block_once(spark, monkeypatch):
+    made = []
+    score = topk._score
+    monkeypatch.setattr(topk, "_score", lambda members, tiles, k: made.append(tiles) or score(members, tiles, k))
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=16)]) for i in range(1500)]
+    topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), F.col("vec_id") % 3 == 0, 5).count()
+    n = [tiles.agg(F.count("*").alias("rows"), (F.sum(F.length("names")) / 8).alias("visits")).first() for tiles in made]
+    assert sum(x["visits"] for x in n) > 20 * sum(x["rows"] for x in n)
+
+
 def test_bounds_skip_annuli_and_vectors_of_clusters():
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(32, 16))
