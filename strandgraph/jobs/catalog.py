@@ -18,7 +18,7 @@ from strandgraph.operators import graph, pairs, reads
 from strandgraph.operators.components import components
 from strandgraph.operators.incremental import GrowingGraph
 from strandgraph.operators.storage import shared_folder, stored
-from strandgraph.sources import sequences
+from strandgraph.sources import fastq, sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
 MD5 = kmers.hash_md5
@@ -367,12 +367,22 @@ def graph_long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build(mixed_reads(spark, sf_dir, LONG), GraphConfig(hash_name="md5")).edges
 
 
-def fastq_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads written as FASTQ, with quality lines that begin like a record, and read back."""
+def _fastq(spark: SparkSession, sf_dir: str) -> str:
+    """Reads written as FASTQ, with quality lines that begin like a record."""
     made = reads_of(spark, sf_dir, 24).select(F.col("k").cast("string").alias("id"), "seq", F.concat(F.lit("@"), F.repeat(F.lit("I"), F.length("seq") - 1)).alias("qual"))
     path = f"{shared_folder(spark)}/fastq-{uuid.uuid4().hex}"
     sequences.write_fastq(made, path)
-    return sequences.read_fastq(spark, path)
+    return path
+
+
+def fastq_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as FASTQ and read back by lines."""
+    return sequences.read_fastq(spark, _fastq(spark, sf_dir))
+
+
+def fastq_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as FASTQ and read back by byte ranges."""
+    return fastq.read_fastq_ranges(spark, _fastq(spark, sf_dir))
 
 
 def mode_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,7 +415,7 @@ ALL: tuple[Query, ...] = (
     edges_brute_force_min2, edges_minimizer, edges_miniception, edges_omh, edges_omh_minhash, edges_gapped, edges_bucket_join,
     large_bucket_rebucket, sub_bucket_routes, khop_pairs, edges_after_khop, merge_unique_reads, edge_weight_filter, edge_summary,
     graph_minimizer_gomh, graph_miniception_gomh, mode_recall, dot_lines, edges_mixed_lengths, edges_shared_primer, edges_amplicon, edges_incremental, component_sizes,
-    graph_miniception, graph_omh, graph_long_reads, stage_metrics, fastq_reads,
+    graph_miniception, graph_omh, graph_long_reads, stage_metrics, fastq_reads, fastq_ranges,
 )
 
 

@@ -227,6 +227,7 @@ union all select n.stage, 'normal buckets', count(*) filter (size between 2 and
 union all select n.stage, 'large buckets', count(*) filter (size >= 10000) from names n left join c using (stage) group by all
 union all select stage, 'edges of weight ' || coalesce(cast(weight as varchar), 'any'), count(*) from e group by grouping sets ((stage, weight), (stage))""",
         "fastq_reads": f"with {_reads(24)} select cast(k as varchar) as id, seq from r",
+        "fastq_ranges": f"with {_reads(24)} select cast(k as varchar) as id, seq from r",
         "mode_recall": f"""with {e12}, {LEX}, {_hashed(4, 8, 'hb')}, {OMH_PREFIX}, {ALL_GAPPED}, f as ({recall}), t as (select weight, count(*) as n_exact from exact group by weight)
 select mode, weight, n_found, n_exact, round(n_found / n_exact, 6) as recall from f join t using (weight)""",
         "dot_lines": f"""with {e24} select 1 as part, vid || ' [count="' || cnt || '", read="' || seq || '"];' as line from v
