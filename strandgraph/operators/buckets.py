@@ -47,8 +47,8 @@ def gapped(vertices: DataFrame, seeds: list[tuple[int, int]], every: bool = Fals
 
 def gapped_within(parents: DataFrame, vertices: DataFrame, seeds: list[tuple[int, int]], every: bool = False, hash_of: kmers.Hash = kmers.hash_fast) -> DataFrame:
     """(parent, key, vid): gapped keys inside buckets (parent, vid); a read's keys are made once, whatever buckets it is in."""
-    own = vertices.join(parents.select("vid").distinct(), "vid", "left_semi")
-    return parents.join(gapped(own, seeds, every, hash_of), "vid").select("parent", "key", "vid")
+    own = vertices.hint("merge").join(parents.select("vid").distinct(), "vid", "left_semi")
+    return parents.hint("merge").join(gapped(own, seeds, every, hash_of), "vid").select("parent", "key", "vid")
 
 
 def sketches(vertices: DataFrame, k: int, size: int, seeds: list[int], variant: str = "prefix", hash_of: kmers.Hash = kmers.hash_fast) -> DataFrame:
@@ -73,7 +73,7 @@ def split(buckets: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     own = sizes(buckets)
     normal = own.where((F.col("size") >= 2) & (F.col("size") < most)).select("key")
     large = own.where((F.col("size") < 2) | (F.col("size") >= most)).select("key")
-    return buckets.join(normal, "key", "left_semi"), buckets.join(large, "key", "left_semi")
+    return buckets.hint("merge").join(normal, "key", "left_semi"), buckets.hint("merge").join(large, "key", "left_semi")
 
 
 def union_keys(parts: list[DataFrame]) -> DataFrame:

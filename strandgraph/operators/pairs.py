@@ -81,7 +81,7 @@ def segment_candidates(work: DataFrame, most: int, parts: int, often: int | None
     if often is not None:
         frequent = stored(own.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > often).select("h"), "frequent")
         if frequent.head(1):
-            own = own.join(frequent, "h", "left_anti")
+            own = own.hint("merge").join(frequent, "h", "left_anti")
         else:
             frequent = None
     shorter_first = (F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")))
@@ -90,14 +90,14 @@ def segment_candidates(work: DataFrame, most: int, parts: int, often: int | None
 
 def having(work: DataFrame, most: int, parts: int, frequent: DataFrame) -> DataFrame:
     """The rows (grp, vid, rest) that have any of the frequent keys, as they are."""
-    asked = keyed(work, most, parts, False).join(frequent, "h", "left_semi")
-    return work.join(asked.select("vid").distinct(), "vid", "left_semi")
+    asked = keyed(work, most, parts, False).hint("merge").join(frequent, "h", "left_semi")
+    return work.hint("merge").join(asked.select("vid").distinct(), "vid", "left_semi")
 
 
 def without_kept(work: DataFrame, most: int, parts: int, frequent: DataFrame) -> DataFrame:
     """Groups (grp, vid, rest) of what shares a frequent key, without the letters that it keeps: the rest still is within the distance."""
     rows = keyed(work, most, parts, False).select(F.col("h").alias("grp"), "vid", "rest")
-    return rows.join(frequent.withColumnRenamed("h", "grp"), "grp", "left_semi").distinct()
+    return rows.hint("merge").join(frequent.withColumnRenamed("h", "grp"), "grp", "left_semi").distinct()
 
 
 def short_rows(work: DataFrame, most: int) -> DataFrame:
@@ -173,7 +173,7 @@ def verified(found: DataFrame, vertices: DataFrame, least: int, most: int) -> Da
     close = F.abs(F.length("sa") - F.length("sb")) <= most
     # beyond ``most`` the function says -1, so one comparison is enough and the distance is not worked out for each bound
     weight = F.when(close, F.levenshtein("sa", "sb", most)).otherwise(-1)
-    weighed = found.join(a, "a").join(b, "b").select(F.col("a").alias("src"), F.col("b").alias("dst"), weight.cast("int").alias("weight"))
+    weighed = found.hint("merge").join(a, "a").hint("merge").join(b, "b").select(F.col("a").alias("src"), F.col("b").alias("dst"), weight.cast("int").alias("weight"))
     return weighed.where(F.col("weight") >= max(least, 0))
 
 
@@ -191,8 +191,8 @@ def keys_of(buckets: DataFrame, by: list[str] = ["key"]) -> DataFrame:  # noqa:
 def _with_keys(edges: DataFrame, buckets: DataFrame, by: list[str]) -> DataFrame:
     """Edges beside the keys of both their ends."""
     keys = keys_of(buckets, by)
-    one = edges.join(keys.select(F.col("vid").alias("src"), F.col("keys").alias("src_keys")), "src")
-    return one.join(keys.select(F.col("vid").alias("dst"), F.col("keys").alias("dst_keys")), "dst")
+    one = edges.hint("merge").join(keys.select(F.col("vid").alias("src"), F.col("keys").alias("src_keys")), "src")
+    return one.hint("merge").join(keys.select(F.col("vid").alias("dst"), F.col("keys").alias("dst_keys")), "dst")
 
 
 def in_buckets(edges: DataFrame, buckets: DataFrame, by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
@@ -204,15 +204,16 @@ def bucket_candidates(buckets: DataFrame, block: int = 2000, by: list[str] = ["k
     """(a, b) that share a bucket, each once: a pair is made only in the least key that both have.
 
     A bucket of n vertices is dealt into s = ceil(n / block) parts; every part meets every other once, so no task holds
-    more than two parts. The number of pairs still grows with the square of a bucket.
+    more than two parts. The number of pairs still grows with the square of a bucket. Rows with lists of keys are small
+    when packed and large in memory: the hints keep Spark from broadcasting them, which it decides by packed sizes.
     """
     parts = buckets.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("s"))
     lower = F.slice("keys", F.lit(1), F.col("at"))
     each = keys_of(buckets, by).select("vid", "keys", F.posexplode("keys").alias("at", "own")).select("vid", lower.alias("lower"), *((F.col("own") if len(by) == 1 else F.col(f"own.{c}")).alias(c) for c in by))
-    rows = each.join(parts, by).withColumn("p", F.pmod(F.xxhash64("vid"), F.col("s")).cast("int"))
+    rows = each.hint("merge").join(parts, by).withColumn("p", F.pmod(F.xxhash64("vid"), F.col("s")).cast("int"))
     left = rows.select(*by, F.col("vid").alias("a"), F.col("lower").alias("la"), F.col("p").alias("pa"), F.explode(F.expr("sequence(0, s - 1)")).alias("pb"))
     right = rows.select(*by, F.col("vid").alias("b"), F.col("lower").alias("lb"), F.col("p").alias("pb"), F.explode(F.expr("sequence(0, s - 1)")).alias("pa"))
-    return left.join(right, [*by, "pa", "pb"]).where((F.col("a") < F.col("b")) & ~F.arrays_overlap("la", "lb")).select("a", "b")
+    return left.hint("merge").join(right, [*by, "pa", "pb"]).where((F.col("a") < F.col("b")) & ~F.arrays_overlap("la", "lb")).select("a", "b")
 
 
 def bucket_pairs(buckets: DataFrame, vertices: DataFrame, least: int, most: int, block: int = 2000, by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
