@@ -82,7 +82,7 @@ def routed(sub: DataFrame, most: int, routing: str) -> tuple[DataFrame, DataFram
     n = sub.groupBy(*by).agg(count.alias("n"))
     few = n.where((F.col("n") >= 2) & (F.col("n") < most)).select(*by)
     many = n.where(F.col("n") >= most).select(*by)
-    return sub.join(few, by, "left_semi"), sub.join(many, by, "left_semi")
+    return sub.hint("merge").join(few, by, "left_semi"), sub.hint("merge").join(many, by, "left_semi")
 
 
 def refined(every: Callable[[], DataFrame], vertices: DataFrame, edges: DataFrame, sub: DataFrame, config: GraphConfig) -> DataFrame:
@@ -94,10 +94,10 @@ def refined(every: Callable[[], DataFrame], vertices: DataFrame, edges: DataFram
     if sources.limit(1).count() == 0:
         return edges
     # only what is within the distance and no edge yet can be added, so only that is looked for in the graph
-    missing = stored(every().join(edges, ["src", "dst"], "left_anti"), "missing")
-    asked = reduce(DataFrame.union, (missing.join(sources.withColumnRenamed("vid", end), end, "left_semi").select("src", "dst") for end in ("src", "dst")))
+    missing = stored(every().hint("merge").join(edges, ["src", "dst"], "left_anti"), "missing")
+    asked = reduce(DataFrame.union, (missing.hint("merge").join(sources.withColumnRenamed("vid", end), end, "left_semi").select("src", "dst") for end in ("src", "dst")))
     met = graph.connected(asked, edges, config.visit_depth)
-    return stored(graph.inserted(edges, missing.join(met, ["src", "dst"], "left_semi")), "edges")
+    return stored(graph.inserted(edges, missing.hint("merge").join(met, ["src", "dst"], "left_semi")), "edges")
 
 
 def build(source: DataFrame, config: GraphConfig | None = None) -> EditGraph:

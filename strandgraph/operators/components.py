@@ -18,13 +18,13 @@ def _outward(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each vertex go to the smallest vertex around it; rows (u, v) with u > v."""
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    return both.where("v > u").hint("merge").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
 def _inward(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of each vertex, and the vertex itself, go to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.hint("merge").join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -45,4 +45,4 @@ def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
     placed = stars.union(now.select(F.col("v").alias("vid"), F.col("v").alias("comp")).distinct())
     if vertices is None:
         return placed
-    return vertices.select("vid").join(placed, "vid", "left").select("vid", F.coalesce("comp", "vid").alias("comp"))
+    return vertices.select("vid").hint("merge").join(placed, "vid", "left").select("vid", F.coalesce("comp", "vid").alias("comp"))
