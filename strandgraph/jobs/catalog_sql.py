@@ -187,7 +187,7 @@ select s.key, s.n as bucket_size, s.n * (s.n - 1) // 2 as total_pairs, coalesce(
 where levenshtein(a.seq, b.seq) between 1 and 2""",
         "large_bucket_rebucket": f"with {e24}, {LEX}, {GOMH}, {_split(600)}, pw as (select s.* from sb s join rt using (parent) where n >= 2 and n < 600) {_inside('pw', by='parent,key')}",
         "sub_bucket_routes": f"with {v24}, {LEX}, {GOMH}, {_split(600)} select parent, n, case when n >= 300 then 'traversal' when n >= 2 then 'pairwise' else 'dropped' end as route from rt",
-        "khop_pairs": f"with recursive {v24}, {_exact(1)}, {_hops('exact', 3)} select src, dst from hops",
+        "khop_pairs": f"with recursive {e24}, {_hops('exact', 3)} select src, dst from hops",
         "edges_after_khop": f"""with recursive {e12}, ones as (select * from exact where weight = 1), {_hops('ones', 3)}
 select src, dst, weight from exact where weight = 1 or (src, dst) in (select src, dst from hops)""",
         "merge_unique_reads": f"with {_reads(24)}, a as (select seq from r), b as (with {_reads(12)} select seq from r) select seq from a union select seq from b",
