@@ -24,6 +24,8 @@ OFTEN = 24
 EASIER = 4
 #: Distances up to which dense reads are cut into twice as many segments; beyond, ways to leave some out are too many.
 WIDE = 2
+#: Reads for each value that the kept letters of a read can have, on average, for which fewer segments are enough.
+CROWD = 4
 #: Pairs for each bucket entry up to which a self-join of buckets is the cheaper way.
 PAIRS_A_READ = 20
 
@@ -47,12 +49,13 @@ def plans(most: int, parts: int) -> list[list[int]]:
     return [list(x) for x in made]
 
 
-def keyed(work: DataFrame, most: int, parts: int, own: bool) -> DataFrame:
+def keyed(work: DataFrame, most: int, parts: int, own: bool, ways: list[list[int]] | None = None, sizes: list[int] | None = None) -> DataFrame:
     """(h, grp, vid, size, rest) of rows (grp, vid, rest), one for each plan that fits: the hash of the letters kept, and those left.
 
-    ``own`` are the places of a read's own segments; the others are where another read's could be.
+    ``own`` are the places of a read's own segments; the others are where another read's could be. ``ways`` gives some of
+    the plans. With ``sizes`` only keys for shorter reads of these lengths are made, and ``rest`` stays whole.
     """
-    wanted = [p for p in plans(most, parts) if not own or not any([p[1], *p[4::3]])]
+    wanted = ways or [p for p in plans(most, parts) if not own or not any([p[1], *p[4::3]])]
     names = ["name", "less", *(f"{x}{k}" for k in range(most + 1) for x in ("first", "end", "shift"))]
     told = ", ".join(f"struct({', '.join(map(str, p))})" for p in wanted)
     kinds = ", ".join(f"{x}: int" for x in names)
@@ -66,7 +69,10 @@ def keyed(work: DataFrame, most: int, parts: int, own: bool) -> DataFrame:
     fits = reduce(Column.__and__, (begin <= end for begin, end in gaps), F.col("n") >= (most + 1) * SEGMENT_LEAST)
     cut = lambda begin, end: F.col("rest").substr(begin + 1, end - begin)
     kept, left = [cut(*x) for x in ends], [cut(*x) for x in gaps]
-    return placed.where(fits).select(F.xxhash64("grp", "n", "name", *kept).alias("h"), "grp", "vid", "size", F.concat(*left).alias("rest"))
+    if sizes is not None:
+        fits &= F.col("n").isin(sizes)
+    rest = F.concat(*left) if sizes is None else F.col("rest")
+    return placed.where(fits).select(F.xxhash64("grp", "n", "name", *kept).alias("h"), "grp", "vid", "size", rest.alias("rest"))
 
 
 def segment_candidates(work: DataFrame, most: int, parts: int, often: int | None) -> tuple[DataFrame, DataFrame | None]:
@@ -105,7 +111,7 @@ def short_rows(work: DataFrame, most: int) -> DataFrame:
     return work.where(F.length("rest") < (most + 1) * SEGMENT_LEAST + most)
 
 
-def remainders(work: DataFrame, most: int) -> DataFrame:
+def remainders(work: DataFrame, most: int, *also: str) -> DataFrame:
     """(h, vid): hashes of what up to ``most`` deletions leave of rows (grp, vid, rest), each remainder of a row once.
 
     Places of deletions are columns and rise; those past the end delete nothing. Of the ways to one remainder the one that keeps
@@ -122,7 +128,7 @@ def remainders(work: DataFrame, most: int) -> DataFrame:
         first &= (places[k] > size) | (letter(places[k]) != letter(after))
     stops = [*places[1:], size + 1]
     kept = [F.col("rest").substr(a + 1, F.greatest(b - a - 1, F.lit(0))) for a, b in zip(places, stops, strict=True)]
-    return rows.where(first).select(F.xxhash64("grp", F.concat(*kept)).alias("h"), "vid")
+    return rows.where(first).select(F.xxhash64("grp", F.concat(*kept)).alias("h"), "vid", *also)
 
 
 def deletion_candidates(work: DataFrame, most: int) -> DataFrame:
@@ -177,9 +183,80 @@ def verified(found: DataFrame, vertices: DataFrame, least: int, most: int) -> Da
     return weighed.where(F.col("weight") >= max(least, 0))
 
 
+def parts_for(sizes: list[int], n: int, most: int) -> dict[int, list[int]]:
+    """Lengths by the number of segments that their reads are cut into, where ``n`` reads are looked through.
+
+    With more segments more letters are kept, so fewer of many reads agree by chance, but there are more ways to leave some out.
+    """
+    made: dict[int, list[int]] = {}
+    for size in sizes:
+        if size >= (most + 1) * SEGMENT_LEAST:
+            enough = (p for p in range(most + 1, 2 * (most + 1)) if CROWD * 4 ** (size * (p - most) // p) >= n)
+            made.setdefault(next(enough, 2 * (most + 1)), []).append(size)
+    return made
+
+
+def _weighed(met: DataFrame, least: int, most: int) -> DataFrame:
+    """(src, dst, weight) of pairs (a, sa, b, sb) within the range, in the task that has made the pair."""
+    met = met.where(F.abs(F.length("sa") - F.length("sb")) <= most)
+    weighed = met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.levenshtein("sa", "sb", most).cast("int").alias("weight"))
+    return weighed.where(F.col("weight") >= max(least, 0))
+
+
+def segment_pairs(work: DataFrame, most: int, parts: int, sizes: list[int], every: list[int], often: int, least: int) -> tuple[DataFrame, DataFrame | None]:
+    """(src, dst, weight) of rows (grp, vid, rest) whose shorter one has one of ``sizes`` letters, and the frequent keys.
+
+    As ``segment_candidates``, but letters go with the keys, so that no pair is shuffled before it is verified. Ways that no
+    two of the lengths there are (``every``) allow are left out. Of two reads of one length either may be the one whose
+    segments are looked for, so of each shift and its opposite one is enough.
+    """
+    ways = [p for p in plans(most, parts)]
+    shifted = [p for p in ways if any([p[1], *p[4::3]]) and (p[1] or next(s for s in p[4::3] if s) > 0)]
+    shifted = [p for p in shifted if any(size + p[1] in every for size in sizes)]
+    of = lambda df, v, s: df.select("h", F.col("vid").alias(v), F.col("rest").alias(s))
+    keys = keyed(work, most, parts, True, sizes=sizes)
+    frequent = stored(keys.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > often).select("h"), "frequent")
+    if frequent.head(1):
+        keys = keys.hint("merge").join(frequent, "h", "left_anti")
+    else:
+        frequent = None
+    own = of(keys, "a", "sa")
+    made = [own.hint("merge").join(of(keys, "b", "sb"), "h").where("a < b")]
+    if shifted:
+        made.append(own.hint("merge").join(of(keyed(work, most, parts, False, shifted, sizes), "b", "sb"), "h").where("a <> b"))
+    return _weighed(reduce(DataFrame.union, made), least, most), frequent
+
+
+def deletion_pairs(work: DataFrame, most: int, least: int) -> DataFrame:
+    """(src, dst, weight) of short rows (grp, vid, rest) that share a remainder; letters go with it."""
+    left = remainders(work, most, "rest").toDF("h", "a", "sa").hint("merge")
+    return _weighed(left.join(left.toDF("h", "b", "sb"), "h").where("a < b"), least, most)
+
+
 def exact(vertices: DataFrame, least: int, most: int, often: int = OFTEN) -> DataFrame:
-    """Every pair within the range, of reads of any lengths. ``vertices`` are read more than once: store them."""
-    return verified(candidates(vertices, most, often), vertices, least, most)
+    """Every pair within the range, of reads of any lengths. ``vertices`` are read more than once: store them.
+
+    The way of ``candidates``, in as many segments as the number of reads asks for. Pairs are verified where they are
+    met and made distinct after that, so what is shuffled follows the reads and the edges, not the candidates.
+    """
+    work = as_work(vertices)
+    told = vertices.where("seq is not null").groupBy(F.length("seq").alias("size")).agg(F.count("*").alias("n")).collect()
+    every, made, dense = [r["size"] for r in told], [], []
+    n = sum(r["n"] for r in told)
+    for parts, sizes in sorted(parts_for(every, n, most).items()):
+        found, frequent = segment_pairs(work, most, parts, sizes, every, often, least)
+        made.append(found)
+        if frequent is not None:
+            dense.append(having(work, most, parts, frequent))
+    if any(size < (most + 1) * SEGMENT_LEAST for size in every):
+        made.append(deletion_pairs(short_rows(work, most), most, least))
+    if dense:
+        groups = stored(reduce(DataFrame.union, dense).distinct(), "dense")
+        both = reduce(DataFrame.union, dense_candidates(groups, most, often)).where("a <> b")
+        made.append(verified(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), vertices, least, most))
+    if not made:
+        return vertices.limit(0).select(F.col("vid").alias("src"), F.col("vid").alias("dst"), F.lit(0).alias("weight"))
+    return reduce(DataFrame.union, made).distinct()
 
 
 def keys_of(buckets: DataFrame, by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
