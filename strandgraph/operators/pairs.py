@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.functions import kmers
+from strandgraph.operators import short
 from strandgraph.operators.storage import stored
 
 #: From segments of so many letters on, shared segments are rarer than shared deletions are costly.
@@ -233,30 +234,64 @@ def deletion_pairs(work: DataFrame, most: int, least: int) -> DataFrame:
     return _weighed(left.join(left.toDF("h", "b", "sb"), "h").where("a < b"), least, most)
 
 
-def exact(vertices: DataFrame, least: int, most: int, often: int = OFTEN) -> DataFrame:
-    """Every pair within the range, of reads of any lengths. ``vertices`` are read more than once: store them.
-
-    The way of ``candidates``, in as many segments as the number of reads asks for. Pairs are verified where they are
-    met and made distinct after that, so what is shuffled follows the reads and the edges, not the candidates.
-    """
-    work = as_work(vertices)
-    told = vertices.where("seq is not null").groupBy(F.length("seq").alias("size")).agg(F.count("*").alias("n")).collect()
-    every, made, dense = [r["size"] for r in told], [], []
+def _searched(vertices: DataFrame, least: int, most: int, often: int, keys: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Pairs within the range: (src, dst, weight), each once, whose shorter read is long, or that are found by deletions; and
+    those of ``short.short_pairs``. ``keys`` are columns of ``vertices`` that only the latter look at; no pair is in both."""
+    work, limit = as_work(vertices), (most + 1) * SEGMENT_LEAST
+    size, odd = F.length("seq"), F.count_if(~F.col("seq").rlike(f"^[{short.LETTERS}]*$"))
+    told = vertices.where("seq is not null").groupBy(size.alias("size")).agg(F.count("*").alias("n"), odd.alias("odd")).collect()
+    every, made, dense, brief = [r["size"] for r in told], [], [], None
     n = sum(r["n"] for r in told)
     for parts, sizes in sorted(parts_for(every, n, most).items()):
         found, frequent = segment_pairs(work, most, parts, sizes, every, often, least)
         made.append(found)
         if frequent is not None:
             dense.append(having(work, most, parts, frequent))
-    if any(size < (most + 1) * SEGMENT_LEAST for size in every):
-        made.append(deletion_pairs(short_rows(work, most), most, least))
+    if few := [size for size in every if size < limit]:
+        if most in short.WAYS and not any(r["odd"] for r in told if r["size"] < limit + most):
+            brief = short.short_pairs(vertices.where(size < limit + most).select("vid", F.col("seq").alias("rest"), *keys), most, least, few, keys)
+        else:
+            made.append(deletion_pairs(short_rows(work, most), most, least))
     if dense:
         groups = stored(reduce(DataFrame.union, dense).distinct(), "dense")
         both = reduce(DataFrame.union, dense_candidates(groups, most, often)).where("a <> b")
         made.append(verified(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), vertices, least, most))
+    return (reduce(DataFrame.union, made).distinct() if made else None), brief
+
+
+def exact(vertices: DataFrame, least: int, most: int, often: int = OFTEN) -> DataFrame:
+    """Every pair within the range, of reads of any lengths. ``vertices`` are read more than once: store them.
+
+    The way of ``candidates``, in as many segments as the number of reads asks for. Pairs are verified where they are
+    met and made distinct after that, so what is shuffled follows the reads and the edges, not the candidates. Pairs of short
+    reads, of which there may be hundreds a read, are found once each and are not shuffled at all.
+    """
+    rest, brief = _searched(vertices, least, most, often, [])
+    made = [x for x in (rest, brief.drop("kept") if brief else None) if x is not None]
     if not made:
         return vertices.limit(0).select(F.col("vid").alias("src"), F.col("vid").alias("dst"), F.lit(0).alias("weight"))
-    return reduce(DataFrame.union, made).distinct()
+    return reduce(DataFrame.union, made)
+
+
+def exact_in(vertices: DataFrame, buckets: list[tuple[DataFrame, list[str]]], least: int, most: int, often: int = OFTEN) -> DataFrame:
+    """(src, dst, weight, kept): every pair within the range that shares a bucket of any of the schemes (rows, key columns); the
+    bits of ``kept`` say of which. ``in_buckets`` of ``exact``, but keys go with the short reads, so that their edges are not joined.
+    """
+    lists = [keys_of(rows.select("vid", F.xxhash64(*by).alias("key"))).withColumnRenamed("keys", f"keys{i}") for i, (rows, by) in enumerate(buckets)]
+    names = [f"keys{i}" for i in range(len(lists))]
+    told = reduce(lambda df, own: df.hint("merge").join(own, "vid", "left"), lists, vertices.select("vid", "seq"))
+    none = F.expr("cast(array() as array<bigint>)")
+    keyed_rows = stored(told.select("vid", "seq", *(F.coalesce(k, none).alias(k) for k in names)), "keys")
+    rest, brief = _searched(keyed_rows, least, most, often, names)
+    made = [brief] if brief else []
+    if rest is not None:
+        ends = [keyed_rows.select(F.col("vid").alias(end), *(F.col(k).alias(f"{end}_{k}") for k in names)) for end in ("src", "dst")]
+        beside = rest.hint("merge").join(ends[0], "src").hint("merge").join(ends[1], "dst")
+        bits = reduce(Column.__add__, (F.when(F.arrays_overlap(f"src_{k}", f"dst_{k}"), 1 << i).otherwise(0) for i, k in enumerate(names)))
+        made.append(beside.select("src", "dst", "weight", bits.cast("int").alias("kept")).where("kept > 0"))
+    if not made:
+        return vertices.limit(0).select(F.col("vid").alias("src"), F.col("vid").alias("dst"), F.lit(0).alias("weight"), F.lit(0).alias("kept"))
+    return reduce(DataFrame.union, made)
 
 
 def keys_of(buckets: DataFrame, by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
@@ -277,8 +312,8 @@ def in_buckets(edges: DataFrame, buckets: DataFrame, by: list[str] = ["key"]) ->
     return _with_keys(edges.select("src", "dst", "weight"), buckets, by).where(F.arrays_overlap("src_keys", "dst_keys")).select("src", "dst", "weight")
 
 
-def bucket_candidates(buckets: DataFrame, block: int = 2000, by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
-    """(a, b) that share a bucket, each once: a pair is made only in the least key that both have.
+def _bucket_meetings(buckets: DataFrame, block: int, by: list[str], letters: DataFrame | None = None) -> DataFrame:
+    """(a, b), and (sa, sb) where ``letters`` (vid, seq) are given, that share a bucket; each pair once, in the least key that both have.
 
     A bucket of n vertices is dealt into s = ceil(n / block) parts; every part meets every other once, so no task holds
     more than two parts. The number of pairs still grows with the square of a bucket. Rows with lists of keys are small
@@ -286,27 +321,44 @@ def bucket_candidates(buckets: DataFrame, block: int = 2000, by: list[str] = ["k
     """
     parts = buckets.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("s"))
     lower = F.slice("keys", F.lit(1), F.col("at"))
-    each = keys_of(buckets, by).select("vid", "keys", F.posexplode("keys").alias("at", "own")).select("vid", lower.alias("lower"), *((F.col("own") if len(by) == 1 else F.col(f"own.{c}")).alias(c) for c in by))
+    own, seq = keys_of(buckets, by), []
+    if letters is not None:
+        own, seq = own.hint("merge").join(letters.select("vid", "seq"), "vid"), ["seq"]
+    each = own.select("vid", *seq, "keys", F.posexplode("keys").alias("at", "own")).select("vid", *seq, lower.alias("lower"), *((F.col("own") if len(by) == 1 else F.col(f"own.{c}")).alias(c) for c in by))
     rows = each.hint("merge").join(parts, by).withColumn("p", F.pmod(F.xxhash64("vid"), F.col("s")).cast("int"))
-    left = rows.select(*by, F.col("vid").alias("a"), F.col("lower").alias("la"), F.col("p").alias("pa"), F.explode(F.expr("sequence(0, s - 1)")).alias("pb"))
-    right = rows.select(*by, F.col("vid").alias("b"), F.col("lower").alias("lb"), F.col("p").alias("pb"), F.explode(F.expr("sequence(0, s - 1)")).alias("pa"))
-    return left.hint("merge").join(right, [*by, "pa", "pb"]).where((F.col("a") < F.col("b")) & ~F.arrays_overlap("la", "lb")).select("a", "b")
+    side = lambda v, mine, other: rows.select(*by, F.col("vid").alias(v), *(F.col(x).alias(f"s{v}") for x in seq), F.col("lower").alias(f"l{v}"), F.col("p").alias(mine), F.explode(F.expr("sequence(0, s - 1)")).alias(other))
+    left, right = side("a", "pa", "pb"), side("b", "pb", "pa")
+    return left.hint("merge").join(right, [*by, "pa", "pb"]).where((F.col("a") < F.col("b")) & ~F.arrays_overlap("la", "lb")).select("a", *(f"s{v}" for v in "a" if seq), "b", *(f"s{v}" for v in "b" if seq))
+
+
+def bucket_candidates(buckets: DataFrame, block: int = 2000, by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
+    """(a, b) that share a bucket, each once."""
+    return _bucket_meetings(buckets, block, by)
 
 
 def bucket_pairs(buckets: DataFrame, vertices: DataFrame, least: int, most: int, block: int = 2000, by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
-    """The direct way, for schemes of small buckets: self-join of buckets, those over ``block`` vertices in blocks."""
-    return verified(bucket_candidates(buckets, block, by), vertices, least, most)
+    """The direct way, for schemes of small buckets: self-join of buckets, those over ``block`` vertices in blocks. Letters go with
+    the keys, so that pairs are verified where they meet."""
+    return _weighed(_bucket_meetings(buckets, block, by, vertices), least, most)
+
+
+def many_pairs(buckets: DataFrame, by: list[str] = ["key"]) -> bool:  # noqa: B006
+    """Whether the pairs of buckets outnumber PAIRS_A_READ for each of their rows."""
+    own = buckets.groupBy(*by).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
+    return (own["pairs"] or 0) > PAIRS_A_READ * max(1, own["rows"] or 0)
 
 
-def among(buckets: DataFrame, vertices: DataFrame, least: int, most: int, every: Callable[[], DataFrame], by: list[str] = ["key"]) -> DataFrame:  # noqa: B006
-    """Pairs within the range that share a bucket. Both ways give the same pairs.
+def among(buckets: DataFrame, vertices: DataFrame, least: int, most: int, every: Callable[[], DataFrame] | None = None, by: list[str] = ["key"], block: int = 2000) -> DataFrame:  # noqa: B006
+    """Pairs within the range that share a bucket. All ways give the same pairs.
 
     Small buckets are joined with themselves. Where their pairs outnumber PAIRS_A_READ for each read, as with four-letter
-    keys on many reads, all pairs within the range (``every``, made only then) are filtered by their buckets.
+    keys on many reads, all pairs within the range are filtered by their buckets: those of ``every``, made only then, or
+    where they are found.
     """
-    own = buckets.groupBy(*by).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-    if (own["pairs"] or 0) <= PAIRS_A_READ * max(1, own["rows"] or 0):
-        return bucket_pairs(buckets, vertices, least, most, by=by)
+    if not many_pairs(buckets, by):
+        return bucket_pairs(buckets, vertices, least, most, block, by)
+    if every is None:
+        return exact_in(vertices, [(buckets, by)], least, most).drop("kept")
     return in_buckets(every().where(F.col("weight").between(least, most)), buckets, by)
 
 
