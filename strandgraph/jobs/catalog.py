@@ -280,9 +280,9 @@ def edges_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges_bucket_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The direct self-join of small buckets, in blocks."""
+    """The direct self-join of small buckets, in blocks; where buckets have grown, the exact search among them."""
     v = stored(vertices_of(spark, sf_dir, 24), "vertices")
-    return pairs.bucket_pairs(scheme.sketches(v, 6, 2, [1], "prefix", MD5), v, 1, 2, block=16)
+    return pairs.among(stored(scheme.sketches(v, 6, 2, [1], "prefix", MD5), "buckets"), v, 1, 2, block=16)
 
 
 LARGE = 600
