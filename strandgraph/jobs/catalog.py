@@ -388,18 +388,18 @@ def fastq_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mode_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By mode and weight: edges found, edges there are, and their ratio."""
     v = stored(vertices_of(spark, sf_dir, 12), "vertices")
-    exact = stored(_exact(v), "exact")
     made = {
         "minimizer": scheme.lexicographic(v, LEX),
         "miniception": scheme.hashed(v, Scheme(4, 8), 2024, MD5),
         "omh": scheme.sketches(v, 6, 2, [1, 2, 3], "prefix", MD5),
         "gapped": scheme.gapped(v, GOMH_SEEDS, every=True),
     }
-    total = exact.groupBy("weight").agg(F.count("*").alias("n_exact"))
-    found = None
-    for name, keys in made.items():
-        own = pairs.in_buckets(exact, keys).groupBy("weight").agg(F.count("*").alias("n_found")).withColumn("mode", F.lit(name))
-        found = own if found is None else found.unionByName(own)
+    # a scheme of one bucket for all reads says how many edges there are
+    schemes = [(keys, ["key"]) for keys in made.values()] + [(v.select("vid", F.lit("all").alias("key")), ["key"])]
+    told = stored(pairs.exact_in(v, schemes, 1, 2).groupBy("weight", "kept").agg(F.count("*").alias("n")), "told")
+    total = told.groupBy("weight").agg(F.sum("n").alias("n_exact"))
+    each = told.select("weight", "n", F.posexplode(F.array(*(F.lit(name) for name in made))).alias("i", "mode"), "kept").where("shiftright(kept, i) % 2 = 1")
+    found = each.groupBy("mode", "weight").agg(F.sum("n").alias("n_found"))
     return found.join(total, "weight").select("mode", "weight", "n_found", "n_exact", F.round(F.col("n_found") / F.col("n_exact"), 6).alias("recall"))
 
 
