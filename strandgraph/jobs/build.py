@@ -3,6 +3,7 @@
 All modes verify with the real edit distance, so a bucketing mode changes only which edges are found. Small buckets are
 joined with themselves. Where their pairs would be many more than the reads, all edges within the range are made
 by the exact search instead and kept where a bucket holds them: the same edges, without the squares of the buckets' sizes.
+Of short reads one search serves all stages, unless a stage has to walk.
 """
 
 from __future__ import annotations
@@ -41,9 +42,13 @@ def _edge_counts(stage: str, edges: DataFrame) -> DataFrame:
 
 def _bucket_counts(stage: str, buckets: DataFrame, most: int, by: list[str]) -> DataFrame:
     """Buckets of a stage: all, those of one read, and normal and large ones."""
+    return _size_counts(stage, scheme.sizes(buckets, by), most)
+
+
+def _size_counts(stage: str, sizes: DataFrame, most: int) -> DataFrame:
     size = F.col("size")
     kinds = {"buckets": F.lit(True), "buckets of one read": size == 1, "normal buckets": (size >= 2) & (size < most), "large buckets": size >= most}
-    counted = scheme.sizes(buckets, by).agg(*(F.count_if(test).alias(name) for name, test in kinds.items()))
+    counted = sizes.agg(*(F.count_if(test).alias(name) for name, test in kinds.items()))
     pairs_of = F.array(*(F.struct(F.lit(name).alias("measure"), F.col(f"`{name}`").alias("n")) for name in kinds))
     return counted.select(F.lit(stage).alias("stage"), F.inline(pairs_of))
 
@@ -100,6 +105,34 @@ def refined(every: Callable[[], DataFrame], vertices: DataFrame, edges: DataFram
     return stored(graph.inserted(edges, missing.hint("merge").join(met, ["src", "dst"], "left_semi")), "edges")
 
 
+def without_walks(vertices: DataFrame, normal: DataFrame, large: DataFrame, second: bool, chosen: list[tuple[int, int]], gapped: bool, config: GraphConfig) -> tuple[DataFrame, list[DataFrame]] | None:
+    """Edges and counts of all stages from one search, for short reads, which have hundreds of edges each; none where a stage has to walk.
+
+    Sub-buckets are a bucket's gapped keys, so two reads share one if they share a bucket and a gapped key. What a stage
+    adds is then a matter of which kinds of keys the ends of an edge share, and edges need not be joined with anything.
+    """
+    most, by = config.max_distance, ["parent", "key"]
+    own_keys = stored(scheme.gapped(vertices, chosen, gapped, _hash(config)), "gapped")
+    stages = {"odd-sized buckets": large.select(F.col("key").alias("parent"), "vid")}
+    if second:
+        stages["second pass"] = normal.select(F.lit(0).alias("parent"), "vid").distinct()
+    told, schemes = [], [(normal, ["key"]), (own_keys, ["key"])]
+    for stage, parents in stages.items():
+        sizes = stored(scheme.sizes(parents.hint("merge").join(own_keys, "vid"), by), "sizes")
+        told.append(_size_counts(stage, sizes, config.bin_size_max))
+        routes = sizes.groupBy("parent").agg(F.count("*").alias("n"))
+        if routes.where(F.col("n") >= config.bin_size_max).limit(1).count():
+            return None
+        schemes.append((parents.hint("merge").join(routes.where("n >= 2").select("parent"), "parent", "left_semi"), ["parent"]))
+    shares = lambda i: F.col("kept").bitwiseAND(F.lit(1 << i)) != 0
+    tests = [shares(0)]
+    for i in range(2, len(schemes)):
+        tests.append(tests[-1] | (shares(1) & shares(i)))
+    found = stored(pairs.exact_in(vertices, schemes, 1, most).where(tests[-1]), "edges")
+    counts = [_edge_counts(stage, found.where(test)) for stage, test in zip(["first pass", *stages], tests, strict=True)]
+    return found.drop("kept"), [*counts, *told]
+
+
 def build(source: DataFrame, config: GraphConfig | None = None) -> EditGraph:
     """The graph of a table of reads with a ``seq`` column.
 
@@ -131,11 +164,16 @@ def build(source: DataFrame, config: GraphConfig | None = None) -> EditGraph:
     buckets = stored(_buckets(vertices, config, shortest), "buckets")
     told.append(_bucket_counts("first pass", buckets, config.bin_size_max, ["key"]))
     if config.mode in ("omh", "miniception"):
-        return finished(stored(pairs.among(buckets, vertices, 1, most, every), "edges"))
+        return finished(stored(pairs.among(buckets, vertices, 1, most), "edges"))
     normal, large = (stored(x, "buckets") for x in scheme.split(buckets, config.bin_size_max))
+    chosen, gapped = _gapped_plan(config, shortest)
+    if shortest < (most + 1) * pairs.SEGMENT_LEAST and config.routing == "buckets" and pairs.many_pairs(buckets):
+        at_once = without_walks(vertices, normal, large, shortest < 16, chosen, gapped, config)
+        if at_once is not None:
+            told.extend(at_once[1])
+            return finished(at_once[0])
     edges = stored(pairs.among(normal, vertices, 1, most, every), "edges")
     told.append(_edge_counts("first pass", edges))
-    chosen, gapped = _gapped_plan(config, shortest)
 
     def again(stage: str, edges: DataFrame, parents: DataFrame) -> DataFrame:
         sub = stored(scheme.gapped_within(parents, vertices, chosen, gapped, _hash(config)), "sub")
