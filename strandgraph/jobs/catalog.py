@@ -225,6 +225,8 @@ def edges_amplicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BATCHES = 3
+#: Reads for each bucket of the tables of a growing graph.
+BUCKET_READS = 400_000
 
 
 def batched_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,8 +237,8 @@ def batched_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges and counts of a graph that three batches have made, each looking for its own edges only."""
-    made = GrowingGraph(spark, f"{shared_folder(spark)}/growing-{uuid.uuid4().hex}")
     source = stored(batched_reads(spark, sf_dir), "batches")
+    made = GrowingGraph(spark, f"{shared_folder(spark)}/growing-{uuid.uuid4().hex}", buckets=max(16, source.count() // BUCKET_READS))
     for i in range(BATCHES):
         made.add(source.where(F.col("batch") == i))
     ends = [made.vertices().select(F.col("vid").alias(v), F.col("cnt").alias(f"{v}_cnt")) for v in ("src", "dst")]

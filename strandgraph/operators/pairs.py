@@ -31,8 +31,8 @@ CROWD = 4
 PAIRS_A_READ = 20
 
 
-def plans(most: int, parts: int) -> list[list[int]]:
-    """Ways in which a read of ``parts`` segments, ``most`` of them edited, lies in another one up to ``most`` letters longer.
+def plans(most: int, parts: int, shorter: bool = False) -> list[list[int]]:
+    """Ways in which a read of ``parts`` segments, ``most`` of them edited, lies in another one up to ``most`` letters longer, or ``shorter`` too.
 
     Each is [which segments are left out, letters more, then (first segment, end segment, shift) of each run that is kept],
     filled up with empty runs. Edits allow a shift to change only as often as there are edits.
@@ -40,7 +40,7 @@ def plans(most: int, parts: int) -> list[list[int]]:
     made = {}
     for name, out in enumerate(combinations(range(parts), most)):
         cuts = [-1, *out, parts]
-        for less in range(most + 1):
+        for less in range(-most if shorter else 0, most + 1):
             for middle in product(range(-most, most + 1), repeat=most - 1):
                 shifts = [0, *middle, less]
                 if sum(abs(b - a) for a, b in pairwise(shifts)) <= most:
