@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,28 +34,66 @@ def read_fasta(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFram
     return named.select("id", letters(F.col("body"), on_bad).alias("seq"))
 
 
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of lines (file, base, value) that come in the order of their split, and single lines of those that are not whole here."""
+    split, seen, waiting = None, 0, None
+    for batch in chain(batches, [None]):
+        if batch is None:
+            lines = waiting
+        else:
+            # a line's number is the base of its split and its place among the split's lines, which follow each other
+            own = np.stack([batch["file"].to_numpy(), batch["base"].to_numpy()], axis=1)
+            if not len(own):
+                continue
+            first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]).any(axis=1)])
+            place = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)]))
+            if split == tuple(own[0]):
+                place[: first[1] if len(first) > 1 else len(own)] += seen
+            split, seen = tuple(own[-1]), int(place[-1]) + 1
+            new = pa.table({"file": own[:, 0], "at": own[:, 1] + place, "value": batch["value"].cast(pa.string())})
+            lines = pa.concat_tables([waiting, new]) if waiting is not None else new
+        if lines is None or not lines.num_rows:
+            continue
+        file, at, n = lines["file"].to_numpy(), lines["at"].to_numpy(), lines.num_rows
+        start = np.flatnonzero(at[: max(n - 3, 0)] % 4 == 0)
+        for i in range(1, 4):
+            start = start[(file[start + i] == file[start]) & (at[start + i] == at[start] + i)]
+        alone = np.ones(n, dtype=bool)
+        for i in range(4):
+            alone[start + i] = False
+        alone = np.flatnonzero(alone)
+        keep = alone[alone >= n - 3] if batch is not None else alone[:0]
+        alone = alone[: len(alone) - len(keep)]
+        waiting = lines.take(keep)
+        rows = np.concatenate([start, alone])
+        whole = np.arange(len(rows)) < len(start)
+        value = lines["value"].combine_chunks()
+        part = lambda i: value.take(pa.array(rows + np.where(whole, i, 0), mask=~(whole | (at[rows] % 4 == i))))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(file[rows]), pa.array(at[rows] // 4), part(0), part(1), pc.utf8_slice_codeunits(part(2), 0, 1), pc.utf8_length(part(3)), pa.array(whole)],
+            ["file", "record", "head", "seq", "mark", "size", "whole"],
+        )
+
+
 def read_fastq(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFrame:
     """(id, seq) of four-line records. The mark of a record may begin a quality line, so lines are counted, not matched; blank
     ones are not counted. A record that is cut after its letters, has no "+" line, or has not one quality for each letter is an error.
 
-    Spark splits large files and unpacks compressed ones (a compressed file is one task). The lines are written once with
-    their place in their split; a prefix sum over the splits of a file, one row each, turns places into line numbers.
+    Spark splits large files and unpacks compressed ones (a compressed file is one task). Lines are counted by splits first; a prefix
+    sum over the splits of a file, one row each, turns places into line numbers. As lines are read again, in order, records
+    are put together where they are read; only the lines of those that lie in two splits are shuffled.
     """
-    place = F.monotonically_increasing_id().alias("place")
-    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    lines = stored(spark.read.text(path).where("trim(value) <> ''").select(*split, place, "value"), "lines")
+    lines = spark.read.text(path).where("trim(value) <> ''").withColumns({"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start")})
+    sizes = stored(lines.groupBy("file", "block").agg(F.count("*").alias("n")), "splits")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("least"))
-    bases = sizes.select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("least")).alias("base"))
-    at = F.col("base") + F.col("place")
-    placed = lines.join(F.broadcast(bases), ["file", "block"]).select("file", F.shiftright(at, 2).alias("record"), (at % 4).alias("line"), "value")
-    head, seq = (F.max(F.when(F.col("line") == i, F.col("value"))) for i in range(2))
-    # of the last two lines only what is checked is shuffled: that there is a mark, and how long the quality is
-    size = F.max(F.when(F.col("line") == 3, F.length("value")))
-    slim = placed.withColumn("value", F.when(F.col("line") == 2, F.substring("value", 1, 1)).otherwise(F.rtrim("value")))
+    number = F.dense_rank().over(Window.orderBy("file")).cast("long")
+    bases = sizes.select("file", "block", number.alias("number"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    placed = lines.join(F.broadcast(bases), ["file", "block"]).select(F.col("number").alias("file"), "base", F.rtrim("value").alias("value"))
+    # of the last two lines only what is checked is kept: that there is a mark, and how long the quality is
+    told = stored(placed.mapInArrow(_put_together, "file long, record long, head string, seq string, mark string, size int, whole boolean"), "records")
     # a name without any further line is no record
-    marked = F.max(F.when(F.col("line") == 2, F.col("value")))
-    records = slim.groupBy("file", "record").agg(head.alias("head"), seq.alias("seq"), marked.alias("mark"), size.alias("size")).where("seq is not null")
+    cut = told.where("not whole").groupBy("file", "record").agg(*(F.max(c).alias(c) for c in ("head", "seq", "mark", "size"))).where("seq is not null")
+    records = told.where("whole").drop("whole").unionByName(cut)
     said = F.concat(F.lit("line "), (4 * F.col("record") + 1).cast("string"))
     whole = F.coalesce((F.col("mark") == "+") & (F.col("size") == F.length("seq")), F.lit(False))
     wrong = F.when(~F.col("head").startswith("@"), F.lit(" does not start a record")).when(~whole, F.lit(" starts a record without a mark or without a quality for each letter"))
