@@ -290,20 +290,26 @@ def edges_bucket_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 LARGE = 600
 
 
+def _in_large(v: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reads with their minimizers (parents) and gapped keys, and (parent, n) of the large buckets: how many sub-buckets each has.
+
+    A read's gapped keys are the same in whatever bucket it is, so sub-buckets need not be made to be counted.
+    """
+    listed = stored(scheme.gapped_lists(v.select("vid", "seq"), GOMH_SEEDS, MD5).select("vid", scheme.lexicographic_keys(LEX).alias("parents"), "keys"), "lists")
+    return listed, scheme.sub_sizes(listed).where(f"size < 2 or size >= {LARGE}").select("parent", "n")
+
+
 def large_bucket_rebucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges that sub-buckets of large buckets hold."""
+    """Edges that sub-buckets of large buckets hold: their ends share such a bucket and a gapped key."""
     v = stored(vertices_of(spark, sf_dir, 24), "vertices")
-    _, large = scheme.split(stored(scheme.lexicographic(v, LEX), "buckets"), LARGE)
-    sub = stored(scheme.gapped_within(large.select(F.col("key").alias("parent"), "vid"), v, GOMH_SEEDS, hash_of=MD5), "sub")
-    routes = sub.groupBy("parent").agg(F.countDistinct("key").alias("n")).where(f"n >= 2 and n < {LARGE}")
-    return pairs.in_buckets(_exact(v), sub.join(routes, "parent", "left_semi"), ["parent", "key"])
+    listed, n = _in_large(v)
+    routes = stored(n.where(f"n >= 2 and n < {LARGE}").select("parent"), "routes")
+    return pairs.in_sub_buckets(_exact(v), listed, routes)
 
 
 def sub_bucket_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sub-buckets each large bucket has, and where that sends it."""
-    v = stored(vertices_of(spark, sf_dir, 24), "vertices")
-    _, large = scheme.split(stored(scheme.lexicographic(v, LEX), "buckets"), LARGE)
-    n = scheme.gapped_within(large.select(F.col("key").alias("parent"), "vid"), v, GOMH_SEEDS, hash_of=MD5).groupBy("parent").agg(F.countDistinct("key").alias("n"))
+    _, n = _in_large(vertices_of(spark, sf_dir, 24))
     return n.select("parent", "n", F.when(F.col("n") >= 300, "traversal").when(F.col("n") >= 2, "pairwise").otherwise("dropped").alias("route"))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from strandgraph.functions import gapped as batches
 from strandgraph.functions import kmers
 from strandgraph.functions.params import Scheme
 
@@ -17,11 +21,16 @@ def _keyed(vertices: DataFrame, keys: Column) -> DataFrame:
 
 def lexicographic(vertices: DataFrame, scheme: Scheme) -> DataFrame:
     """Smallest k-mers of sliding windows, of the whole read or of each segment; keys carry no segment number."""
+    return _keyed(vertices, lexicographic_keys(scheme))
+
+
+def lexicographic_keys(scheme: Scheme) -> Column:
+    """The keys of ``lexicographic`` of a read, as one list."""
     seq = F.col("seq")
     if scheme.segments == 1:
-        return _keyed(vertices, kmers.lexicographic_minimizers(seq, scheme.k, scheme.window))
+        return kmers.lexicographic_minimizers(seq, scheme.k, scheme.window)
     cut = F.transform(kmers.segments(seq, scheme.segments), lambda s: kmers.lexicographic_minimizers(s, scheme.k, scheme.window))
-    return _keyed(vertices, F.array_distinct(F.flatten(cut)))
+    return F.array_distinct(F.flatten(cut))
 
 
 def hashed(vertices: DataFrame, scheme: Scheme, seed: int = 2024, hash_of: kmers.Hash = kmers.hash_fast) -> DataFrame:
@@ -37,12 +46,39 @@ def gapped(vertices: DataFrame, seeds: list[tuple[int, int]], every: bool = Fals
     """One key for each (seed, k), reads too short for any sharing one; with ``every``, all gapped k-mers of the first k."""
     if every:
         return _keyed(vertices, F.array_distinct(kmers.gapped_words(F.col("seq"), seeds[0][1])))
-    zero = hash_of(F.lit("short")) if hash_of is kmers.hash_fast else F.lit("0")
+    return _keyed(gapped_lists(vertices.select("vid", "seq"), seeds, hash_of), F.col("keys"))
+
+
+def gapped_lists(vertices: DataFrame, seeds: list[tuple[int, int]], hash_of: kmers.Hash = kmers.hash_fast) -> DataFrame:
+    """``vertices`` and the distinct keys of ``gapped`` of each read, as a list ``keys``."""
     by_k: dict[int, list[int]] = {}
     for seed, k in seeds:
         by_k.setdefault(k, []).append(seed)
-    made = F.concat(*(kmers.gapped_min_hashes(F.col("seq"), k, own, hash_of) for k, own in by_k.items()))
-    return _keyed(vertices, F.array_distinct(F.transform(made, lambda h: F.coalesce(h, zero))))
+    if hash_of is not kmers.hash_md5:
+        zero = hash_of(F.lit("short")) if hash_of is kmers.hash_fast else F.lit("0")
+        made = F.concat(*(kmers.gapped_min_hashes(F.col("seq"), k, own, hash_of) for k, own in by_k.items()))
+        return vertices.select("*", F.array_distinct(F.transform(made, lambda h: F.coalesce(h, zero))).alias("keys"))
+    names = [f"keys{k}" for k in by_k]
+    schema = StructType([*vertices.schema.fields, *(StructField(name, ArrayType(StringType())) for name in names)])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            made = [batches.min_hashes(batch["seq"], k, own) for k, own in by_k.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
+
+    told = vertices.mapInArrow(run, schema)
+    return told.select(*vertices.columns, F.array_distinct(F.concat(*names)).alias("keys"))
+
+
+def sub_sizes(listed: DataFrame) -> DataFrame:
+    """(parent, size, n) of reads with lists ``parents`` and ``keys``: reads of each bucket, and its distinct sub-buckets.
+
+    What is counted is combined before it is shuffled, so that follows the buckets and not the reads.
+    """
+    none = F.array(F.lit(None).cast(listed.schema["keys"].dataType.elementType))  # a row that counts the read
+    each = listed.select(F.explode("parents").alias("parent"), "keys").select("parent", F.explode(F.concat("keys", none)).alias("key"))
+    told = each.groupBy("parent", "key").agg(F.count("*").alias("reads"))
+    return told.groupBy("parent").agg(F.sum(F.when(F.col("key").isNull(), F.col("reads"))).alias("size"), F.count("key").alias("n"))
 
 
 def gapped_within(parents: DataFrame, vertices: DataFrame, seeds: list[tuple[int, int]], every: bool = False, hash_of: kmers.Hash = kmers.hash_fast) -> DataFrame:

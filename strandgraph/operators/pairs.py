@@ -312,6 +312,16 @@ def in_buckets(edges: DataFrame, buckets: DataFrame, by: list[str] = ["key"]) ->
     return _with_keys(edges.select("src", "dst", "weight"), buckets, by).where(F.arrays_overlap("src_keys", "dst_keys")).select("src", "dst", "weight")
 
 
+def in_sub_buckets(edges: DataFrame, listed: DataFrame, routes: DataFrame) -> DataFrame:
+    """Edges whose ends (vid, parents, keys) have a key in common and one of the parents of ``routes``. Lists are not taken apart:
+    only parents that both ends of an edge have are, and they are one edge again before that is shuffled."""
+    lists = listed.select("vid", "parents", F.transform("keys", lambda k: F.xxhash64(k)).alias("keys"))
+    ends = [lists.select(F.col("vid").alias(end), F.col("parents").alias(f"{end}_parents"), F.col("keys").alias(f"{end}_keys")) for end in ("src", "dst")]
+    beside = edges.hint("merge").join(ends[0], "src").hint("merge").join(ends[1], "dst").where(F.arrays_overlap("src_keys", "dst_keys"))
+    shared = beside.select("src", "dst", "weight", F.explode(F.array_intersect("src_parents", "dst_parents")).alias("parent"))
+    return shared.join(routes, "parent", "left_semi").select("src", "dst", "weight").distinct()
+
+
 def _bucket_meetings(buckets: DataFrame, block: int, by: list[str], letters: DataFrame | None = None) -> DataFrame:
     """(a, b), and (sa, sb) where ``letters`` (vid, seq) are given, that share a bucket; each pair once, in the least key that both have.
 
