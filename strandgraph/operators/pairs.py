@@ -27,6 +27,8 @@ EASIER = 4
 WIDE = 2
 #: Reads for each value that the kept letters of a read can have, on average, for which fewer segments are enough.
 CROWD = 4
+#: Rows of one key from which on it is looked for where the rows are, so that no task gets them all; such keys are few, and are broadcast.
+HEAVY = 1 << 16
 #: Pairs for each bucket entry up to which a self-join of buckets is the cheaper way.
 PAIRS_A_READ = 20
 
@@ -86,25 +88,46 @@ def segment_candidates(work: DataFrame, most: int, parts: int, often: int | None
     asked = keyed(work, most, parts, False).select("h", F.col("vid").alias("b"), F.col("size").alias("lb"))
     frequent = None
     if often is not None:
-        frequent = stored(own.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > often).select("h"), "frequent")
-        if frequent.head(1):
-            own = own.hint("merge").join(frequent, "h", "left_anti")
-        else:
-            frequent = None
+        frequent = frequent_keys(own, often)
+        if frequent is not None:
+            own = lacking(own, frequent)
     shorter_first = (F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")))
     return own.hint("merge").join(asked, "h").where(shorter_first).select("a", "b"), frequent
 
 
+def frequent_keys(keys: DataFrame, often: int) -> DataFrame | None:
+    """(h, n) of the keys that more than ``often`` rows have; none if there are none."""
+    found = stored(keys.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > often), "frequent")
+    return found if found.head(1) else None
+
+
+def _heavy(frequent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The keys of more than HEAVY rows, one for each HEAVY rows at most, and the others."""
+    return F.broadcast(frequent.where(F.col("n") > HEAVY).select("h")), frequent.where(F.col("n") <= HEAVY).select("h")
+
+
+def lacking(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Rows whose key is not frequent; those of the heaviest keys are gone before the others are dealt out by key."""
+    heavy, light = _heavy(frequent)
+    return rows.join(heavy, "h", "left_anti").hint("merge").join(light, "h", "left_anti")
+
+
+def sharing(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Rows whose key is frequent; those of the heaviest keys stay where they are."""
+    heavy, light = _heavy(frequent)
+    return rows.join(heavy, "h", "left_semi").union(rows.join(heavy, "h", "left_anti").hint("merge").join(light, "h", "left_semi"))
+
+
 def having(work: DataFrame, most: int, parts: int, frequent: DataFrame) -> DataFrame:
     """The rows (grp, vid, rest) that have any of the frequent keys, as they are."""
-    asked = keyed(work, most, parts, False).hint("merge").join(frequent, "h", "left_semi")
-    return work.hint("merge").join(asked.select("vid").distinct(), "vid", "left_semi")
+    asked = keyed(work, most, parts, False).select("h", "vid")
+    return work.hint("merge").join(sharing(asked, frequent).select("vid").distinct(), "vid", "left_semi")
 
 
 def without_kept(work: DataFrame, most: int, parts: int, frequent: DataFrame) -> DataFrame:
     """Groups (grp, vid, rest) of what shares a frequent key, without the letters that it keeps: the rest still is within the distance."""
-    rows = keyed(work, most, parts, False).select(F.col("h").alias("grp"), "vid", "rest")
-    return rows.hint("merge").join(frequent.withColumnRenamed("h", "grp"), "grp", "left_semi").distinct()
+    rows = keyed(work, most, parts, False).select("h", "vid", "rest")
+    return sharing(rows, frequent).select(F.col("h").alias("grp"), "vid", "rest").distinct()
 
 
 def short_rows(work: DataFrame, most: int) -> DataFrame:
@@ -216,15 +239,16 @@ def segment_pairs(work: DataFrame, most: int, parts: int, sizes: list[int], ever
     shifted = [p for p in shifted if any(size + p[1] in every for size in sizes)]
     of = lambda df, v, s: df.select("h", F.col("vid").alias(v), F.col("rest").alias(s))
     keys = keyed(work, most, parts, True, sizes=sizes)
-    frequent = stored(keys.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > often).select("h"), "frequent")
-    if frequent.head(1):
-        keys = keys.hint("merge").join(frequent, "h", "left_anti")
-    else:
-        frequent = None
+    frequent = frequent_keys(keys, often)
+    if frequent is not None:
+        keys = lacking(keys, frequent)
     own = of(keys, "a", "sa")
     made = [own.hint("merge").join(of(keys, "b", "sb"), "h").where("a < b")]
     if shifted:
-        made.append(own.hint("merge").join(of(keyed(work, most, parts, False, shifted, sizes), "b", "sb"), "h").where("a <> b"))
+        asked = keyed(work, most, parts, False, shifted, sizes)
+        if frequent is not None:
+            asked = asked.join(_heavy(frequent)[0], "h", "left_anti")
+        made.append(own.hint("merge").join(of(asked, "b", "sb"), "h").where("a <> b"))
     return _weighed(reduce(DataFrame.union, made), least, most), frequent
 
 
