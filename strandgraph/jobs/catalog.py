@@ -270,7 +270,8 @@ def edges_miniception(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges_omh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _in_buckets(spark, sf_dir, 24, lambda v: scheme.sketches(v, 6, 2, [1, 2, 3], "prefix", MD5))
+    """Edges that share an order min hash sketch of the whole read."""
+    return _in_buckets(spark, sf_dir, 24, lambda v: scheme.sketches(v, 6, 2, [1, 2, 3], "minhash", MD5))
 
 
 def edges_omh_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

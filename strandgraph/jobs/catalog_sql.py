@@ -180,7 +180,7 @@ select s.key, s.n as bucket_size, s.n * (s.n - 1) // 2 as total_pairs, coalesce(
         "edges_brute_force_min2": f"with {e24} select * from exact where weight >= 2",
         "edges_minimizer": f"with {e12}, {LEX} {_inside('b')}",
         "edges_miniception": f"with {e12}, {_hashed(4, 8)} {_inside('b')}",
-        "edges_omh": f"with {e24}, {OMH_PREFIX} {_inside('ob')}",
+        "edges_omh": f"with {e24}, {OMH_MIN} {_inside('mb')}",
         "edges_omh_minhash": f"with {e24}, {OMH_MIN} {_inside('mb')}",
         "edges_gapped": f"with {e12}, {ALL_GAPPED} {_inside('ab')}",
         "edges_bucket_join": f"""with {v24} select a.vid as src, b.vid as dst, cast(levenshtein(a.seq, b.seq) as integer) as weight from v a join v b on substr(a.seq, 1, 7) = substr(b.seq, 1, 7) and a.vid < b.vid
