@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.functions import kmers, params
@@ -40,6 +40,15 @@ def _edge_counts(stage: str, edges: DataFrame) -> DataFrame:
     return counted.select(F.lit(stage).alias("stage"), F.concat(F.lit("edges of weight "), weight).alias("measure"), "n")
 
 
+def _edge_counts_at_once(found: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """``_edge_counts`` of several stages, each given by a test of the rows (weight, kept), from one pass over them."""
+    told = found.groupBy("weight", "kept").agg(F.count("*").alias("n"))
+    stage = F.explode(F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items()))))
+    weight = F.explode(F.array(F.col("weight").cast("string"), F.lit("any")))
+    each = told.select("weight", "n", stage.alias("stage")).select("stage", "n", weight.alias("weight"))
+    return each.groupBy("stage", F.concat(F.lit("edges of weight "), "weight").alias("measure")).agg(F.sum("n").alias("n"))
+
+
 def _bucket_counts(stage: str, buckets: DataFrame, most: int, by: list[str]) -> DataFrame:
     """Buckets of a stage: all, those of one read, and normal and large ones."""
     return _size_counts(stage, scheme.sizes(buckets, by), most)
@@ -110,12 +119,14 @@ def without_walks(vertices: DataFrame, normal: DataFrame, large: DataFrame, seco
 
     Sub-buckets are a bucket's gapped keys, so two reads share one if they share a bucket and a gapped key. What a stage
     adds is then a matter of which kinds of keys the ends of an edge share, and edges need not be joined with anything.
+    Nor are they stored, being many times as many as the reads: whoever reads edges or counts makes the search.
     """
     most, by = config.max_distance, ["parent", "key"]
     own_keys = stored(scheme.gapped(vertices, chosen, gapped, _hash(config)), "gapped")
     stages = {"odd-sized buckets": large.select(F.col("key").alias("parent"), "vid")}
     if second:
         stages["second pass"] = normal.select(F.lit(0).alias("parent"), "vid").distinct()
+    names = ["first pass", *stages]
     told, schemes = [], [(normal, ["key"]), (own_keys, ["key"])]
     for stage, parents in stages.items():
         sizes = stored(scheme.sizes(parents.hint("merge").join(own_keys, "vid"), by), "sizes")
@@ -128,9 +139,10 @@ def without_walks(vertices: DataFrame, normal: DataFrame, large: DataFrame, seco
     tests = [shares(0)]
     for i in range(2, len(schemes)):
         tests.append(tests[-1] | (shares(1) & shares(i)))
-    found = stored(pairs.exact_in(vertices, schemes, 1, most).where(tests[-1]), "edges")
-    counts = [_edge_counts(stage, found.where(test)) for stage, test in zip(["first pass", *stages], tests, strict=True)]
-    return found.drop("kept"), [*counts, *told]
+    found = pairs.exact_in(vertices, schemes, 1, most).where(tests[-1])
+    in_graph = tests[-1] & (F.col("weight") >= config.min_distance)
+    counts = _edge_counts_at_once(found, dict(zip([*names, "graph"], [*tests, in_graph], strict=True)))
+    return found.drop("kept"), [counts, *told]
 
 
 def build(source: DataFrame, config: GraphConfig | None = None) -> EditGraph:
@@ -154,10 +166,10 @@ def build(source: DataFrame, config: GraphConfig | None = None) -> EditGraph:
             made.append(stored(pairs.exact(vertices, 1, most), "exact"))
         return made[0]
 
-    def finished(edges: DataFrame) -> EditGraph:
+    def finished(edges: DataFrame, counted: bool = False) -> EditGraph:
         if config.min_distance > 1:
             edges = graph.without_weights(edges, 1, config.min_distance - 1)
-        return EditGraph(vertices, edges, metrics, reduce(DataFrame.union, [*told, _edge_counts("graph", edges)]))
+        return EditGraph(vertices, edges, metrics, reduce(DataFrame.union, told if counted else [*told, _edge_counts("graph", edges)]))
 
     if config.mode == "brute_force":
         return finished(every())
@@ -171,7 +183,7 @@ def build(source: DataFrame, config: GraphConfig | None = None) -> EditGraph:
         at_once = without_walks(vertices, normal, large, shortest < 16, chosen, gapped, config)
         if at_once is not None:
             told.extend(at_once[1])
-            return finished(at_once[0])
+            return finished(at_once[0], counted=True)
     edges = stored(pairs.among(normal, vertices, 1, most, every), "edges")
     told.append(_edge_counts("first pass", edges))
 
