@@ -14,7 +14,7 @@ from strandgraph.jobs.build import EditGraph, build
 from strandgraph.jobs.catalog_sql import oracle_sql as oracle_sql
 from strandgraph.jobs.config import GraphConfig
 from strandgraph.operators import buckets as scheme
-from strandgraph.operators import graph, pairs, reads
+from strandgraph.operators import graph, pairs, reads, short
 from strandgraph.operators.components import components
 from strandgraph.operators.incremental import GrowingGraph
 from strandgraph.operators.storage import shared_folder, stored
@@ -322,6 +322,9 @@ def khop_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges_after_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of weight 1 and what a bounded traversal of them adds."""
     v = stored(vertices_of(spark, sf_dir, 12), "vertices")
+    found = short.walked_pairs(v)
+    if found is not None:
+        return found
     one = stored(_exact(v, 1), "ones")
     return graph.inserted(one, graph.verified_hops(one, v, None, 3, 1, 2))
 

@@ -13,9 +13,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandgraph.operators.storage import stored
+
 LETTERS = "ACGTN"
 #: Rows of a group that one task holds; a larger one is dealt into parts that meet each other.
 BLOCK = 1 << 17
@@ -25,6 +27,10 @@ STEP = 1 << 10
 FEW = 1 << 13
 #: Rows of a returned batch.
 BATCH = 1 << 18
+#: Letters up to which a read is a number of 32 bits (``codes``).
+CODED = 15
+#: Pairs whose neighbours are compared at once.
+WALK = 1 << 12
 #: Of a row: both sides of the pairs of one length, or the side that is looked up only; asked rows have the number of their way.
 BOTH, OWN = -1, -2
 #: (letters more, segment, its shift) in which a read is asked for; the first are those of its own segments.
@@ -220,8 +226,54 @@ class Shared:
         return out
 
 
-def _group(most: int, least: int, schemes: int, key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(src, dst, weight, kept) of a group (n, segment, ...) of rows (vid, rest, way, keys...)."""
+def codes(seq: Column) -> Column:
+    """Reads of up to CODED letters A, C, G, T as numbers: two bits a letter, the first lowest, and a one above the last."""
+    return F.conv(F.concat(F.lit("1"), F.translate(F.reverse(seq), "ACGT", "0123")), 4, 10).cast("int")
+
+
+def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which numbers of ``codes`` are of reads at most one edit apart."""
+    apart = x ^ y
+    letters = (apart | (apart >> np.uint32(1))) & np.uint32(0x55555555)
+    first = letters & (~letters + np.uint32(1))  # the first letter that differs
+    same = (letters == first) & (apart < x) & (apart < y)  # marks of equal lengths cancel out
+    # with a letter left out of the longer one, nothing differs from there on, and the marks meet
+    return same | (((x >> np.uint32(2)) ^ y) < np.minimum(first, y)) | (((y >> np.uint32(2)) ^ x) < np.minimum(first, x))
+
+
+class Walks:
+    """Whether two rows have neighbours (lists of ``codes``) that are the same read, or one edit apart: walks of two and three edges."""
+
+    def __init__(self, column: pa.ListArray) -> None:
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        self.start, self.size = offsets[:-1] - offsets[0], np.diff(offsets)
+        self.flat = column.flatten().to_numpy().astype(np.uint32)
+
+    def joins(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), dtype=bool)
+        # neighbours of the row that has fewer are taken one after the other; pairs that have met leave
+        fewer = self.size[a] <= self.size[b]
+        few, many = np.where(fewer, a, b), np.where(fewer, b, a)
+        order = np.flatnonzero(self.size[few] > 0)
+        order = order[np.argsort(self.size[many[order]], kind="stable")]
+        for at in range(0, len(order), WALK):
+            rows = order[at : at + WALK]
+            one, two = few[rows], many[rows]
+            wide = np.arange(self.size[two[-1]])
+            others = self.flat[self.start[two][:, None] + np.minimum(wide, self.size[two][:, None] - 1)]
+            step = 0
+            while len(rows):
+                hit = _close(self.flat[self.start[one] + step][:, None], others).any(axis=1)
+                out[rows[hit]] = True
+                step += 1
+                stay = ~hit & (self.size[one] > step)
+                rows, one, others = rows[stay], one[stay], others[stay]
+        return out
+
+
+def _group(most: int, least: int, schemes: int, walks: bool, key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, dst, weight, kept) of a group (n, segment, ...) of rows (vid, rest, way, keys...); with ``walks`` pairs of weight 2 are
+    given only where a walk joins the neighbours of their ends (near)."""
     table = pa.Table.from_batches(list(batches)).combine_chunks()
     if table.num_rows < 2:
         return
@@ -239,6 +291,7 @@ def _group(most: int, least: int, schemes: int, key: tuple[pa.Scalar, ...], batc
     q = len(LETTERS) if bool((raw == ord("N")).any()) else len(LETTERS) - 1
     letters = lambda rows, size: number[raw[starts[rows][:, None] + np.arange(size)]]
     shared = [Shared(table[f"keys{i}"].combine_chunks()) for i in range(schemes)]
+    walk = Walks(table["near"].combine_chunks()) if walks else None
     mine = letters(own, n)
     for w, (less, at, shift) in enumerate(WAYS[most]):
         rows = np.flatnonzero((way == w) | ((way == BOTH) & ((less, shift) == (0, 0)))) if at == segment else own[:0]
@@ -251,6 +304,9 @@ def _group(most: int, least: int, schemes: int, key: tuple[pa.Scalar, ...], batc
                 for k in range(0, len(a), BATCH):
                     kept[k : k + BATCH] |= scheme.any(a[k : k + BATCH], b[k : k + BATCH]).astype(np.int32) << i
             keep = (weight >= least) & ((kept > 0) | (not schemes))
+            if walk:
+                far = np.flatnonzero(keep & (weight == 2))
+                keep[far] = walk.joins(a[far], b[far])
             x, y = vid[a[keep]], vid[b[keep]]
             columns = [np.minimum(x, y), np.maximum(x, y), weight[keep].astype(np.int32), kept[keep]]
             for k in range(0, len(x), BATCH):
@@ -281,18 +337,40 @@ def dealt(work: DataFrame, most: int, sizes: list[int], keys: list[str]) -> Data
     return spread.select(*by, "vid", "rest", *keys, F.inline(placed)).select(*by, "p", "pb", "vid", "rest", "way", *keys)
 
 
-def short_pairs(work: DataFrame, most: int, least: int, sizes: list[int], keys: list[str]) -> DataFrame:
+def short_pairs(work: DataFrame, most: int, least: int, sizes: list[int], keys: list[str], near: str | None = None) -> DataFrame:
     """(src, dst, weight, kept) of rows (vid, rest, keys...), each pair once, whose shorter one has one of ``sizes`` letters.
 
     Reads are of A, C, G, T and N. ``keys`` name lists of numbers; of pairs only those that share one are given, and the bits of
-    ``kept`` say in which lists. Without keys all pairs are.
+    ``kept`` say in which lists. Without keys all pairs are. ``near`` names a list of the ``codes`` of a read's neighbours, where of
+    pairs of weight 2 only those are wanted that a walk of up to three edges of weight 1 leads between.
     """
-    named = work.select("vid", "rest", *(F.col(k).alias(f"keys{i}") for i, k in enumerate(keys)))
-    rows = dealt(named, most, sizes, [f"keys{i}" for i in range(len(keys))])
+    beside = [f"keys{i}" for i in range(len(keys))] + (["near"] if near else [])
+    named = work.select("vid", "rest", *(F.col(k).alias(name) for k, name in zip([*keys, *([near] if near else [])], beside, strict=True)))
+    rows = dealt(named, most, sizes, beside)
     by = ["n", "segment", "held", "p", "pb"]
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def found(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _group(most, least, len(keys), key, batches)
+        yield from _group(most, least, len(keys), near is not None, key, batches)
 
     return rows.repartition(tasks, *by).groupBy(*by).applyInArrow(found, "src long, dst long, weight int, kept int")
+
+
+def walked_pairs(vertices: DataFrame) -> DataFrame | None:
+    """(src, dst, weight): pairs of weight 1, and those of weight 2 that a walk of up to three of the former leads between; none
+    where a read is too long for ``codes`` or has other letters.
+
+    Reads learn their neighbours first and take them along when they are dealt out, so walks are looked for where a pair is found.
+    What is shuffled are reads, and of edges those of weight 1; what is stored are reads with their neighbours.
+    """
+    odd = F.count_if(~F.col("seq").rlike("^[ACGT]*$"))
+    told = vertices.groupBy(F.length("seq").alias("size")).agg(odd.alias("odd")).collect()
+    if any(r["size"] is None or r["size"] > CODED or r["odd"] for r in told):
+        return None
+    sizes = [r["size"] for r in told]
+    coded = vertices.select("vid", "seq", codes(F.col("seq")).alias("code"))
+    ones = short_pairs(coded.select(F.col("code").cast("long").alias("vid"), F.col("seq").alias("rest")), 1, 1, sizes, [])
+    ends = F.inline(F.array(*(F.struct(F.col(x).cast("int").alias("code"), F.col(y).cast("int").alias("other")) for x, y in (("src", "dst"), ("dst", "src")))))
+    near = ones.select(ends).groupBy("code").agg(F.collect_list("other").alias("near"))
+    beside = coded.hint("merge").join(near.hint("merge"), "code", "left").select("vid", F.col("seq").alias("rest"), F.coalesce("near", F.expr("cast(array() as array<int>)")).alias("near"))
+    return short_pairs(stored(beside, "walks"), 2, 1, sizes, [], "near").drop("kept")
