@@ -34,6 +34,8 @@ def min_hashes(texts: pa.Array, k: int, seeds: list[int]) -> pa.Array:
     starts = np.cumsum(sizes) - sizes
     alphabet, letters = np.unique(np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), "<u4"), return_inverse=True)
     hashes, at = [SHORT], np.zeros((len(sizes), len(seeds)), dtype=np.int64)
+    known: dict[str, int] = {}
+    found = []
     for size in np.unique(sizes[sizes >= 2 * k - 1]).tolist():
         rows = np.flatnonzero(sizes == size)
         own = letters[starts[rows][:, None] + np.arange(size)]
@@ -49,12 +51,15 @@ def min_hashes(texts: pa.Array, k: int, seeds: list[int]) -> pa.Array:
         row, start = first // n, order.ravel()[first]
         words = alphabet[own[row[:, None], start[:, None] + 2 * np.arange(k)]].astype("<u4")
         told = [f"{w.tobytes().decode('utf-32-le')}|{o}" for w, o in zip(words, occ.ravel()[first].tolist(), strict=True)]
-        for i, seed in enumerate(seeds):
-            made = np.array([hashlib.md5(f"{seed}|{x}".encode()).hexdigest() for x in told])
-            by_hash = np.argsort(made)
-            rank = np.empty(len(made), dtype=np.int64)
-            rank[by_hash] = np.arange(len(made))
-            at[rows, i] = len(hashes) + rank[number.reshape(code.shape)].min(axis=1)
-            hashes += made[by_hash].tolist()
+        numbers = np.array([known.setdefault(x, len(known)) for x in told], dtype=np.int64)
+        found.append((rows, numbers[number.reshape(code.shape)]))
+    for i, seed in enumerate(seeds if found else []):
+        made = np.array([hashlib.md5(f"{seed}|{x}".encode()).hexdigest() for x in known])
+        by_hash = np.argsort(made)
+        rank = np.empty(len(made), dtype=np.int64)
+        rank[by_hash] = np.arange(len(made))
+        for rows, numbers in found:
+            at[rows, i] = len(hashes) + rank[numbers].min(axis=1)
+        hashes += made[by_hash].tolist()
     offsets = np.arange(len(sizes) + 1, dtype=np.int32) * len(seeds)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes).take(pa.array(at.ravel())))

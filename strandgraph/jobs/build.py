@@ -114,6 +114,25 @@ def refined(every: Callable[[], DataFrame], vertices: DataFrame, edges: DataFram
     return stored(graph.inserted(edges, missing.hint("merge").join(met, ["src", "dst"], "left_semi")), "edges")
 
 
+def in_lists(every: Callable[[], DataFrame], vertices: DataFrame, edges: DataFrame, parents: DataFrame, chosen: list[tuple[int, int]], gapped: bool, config: GraphConfig) -> tuple[DataFrame, DataFrame] | None:
+    """What ``refined`` adds, and the sizes of the sub-buckets, without a row for each read of a sub-bucket; none where there are few
+    pairs to compare, or a stage has to walk.
+
+    Sub-buckets are a bucket's gapped keys, and a read's gapped keys are the same in every bucket. So they are counted from
+    lists, and an edge is in one if its ends share a bucket and a gapped key.
+    """
+    keys = scheme.gapped(vertices, chosen, True, _hash(config)).groupBy("vid").agg(F.collect_set("key").alias("keys")) if gapped else scheme.gapped_lists(vertices.select("vid", "seq"), chosen, _hash(config)).select("vid", "keys")
+    own = parents.groupBy("vid").agg(F.collect_set("parent").alias("parents"))
+    listed = stored(own.hint("merge").join(keys.hint("merge"), "vid"), "lists")
+    sizes = stored(scheme.sub_bucket_sizes(listed), "sizes")
+    told = sizes.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2).alias("pairs"), F.sum("size").alias("rows")).first()
+    n = sizes.groupBy("parent").agg(F.count("*").alias("n"))
+    if (told["pairs"] or 0) <= pairs.PAIRS_A_READ * max(1, told["rows"] or 0) or n.where(F.col("n") >= config.bin_size_max).limit(1).count():
+        return None
+    found = pairs.in_sub_buckets(every(), listed, stored(n.where("n >= 2").select("parent"), "routes"))
+    return stored(graph.inserted(edges, found), "edges"), sizes
+
+
 def without_walks(vertices: DataFrame, normal: DataFrame, large: DataFrame, second: bool, chosen: list[tuple[int, int]], gapped: bool, config: GraphConfig) -> tuple[DataFrame, list[DataFrame]] | None:
     """Edges and counts of all stages from one search, for short reads, which have hundreds of edges each; none where a stage has to walk.
 
@@ -188,6 +207,11 @@ def build(source: DataFrame, config: GraphConfig | None = None) -> EditGraph:
     told.append(_edge_counts("first pass", edges))
 
     def again(stage: str, edges: DataFrame, parents: DataFrame) -> DataFrame:
+        if config.routing == "buckets":
+            listed = in_lists(every, vertices, edges, parents, chosen, gapped, config)
+            if listed is not None:
+                told.extend([_size_counts(stage, listed[1], config.bin_size_max), _edge_counts(stage, listed[0])])
+                return listed[0]
         sub = stored(scheme.gapped_within(parents, vertices, chosen, gapped, _hash(config)), "sub")
         edges = refined(every, vertices, edges, sub, config)
         told.extend([_bucket_counts(stage, sub, config.bin_size_max, ["parent", "key"]), _edge_counts(stage, edges)])

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from strandgraph.functions import gapped as batches
 from strandgraph.functions import kmers
@@ -81,6 +84,53 @@ def sub_sizes(listed: DataFrame) -> DataFrame:
     return told.groupBy("parent").agg(F.sum(F.when(F.col("key").isNull(), F.col("reads"))).alias("size"), F.count("key").alias("n"))
 
 
+#: Sub-buckets that a task counts before it gives their sizes away.
+COUNTED = 1 << 20
+
+
+def sub_bucket_sizes(listed: DataFrame) -> DataFrame:
+    """(parent, key, size) of reads with lists ``parents`` and ``keys`` of distinct strings or numbers; tasks count, and sums are shuffled."""
+    element = {name: listed.schema[name].dataType.elementType for name in ("parents", "keys")}
+    schema = StructType([StructField("parent", element["parents"]), StructField("key", element["keys"]), StructField("size", LongType())])
+    kinds = [to_arrow_type(x) for x in element.values()]
+
+    def given(known: list[dict[object, int]], codes: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        parents, keys = (pa.array(list(of), kind) for of, kind in zip(known, kinds, strict=True))
+        for at in range(0, len(codes), 1 << 16):
+            some = codes[at : at + (1 << 16)]
+            columns = [parents.take(pa.array(some >> 32)), keys.take(pa.array(some & 0xFFFFFFFF)), pa.array(sizes[at : at + (1 << 16)])]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[dict[object, int]] = [{}, {}]
+        codes, sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for whole in rows:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                flat, counts = [], []
+                for name, of in zip(("parents", "keys"), known, strict=True):
+                    told = batch[name].flatten().dictionary_encode()
+                    numbers = np.array([of.setdefault(x, len(of)) for x in told.dictionary.to_pylist()], dtype=np.int64)
+                    flat.append(numbers[told.indices.to_numpy()] if len(numbers) else np.zeros(0, dtype=np.int64))
+                    counts.append(pc.fill_null(pc.list_value_length(batch[name]), 0).to_numpy().astype(np.int64))
+                first = np.cumsum(counts[1]) - counts[1]
+                made = [codes]
+                for j in range(counts[1].max(initial=0)):  # the j-th key of each read beside all of its parents
+                    has = counts[1] > j
+                    mine = np.zeros(len(has), dtype=np.int64)
+                    mine[has] = flat[1][first[has] + j]
+                    made.append(((flat[0] << 32) | np.repeat(mine, counts[0]))[np.repeat(has, counts[0])])
+                old = len(codes)
+                codes, number = np.unique(np.concatenate(made), return_inverse=True)
+                sizes = np.bincount(number, np.concatenate([sizes, np.ones(len(number) - old, dtype=np.int64)]), len(codes)).astype(np.int64)
+                if len(codes) > COUNTED:
+                    yield from given(known, codes, sizes)
+                    known, codes, sizes = [{}, {}], codes[:0], sizes[:0]
+        yield from given(known, codes, sizes)
+
+    return listed.select("parents", "keys").mapInArrow(run, schema).groupBy("parent", "key").agg(F.sum("size").alias("size"))
+
+
 def gapped_within(parents: DataFrame, vertices: DataFrame, seeds: list[tuple[int, int]], every: bool = False, hash_of: kmers.Hash = kmers.hash_fast) -> DataFrame:
     """(parent, key, vid): gapped keys inside buckets (parent, vid); a read's keys are made once, whatever buckets it is in."""
     own = vertices.hint("merge").join(parents.select("vid").distinct(), "vid", "left_semi")

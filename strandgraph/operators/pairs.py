@@ -6,14 +6,17 @@ share a bucket: what a self-join of the buckets with verification gives, by whic
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations, pairwise, product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.functions import kmers
+from strandgraph.functions.distance import edits_within
 from strandgraph.operators import short
 from strandgraph.operators.storage import stored
 
@@ -27,6 +30,8 @@ EASIER = 4
 WIDE = 2
 #: Reads for each value that the kept letters of a read can have, on average, for which fewer segments are enough.
 CROWD = 4
+#: Letters up to which distances are worked out by the SQL function.
+LONG = 64
 #: Rows of one key from which on it is looked for where the rows are, so that no task gets them all; such keys are few, and are broadcast.
 HEAVY = 1 << 16
 #: Pairs for each bucket entry up to which a self-join of buckets is the cheaper way.
@@ -220,9 +225,22 @@ def parts_for(sizes: list[int], n: int, most: int) -> dict[int, list[int]]:
     return made
 
 
-def _weighed(met: DataFrame, least: int, most: int) -> DataFrame:
-    """(src, dst, weight) of pairs (a, sa, b, sb) within the range, in the task that has made the pair."""
+def _weighed(met: DataFrame, least: int, most: int, long: bool = False) -> DataFrame:
+    """(src, dst, weight) of pairs (a, sa, b, sb) within the range, in the task that has made the pair.
+
+    The work of the SQL function grows with the square of the letters, so distances of ``long`` reads are worked out for whole batches.
+    """
     met = met.where(F.abs(F.length("sa") - F.length("sb")) <= most)
+    if long:
+
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                weight = edits_within(batch["sa"], batch["sb"], most)
+                keep = np.flatnonzero(weight >= max(least, 0))
+                a, b = (batch[x].to_numpy()[keep] for x in "ab")
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(a, b), np.maximum(a, b), weight[keep])], ["src", "dst", "weight"])
+
+        return met.mapInArrow(run, "src long, dst long, weight int")
     weighed = met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.levenshtein("sa", "sb", most).cast("int").alias("weight"))
     return weighed.where(F.col("weight") >= max(least, 0))
 
@@ -249,7 +267,7 @@ def segment_pairs(work: DataFrame, most: int, parts: int, sizes: list[int], ever
         if frequent is not None:
             asked = asked.join(_heavy(frequent)[0], "h", "left_anti")
         made.append(own.hint("merge").join(of(asked, "b", "sb"), "h").where("a <> b"))
-    return _weighed(reduce(DataFrame.union, made), least, most), frequent
+    return _weighed(reduce(DataFrame.union, made), least, most, max(every) > LONG), frequent
 
 
 def deletion_pairs(work: DataFrame, most: int, least: int) -> DataFrame:
