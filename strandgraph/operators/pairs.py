@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from strandgraph.functions import kmers
 from strandgraph.functions.distance import edits_within
 from strandgraph.operators import short
+from strandgraph.operators.dense import moved, one_length, substituted
 from strandgraph.operators.storage import stored
 
 #: From segments of so many letters on, shared segments are rarer than shared deletions are costly.
@@ -294,11 +295,27 @@ def _searched(vertices: DataFrame, least: int, most: int, often: int, keys: list
             brief = short.short_pairs(vertices.where(size < limit + most).select("vid", F.col("seq").alias("rest"), *keys), most, least, few, keys)
         else:
             made.append(deletion_pairs(short_rows(work, most), most, least))
+    met: list[DataFrame] = []
     if dense:
         groups = stored(reduce(DataFrame.union, dense).distinct(), "dense")
-        both = reduce(DataFrame.union, dense_candidates(groups, most, often)).where("a <> b")
-        made.append(verified(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), vertices, least, most))
-    return (reduce(DataFrame.union, made).distinct() if made else None), brief
+        n = one_length(groups) if most <= WIDE else None
+        if n is not None:
+            # all pairs of these reads are found here, so others are of reads of which one at most is among them
+            ids = groups.select("vid", F.lit(True).alias("among"))
+            met = [substituted(groups, n, most, least), *([moved(groups, n)] if most == 2 else [])]
+            made = [_not_both(reduce(DataFrame.union, made).distinct(), ids)]
+        else:
+            both = reduce(DataFrame.union, dense_candidates(groups, most, often)).where("a <> b")
+            made.append(verified(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), vertices, least, most))
+    rest = [reduce(DataFrame.union, made).distinct()] if made and not met else made
+    return (reduce(DataFrame.union, [*rest, *met]) if made else None), brief
+
+
+def _not_both(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges of which not both ends are in ``ids`` (vid, among)."""
+    for end in ("src", "dst"):
+        edges = edges.hint("merge").join(ids.withColumnsRenamed({"vid": end, "among": f"{end}_among"}), end, "left")
+    return edges.where("src_among is null or dst_among is null").select("src", "dst", "weight")
 
 
 def exact(vertices: DataFrame, least: int, most: int, often: int = OFTEN) -> DataFrame:
